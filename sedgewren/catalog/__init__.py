@@ -1,6 +1,6 @@
 """Named queries over the driver's tables, with the equivalent SQL."""
 
-from . import factors
+from . import factors, panels
 
-QUERIES = {**factors.QUERIES}
-ORACLES = {**factors.ORACLES}
+QUERIES = {**factors.QUERIES, **panels.QUERIES}
+ORACLES = {**factors.ORACLES, **panels.ORACLES}

@@ -154,8 +154,9 @@ def ts_argmin(x: Column, n: int) -> Column:
 def ts_corr(x: Column, y: Column, n: int) -> Column:
     both = x.isNotNull() & y.isNotNull()
     a, b = F.when(both, x), F.when(both, y)
-    flat = (F.stddev_samp(a).over(along(n)) <= FLAT) | (F.stddev_samp(b).over(along(n)) <= FLAT)
-    return full(n, F.when(~flat, F.corr(a, b).over(along(n))))
+    sa, sb = F.stddev_samp(a).over(along(n)), F.stddev_samp(b).over(along(n))
+    # Not the built-in corr: it fails where a side is constant.
+    return full(n, F.when((sa > FLAT) & (sb > FLAT), F.try_divide(F.covar_samp(a, b).over(along(n)), sa * sb)))
 
 
 def ts_cov(x: Column, y: Column, n: int) -> Column:
