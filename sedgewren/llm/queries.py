@@ -113,3 +113,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: SQL by query, in the files beside this module.
 ORACLES = {p.stem: p.read_text() for p in sorted((Path(__file__).parent / "sql").glob("*.sql"))}
+
+
+def _secret_sql() -> str:
+    """SQL of op5: matches and what lies between them give positions; weak spans meet parts of the document within SCOPE."""
+
+    def found(no: int, kind: str) -> str:
+        regex, group, least = secrets.BASE_KINDS.get(kind) or (secrets.WEAK_KINDS[kind][0], 0, 0)
+        r = regex.replace("'", "''")
+        needs = () if kind in secrets.BASE_KINDS else secrets.WEAK_KINDS[kind][1]
+        ok = " AND ".join([f"length(g) >= {least}", *(f"regexp_matches(g, '{n}')" for n in needs)])
+        return f"""SELECT rid, {no} AS kind_no, '{kind}' AS kind, upto - length(m) AS s, upto AS e FROM (
+            SELECT *, CAST(sum(length(gap) + length(m)) OVER (PARTITION BY rid ORDER BY i) AS BIGINT) AS upto FROM (
+                SELECT rid, unnest(range(len(ms))) AS i, unnest(ms) AS m, unnest(gs) AS g, unnest(gaps[1 : len(ms)]) AS gap FROM (
+                    SELECT rid, regexp_extract_all(t, '{r}', 0) AS ms, regexp_extract_all(t, '{r}', {group}) AS gs, string_split_regex(t, '{r}') AS gaps FROM d) WHERE len(ms) > 0)) WHERE {ok}"""
+
+    spans = " UNION ALL ".join(found(i, k) for i, k in enumerate(secrets.KINDS))
+    names = lambda kinds: ", ".join(f"'{k}'" for k in kinds)
+    base, scope = names(secrets.BASE_KINDS), secrets.SCOPE
+    return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents), spans AS ({spans}), linked AS (
+        SELECT c.rid, c.kind_no, c.kind, c.s, c.e, bool_or(NOT apart AND p.kind IN ({base})) AS on_base, bool_or(apart AND p.kind IN ({names(secrets.IDENTIFIERS)})) AS by_ident,
+               bool_or(apart AND p.kind IN ({names(secrets.SECRETS)})) AS by_secret
+        FROM (SELECT c.*, p.kind AS p_kind, p.s AS ps, p.e AS pe, p.s >= c.e OR c.s >= p.e AS apart, p AS p FROM spans c JOIN spans p ON p.rid = c.rid AND p.s - {scope} <= c.e AND c.s <= p.e + {scope} WHERE c.kind NOT IN ({base})) c
+        GROUP BY 1, 2, 3, 4, 5), shown AS (
+        SELECT rid, kind_no, kind, s, e FROM spans WHERE kind IN ({base})
+        UNION ALL SELECT rid, kind_no, kind, s, e FROM linked WHERE NOT on_base AND CASE kind WHEN 'mixed' THEN by_ident WHEN 'ident' THEN by_secret ELSE by_ident AND by_secret END), per AS (
+        SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, count(*) FILTER (kind NOT IN ({base})) AS n_weak,
+               string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, kind_no, e) FILTER (kind IN ({base})) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, kind_no, e) AS every
+        FROM shown GROUP BY 1)
+    SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans, coalesce(n_weak, 0) AS n_weak
+    FROM d LEFT JOIN per USING (rid)""".replace("p.kind IN", "p_kind IN").replace(", p AS p FROM", " FROM")
+
+
+ORACLES["op5_secret_scan"] = _secret_sql()
