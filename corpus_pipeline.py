@@ -16,9 +16,9 @@ from sedgewren.llm import exact, mixing, pieces, quality, queries, simhash
 from sedgewren.llm.common import cut, shared_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Near copies: words in a shingle, and bits that fingerprints may differ in. Two texts that share 0.8 or more of their shingles differ
-#: in about ten of 64 bits; every pair within the radius is found, wider ones are not (README).
-SHINGLE, RADIUS = 5, 4
+#: Near copies: words in a shingle, and bits that fingerprints may differ in. Texts that share 0.8 of their shingles differ in about ten
+#: of 64 bits, those that share 0.9 in six; every pair within the radius is found (README).
+SHINGLE, RADIUS = 5, 6
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

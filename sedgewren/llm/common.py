@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +49,16 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def slices(batch: pa.RecordBatch, sizes: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose rows' sizes sum to about `most`, at least a row each: bounds what is alive at once in Python."""
+    start, upto = 0, np.cumsum(sizes)
+    while start < batch.num_rows:
+        done = upto[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(upto, done + most, "right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """`name`, lengthened until no column of df has it (column names are compared without case)."""
     taken = {c.lower() for c in df.columns}

@@ -15,13 +15,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import free_name, slices
+
 SPACE = "▁"
 #: Units remembered per worker, and the longest one that is.
 REMEMBERED, LONGEST = 400_000, 64
+#: Texts (or ids) of about so many bytes (or ids) are encoded (or decoded) at a time.
+TEXT_BYTES = 1 << 20
 #: Piece types of the model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -292,15 +297,15 @@ def encode_pieces(df: DataFrame, path: str, text_col: str = "text", carry: list[
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        for b in batches:
-            if not b.num_rows:
-                continue  # nothing to concatenate
-            pairs = m.encode([x or "" for x in b.column(b.num_columns - 1).to_pylist()])
-            offsets = pa.array(np.cumsum([0, *(len(i) for i, _ in pairs)]), pa.int32())
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([p[k] for p in pairs]))) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *lists], names=[*b.schema.names[:-1], "piece_ids", "piece_ends"])
+        for whole in batches:
+            sizes = pc.fill_null(pc.binary_length(whole.column(whole.num_columns - 1)), 0).to_numpy(zero_copy_only=False)
+            for b in slices(whole, sizes, TEXT_BYTES):
+                pairs = m.encode([x or "" for x in b.column(b.num_columns - 1).to_pylist()])
+                offsets = pa.array(np.cumsum([0, *(len(i) for i, _ in pairs)]), pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([p[k] for p in pairs]))) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], *lists], names=[*b.schema.names[:-1], "piece_ids", "piece_ends"])
 
-    return df.select(*[F.col(c) for c in keep], F.col(text_col).alias("text_to_encode")).mapInArrow(work, schema)
+    return df.select(*[F.col(c) for c in keep], F.col(text_col).alias(free_name(df, "text_to_encode"))).mapInArrow(work, schema)
 
 
 def decode_pieces(df: DataFrame, path: str, ids_col: str = "piece_ids", name: str = "decoded", drop: tuple[str, ...] = ()) -> DataFrame:
@@ -310,10 +315,12 @@ def decode_pieces(df: DataFrame, path: str, ids_col: str = "piece_ids", name: st
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        for b in batches:
-            lists = b.column(b.num_columns - 1)
-            flat, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_pylist()
-            texts = [m.decode(flat[i:j]) if j > i else "" for i, j in zip(offsets, offsets[1:])]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], names=[*b.schema.names[:-1], name])
-
-    return df.select(*[F.col(c) for c in keep], F.coalesce(F.col(ids_col), F.array().cast("array<int>")).alias("ids_to_decode")).mapInArrow(work, schema)
+        for whole in batches:
+            sizes = pc.list_value_length(whole.column(whole.num_columns - 1)).to_numpy(zero_copy_only=False)
+            for b in slices(whole, sizes, TEXT_BYTES):
+                lists = b.column(b.num_columns - 1)
+                flat, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_pylist()
+                texts = [m.decode(flat[i:j]) if j > i else "" for i, j in zip(offsets, offsets[1:])]
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], names=[*b.schema.names[:-1], name])
+
+    return df.select(*[F.col(c) for c in keep], F.coalesce(F.col(ids_col), F.array().cast("array<int>")).alias(free_name(df, "ids_to_decode"))).mapInArrow(work, schema)

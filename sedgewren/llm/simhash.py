@@ -3,9 +3,10 @@
 Texts become 64-bit fingerprints; only distinct fingerprints are compared. With radius r there are 2^(r+1) - 1 tables, each with a
 mask: bit i has a non-zero vector v(i) of r+1 bits, and table a keeps the bits with a.v(i) odd. Any r bits span less than the whole
 space, so some table a is orthogonal to all of them: two fingerprints that differ in at most r bits agree under that table's mask.
-Buckets of up to PAIR_BUCKET fingerprints are compared pair by pair. Those in larger buckets meet through every value at r/2 bits
-from them: two fingerprints at most r apart share such a value, and all that share one are at most r apart, so each value links them
-in a star. Both ways are exact. Components then come from alternating large-star and small-star rounds.
+Buckets of up to GROUP fingerprints are searched from member to member and give a spanning forest, never all pairs. Those in larger
+buckets meet through every value at r/2 bits from them: two fingerprints at most r apart share such a value, and all that share one
+are at most r apart, so each value links them in a star. Both ways are exact. Components then come from alternating large-star and
+small-star rounds.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from .common import cut, free_name
 BITS, SEED = 64, 42
 #: Defaults: words in a shingle and largest number of differing bits.
 SHINGLE, RADIUS = 3, 2
-#: Buckets with more fingerprints are not compared pair by pair.
-PAIR_BUCKET = 32
+#: Buckets with more fingerprints are not gathered.
+GROUP = 2048
 #: Shingles hashed at a time, so that a very long text needs little memory.
 BLOCK = 1 << 16
 
@@ -63,7 +64,10 @@ def with_fingerprint(df: DataFrame, text_col: str, name: str, size: int = SHINGL
 
 def masks(radius: int) -> list[int]:
     """The covering masks as signed 64-bit integers."""
-    vectors = [i % (2 ** (radius + 1) - 1) + 1 for i in range(BITS)]
+    # Every mask keeps about half of the bits: the vectors are all non-zero ones in turn, or the columns of a Reed-Muller code.
+    if radius > 6:
+        raise ValueError("with more than 7 bits a vector, some masks would keep too few of 64 bits")
+    vectors = [BITS | i for i in range(BITS)] if radius == 6 else [i % (2 ** (radius + 1) - 1) + 1 for i in range(BITS)]
     made = [sum(1 << i for i, v in enumerate(vectors) if (a & v).bit_count() % 2) for a in range(1, 2 ** (radius + 1))]
     return [m - (1 << BITS) if m >= 1 << (BITS - 1) else m for m in made]
 
@@ -74,22 +78,39 @@ def ball(radius: int) -> list[int]:
     return [m - (1 << BITS) if m >= 1 << (BITS - 1) else m for m in made]
 
 
+def forest(fps: np.ndarray, radius: int) -> np.ndarray:
+    """Edges from one member of each component to the others, in memory that grows with the members only."""
+    left, edges = fps, []
+    while len(left) > 1:
+        seed, left = left[0], left[1:]
+        open_ = [seed]
+        while open_ and len(left):
+            near = np.bitwise_count((left ^ open_.pop()).view(np.uint64)) <= radius
+            if near.any():
+                edges.append(np.column_stack([np.full(near.sum(), seed), left[near]]))
+                open_ += left[near].tolist()
+                left = left[~near]
+    return np.concatenate(edges) if edges else np.empty((0, 2), np.int64)
+
+
 def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Edges a, b between distinct fingerprints (column fp, no repeats) whose components are those of all pairs at most `radius` apart."""
     if radius % 2:
         raise ValueError("the radius must be even: large buckets meet half-way")
-    tables = F.array(*[F.struct(F.lit(i).alias("table"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks(radius))])
-    buckets = prints.select("fp", F.explode(tables).alias("x")).select("x.table", "x.key", "fp")
-    sizes = cut(buckets.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    shared = cut(buckets.join(sizes, ["table", "key"]))
-    few = shared.where(F.col("n") <= PAIR_BUCKET)
-    pairs = (
-        few.select("table", "key", F.col("fp").alias("a"))
-        .join(few.select("table", "key", F.col("fp").alias("b")), ["table", "key"])
-        .where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius))
-        .select("a", "b")
-    )
-    many = shared.where(F.col("n") > PAIR_BUCKET).select("fp").distinct()
+    # A hash names the bucket; buckets that share one by chance only cost a comparison.
+    buckets = prints.select("fp", F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks(radius))])).alias("bucket"))
+    sizes = cut(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    shared = cut(buckets.join(sizes, "bucket"))
+    few = shared.where(F.col("n") <= GROUP).groupBy("bucket").agg(F.collect_list("fp").alias("fps")).select("fps")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [forest(np.array(x, np.int64), radius) for x in batch.column(0).to_pylist()]
+            both = np.concatenate([np.empty((0, 2), np.int64), *found])
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+    pairs = few.mapInArrow(search, "a long, b long").distinct()
+    many = shared.where(F.col("n") > GROUP).select("fp").distinct()
     around = F.array(*[F.lit(m) for m in ball(radius // 2)])
     met = many.select("fp", F.explode(around).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("middle"))
     least = met.groupBy("middle").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")

@@ -1,0 +1,12 @@
+import pytest
+
+
+@pytest.fixture
+def table(spark, tmp_path):
+    """Writes a table as the driver's are and returns the folder."""
+
+    def write(name: str, data: list, schema: str):
+        spark.createDataFrame(data, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+        return str(tmp_path)
+
+    return write
