@@ -12,13 +12,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedgewren.llm import exact, mixing, pieces, quality, queries, simhash
+from sedgewren.llm import exact, mixing, pieces, quality, queries, similar
 from sedgewren.llm.common import cut, shared_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Near copies: words in a shingle, and bits that fingerprints may differ in. Texts that share 0.8 of their shingles differ in about ten
-#: of 64 bits, those that share 0.9 in six; every pair within the radius is found (README).
-SHINGLE, RADIUS = 5, 6
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +30,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of every group of near copies. Rows without an id stay."""
-    groups = simhash.simhash_groups(docs, size=SHINGLE, radius=RADIUS, carry=["doc_id"])
+    """Keeps the document with the smallest id of every group of near copies (five-word shingles, a similarity of 0.8 or more). Rows
+    without an id stay, those that share one stay or go together."""
+    groups = similar.near_copies(docs, carry=["doc_id"])
     gone = cut(groups.where("doc_id != component_id").select("doc_id").distinct())
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
