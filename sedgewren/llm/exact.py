@@ -23,8 +23,8 @@ from .common import ascii_lower, free_name, written
 SPLITTER_CHARS = 32
 
 
-def marker(n_keep: int):
-    """mapInArrow function over sorted partitions with columns [kept columns..., id, text, digest]; adds run facts to the kept ones.
+def marker(n_keep: int, run_names: list[str]):
+    """mapInArrow function over sorted partitions with columns [kept columns..., id, text, digest]; adds run facts, so named, to the kept ones.
 
     A run is a maximal stretch of equal texts. It is held until it ends, at most a partition's worth of rows.
     """
@@ -59,7 +59,7 @@ def marker(n_keep: int):
                 pa.array(is_last),
                 pa.array(np.full(n, part, np.int32)),
             ]
-            return pa.RecordBatch.from_arrays(columns, names=[*table.schema.names[:n_keep], *RUN_NAMES])
+            return pa.RecordBatch.from_arrays(columns, names=[*table.schema.names[:n_keep], *run_names])
 
         for batch in batches:
             if not batch.num_rows:
@@ -122,7 +122,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     names = dict(zip(RUN_NAMES, (free_name(taken, x) for x in RUN_NAMES), strict=True))
     kinds = (T.BinaryType(), T.LongType(), T.LongType(), T.BooleanType(), T.BooleanType(), T.IntegerType())
     schema = T.StructType([*taken.schema.fields, *(T.StructField(names[x], k) for x, k in zip(RUN_NAMES, kinds, strict=True))])
-    marked = written(dealt.mapInArrow(marker(len(keep)), schema))
+    marked = written(dealt.mapInArrow(marker(len(keep), list(names.values())), schema))
     sha, size, top, edge, last, part = (F.col(names[x]) for x in RUN_NAMES)
     # At most two runs per partition reach its edge, so this table is bounded by the number of partitions.
     edges = (
