@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: A derived table with at most this many rows may be broadcast; larger ones are joined by shuffle.
-BROADCAST_ROWS = 100_000
+#: A derived table with at most so many rows and, written as JSON, bytes may be broadcast; larger ones are joined by shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 64 << 20
 
 
 def ascii_lower(c: Column) -> Column:
@@ -44,9 +44,10 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint if a materialised table has at most `rows` rows; otherwise the join shuffles (and splits hot keys by AQE)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame) -> DataFrame:
+    """Broadcast hint if a materialised table is within both bounds; otherwise the join shuffles (and AQE splits hot keys)."""
+    rows, size = df.agg(F.count(F.lit(1)), F.sum(F.length(F.to_json(F.struct("*"))))).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else df
 
 
 def slices(batch: pa.RecordBatch, sizes: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
