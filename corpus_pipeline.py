@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from sedgewren.llm import exact, mixing, pieces, quality, queries, similar
 from sedgewren.llm.common import cut, shared_folder
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the quality classifier accepts."""
