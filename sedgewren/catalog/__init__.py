@@ -1,6 +1,6 @@
 """Named queries over the driver's tables, with the equivalent SQL."""
 
-from . import factors, panels
+from . import factors, panels, reports  # noqa: F401  reports adds to the queries of panels
 
 QUERIES = {**factors.QUERIES, **panels.QUERIES}
 ORACLES = {**factors.ORACLES, **panels.ORACLES}

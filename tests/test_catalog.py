@@ -6,11 +6,15 @@ from conftest import rows, sql_rows
 from sedgewren import catalog
 
 
-def test_every_query_has_sql():
-    assert set(catalog.QUERIES) == set(catalog.ORACLES)
+#: Sequential: tested against a plain loop in test_reports.
+WITHOUT_SQL = {"x_replay"}
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+def test_every_other_query_has_sql():
+    assert set(catalog.QUERIES) - WITHOUT_SQL == set(catalog.ORACLES)
+
+
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_query(name, spark, sf, duck):
     df = catalog.QUERIES[name](spark, sf)
     names, want = sql_rows(duck, catalog.ORACLES[name])
