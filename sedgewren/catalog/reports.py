@@ -124,9 +124,9 @@ def a_pooled_correlation(spark, sf):
     return rounded(reports.pooled_correlation(bars(spark, sf), "close", "volume"), 6, "pooled")
 
 
-@query(f"""WITH {PANEL} SELECT code, trade_date, round(volume / sum(volume) OVER (PARTITION BY trade_date), 6) AS share FROM panel""")
+@query(f"""WITH {PANEL} SELECT code, trade_date, round(close / sum(close) OVER (PARTITION BY trade_date), 6) AS share FROM panel""")
 def g_normalised_weights(spark, sf):
-    return rounded(reports.normalised_weights(bars(spark, sf), "volume"), 6, "share").select("code", "trade_date", "share")
+    return rounded(reports.normalised_weights(bars(spark, sf), "close"), 6, "share").select("code", "trade_date", "share")
 
 
 @query(f"""WITH {PANEL} SELECT code, trade_date, round(CASE WHEN code % 2 = 0 THEN high - low ELSE low - high END, 6) + 0.0 AS delta, round(CASE WHEN code % 2 = 0 THEN high - low ELSE low - high END / abs(low), 6) + 0.0 AS relative FROM panel""")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -163,29 +164,32 @@ def replay(scores: DataFrame, k: int, drop: int, cost: float) -> DataFrame:
     holdings the worst `drop` that newcomers beat are replaced; codes without a score that day rank last. A day's rows are one
     cross-section, so what a task holds is a day's scores and k holdings."""
 
-    def days(keys: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, value = [], 1.0
-        for day, rows in _by_day(frames):
-            known = rows.dropna(subset=["score"]).sort_values(["score", CODE], ascending=[False, True])
-            place = {c: i for i, c in enumerate(known[CODE])}
-            last = len(place)
-            fresh = [c for c in known[CODE] if c not in held]
-            ranked = sorted(held, key=lambda c: (place.get(c, last), c))
-            pool = sorted([*ranked, *fresh[: drop + max(0, k - len(held))]], key=lambda c: (place.get(c, last), c))
-            sold = [c for c in ranked if c in pool[-drop:]] if drop else []
+    def days(account: object, parts: Iterator[pd.DataFrame]) -> pd.DataFrame:
+        """One row per day; only the day at hand is held."""
+        held, value, out = [], 1.0, []
+        for day, codes, score, ret in _by_day(parts):
+            known = np.flatnonzero(~np.isnan(score))
+            known = known[np.lexsort((codes[known], -score[known]))]
+            place = {c: i for i, c in enumerate(codes[known].tolist())}
+            order = lambda c: (place.get(c, len(place)), c)  # noqa: B023, E731
+            mine = set(held)
+            fresh = [c for c in place if c not in mine]
+            pool = sorted([*held, *fresh[: drop + max(0, k - len(held))]], key=order)
+            sold = mine & set(pool[max(0, len(pool) - drop) :])
             bought = fresh[: max(0, len(sold) + k - len(held))]
             held = [c for c in held if c not in sold] + bought
-            gain = rows.set_index(CODE)["ret"].reindex(held).fillna(0.0)
-            net = float(gain.mean() if len(gain) else 0.0) - cost * (len(sold) + len(bought)) / k
+            gains = dict(zip(codes.tolist(), np.nan_to_num(ret).tolist(), strict=True))
+            net = (sum(gains.get(c, 0.0) for c in held) / len(held) if held else 0.0) - cost * (len(sold) + len(bought)) / k
             value *= 1 + net
-            yield pd.DataFrame({"account": [keys[0]], DATE: [day], "holdings": [",".join(map(str, sorted(held)))], "buys": [len(bought)], "sells": [len(sold)], "net": [net], "value": [value]})
+            out.append((account, day, ",".join(map(str, sorted(held))), len(bought), len(sold), net, value))
+        return pd.DataFrame(out, columns=["account", DATE, "holdings", "buys", "sells", "net", "value"])
 
     kind = scores.schema["account"].dataType.simpleString()
     ordered = scores.select("account", DATE, CODE, "score", "ret").repartition("account").sortWithinPartitions("account", DATE, CODE)
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for account, parts in _runs(frames):
-            yield from days((account,), parts)
+            yield days(account, parts)
 
     return ordered.mapInPandas(work, f"account {kind}, {DATE} date, holdings string, buys int, sells int, net double, value double")
 
@@ -219,13 +223,18 @@ def _runs(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[object, Iterator[pd.
         yield account, parts()
 
 
-def _by_day(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[object, pd.DataFrame]]:
-    held: list[pd.DataFrame] = []
+def _by_day(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[object, np.ndarray, np.ndarray, np.ndarray]]:
+    """Day, codes, scores and returns; a day may reach over frames."""
+    day, held = None, []
     for f in frames:
-        for day, rows in f.groupby(DATE, sort=True):
-            if held and held[-1][DATE].iloc[0] != day:
-                yield held[-1][DATE].iloc[0], pd.concat(held)
+        dates = f[DATE].to_numpy()
+        columns = [f[CODE].to_numpy(), f["score"].to_numpy(dtype=float), f["ret"].to_numpy(dtype=float)]
+        starts = np.append(0, np.flatnonzero(dates[1:] != dates[:-1]) + 1)
+        for i, j in zip(starts, np.append(starts[1:], len(f))):
+            if held and dates[i] != day:
+                yield day, *[np.concatenate(x) for x in zip(*held)]
                 held = []
-            held.append(rows)
+            day = dates[i]
+            held.append([c[i:j] for c in columns])
     if held:
-        yield held[-1][DATE].iloc[0], pd.concat(held)
+        yield day, *[np.concatenate(x) for x in zip(*held)]
