@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small
+from .common import cut, small, written
 
 #: White space of the word rule, and the characters that count as symbols.
 SPACE, SYMBOLS = " \t-\r", "#*$%&|<>"
@@ -43,7 +43,7 @@ def with_facts(df: DataFrame, text: Column, keep: list[Column]) -> DataFrame:
     )
     n = F.size("f_words")
     hashes = F.when(
-        n > WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("f_words", i, WINDOW)))
+        n > WINDOW, F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[F.get("f_words", i + k) for k in range(WINDOW)]))
     ).otherwise(F.array().cast("array<bigint>"))
     rows = rows.select("*", hashes.alias("f_hashes"))
     # Only texts in which a window occurs again pay for the sort that finds where.
@@ -127,7 +127,8 @@ def quality_rules(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
 
     Null text has no words and fails the base rules; null and empty language or source are one group. A group none of whose rows pass
     the base rules has no thresholds and needs none. Result columns replace input columns of the same name. Windows are compared by
-    64-bit hash; a text of a million words has a false repeat with a probability below one in ten million.
+    64-bit hash; a text of a million words has a false repeat with a probability below one in ten million. Where the texts are carried,
+    they are written once to the shared folder with their facts.
     """
     made = (*FACTS, "base_failed", "failed", "kept")
     keep = [c for c in (df.columns if carry is None else carry) if c.lower() not in made]
@@ -136,8 +137,8 @@ def quality_rules(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
     facts = with_facts(df, F.col(text_col), [*cols, key(lang_col).alias("g_lang"), key(source_col).alias("g_source")])
     base_failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     facts = facts.withColumn("base_failed", base_failed).withColumns(metric_columns())
-    if not set(keep) & {text_col}:
-        facts = cut(facts)  # short rows: the texts are read and counted once
+    # The texts are counted once; without this a filter on the result would be pushed below and count them again for each use.
+    facts = written(facts) if text_col in keep else cut(facts)
     fences = thresholds(facts)
     joined = facts.join(small(fences.select(F.col("g_lang").alias("t_lang"), F.col("g_source").alias("t_source"), *[c for c in fences.columns if c[:2] != "g_"])), (F.col("g_lang") == F.col("t_lang")) & (F.col("g_source") == F.col("t_source")), "left")
     out_of = [F.when(F.col(m) > F.col(f"high_{m}"), F.lit(m)) if not METRICS[m][3] else F.when((F.col(m) > F.col(f"high_{m}")) | (F.col(m) < F.col(f"low_{m}")), F.lit(m)) for m in METRICS]
