@@ -241,7 +241,7 @@ def a_correlation_summary(spark, sf):
 
 
 @query(f"""WITH {PANEL}, {FACTORS}, d AS (SELECT trade_date, {', '.join(f'{sql_corr(a, b)} AS {a}{b}' for a, b in (('f1','f2'),('f1','f3'),('f1','f4'),('f1','f5'),('f2','f3'),('f2','f4'),('f2','f5'),('f3','f4'),('f3','f5'),('f4','f5')))} FROM fx GROUP BY 1),
-u AS (UNPIVOT d ON COLUMNS(* EXCLUDE trade_date) INTO NAME p VALUE c)
+u AS (SELECT * FROM d UNPIVOT INCLUDE NULLS (c FOR p IN (f1f2, f1f3, f1f4, f1f5, f2f3, f2f4, f2f5, f3f4, f3f5, f4f5)))
 SELECT left(p, 2) AS a, right(p, 2) AS b, round(avg(c), 6) AS mean, round(avg(abs(c)), 6) AS mean_abs, round(quantile_cont(abs(c), 0.9), 6) AS p90_abs, round(max(abs(c)), 6) AS max_abs, count(c) AS days FROM u GROUP BY p""")
 def a_pairwise(spark, sf):
     return rounded(evaluate.pairwise(five_factors(spark, sf), ["f1", "f2", "f3", "f4", "f5"]), 6, "mean", "mean_abs", "p90_abs", "max_abs")
