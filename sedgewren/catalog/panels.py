@@ -550,7 +550,9 @@ def customer_edges(spark, sf):
 
 @query(f"""WITH RECURSIVE {EDGES}, u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, root) AS (SELECT c_custkey, c_custkey FROM customer WHERE c_custkey < 1500 UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.node) SELECT node, min(root) AS root FROM r GROUP BY 1""")
 def r_components(spark, sf):
-    return graph.connected_components(table(spark, sf, "customer").where("c_custkey < 1500").select(F.col("c_custkey").alias("node")), customer_edges(spark, sf))
+    edges = customer_edges(spark, sf)
+    nodes = table(spark, sf, "customer").where("c_custkey < 1500").select(F.col("c_custkey").alias("node")).unionByName(edges.select(F.explode(F.array("a", "b")).alias("node")))
+    return graph.connected_components(nodes, edges)
 
 
 @query("""WITH w AS (SELECT l_suppkey AS a, l_partkey % 100 AS b, count(*) AS w FROM lineitem WHERE l_suppkey < l_partkey % 100 GROUP BY 1, 2), u AS (SELECT * FROM w UNION ALL SELECT b, a, w FROM w)
