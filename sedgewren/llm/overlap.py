@@ -1,0 +1,161 @@
+"""Exact join of texts by the Jaccard similarity of their sets of shingles.
+
+All sets are put in one order, shingles that are common in a sample last. Two sets with a similarity of t or more share a shingle
+among the first n - ceil(t * n) + 1 of each (n its size), and at the first one that they share enough are left in both to reach the
+overlap that t needs. So sets meet by these prefixes only, and what meets is compared in full: no pair at t or more is missed and
+none below is linked. The order changes the work, never the result.
+
+Components need no edge between sets that are linked already: each bucket's members are compared with two of its members first,
+then only members of different components with each other, large buckets as pairs of blocks.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import cut, small
+from .simhash import SEED, components
+
+#: One text of so many is counted for the order, and so many of the commonest shingles are kept.
+SAMPLE, COMMON = 16, 100_000
+#: Members of a bucket that are compared at once.
+GROUP = 2048
+#: Keeps a product that should be a whole number from being rounded up.
+EPS = 1e-9
+
+
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """Sorted hashes of the different shingles; words are split and lower-cased in ASCII only. Texts without words share one hash."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    shingles = set(map(b" ".join, zip(*(words[i:] for i in range(size))))) if len(words) >= size else {b" ".join(words)}
+    hashed = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((hashed(s, SEED) for s in shingles), np.uint64, len(shingles)).view(np.int64))
+
+
+def common(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the commonest shingles of a sample, sorted, and their counts."""
+    counted = sets.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).select(F.explode("shingles").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    got = counted.where("n > 1").orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
+    hashes, counts = (got.column(i).to_numpy().astype(np.int64) for i in (0, 1))
+    order = np.argsort(hashes)
+    return hashes[order], counts[order]
+
+
+def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """h, node, n and pos: the first shingles of each set, its size and their places in the order."""
+    hashes, counts = common(sets)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ends, values = b.column(1).offsets.to_numpy(), b.column(1).values.to_numpy()
+            ranks = np.zeros(len(values), np.int64)
+            if len(hashes):
+                at = np.minimum(np.searchsorted(hashes, values), len(hashes) - 1)
+                ranks = np.where(hashes[at] == values, counts[at], 0)
+            sizes = np.diff(ends)
+            taken = np.array([n - math.ceil(similarity * n - EPS) + 1 for n in sizes.tolist()], np.int64)
+            firsts = [values[s:e][np.argsort(ranks[s:e], kind="stable")[:k]] for s, e, k in zip(ends[:-1], ends[1:], taken)]
+            nodes, pos = np.repeat(b.column(0).to_numpy(), taken), [np.arange(k) for k in taken]
+            columns = [np.concatenate([np.empty(0, np.int64), *firsts]), nodes, np.repeat(sizes, taken).astype(np.int32), np.concatenate([np.empty(0, np.int64), *pos]).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "node", "n", "pos"])
+
+    return sets.select("node", "shingles").mapInArrow(work, "h long, node long, n int, pos int")
+
+
+def can_reach(a: Column, b: Column, similarity: float) -> Column:
+    """Whether two members (n, pos) that share their first shingle here may have the overlap that the similarity needs."""
+    need = F.ceil((a["n"] + b["n"]) * F.lit(similarity / (1 + similarity)) - EPS)
+    return F.least(a["n"] - a["pos"], b["n"] - b["pos"]) >= need
+
+
+def met(bucket: np.ndarray, root: np.ndarray, node: np.ndarray, n: np.ndarray, pos: np.ndarray, similarity: float) -> np.ndarray:
+    """Pairs of members of one bucket and different components that may be similar enough. Buckets lie together, sorted by n."""
+    found, at, step = [np.empty((0, 2), np.int64)], np.arange(len(bucket)), 0
+    while len(at):
+        step += 1
+        at = at[: np.searchsorted(at, len(bucket) - step)]
+        to = at + step
+        at = at[(bucket[at] == bucket[to]) & (n[at] >= similarity * n[to] - EPS)]
+        to = at + step
+        need = np.ceil((n[at] + n[to]) * (similarity / (1 + similarity)) - EPS)
+        near = (root[at] != root[to]) & (np.minimum(n[at] - pos[at], n[to] - pos[to]) >= need)
+        found.append(np.column_stack([node[at[near]], node[to[near]]]))
+    pairs = np.sort(np.concatenate(found), axis=1)
+    return np.unique(pairs, axis=0)
+
+
+def met_in_buckets(members: DataFrame, similarity: float) -> DataFrame:
+    """Pairs a, b of `met` for members bucket, root, node, n, pos: a partition's buckets lie sorted, the last one is held."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+
+        def pairs(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+            found = met(*[np.concatenate(x) for x in zip(*parts)], similarity)
+            return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            now = [c.to_numpy().astype(np.int64) for c in b.columns]
+            if held and held[-1][0][-1] != now[0][0]:
+                yield pairs(held)
+                held = []
+            others = np.flatnonzero(now[0] != now[0][-1])
+            last = others[-1] + 1 if len(others) else 0
+            if last:
+                yield pairs([*held, [x[:last] for x in now]])
+                held = []
+            held.append([x[last:] for x in now])
+        if held:
+            yield pairs(held)
+
+    dealt = members.select("bucket", "root", "node", "n", "pos").repartition("bucket").sortWithinPartitions("bucket", "n")
+    return dealt.mapInArrow(work, "a long, b long")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs a, b whose whole sets are as similar."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            (x_ends, x), (y_ends, y) = ((c.offsets.to_numpy(), c.values.to_numpy()) for c in b.columns[2:])
+            keep = np.zeros(b.num_rows, bool)
+            for i in range(b.num_rows):
+                one, other = x[x_ends[i] : x_ends[i + 1]], y[y_ends[i] : y_ends[i + 1]]
+                both = len(np.intersect1d(one, other, assume_unique=True))
+                keep[i] = both / (len(one) + len(other) - both) >= similarity
+            yield b.select(["a", "b"]).filter(pa.array(keep))
+
+    wanted = small(cut(pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct()))
+    asked = sets.join(wanted, F.col("node") == F.col("wanted"), "left_semi")
+    one, other = (asked.select(F.col("node").alias(f"{c}_node"), F.col("shingles").alias(f"{c}_set")) for c in "ab")
+    both = pairs.join(one, F.col("a") == F.col("a_node")).join(other, F.col("b") == F.col("b_node"))
+    return cut(both.select("a", "b", "a_set", "b_set").mapInArrow(work, "a long, b long"))
+
+
+def links(sets: DataFrame, similarity: float, group: int = GROUP) -> DataFrame:
+    """Edges a, b between nodes (columns node, shingles: sorted different hashes) whose components are those of all similar pairs."""
+    rows = prefixes(sets, similarity)
+    member = F.struct("node", "n", "pos")
+    hubs = cut(rows.groupBy("h").agg(F.count(F.lit(1)).alias("members"), F.min(member).alias("low"), F.max(member).alias("high")).where("members > 1"))
+    shared = cut(rows.join(hubs, "h"))
+    stars = [shared.where((F.col("node") != F.col(f"{hub}.node")) & can_reach(member, F.col(hub), similarity)).select(F.least("node", f"{hub}.node").alias("a"), F.greatest("node", f"{hub}.node").alias("b")) for hub in ("low", "high")]
+    edges = verified(cut(stars[0].unionByName(stars[1]).distinct()), sets, similarity)
+    roots = components(edges).withColumnRenamed("node", "key")
+    members = cut(shared.join(roots, F.col("node") == F.col("key"), "left").select("h", F.coalesce("root", "node").alias("root"), "node", "n", "pos"))
+    blocks = F.when(F.count(F.lit(1)) > group, F.ceil(F.count(F.lit(1)) / max(1, group // 2))).otherwise(1).cast("int")
+    mixed = cut(members.groupBy(F.col("h").alias("of")).agg(blocks.alias("blocks"), F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("of", "blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = members.join(mixed, F.col("h") == F.col("of")).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # A hash names the pair of blocks; pairs that share one by chance only cost comparisons.
+    keyed = dealt.select(F.xxhash64("h", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "root", "node", "n", "pos")
+    rest = cut(met_in_buckets(keyed, similarity).distinct())
+    return edges.unionByName(verified(rest, sets, similarity))

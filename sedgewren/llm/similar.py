@@ -10,6 +10,8 @@ whole fingerprints differ in no more bits than `limit` allows, an estimate of th
 A mask's bucket of up to GROUP fingerprints is searched from member to member in one task. From a larger one a hub takes everything
 within the limit, round by round; what stays is linked to the hub if it is near anything the hub took, which is all that can be lost
 otherwise. If large buckets are left after ROUNDS, they are searched as pairs of blocks. All three give the same components.
+
+These links are an estimate; `near_copies` uses the exact join of `overlap` instead.
 """
 
 from __future__ import annotations
@@ -25,7 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, free_name, small
+from . import overlap
+from .common import cut, free_name, small, written
 from .simhash import SEED, components
 
 BITS, PRIME, SLOPES = 1024, 23, 6
@@ -202,28 +205,28 @@ def near_copies(
 ) -> DataFrame:
     """The columns of `carry` (all but the text by default) and component_id for every row.
 
+    Rows are linked if their sets of shingles have a Jaccard similarity of `similarity` or more, compared in full (module overlap).
     component_id is the smallest id among rows that can be reached over links, the row itself included; null ids count for nothing,
     and a component with none has null. Texts without words (null, empty) are linked to each other. A result column replaces an
     input column of the same name.
     """
     keep = [c for c in (df.columns if carry is None else carry) if c.lower() != "component_id" and (carry is not None or c != text_col)]
-    taken = df.select(*[F.col(c).alias(f"in_{i}") for i, c in enumerate(keep)], F.col(id_col).alias("ident"))
-    schema = T.StructType([*taken.schema.fields, T.StructField("fp", T.ArrayType(T.LongType()))])
+    taken = df.select(*[F.col(c).alias(f"in_{i}") for i, c in enumerate(keep)], F.col(id_col).alias("ident"), F.monotonically_increasing_id().alias("node"))
+    schema = T.StructType([*taken.schema.fields, T.StructField("shingles", T.ArrayType(T.LongType()))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            prints = np.array([wide_print(x.as_py(), size) for x in b.column(b.num_columns - 1)], np.uint64).reshape(-1, WORDS)
-            offsets = pa.array(np.arange(0, prints.size + 1, WORDS, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.ListArray.from_arrays(offsets, pa.array(prints.ravel().view(np.int64)))], names=[*b.schema.names[:-1], "fp"])
-
-    rows = cut(df.select(*[F.col(c).alias(f"in_{i}") for i, c in enumerate(keep)], F.col(id_col).alias("ident"), F.col(text_col).alias(free_name(taken, "t"))).mapInArrow(work, schema))
-    owners = cut(rows.groupBy("fp").agg(F.min("ident").alias("owner")).withColumn("node", F.monotonically_increasing_id()))
-    roots = components(links(owners, limit(similarity))).select(F.col("node").alias("key"), "root")
-    linked = owners.join(roots, F.col("node") == F.col("key"))
-    least = linked.groupBy(F.col("root").alias("of")).agg(F.min("owner").alias("component_id"))
-    merged = linked.join(least, F.col("root") == F.col("of")).select(F.col("node").alias("key"), "component_id")
-    named = owners.join(merged, F.col("node") == F.col("key"), "left").select(
-        F.col("fp").alias("named_fp"), F.when(F.col("key").isNull(), F.col("owner")).otherwise(F.col("component_id")).alias("component_id")
-    )
-    out = rows.join(cut(named), F.col("fp") == F.col("named_fp"))
-    return out.select(*[F.col(f"in_{i}").alias(c) for i, c in enumerate(keep)], "component_id")
+            sets = [overlap.shingle_set(x.as_py(), size) for x in b.column(b.num_columns - 1)]
+            offsets = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
+            values = pa.array(np.concatenate([np.empty(0, np.int64), *sets]))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.ListArray.from_arrays(offsets, values)], names=[*b.schema.names[:-1], "shingles"])
+
+    text = F.col(text_col).alias(free_name(taken, "t"))
+    rows = written(df.select(*[F.col(c).alias(f"in_{i}") for i, c in enumerate(keep)], F.col(id_col).alias("ident"), F.monotonically_increasing_id().alias("node"), text).mapInArrow(work, schema))
+    roots = cut(components(overlap.links(rows.select("node", "shingles"), similarity)).withColumnRenamed("node", "key"))
+    linked = rows.select("node", "ident").join(roots, F.col("node") == F.col("key")).select("key", "root", "ident")
+    least = linked.groupBy(F.col("root").alias("of")).agg(F.min("ident").alias("component_id"))
+    named = cut(linked.join(least, F.col("root") == F.col("of")).select("key", "component_id"))
+    out = rows.drop("shingles").join(named, F.col("node") == F.col("key"), "left")
+    component = F.when(F.col("key").isNull(), F.col("ident")).otherwise(F.col("component_id")).alias("component_id")
+    return out.select(*[F.col(f"in_{i}").alias(c) for i, c in enumerate(keep)], component)
