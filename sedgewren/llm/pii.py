@@ -162,6 +162,8 @@ KINDS: dict[str, tuple[str, Callable]] = {
     "phone": (r"(?<![0-9A-Za-z+])\+\d(?:[ .-]?\(?\d{1,4}\)?){2,7}(?![0-9A-Za-z])|(?<![0-9A-Za-z+])\(\d{3}\) ?\d{3}-\d{4}(?![0-9])|(?<![0-9A-Za-z+-])\d{3}-\d{3}-\d{4}(?![0-9-])", phone),
 }
 EACH = [(k, re.compile(x), f) for k, (x, f) in KINDS.items()]
+#: Kinds whose expression may take in what follows the value (a card's code or expiry): shorter ends between groups are tried too.
+GROUPED = frozenset(("card", "iban"))
 #: Where values can begin: at a run of digits with or without a sign before it, at a country code with check digits, or a mail address.
 NUMBER, COUNTRY, MAIL = re.compile(r"[+(0-9][0-9]*"), re.compile(r"[A-Z]{2}[0-9]{2}"), re.compile(KINDS["mail"][0])
 
@@ -176,6 +178,15 @@ def beginnings(text: str) -> list[int]:
     return sorted(set(starts))
 
 
+def ends(kind: str, m: re.Match) -> Iterator[int]:
+    """Where the value of a match may end, the longest first."""
+    yield m.end()
+    if kind in GROUPED:
+        for end in range(m.end() - 1, m.start(), -1):
+            if m.string[end] in " -" and m.re.fullmatch(m.string, m.start(), end):
+                yield end
+
+
 def pseudonymise(text: str, key: bytes, inverse: bool = False) -> tuple[str, list[tuple[str, int, int, str]]]:
     """The new text and its replacements: kind, start and end in the old text, new value."""
     out, spans, at = [], [], 0
@@ -183,11 +194,12 @@ def pseudonymise(text: str, key: bytes, inverse: bool = False) -> tuple[str, lis
     for start in beginnings(text):
         if start < at:
             continue
-        for kind, regex, _ in EACH:  # the first kind that matches here and is valid
-            if (k := regex.match(text, start)) and (value := new(kind, k[0])) is not None:
+        found = ((kind, end) for kind, regex, _ in EACH if (k := regex.match(text, start)) for end in ends(kind, k))
+        for kind, end in found:  # the first kind that matches here and is valid
+            if (value := new(kind, text[start:end])) is not None:
                 out += [text[at:start], value]
-                spans.append((kind, start, k.end(), value))
-                at = k.end()
+                spans.append((kind, start, end, value))
+                at = end
                 break
     return "".join([*out, text[at:]]), spans
 
