@@ -29,6 +29,8 @@ OFF_WORDS = re.compile(
     r"(?i)(?:^|[^a-z])(?:nav|navbar|navigation|menu|menubar|header|masthead|topbar|footer|contentinfo|side-?bar|complementary|aside|ads?|adverts?|advertisement|adbox|sponsor(?:ed)?|banner|promo"
     r"|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|breadcrumbs?|pagination|pager|share|sharing|social|related|recommended|tags|toolbar|widget|comments?|respond|replies|disqus|copyright|legal|disclaimer|skip)(?=$|[^a-z])"
 )
+#: Class tokens that tell what a container has or lacks, not what it is.
+LAYOUT = re.compile(r"(?i)(?:has|have|no|not|with|without)[-_]")
 READERS = re.compile(r"(?i)comment|repl(?:y|ies)|respon")
 #: Elements that hold the article where a page has them.
 MAIN = frozenset(("article", "main"))
@@ -101,7 +103,7 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, int]]:
         if tag in VOID:
             continue
         words = [next(filter(None, x), "") for x in NAMED.findall(m[3])] if m[3] else []
-        off = tag in OFF or any(OFF_WORDS.search(w) for w in words) or (tag == "header" and not any(t in MAIN for t, _ in stack))
+        off = tag in OFF or any(OFF_WORDS.search(t) for w in words for t in w.split() if not LAYOUT.match(t)) or (tag == "header" and not any(t in MAIN for t, _ in stack))
         if tag in ("html", "body"):
             off, words = False, []
         elif tag in MAIN:  # a reader's comment may be an article too
@@ -268,13 +270,14 @@ def wrappers(pages: DataFrame, host: str = "h", page: str = "page") -> DataFrame
     """host_key, wrapper (JSON), expression and drop (slots that are not main text) for every host."""
     seen = written(pages_folded(pages.select(F.col(host).alias("h"), F.col(page).alias("page"))))
     fitted = inferred(cut(seen.select("h", "w").distinct()))
-    flat = seen.select("h", F.explode("slots").alias("s")).select("h", "s.*")
+    # Copies of a page are one page: what they share says nothing about the host.
+    flat = seen.select("h", F.xxhash64("slots").alias("p"), F.explode("slots").alias("s")).select("h", "p", "s.*")
     # Partial aggregation sums a host's slots before they are shuffled.
     facts = flat.groupBy("h", "slot").agg(
-        F.count(F.lit(1)).alias("pages"), (F.min("hash") == F.max("hash")).alias("same"), F.sum("chars").alias("chars"), F.sum("links").alias("links")
+        F.count_distinct("p").alias("pages"), (F.min("hash") == F.max("hash")).alias("same"), F.sum("chars").alias("chars"), F.sum("links").alias("links")
     )
     main = F.rlike("slot", F.lit(r"(^|/)(article|main)([./]|$)"))
-    off = F.rlike("slot", F.lit(r"!(/|$)")) | (~main & F.col("same") & (F.col("pages") >= SAME_ON)) | (F.col("links") > F.col("chars") * LINK_SHARE)
+    off = F.rlike("slot", F.lit(r"!(/|$)")) | (~main & ((F.col("same") & (F.col("pages") >= SAME_ON)) | (F.col("links") > F.col("chars") * LINK_SHARE)))
     dropped = facts.where(off).groupBy(F.col("h").alias("d_h")).agg(F.sort_array(F.collect_set("slot")).alias("drop"))
     out = fitted.join(dropped, F.col("h") == F.col("d_h"), "left")
     return cut(out.select(F.col("h").alias("host_key"), F.col("w").alias("wrapper"), F.coalesce("drop", F.array().cast("array<string>")).alias("drop")))
