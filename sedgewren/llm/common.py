@@ -40,7 +40,7 @@ def cut(df: DataFrame) -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """Cuts the lineage of a table that carries texts: compressed Parquet in the shared folder, column-pruned when read."""
     path = f"{shared_folder(df.sparkSession)}/sedgewren/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -1,232 +1,238 @@
-"""SimHash near-dedup by similarity: wide fingerprints and the lines of a finite plane as masks.
-
-Texts that share 0.8 of their shingles differ in about 15 % of a SimHash's bits, too many for 64 bits to tell near from far, so
-fingerprints here have BITS bits. The first PRIME * PRIME of them are the points of an affine plane, and every mask keeps the bits of
-one line. The lines of one slope share no bit, so two fingerprints that differ in fewer than PRIME of these bits agree on a whole
-line of every slope: such pairs always meet. Pairs that differ in a share p of their bits meet with probability
-1 - (1 - (1 - p) ** PRIME) ** (SLOPES * PRIME), 0.96 at a similarity of 0.8 and 0.998 at 0.85. Pairs that meet are linked if their
-whole fingerprints differ in no more bits than `limit` allows, an estimate of the similarity with a standard error of 0.02.
-
-A mask's bucket of up to GROUP fingerprints is searched from member to member in one task. From a larger one a hub takes everything
-within the limit, round by round; what stays is linked to the hub if it is near anything the hub took, which is all that can be lost
-otherwise. If large buckets are left after ROUNDS, they are searched as pairs of blocks. All three give the same components.
-
-These links are an estimate; `near_copies` uses the exact join of `overlap` instead.
+"""Near copies: texts that share most of their shingles, found by covering SimHash tables and completed by an exact join.
+
+1. Fingerprints of the texts' shingles meet in the covering tables of `simhash`; texts whose fingerprints are at most its radius apart
+   are candidates. This finds most copies of large groups with a few short rows a text.
+2. No radius of a SimHash stands for a similarity: at 0.8 about 15 % of the bits differ, more in short texts. So all sets of shingles
+   also meet by prefixes: in one order, shingles that are common in a sample last, two sets with a similarity of t or more share one
+   of the first n - ceil(t * n) + 1 of each (n its size), and where they share their first one, enough are left in both to reach the
+   overlap that t needs. A bucket's members of different components are compared with two of its members, then, as far as components
+   still differ, with each other, large buckets as pairs of blocks.
+3. Whatever meets is compared in full, by the sets of both whole texts, and linked at the similarity or more.
+
+So no pair at the similarity or more is missed and none below is linked; the order and the tables change the work, never the result.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from . import overlap
-from .common import cut, free_name, small, written
+from . import simhash
+from .common import cut, small, written
 from .simhash import SEED, components
 
-BITS, PRIME, SLOPES = 1024, 23, 6
-WORDS = BITS // 64
 #: Defaults: words in a shingle and least similarity (shared shingles among all of two texts).
 SHINGLE, SIMILARITY = 5, 0.8
-#: Fingerprints of a bucket that one task searches, and hub rounds for larger ones.
-GROUP, ROUNDS = 2048, 8
-#: Shingles counted at a time; their counts fit a byte.
-BLOCK = 255
-#: Odd factors that make WORDS words of one hash.
-FACTORS = np.array([xxhash.xxh64_intdigest(i.to_bytes(4, "little"), SEED) | 1 for i in range(WORDS)], np.uint64)
-MIX = np.uint64(0x9E3779B97F4A7C15)
+#: One text of so many is counted for the order, and so many of the commonest shingles are kept.
+SAMPLE, COMMON = 16, 100_000
+#: Rows of one shingle, as the sample tells, that are dealt to one task; more are salted.
+SALT_ROWS = 100_000
+#: Members of a bucket that are compared at once.
+GROUP = 2048
+#: Keeps a product that should be a whole number from being rounded up.
+EPS = 1e-9
+
+
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """Sorted hashes of the different shingles; words are split and lower-cased in ASCII only. Texts without words share one hash."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    shingles = set(map(b" ".join, zip(*(words[i:] for i in range(size))))) if len(words) >= size else {b" ".join(words)}
+    hashed = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((hashed(s, SEED) for s in shingles), np.uint64, len(shingles)).view(np.int64))
 
 
-def wide_print(text: str | None, size: int = SHINGLE) -> np.ndarray:
-    """WORDS unsigned words. Words, shingles and majorities are as in `simhash.fingerprint`; a text without words has zeros."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(WORDS, np.uint64)
-    n, hashed = max(1, len(words) - size + 1), xxhash.xxh64_intdigest
-    ones = np.zeros(BITS, np.int64)
-    for at in range(0, n, BLOCK):
-        part = words[at : at + min(BLOCK, n - at) + size - 1]
-        shingles = map(b" ".join, zip(*(part[i:] for i in range(size)))) if len(part) >= size else [b" ".join(part)]
-        x = np.fromiter((hashed(s, SEED) for s in shingles), np.uint64)[:, None] * FACTORS
-        x ^= x >> np.uint64(32)
-        x *= MIX
-        x ^= x >> np.uint64(29)
-        bits = np.unpackbits(x.astype("<u8").view(np.uint8).reshape(len(x), -1), axis=1, bitorder="little")
-        ones += np.add.reduce(bits, axis=0, dtype=np.uint8)
-    return np.packbits(ones * 2 > n, bitorder="little").view("<u8").astype(np.uint64)
-
-
-def limit(similarity: float) -> int:
-    """Differing bits expected of two texts of equal length that share so many shingles, and half a standard error."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return int(BITS * p + 0.5 * math.sqrt(BITS * p * (1 - p)))
-
-
-@lru_cache(1)
-def lines() -> np.ndarray:
-    """Bits kept by each mask: y = a * x + c for every slope a and offset c, bit x * PRIME + y."""
-    x = np.arange(PRIME)
-    return np.array([x * PRIME + (a * x + c) % PRIME for a in range(SLOPES) for c in range(PRIME)])
-
-
-def bucket_keys(prints: np.ndarray) -> np.ndarray:
-    """Rows of one bucket for each mask: the mask's number and the bits that it keeps."""
-    bits = np.unpackbits(prints.astype("<u8").view(np.uint8).reshape(len(prints), -1), axis=1, bitorder="little")
-    kept = bits[:, lines()].astype(np.int64) @ (1 << np.arange(PRIME, dtype=np.int64))
-    return kept | np.arange(len(lines()), dtype=np.int64) << PRIME
-
-
-def as_words(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, WORDS)
-
-
-def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
-
-
-def forest(nodes: np.ndarray, prints: np.ndarray, most: int) -> np.ndarray:
-    """Edges from the first member of each component to its others, in memory that grows with the members only."""
-    edges = []
-    while len(nodes) > 1:
-        seed, open_, nodes, prints = nodes[0], [prints[0]], nodes[1:], prints[1:]
-        while open_ and len(nodes):
-            near = differing(prints, open_.pop()) <= most
-            if near.any():
-                edges.append(np.column_stack([np.full(near.sum(), seed), nodes[near]]))
-                open_ += list(prints[near])
-                nodes, prints = nodes[~near], prints[~near]
-    return np.concatenate(edges) if edges else np.empty((0, 2), np.int64)
-
-
-def searched(members: DataFrame, most: int) -> DataFrame:
-    """Edges a, b of buckets (columns bucket, node, fp) that a task can hold: a partition's buckets lie sorted, one is held at a time."""
-
-    def edges(bucket: np.ndarray, nodes: np.ndarray, prints: np.ndarray) -> np.ndarray:
-        """Of whole buckets. Those of two, most of all, are compared at once."""
-        starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-        sizes = np.diff(np.append(starts, len(bucket)))
-        twos = starts[sizes == 2]
-        near = twos[differing(prints[twos], prints[twos + 1]) <= most]
-        found = [np.column_stack([nodes[near], nodes[near + 1]])]
-        found += [forest(nodes[i : i + n], prints[i : i + n], most) for i, n in zip(starts[sizes > 2], sizes[sizes > 2])]
-        return np.concatenate(found)
+def common(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the commonest shingles of a sample (at most COMMON reach the driver), sorted, and their counts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
         for b in batches:
-            if not b.num_rows:
-                continue
-            now = (b.column(0).to_numpy(), b.column(1).to_numpy(), as_words(b.column(2)))
-            same = np.flatnonzero(now[0] != now[0][-1])
-            last = same[-1] + 1 if len(same) else 0
-            if last or (held and held[-1][0][-1] != now[0][0]):
-                done = [np.concatenate(x) for x in zip(*held, tuple(x[:last] for x in now))]
-                if len(done[0]):
-                    found = edges(*done)
-                    yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
-                held = []
-            held.append(tuple(x[last:] for x in now))
-        if held:
-            found = edges(*[np.concatenate(x) for x in zip(*held)])
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+            for text in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text.as_py(), size))], names=["h"])
 
-    dealt = members.select("bucket", "node", "fp").repartition("bucket").sortWithinPartitions("bucket", "node")
-    return dealt.mapInArrow(work, "a long, b long")
+    hashes = texts.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(work, "h long")
+    got = hashes.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
+    hashes, counts = (got.column(i).to_numpy().astype(np.int64) for i in (0, 1))
+    order = np.argsort(hashes)
+    return hashes[order], counts[order]
 
 
-def bits_apart(a: str, b: str) -> Column:
-    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(1, WORDS)), F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0])))
+def prefixes(texts: DataFrame, similarity: float, size: int) -> DataFrame:
+    """h, node, n, pos and salt: the first shingles of each text's set, the set's size, their places in the order, and for shingles with
+    many rows a share of them from 1 up."""
+    hashes, counts = common(texts, size)
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = [[np.empty(0, np.int64)] * 5]
+            for node, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                values = shingle_set(text.as_py(), size)
+                ranks = np.zeros(len(values), np.int64)
+                if len(hashes):
+                    at = np.minimum(np.searchsorted(hashes, values), len(hashes) - 1)
+                    ranks = np.where(hashes[at] == values, counts[at], 0)
+                k = len(values) - math.ceil(similarity * len(values) - EPS) + 1
+                first = np.argsort(ranks, kind="stable")[:k]
+                salts = ranks[first] * SAMPLE // SALT_ROWS
+                salt = np.where(salts > 0, 1 + node % np.maximum(salts, 1), 0)
+                parts.append([values[first], np.full(k, node), np.full(k, len(values)), np.arange(k), salt])
+            columns = [np.concatenate(x) for x in zip(*parts)]
+            kinds = (np.int64, np.int64, np.int32, np.int32, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(columns, kinds, strict=True)], names=["h", "node", "n", "pos", "salt"])
+
+    return texts.select("node", "text").mapInArrow(work, "h long, node long, n int, pos int, salt int")
+
+
+def shared_prefixes(texts: DataFrame, similarity: float, size: int) -> DataFrame:
+    """h, node, n and pos of the prefix shingles that more than one text may have. Most occur once and are never shuffled again."""
+    alike = F.count(F.lit(1)).over(Window.partitionBy("h", "salt"))
+    return prefixes(texts, similarity, size).withColumn("alike", alike).where("alike > 1 OR salt > 0").select("h", "node", "n", "pos")
+
+
+def can_reach(a: Column, b: Column, similarity: float) -> Column:
+    """Whether two members (n, pos) that share their first shingle here may have the overlap that the similarity needs."""
+    need = F.ceil((a["n"] + b["n"]) * F.lit(similarity / (1 + similarity)) - EPS)
+    return F.least(a["n"] - a["pos"], b["n"] - b["pos"]) >= need
+
+
+def met(bucket: np.ndarray, root: np.ndarray, node: np.ndarray, n: np.ndarray, pos: np.ndarray, similarity: float) -> np.ndarray:
+    """Pairs of members of one bucket and different components that may be similar enough. Buckets lie together, sorted by n."""
+    found, at, step = [np.empty((0, 2), np.int64)], np.arange(len(bucket)), 0
+    while len(at):
+        step += 1
+        at = at[: np.searchsorted(at, len(bucket) - step)]
+        to = at + step
+        at = at[(bucket[at] == bucket[to]) & (n[at] >= similarity * n[to] - EPS)]
+        to = at + step
+        need = np.ceil((n[at] + n[to]) * (similarity / (1 + similarity)) - EPS)
+        near = (root[at] != root[to]) & (np.minimum(n[at] - pos[at], n[to] - pos[to]) >= need)
+        found.append(np.column_stack([node[at[near]], node[to[near]]]))
+    pairs = np.sort(np.concatenate(found), axis=1)
+    return np.unique(pairs, axis=0)
+
+
+def met_in_buckets(members: DataFrame, similarity: float) -> DataFrame:
+    """Pairs a, b of `met` for members bucket, root, node, n, pos: a partition's buckets lie sorted, the last one is held."""
 
-def hubs_of(rest: DataFrame) -> DataFrame:
-    """A member of every bucket, another in each."""
-    return rest.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "node"), "node", "fp")).alias("hub")).select(
-        F.col("bucket").alias("hub_bucket"), F.col("hub.node").alias("hub"), F.col("hub.fp").alias("hub_fp")
-    )
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
 
+        def pairs(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+            found = met(*[np.concatenate(x) for x in zip(*parts)], similarity)
+            return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
-def large_buckets(many: DataFrame, most: int, group: int, rounds: int) -> list[DataFrame]:
-    """Edges of buckets with more than `group` members (columns bucket, node, fp)."""
-    found, rest = [], many
-    for _ in range(rounds):
-        far = cut(rest.join(small(cut(hubs_of(rest))), F.col("bucket") == F.col("hub_bucket")).withColumn("apart", bits_apart("fp", "hub_fp")))
-        taken = far.where((F.col("apart") <= most) & (F.col("node") != F.col("hub")))
-        ring = far.where((F.col("apart") > most) & (F.col("apart") <= 2 * most))
-        inner = taken.select(F.col("bucket").alias("in_bucket"), F.col("fp").alias("in_fp"), F.col("apart").alias("in_apart"))
-        # By the triangle inequality only these members of the ring and the inside can be within the limit of each other.
-        met = (F.col("bucket") == F.col("in_bucket")) & (F.col("apart") - F.col("in_apart") <= most) & (bits_apart("fp", "in_fp") <= most)
-        found += [cut(x.select(F.col("hub").alias("a"), F.col("node").alias("b"))) for x in (taken, ring.join(inner, met, "left_semi"))]
-        rest = far.where(F.col("apart") > most).select("bucket", "node", "fp")
-        left = cut(rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("bucket", "left_bucket"))
-        sized = rest.join(small(left), F.col("bucket") == F.col("left_bucket"))
-        found.append(cut(searched(sized.where(F.col("n") <= group), most)))
-        rest = cut(sized.where(F.col("n") > group).select("bucket", "node", "fp"))
-        if rest.isEmpty():
-            return found
-    left = cut(rest.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / (group // 2)).cast("int").alias("blocks")).withColumnRenamed("bucket", "left_bucket"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    paired = rest.join(small(left), F.col("bucket") == F.col("left_bucket")).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    # A hash names the pair of blocks; pairs that share one by chance only cost comparisons.
-    found.append(searched(paired.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "node", "fp"), most))
-    return found
+        for b in batches:
+            if not b.num_rows:
+                continue
+            now = [c.to_numpy().astype(np.int64) for c in b.columns]
+            if held and held[-1][0][-1] != now[0][0]:
+                yield pairs(held)
+                held = []
+            others = np.flatnonzero(now[0] != now[0][-1])
+            last = others[-1] + 1 if len(others) else 0
+            if last:
+                yield pairs([*held, [x[:last] for x in now]])
+                held = []
+            held.append([x[last:] for x in now])
+        if held:
+            yield pairs(held)
+
+    dealt = members.select("bucket", "root", "node", "n", "pos").repartition("bucket").sortWithinPartitions("bucket", "n")
+    return dealt.mapInArrow(work, "a long, b long")
 
 
-def links(prints: DataFrame, most: int, group: int = GROUP, rounds: int = ROUNDS) -> DataFrame:
-    """Edges a, b between nodes (columns node, fp; no fp twice) whose components are those of all pairs that meet and differ in at most `most` bits."""
+def verified(pairs: DataFrame, texts: DataFrame, similarity: float, size: int) -> DataFrame:
+    """The pairs a, b whose whole texts are as similar. Only texts in a pair are shuffled, one of a pair more than once."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                keys = bucket_keys(as_words(part.column(1)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), keys.shape[1])), pa.array(keys.ravel())], names=["node", "bucket"])
-
-    buckets = prints.select("node", "fp").mapInArrow(work, "node long, bucket long")
-    sizes = cut(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    shared = cut(buckets.join(sizes, "bucket"))
-    members = shared.join(prints.select(F.col("node").alias("key"), "fp"), F.col("node") == F.col("key")).select("bucket", "n", "node", "fp")
-    found = searched(members.where(F.col("n") <= group), most)
-    many = cut(members.where(F.col("n") > group).select("bucket", "node", "fp"))
-    if not many.isEmpty():
-        for more in large_buckets(many, most, group, rounds):
-            found = found.unionByName(more)
-    return found.distinct()
+        before: tuple = (None, None)
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for i, (a, x, y) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True)):
+                if before[0] != a:  # pairs of one text mostly lie together
+                    before = (a, shingle_set(x.as_py(), size))
+                one, other = before[1], shingle_set(y.as_py(), size)
+                both = len(np.intersect1d(one, other, assume_unique=True))
+                keep[i] = both / (len(one) + len(other) - both) >= similarity
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    pairs = cut(pairs.distinct())
+    wanted = small(cut(pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct()))
+    asked = texts.join(wanted, F.col("node") == F.col("wanted"), "left_semi")
+    one, other = (asked.select(F.col("node").alias(f"{c}_node"), F.col("text").alias(f"{c}_text")) for c in "ab")
+    both = pairs.join(other, F.col("b") == F.col("b_node")).join(one, F.col("a") == F.col("a_node"))
+    return cut(both.select("a", "b", "a_text", "b_text").mapInArrow(work, "a long, b long"))
+
+
+def covered(rows: DataFrame) -> DataFrame:
+    """Pairs a, b of nodes that the covering tables link: each text with the first of its fingerprint, and those with each other."""
+    owners = cut(rows.groupBy("fp").agg(F.min("node").alias("owner")))
+    same = rows.select("fp", "node").join(owners, "fp").where("node != owner").select(F.col("owner").alias("a"), F.col("node").alias("b"))
+    edges = cut(simhash.links(owners.select("fp")).select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b")))
+    one, other = (owners.select(F.col("fp").alias(f"of_{c}"), F.col("owner").alias(c)) for c in "ab")
+    apart = edges.join(one, F.col("fp_a") == F.col("of_a")).join(other, F.col("fp_b") == F.col("of_b"))
+    return same.unionByName(apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+
+
+def links(rows: DataFrame, similarity: float, size: int, group: int = GROUP) -> DataFrame:
+    """Edges a, b between nodes (columns node, text, fp) whose components are those of all similar pairs."""
+    texts = rows.select("node", "text")
+    edges = verified(covered(rows), texts, similarity, size)
+    shared = written(shared_prefixes(texts, similarity, size))
+
+    def members(edges: DataFrame) -> DataFrame:
+        """Members of buckets with more than one component, and the buckets' numbers of members."""
+        roots = cut(components(edges).withColumnRenamed("node", "key"))
+        named = shared.join(roots, F.col("node") == F.col("key"), "left").select("h", F.coalesce("root", "node").alias("root"), "node", "n", "pos")
+        whole = F.struct("root", "node", "n", "pos")
+        mixed = named.groupBy(F.col("h").alias("of")).agg(F.count(F.lit(1)).alias("members"), F.min(whole).alias("low"), F.max(whole).alias("high"))
+        mixed = cut(mixed.where("low.root < high.root"))
+        return written(named.join(mixed, F.col("h") == F.col("of")).drop("of"))
+
+    found = members(edges)
+    member = F.struct("n", "pos")
+    stars = [
+        found.where((F.col("root") != F.col(f"{hub}.root")) & can_reach(member, F.col(hub), similarity)).select(F.least("node", f"{hub}.node").alias("a"), F.greatest("node", f"{hub}.node").alias("b"))
+        for hub in ("low", "high")
+    ]
+    edges = edges.unionByName(verified(stars[0].unionByName(stars[1]), texts, similarity, size))
+    blocks = F.when(F.col("members") > group, F.ceil(F.col("members") / max(1, group // 2))).otherwise(1).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = members(edges).withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # A hash names the pair of blocks; pairs that share one by chance only cost comparisons.
+    keyed = dealt.select(F.xxhash64("h", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "root", "node", "n", "pos")
+    return edges.unionByName(verified(met_in_buckets(keyed, similarity), texts, similarity, size))
 
 
 def near_copies(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY, carry: list[str] | None = None
 ) -> DataFrame:
-    """The columns of `carry` (all but the text by default) and component_id for every row.
+    """The columns of `carry` (all but the text by default), component_id and kept for every row.
 
-    Rows are linked if their sets of shingles have a Jaccard similarity of `similarity` or more, compared in full (module overlap).
-    component_id is the smallest id among rows that can be reached over links, the row itself included; null ids count for nothing,
-    and a component with none has null. Texts without words (null, empty) are linked to each other. A result column replaces an
-    input column of the same name.
+    Rows are linked if their sets of shingles have a Jaccard similarity of `similarity` or more, compared in full. component_id is the
+    smallest id among rows that can be reached over links, the row itself included; null ids count for nothing, and a component with
+    none has null. One row of each component is kept: one with that id, any if none has one. Texts without words (null, empty) are
+    linked to each other. Result columns replace input columns of the same name. The rows are written once to the shared folder.
     """
-    keep = [c for c in (df.columns if carry is None else carry) if c.lower() != "component_id" and (carry is not None or c != text_col)]
-    taken = df.select(*[F.col(c).alias(f"in_{i}") for i, c in enumerate(keep)], F.col(id_col).alias("ident"), F.monotonically_increasing_id().alias("node"))
-    schema = T.StructType([*taken.schema.fields, T.StructField("shingles", T.ArrayType(T.LongType()))])
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [overlap.shingle_set(x.as_py(), size) for x in b.column(b.num_columns - 1)]
-            offsets = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
-            values = pa.array(np.concatenate([np.empty(0, np.int64), *sets]))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.ListArray.from_arrays(offsets, values)], names=[*b.schema.names[:-1], "shingles"])
-
-    text = F.col(text_col).alias(free_name(taken, "t"))
-    rows = written(df.select(*[F.col(c).alias(f"in_{i}") for i, c in enumerate(keep)], F.col(id_col).alias("ident"), F.monotonically_increasing_id().alias("node"), text).mapInArrow(work, schema))
-    roots = cut(components(overlap.links(rows.select("node", "shingles"), similarity)).withColumnRenamed("node", "key"))
+    keep = [c for c in (df.columns if carry is None else carry) if c.lower() not in ("component_id", "kept") and (carry is not None or c != text_col)]
+    place = {c: "text" if c == text_col else f"in_{i}" for i, c in enumerate(keep)}
+    taken = df.select(
+        *[F.col(c).alias(x) for c, x in place.items() if x != "text"], F.col(id_col).alias("ident"), F.monotonically_increasing_id().alias("node"), F.col(text_col).alias("text")
+    )
+    rows = written(simhash.with_fingerprint(taken, "text", "fp", size))
+    roots = cut(components(links(rows.select("node", "text", "fp"), similarity, size)).withColumnRenamed("node", "key"))
     linked = rows.select("node", "ident").join(roots, F.col("node") == F.col("key")).select("key", "root", "ident")
-    least = linked.groupBy(F.col("root").alias("of")).agg(F.min("ident").alias("component_id"))
-    named = cut(linked.join(least, F.col("root") == F.col("of")).select("key", "component_id"))
-    out = rows.drop("shingles").join(named, F.col("node") == F.col("key"), "left")
-    component = F.when(F.col("key").isNull(), F.col("ident")).otherwise(F.col("component_id")).alias("component_id")
-    return out.select(*[F.col(f"in_{i}").alias(c) for i, c in enumerate(keep)], component)
+    first = F.min(F.struct(F.col("ident").isNull().alias("no"), "ident", "key")).alias("first")
+    named = cut(linked.join(linked.groupBy(F.col("root").alias("of")).agg(first), F.col("root") == F.col("of")).select("key", "first"))
+    out = rows.drop("fp").join(small(named), F.col("node") == F.col("key"), "left")
+    alone = F.col("key").isNull()
+    return out.select(
+        *[F.col(x).alias(c) for c, x in place.items()],
+        F.when(alone, F.col("ident")).otherwise(F.col("first.ident")).alias("component_id"),
+        (alone | (F.col("node") == F.col("first.key"))).alias("kept"),
+    )

@@ -2,7 +2,6 @@
 
 import random
 
-import numpy as np
 import pytest
 import xxhash
 
@@ -93,37 +92,6 @@ def test_links_by_either_way(spark, monkeypatch, group):
     assert [got.get(p, p) for p in prints] == [prints[i] for i in want]
 
 
-def test_lines_guarantee_a_meeting():
-    lines = similar.lines()
-    assert lines.shape == (similar.SLOPES * similar.PRIME, similar.PRIME)
-    rng = np.random.default_rng(1)
-    for _ in range(500):
-        apart = set(rng.choice(similar.PRIME**2, similar.PRIME - 1, replace=False).tolist())
-        for a in range(similar.SLOPES):
-            assert any(not apart & set(x) for x in lines[a * similar.PRIME : (a + 1) * similar.PRIME].tolist())
-
-
-def meets(a: np.ndarray, b: np.ndarray) -> bool:
-    return bool((similar.bucket_keys(a[None]) == similar.bucket_keys(b[None])).any())
-
-
-@pytest.mark.parametrize(("group", "rounds"), [(2048, 8), (3, 8), (4, 1)])
-def test_links_of_wide_prints(spark, texts, group, rounds):
-    prints = sorted({tuple(similar.wide_print(t).tolist()) for t in texts})
-    arrays = [np.array(p, np.uint64) for p in prints]
-    most = similar.limit(0.8)
-    want = brute_components(len(prints), lambda i, j: similar.differing(arrays[i], arrays[j]) <= most and meets(arrays[i], arrays[j]))
-    table = spark.createDataFrame([(i, a.view(np.int64).tolist()) for i, a in enumerate(arrays)], "node long, fp array<long>")
-    got = {r[0]: r[1] for r in simhash.components(similar.links(table, most, group, rounds)).collect()}
-    joined = brute_components(len(prints), lambda i, j: similar.differing(arrays[i], arrays[j]) <= most)
-    mine = [got.get(i, i) for i in range(len(prints))]
-    if group == 2048:
-        assert mine == want
-    # A hub may also link what is near but meets in no table; never what is far.
-    assert all(mine[i] == mine[j] for i in range(len(prints)) for j in range(i) if want[i] == want[j])
-    assert all(joined[i] == joined[mine[i]] for i in range(len(prints)))
-
-
 def shingles(text: str) -> set:
     w = text.lower().split()
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
@@ -138,11 +106,8 @@ def test_near_copies_by_similarity(spark):
         a, b = shingles(rows[-2]), shingles(rows[-1])
         pairs.append((len(rows) - 2, len(rows) - 1, len(a & b) / len(a | b)))
     got = {r.doc_id: r.component_id for r in similar.near_copies(spark.createDataFrame(list(enumerate(rows)), DOCS), carry=["doc_id"]).collect()}
-    sure = [got[b] == a for a, b, s in pairs if s >= 0.85]
-    about = [got[b] == a for a, b, s in pairs if 0.8 <= s < 0.85]
-    assert len(sure) > 40 and np.mean(sure) >= 0.97
-    assert np.mean(sure + about) >= 0.85
-    assert not any(got[b] == a for a, b, s in pairs if s < 0.7)
+    assert sum(s >= 0.8 for _, _, s in pairs) > 40 and sum(s < 0.8 for _, _, s in pairs) > 20
+    assert all((got[b] == a) == (s >= 0.8) for a, b, s in pairs)
 
 
 @pytest.mark.parametrize("operator", [simhash.simhash_groups, similar.near_copies])
@@ -153,3 +118,12 @@ def test_odd_tables(spark, operator):
     got = operator(spark.createDataFrame(rows, schema)).collect()
     assert len(got) == 4 and sorted(str(r.component_id) for r in got) == ["3", "3", "3", "None"]
     assert operator(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_one_row_of_each_component_is_kept(spark):
+    """Rows without an id, rows that share one with different texts, repeated rows."""
+    long = " ".join(f"u{i}" for i in range(60))
+    rows = [(7, long), (7, long), (7, "quite another text of its own"), (None, long + " more"), (None, "nobody's"), (None, "nobody's"), (2, None), (5, "")]
+    got = similar.near_copies(spark.createDataFrame(rows, DOCS), carry=["doc_id", "text"]).where("kept").collect()
+    assert sorted(map(str, got)) == sorted(map(str, [r for r in got if r.kept]))
+    assert sorted((r.doc_id or 0, r.text or "", r.component_id or 0) for r in got) == [(0, "nobody's", 0), (2, "", 2), (7, "quite another text of its own", 7), (7, long, 7)]

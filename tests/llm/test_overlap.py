@@ -5,7 +5,7 @@ import random
 import pytest
 from test_near import DOCS, VOCABULARY, brute_components, shingles
 
-from sedgewren.llm import overlap, similar
+from sedgewren.llm import similar
 
 
 def varied(rng: random.Random) -> list[str]:
@@ -26,8 +26,9 @@ def varied(rng: random.Random) -> list[str]:
 
 @pytest.mark.parametrize(("group", "sample"), [(2048, 1), (3, 1), (2048, 16)])
 def test_all_similar_pairs_and_no_others(spark, monkeypatch, group, sample):
-    monkeypatch.setattr(overlap, "SAMPLE", sample)
-    monkeypatch.setattr(overlap.links, "__defaults__", (group,))
+    monkeypatch.setattr(similar, "SAMPLE", sample)
+    monkeypatch.setattr(similar.links, "__defaults__", (group,))
+    monkeypatch.setattr(similar, "SALT_ROWS", 20 if group == 3 else 100_000)
     texts = varied(random.Random(group + sample))
     sets = [shingles(t) for t in texts]
     want = brute_components(len(texts), lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8)
