@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedgewren.llm import exact, mixing, pieces, quality, queries, similar
-from sedgewren.llm.common import cut, shared_folder
+from sedgewren.llm.common import shared_folder
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,11 +28,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of every group of near copies (five-word shingles, a similarity of 0.8 or more). Rows
-    without an id stay, those that share one stay or go together."""
-    groups = similar.near_copies(docs, carry=["doc_id"])
-    gone = cut(groups.where("doc_id != component_id").select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Keeps the document with the smallest id of every group of near copies: SimHash candidates and an exact join, five-word shingles, a
+    similarity of 0.8 or more."""
+    return similar.near_copies(docs, carry=docs.columns).where("kept").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
