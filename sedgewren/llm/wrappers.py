@@ -1,37 +1,44 @@
 """HTML extraction by wrappers inferred per host, union-free regular expressions over token streams.
 
-Each page's token stream is folded into an expression: an element with its children in order, neighbours of one kind becoming one
-repeated group (+), text becoming a slot (#). The expressions of a host are aligned with each other, a few at a time in rounds of
-grouped aggregation; what has no counterpart becomes an optional group (?), repeats on either side a repeated one, until one wrapper
-per host fits all its pages. The wrapper's slots are judged once per host: by the elements around them, the share of their text in
-links, and whether they say the same on every page. A page's main text is what fills the slots that remain.
+Each page's token stream is read as an expression: an element with its children in order, neighbours of one labelled kind as one
+repeated group (+), text as a slot (#). The expressions of a host are aligned with each other, a few at a time in rounds of grouped
+aggregation; what has no counterpart becomes an optional group (?), until one wrapper per host fits all its pages. Every page is then
+matched against its host's wrapper, which tells the slot that each of its texts fills, and each slot is judged once per host over all
+pages: outside the article, a slot that says the same on different pages, or that is mostly links, is the host's own text. A page's
+main text is what fills the slots that remain.
 """
 
 from __future__ import annotations
 
 import html
-import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, free_name, small, written
+from .common import cut, free_name, small
 from .urls import host_and_path
 
 #: Elements whose text is never main text, whatever the host.
 OFF = frozenset("head nav footer aside form script style noscript template button select option textarea menu dialog iframe object svg math canvas audio video map datalist".split())
-#: Words in class, id or role that mark what surrounds an article.
-OFF_WORDS = re.compile(
-    r"(?i)(?:^|[^a-z])(?:nav|navbar|navigation|menu|menubar|header|masthead|topbar|footer|contentinfo|side-?bar|complementary|aside|ads?|adverts?|advertisement|adbox|sponsor(?:ed)?|banner|promo"
-    r"|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|breadcrumbs?|pagination|pager|share|sharing|social|related|recommended|tags|toolbar|widget|comments?|respond|replies|disqus|copyright|legal|disclaimer|skip)(?=$|[^a-z])"
+#: Words in class, id or role that mark what surrounds an article, wherever it is, and those that do so outside an article only.
+ANYWHERE = frozenset(
+    "nav navbar navigation menu menubar sidebar side-bar complementary aside ad ads advert adverts advertisement adbox adsense sponsor sponsored banner promo cookie cookies consent gdpr popup modal overlay"
+    " newsletter subscribe signup login search breadcrumb breadcrumbs pagination pager share sharing social related recommended toolbar widget comment comments respond reply replies disqus".split()
 )
-#: Class tokens that tell what a container has or lacks, not what it is.
-LAYOUT = re.compile(r"(?i)(?:has|have|no|not|with|without)[-_]")
-READERS = re.compile(r"(?i)comment|repl(?:y|ies)|respon")
+OUTSIDE = frozenset("header masthead topbar footer contentinfo notice notices alert tags copyright legal disclaimer skip".split())
+#: Words that say nothing about what a container with one of the above has.
+PLAIN = frozenset("site page main top bottom left right primary secondary global box block area section container wrapper wrap inner outer slot unit list item items link links button buttons bar panel group row text form thread tree the".split())
+READERS = frozenset("comment comments respond reply replies disqus".split())
+#: Article elements that only point to another page's article.
+TEASERS = frozenset("card teaser preview".split())
+#: Words before or after those of readers' comments.
+BESIDE = frozenset("post article entry user reader readers wp".split())
 #: Elements that hold the article where a page has them.
 MAIN = frozenset(("article", "main"))
 #: Elements inside a line of text; all others bound a block.
@@ -53,18 +60,41 @@ NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>
 RAW_END = {t: re.compile(rf"</{t}(?=[\s>/])[^>]*>", re.I) for t in RAW}
 
 
-def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, int]]:
-    """Path of element signatures, text and characters in links of every block with text, in page order.
+def marked(words: list[str], inside: bool) -> bool:
+    """Whether a word of class, id or role names what surrounds an article: all parts of it do, or are PLAIN."""
+    for word in words:
+        parts = [x for x in re.split(r"[-_:./]+|(?<=[a-z])(?=[A-Z])", re.sub(r"[0-9]+", "", word)) if x]
+        low = [x.lower() for x in parts]
+        off = ANYWHERE if inside else ANYWHERE | OUTSIDE
+        if word.lower() in off or (not off.isdisjoint(low) and all(x in off or x in PLAIN or (x in BESIDE and not READERS.isdisjoint(low)) for x in low)):
+            return True
+    return False
 
-    A signature is the element's name, its marking words from class, id and role, and ! if it is off."""
-    stack: list[tuple[str, str]] = []
+
+#: An element on the way to a block: its signature and its number on the page.
+Step = tuple[str, int]
+
+
+class Block(NamedTuple):
+    path: tuple[Step, ...]
+    text: str
+    links: int  # characters in links
+    main: bool  # in an article or main element
+    off: bool  # in an element that is never main text
+
+
+def blocks(page: str) -> Iterator[Block]:
+    """Every block with text, in page order.
+
+    A signature is the element's name, its words from class, id and role, and ! if it is off."""
+    stack: list[tuple[str, Step]] = []
     text: list[str] = []
-    links, in_link, at = 0, 0, 0
+    links, in_link, at, made, inside, outside = 0, 0, 0, 0, 0, 0
 
     def flush():
         nonlocal text, links
         said = " ".join(html.unescape("".join(text)).split())
-        got = (tuple(s for _, s in stack), said, min(links, len(said))) if said else None
+        got = Block(tuple(s for _, s in stack), said, min(links, len(said)), inside > 0, outside > 0) if said else None
         text, links = [], 0
         return got
 
@@ -92,153 +122,228 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, int]]:
         if m[1]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
+                    inside -= sum(t in MAIN for t, _ in stack[i:])
+                    outside -= sum(sig[-1] == "!" for _, (sig, _) in stack[i:])
                     del stack[i:]
                     in_link = 0
                     break
             continue
-        if stack and stack[-1][0] == "p":
-            stack.pop()
-        elif stack and stack[-1][0] in ENDS.get(tag, ()):
-            stack.pop()
+        if stack and (stack[-1][0] == "p" or stack[-1][0] in ENDS.get(tag, ())):
+            outside -= stack.pop()[1][0][-1] == "!"
         if tag in VOID:
             continue
-        words = [next(filter(None, x), "") for x in NAMED.findall(m[3])] if m[3] else []
-        off = tag in OFF or any(OFF_WORDS.search(t) for w in words for t in w.split() if not LAYOUT.match(t)) or (tag == "header" and not any(t in MAIN for t, _ in stack))
+        words = [w for x in NAMED.findall(m[3]) for w in next(filter(None, x), "").split()] if m[3] else []
         if tag in ("html", "body"):
             off, words = False, []
-        elif tag in MAIN:  # a reader's comment may be an article too
-            off = any(READERS.search(w) for w in words)
+        elif tag == "header":
+            off = not inside
+        else:
+            off = tag in OFF or (bool(words) and (marked(words, inside > 0 or tag in MAIN) or (tag in MAIN and not TEASERS.isdisjoint(w.lower() for w in words))))
         # Numbers in names are left out, as they count pages or entries.
-        label = tag + ("." + ".".join(sorted(set(re.sub(r"[0-9]+", "", " ".join(words).lower()).split())))[:60] if words else "")
+        label = tag + ("." + ".".join(sorted(set(re.sub(r"[0-9]+", "", " ".join(words).lower()).split()))) if words else "")
         if tag in RAW:
             end = RAW_END[tag].search(page, at)
             at = end.end() if end else len(page)
             continue
         if m[0].endswith("/>"):
             continue
-        stack.append((tag, label + "!" * off))
+        made += 1
+        inside += tag in MAIN
+        outside += off
+        stack.append((tag, (label + "!" * off, made)))
     if at < len(page):
         add(page[at:])
     if got := flush():
         yield got
 
 
-# An expression is [signature, marks, children]; marks are a subset of "?+#" (optional, repeated, has a text slot).
-
+# A node is [signature, marks, children]; marks are a subset of "?+#" (optional, repeated, has a text slot). Pages may nest elements
+# thousands deep, so nothing below recurses.
 
-def folded(paths: list[tuple[str, ...]]) -> list:
-    """The expression of a page whose blocks have these paths."""
-    root = ["", "#" * any(not p for p in paths), []]
-    open_path: list[list] = [root]
-    before: tuple[str, ...] = ()
-    for path in paths:
-        same = 0
-        while same < min(len(path), len(before)) and path[same] == before[same]:
-            same += 1
-        if path and same == len(path) == len(before):
-            same -= 1  # a further element of the same kind
-        del open_path[same + 1 :]
-        for sig in path[same:]:
-            node = [sig, "", []]
-            open_path[-1][2].append(node)
-            open_path.append(node)
-        open_path[-1][1] = "#"
-        before = path
-    return _fold(root)
-
-
-def _fold(node: list) -> list:
-    children: list[list] = []
-    for child in map(_fold, node[2]):
-        if children and children[-1][0] == child[0]:
-            children[-1] = aligned(children[-1], child)
-            children[-1][1] = _marks(children[-1][1] + "+")
-        else:
-            children.append(child)
-    return [node[0], node[1], children]
+#: Neighbours of these kinds without a label are not taken for one repeated group: they may be a menu, a story and a footer.
+BARE = frozenset("div section body html center table".split())
 
 
 def _marks(marks: str) -> str:
     return "".join(c for c in "?+#" if c in marks)
 
 
+def tree(paths: list[tuple[Step, ...]]) -> tuple[list, list[list]]:
+    """The page's root, and for each block the node that has its text."""
+    root: list = ["", "", []]
+    open_: list[tuple[Step | None, list]] = [(None, root)]
+    holders = []
+    for path in paths:
+        same = 1
+        while same < len(open_) and same <= len(path) and open_[same][0] == path[same - 1]:
+            same += 1
+        del open_[same:]
+        for step in path[same - 1 :]:
+            node: list = [step[0], "", []]
+            open_[-1][1][2].append(node)
+            open_.append((step, node))
+        open_[-1][1][1] = "#"
+        holders.append(open_[-1][1])
+    return root, holders
+
+
+def runs(children: list[list]) -> list[list[list]]:
+    """Neighbours of one kind together, unless it is BARE."""
+    out: list[list[list]] = []
+    for c in children:
+        if out and out[-1][0][0] == c[0] and c[0] not in BARE:
+            out[-1].append(c)
+        else:
+            out.append([c])
+    return out
+
+
+def folded(root: list) -> list:
+    """The page's expression: runs become repeated groups that fit all their members, the deepest first."""
+    order, made = [root], {}
+    for node in order:
+        order += node[2]
+    for node in reversed(order):
+        children = []
+        for run in runs(node[2]):
+            group = made[id(run[0])]
+            for more in run[1:]:
+                group = aligned(group, made[id(more)])
+            children.append(group if len(run) == 1 else [group[0], _marks(group[1] + "+"), group[2]])
+        made[id(node)] = [node[0], node[1], children]
+    return made[id(root)]
+
+
+def paired(x: list[str], y: list[str]) -> Iterator[tuple[int | None, int | None]]:
+    """Places of x and y in one order, counterparts together: from both ends in turn as far as they are equal, so that what lies in the
+    middle varies; then whichever mismatch is passed with the fewer left out."""
+    i, end, most, moved = 0, 0, min(len(x), len(y)), True
+    while moved:
+        moved = False
+        if i + end < most and x[i] == y[i]:
+            i, moved = i + 1, True
+        if i + end < most and x[-1 - end] == y[-1 - end]:
+            end, moved = end + 1, True
+    j, stop = i, (len(x) - end, len(y) - end)
+    yield from ((k, k) for k in range(i))
+    at: tuple[dict[str, list[int]], dict[str, list[int]]] = ({}, {})
+    for seen, signatures, upto in zip(at, (x, y), stop, strict=True):
+        for k in range(i, upto):
+            seen.setdefault(signatures[k], []).append(k)
+
+    def ahead(seen: dict[str, list[int]], signature: str, start: int) -> int | None:
+        places = seen.get(signature, ())
+        k = bisect_left(places, start)
+        return places[k] - start if k < len(places) else None
+
+    while i < stop[0] or j < stop[1]:
+        if i < stop[0] and j < stop[1] and x[i] == y[j]:
+            yield i, j
+            i, j = i + 1, j + 1
+            continue
+        in_x = ahead(at[0], y[j], i) if j < stop[1] else None
+        in_y = ahead(at[1], x[i], j) if i < stop[0] else None
+        if j == stop[1] or (i < stop[0] and (in_y is None or (in_x is not None and in_x < in_y))):
+            yield i, None
+            i += 1
+        else:
+            yield None, j
+            j += 1
+    for k in range(end):
+        yield stop[0] + k, stop[1] + k
+
+
 def aligned(a: list, b: list) -> list:
-    """The expression that fits whatever a or b fits: children are aligned by their longest common subsequence of signatures, those
-    without a counterpart become optional, then neighbours of one kind one repeated group."""
-    x, y = a[2], b[2]
-    if [c[0] for c in x] == [c[0] for c in y]:
-        merged = [aligned(p, q) for p, q in zip(x, y, strict=True)]
-    else:
-        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-        for i in range(len(x) - 1, -1, -1):
-            for j in range(len(y) - 1, -1, -1):
-                best[i][j] = best[i + 1][j + 1] + 1 if x[i][0] == y[j][0] else max(best[i + 1][j], best[i][j + 1])
-        merged, i, j = [], 0, 0
-        while i < len(x) or j < len(y):
-            if i < len(x) and j < len(y) and x[i][0] == y[j][0]:
-                merged.append(aligned(x[i], y[j]))
-                i, j = i + 1, j + 1
-            elif j == len(y) or (i < len(x) and best[i + 1][j] >= best[i][j + 1]):
-                merged.append([x[i][0], _marks(x[i][1] + "?"), x[i][2]])
-                i += 1
+    """The expression that fits whatever a or b fits: what has no counterpart becomes optional."""
+    top: list = [a[0], _marks(a[1] + b[1]), []]
+    work = [(top, a, b)]
+    while work:
+        out, x, y = work.pop()
+        for i, j in paired([c[0] for c in x[2]], [c[0] for c in y[2]]):
+            if i is None or j is None:
+                one = y[2][j] if i is None else x[2][i]
+                out[2].append([one[0], _marks(one[1] + "?"), one[2]])
             else:
-                merged.append([y[j][0], _marks(y[j][1] + "?"), y[j][2]])
-                j += 1
-        joined: list[list] = []
-        for c in merged:
-            if joined and joined[-1][0] == c[0]:
-                both = aligned(joined[-1], c)
-                optional = "?" if "?" in joined[-1][1] and "?" in c[1] else ""
-                joined[-1] = [both[0], _marks(both[1].replace("?", "") + "+" + optional), both[2]]
-            else:
-                joined.append(c)
-        merged = joined
-    return [a[0], _marks(a[1] + b[1]), merged]
+                p, q = x[2][i], y[2][j]
+                child: list = [p[0], _marks(p[1] + q[1]), []]
+                out[2].append(child)
+                work.append((child, p, q))
+    return top
 
 
-def slots(wrapper: list, path: tuple[str, ...] = ()) -> Iterator[tuple[str, ...]]:
-    """Paths of a wrapper's text slots."""
-    if "#" in wrapper[1]:
-        yield path
-    for c in wrapper[2]:
-        yield from slots(c, (*path, c[0]))
+def flat(root: list) -> list[tuple[int, list]]:
+    """Nodes with their depths, parents before children in order."""
+    out, stack = [], [(0, root)]
+    while stack:
+        depth, node = stack.pop()
+        out.append((depth, node))
+        stack += [(depth + 1, c) for c in reversed(node[2])]
+    return out
 
 
-def expression(wrapper: list) -> str:
-    """The wrapper as a regular expression to read: element(children) with ?, + and # for text."""
-    inner = " ".join((["#"] if "#" in wrapper[1] else []) + [expression(c) for c in wrapper[2]])
-    return f"{wrapper[0] or 'page'}({inner})" + _marks(wrapper[1]).replace("#", "").replace("?+", "*")
+def dumped(root: list) -> str:
+    """A line per node: depth, signature, marks (signatures have no white space)."""
+    return "\n".join(f"{depth}\t{node[0]}\t{node[1]}" for depth, node in flat(root))
 
 
-def slot_key(path: tuple[str, ...]) -> str:
-    return "/".join(path)
+def loaded(text: str) -> list:
+    path: list[list] = []
+    for line in text.split("\n"):
+        depth, signature, marks = line.split("\t")
+        node: list = [signature, marks, []]
+        del path[int(depth) :]
+        if path:
+            path[-1][2].append(node)
+        path.append(node)
+    return path[0]
 
 
-PAGE = "h string, w string, slots array<struct<slot:string,hash:long,chars:long,links:long>>"
+def expression(wrapper: list) -> str:
+    """The wrapper as a regular expression to read: element(children) with ?, + and # for text."""
+    out, ends, before = "", [], -1
+    for depth, (signature, marks, _) in flat(wrapper):
+        while len(ends) > depth:
+            out += ends.pop()
+        out += (" " if depth <= before or "#(" in out[-2:] else "") + f"{signature or 'page'}(" + "#" * ("#" in marks)
+        ends.append(")" + marks.replace("#", "").replace("?+", "*"))
+        before = depth
+    return out + "".join(reversed(ends))
+
+
+def matched(root: list, holders: list[list], wrapper: list) -> list[int]:
+    """The slot of each block of a page: the number of the wrapper's node that its element fills, -1 if none fits.
+
+    Children are paired in order as in `aligned`; one that finds no counterpart goes to the nearest node of its kind."""
+    number = {id(node): i for i, (_, node) in enumerate(flat(wrapper))}
+    fills = {id(root): wrapper}
+    work = [(root, wrapper)]
+    while work:
+        node, fit = work.pop()
+        groups, kinds = runs(node[2]), [c[0] for c in fit[2]]
+        to: dict[int, int] = {}
+        near = 0
+        for i, j in paired([g[0][0] for g in groups], kinds):
+            near = near if j is None else j
+            if i is not None:
+                same = [k for k, kind in enumerate(kinds) if kind == groups[i][0][0]] if j is None else ()
+                if j is not None or same:
+                    to[i] = j if j is not None else min(same, key=lambda k: abs(k - near))
+        for i, j in to.items():
+            for member in groups[i]:
+                fills[id(member)] = fit[2][j]
+                work.append((member, fit[2][j]))
+    return [number[id(fills[id(h)])] if id(h) in fills else -1 for h in holders]
 
 
 def pages_folded(pages: DataFrame) -> DataFrame:
-    """h, w (the page's expression as JSON) and its slots with what they say. pages: h, page."""
+    """h and w, the page's expression. pages: h, page."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for b in batches:
-            made, seen = [], []
-            for page in b.column(1):
-                found = list(blocks(page.as_py() or ""))
-                said: dict[str, list] = {}
-                for path, text, links in found:
-                    s = said.setdefault(slot_key(path), [xxhash.xxh3_64(), 0, 0])
-                    s[0].update(text.encode("utf-8", "surrogatepass") + b"\n")
-                    s[1] += len(text)
-                    s[2] += links
-                made.append(json.dumps(folded([p for p, _, _ in found]), ensure_ascii=False, separators=(",", ":")))
-                seen.append([{"slot": k, "hash": h.intdigest() - (1 << 63), "chars": c, "links": n} for k, (h, c, n) in said.items()])
-            kind = pa.list_(pa.struct([("slot", pa.string()), ("hash", pa.int64()), ("chars", pa.int64()), ("links", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.string()), pa.array(seen, kind)], names=["h", "w", "slots"])
-
-    return pages.mapInArrow(work, PAGE)
+            made = [dumped(folded(tree([x.path for x in blocks(page.as_py() or "")])[0])) for page in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.string())], names=["h", "w"])
+
+    return pages.mapInArrow(work, "h string, w string").distinct()
 
 
 def inferred(expressions: DataFrame) -> DataFrame:
@@ -248,10 +353,10 @@ def inferred(expressions: DataFrame) -> DataFrame:
         for b in batches:
             made = []
             for group in b.column(1).to_pylist():
-                wrapper = json.loads(group[0])
+                wrapper = loaded(group[0])
                 for other in group[1:]:
-                    wrapper = aligned(wrapper, json.loads(other))
-                made.append(json.dumps(wrapper, ensure_ascii=False, separators=(",", ":")))
+                    wrapper = aligned(wrapper, loaded(other))
+                made.append(dumped(wrapper))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.string())], names=["h", "w"])
 
     turn = 0
@@ -266,29 +371,70 @@ def inferred(expressions: DataFrame) -> DataFrame:
         expressions = cut(groups.select("h", "ws").mapInArrow(work, "h string, w string").distinct())
 
 
+SAID = T.ArrayType(T.StructType([T.StructField("slot", T.IntegerType()), T.StructField("main", T.BooleanType()), T.StructField("hash", T.LongType()), T.StructField("chars", T.LongType()), T.StructField("links", T.LongType())]))
+
+
+class Filled:
+    """Pages read through wrappers; a wrapper is built once per run of its pages."""
+
+    def __init__(self) -> None:
+        self.text, self.wrapper = None, None
+
+    def blocks(self, page: str, wrapper: str) -> list[tuple[int, Block]]:
+        """The page's blocks and the slots that they fill."""
+        if wrapper != self.text:
+            self.text, self.wrapper = wrapper, loaded(wrapper)
+        found = list(blocks(page))
+        root, holders = tree([x.path for x in found])
+        return list(zip(matched(root, holders, self.wrapper), found, strict=True))
+
+
+def slots_said(pages: DataFrame) -> DataFrame:
+    """h and what the slots say on each page, but for what is off. pages: h, page, wrapper."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        read = Filled()
+        for b in batches:
+            seen = []
+            for page, wrapper in zip(b.column(1), b.column(2), strict=True):
+                said: dict[int, list] = {}
+                for slot, x in read.blocks(page.as_py(), wrapper.as_py()):
+                    if slot >= 0 and not x.off:
+                        s = said.setdefault(slot, [x.main, xxhash.xxh3_64(), 0, 0])
+                        s[1].update(x.text.encode("utf-8", "surrogatepass") + b"\n")
+                        s[2] += len(x.text)
+                        s[3] += x.links
+                seen.append([{"slot": k, "main": m, "hash": h.intdigest() - (1 << 63), "chars": c, "links": n} for k, (m, h, c, n) in said.items()])
+            kind = pa.list_(pa.struct([("slot", pa.int32()), ("main", pa.bool_()), ("hash", pa.int64()), ("chars", pa.int64()), ("links", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(seen, kind)], names=["h", "said"])
+
+    return pages.select("h", "page", "wrapper").mapInArrow(work, T.StructType([T.StructField("h", T.StringType()), T.StructField("said", SAID)]))
+
+
 def wrappers(pages: DataFrame, host: str = "h", page: str = "page") -> DataFrame:
-    """host_key, wrapper (JSON), expression and drop (slots that are not main text) for every host."""
-    seen = written(pages_folded(pages.select(F.col(host).alias("h"), F.col(page).alias("page"))))
-    fitted = inferred(cut(seen.select("h", "w").distinct()))
-    # Copies of a page are one page: what they share says nothing about the host.
-    flat = seen.select("h", F.xxhash64("slots").alias("p"), F.explode("slots").alias("s")).select("h", "p", "s.*")
-    # Partial aggregation sums a host's slots before they are shuffled.
-    facts = flat.groupBy("h", "slot").agg(
+    """host_key, wrapper and drop (its slots that are the host's own text) for every host."""
+    pages = pages.select(F.col(host).alias("h"), F.col(page).alias("page"))
+    fitted = cut(inferred(cut(pages_folded(pages))).select(F.col("h").alias("host_key"), F.col("w").alias("wrapper")))
+    said = slots_said(pages.join(small(fitted), F.col("h") == F.col("host_key")))
+    # Copies of a page are one page: what they share says nothing about the host. Partial sums are shuffled, a row a slot and task.
+    flat_said = said.select("h", F.xxhash64("said").alias("p"), F.explode("said").alias("s")).where("NOT s.main").select("h", "p", "s.*")
+    facts = flat_said.groupBy("h", "slot").agg(
         F.count_distinct("p").alias("pages"), (F.min("hash") == F.max("hash")).alias("same"), F.sum("chars").alias("chars"), F.sum("links").alias("links")
     )
-    main = F.rlike("slot", F.lit(r"(^|/)(article|main)([./]|$)"))
-    off = F.rlike("slot", F.lit(r"!(/|$)")) | (~main & ((F.col("same") & (F.col("pages") >= SAME_ON)) | (F.col("links") > F.col("chars") * LINK_SHARE)))
-    dropped = facts.where(off).groupBy(F.col("h").alias("d_h")).agg(F.sort_array(F.collect_set("slot")).alias("drop"))
-    out = fitted.join(dropped, F.col("h") == F.col("d_h"), "left")
-    return cut(out.select(F.col("h").alias("host_key"), F.col("w").alias("wrapper"), F.coalesce("drop", F.array().cast("array<string>")).alias("drop")))
+    own = (F.col("same") & (F.col("pages") >= SAME_ON)) | (F.col("links") > F.col("chars") * LINK_SHARE)
+    dropped = facts.where(own).groupBy(F.col("h").alias("d_h")).agg(F.sort_array(F.collect_set("slot")).alias("drop"))
+    out = fitted.join(dropped, F.col("host_key") == F.col("d_h"), "left")
+    return cut(out.select("host_key", "wrapper", F.coalesce("drop", F.array().cast("array<int>")).alias("drop")))
 
 
-def filled(page: str, wrapper: list, drop: frozenset[str]) -> str:
-    """What fills the slots of the wrapper that are main text: those in article or main if the page has any, else all that remain."""
-    fits = {slot_key(p) for p in slots(wrapper)} - drop
-    kept = [(path, text) for path, text, _ in blocks(page) if slot_key(path) in fits]
-    inside = [text for path, text in kept if any(re.match(r"(?:article|main)(?:\.|$)", s) for s in path)]
-    return "\n".join(inside or [text for _, text in kept])
+def main_of(found: list[tuple[int, Block]], drop: frozenset[int]) -> str:
+    """What fills the slots that are main text: those in article or main, unless the page says more than twice as much outside of them."""
+    kept = [x for slot, x in found if not x.off and (x.main or slot not in drop)]
+    inside = [x.text for x in kept if x.main]
+    outside = sum(len(x.text) - x.links for x in kept if not x.main)
+    return "\n".join(inside if inside and outside <= 2 * sum(map(len, inside)) else [x.text for x in kept])
 
 
 def main_text(df: DataFrame, url_col: str = "url", html_col: str = "html", name: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -306,16 +452,10 @@ def main_text(df: DataFrame, url_col: str = "url", html_col: str = "html", name:
     schema = T.StructType([*joined.select(*[f"in_{i}" for i in range(len(keep))]).schema.fields, T.StructField(text, T.StringType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready: dict[str, tuple[list, frozenset]] = {}
+        read = Filled()
         for b in batches:
-            n, made = b.num_columns - 3, []
-            for page, wrapper, drop in zip(b.column(n), b.column(n + 1), b.column(n + 2), strict=True):
-                w, d = wrapper.as_py(), frozenset(drop.as_py())
-                if (w, d) not in ready:
-                    if len(ready) > 1000:
-                        ready.clear()
-                    ready[w, d] = (json.loads(w), d)
-                made.append(filled(page.as_py(), *ready[w, d]))
+            n = b.num_columns - 3
+            made = [main_of(read.blocks(page.as_py(), wrapper.as_py()), frozenset(drop.as_py())) for page, wrapper, drop in zip(*b.columns[n:], strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(made, pa.string())], names=[*b.schema.names[:n], text])
 
     out = joined.mapInArrow(work, schema)

@@ -48,20 +48,34 @@ def test_templates(spark):
     assert wrappers.main_text(df.limit(0)).count() == 0
 
 
-def test_expressions_fit_all_pages():
-    """A wrapper has a slot for every block of the pages that it was aligned from."""
-    rng, made, paths = random.Random(7), None, []
+def paths_of(html):
+    return [b.path for b in wrappers.blocks(html)]
+
+
+def folded(html):
+    return wrappers.folded(wrappers.tree(paths_of(html))[0])
+
+
+def test_wrapper_fits_all_its_pages():
+    """Every block of the pages that a wrapper was aligned from fills a slot of its own kind."""
+    rng, made, pages = random.Random(7), None, []
     for i in range(40):
-        found = [p for p, _, _ in wrappers.blocks(page(rng, "ab"[i % 2], i)[0])]
-        paths += found
-        one = wrappers.folded(found)
+        pages.append(page(rng, "ab"[i % 2], i)[0])
+        one = folded(pages[-1])
         made = one if made is None else wrappers.aligned(made, one)
-    assert set(wrappers.slots(made)) == set(paths)
+    assert wrappers.dumped(wrappers.loaded(wrappers.dumped(made))) == wrappers.dumped(made)
+    kinds = [node[0] for _, node in wrappers.flat(made)]
+    for html in pages:
+        paths = paths_of(html)
+        slots = wrappers.matched(*wrappers.tree(paths), made)
+        assert [kinds[s] for s in slots] == [p[-1][0] for p in paths]
     shown = wrappers.expression(made)
     assert "?" in shown and "+" in shown and "#" in shown and "|" not in shown  # optional, repeated, slots, no unions
 
 
 def test_alignment_marks():
-    a = wrappers.folded([("ul", "li"), ("ul", "li"), ("p",)])
-    b = wrappers.folded([("ul", "li"), ("div",)])
-    assert wrappers.expression(wrappers.aligned(a, b)) == "page(ul(li(#)+) p(#)? div(#)?)"
+    both = wrappers.aligned(folded("<ul><li>a<li>b</ul><p>c</p>"), folded("<ul><li>a</ul><div>d</div>"))
+    assert wrappers.expression(both) == "page(ul(li(#)+) p(#)? div(#)?)"
+    # Ends are paired first, so what is between them is the optional part.
+    menus = wrappers.aligned(folded("<div>m</div><div>s</div><div>f</div>"), folded("<div>m</div><div>s</div><div>t</div><div>f</div>"))
+    assert wrappers.expression(menus) == "page(div(#) div(#) div(#)? div(#))"
