@@ -1,15 +1,15 @@
 """SentencePiece encoding and decoding with offsets.
 
 The text is normalised through the model's compiled character map by longest prefix; every normalised byte remembers the source byte
-that it came from. Pieces merge by score, and each is projected back through the alignment to its original byte span. Where the map
-is the identity the installed library merges (it is faster than Python and gives the same ids); otherwise the normalised text is cut
-into units at white space, each merged here once per worker and then remembered.
+that it came from. The normalised text is cut where no piece of the vocabulary has the two characters side by side, as no merge can
+cross such a place; each unit's pieces merge by score, once per worker, and are then remembered. Every piece is projected back through
+the alignment to its original byte span. The installed library only reads the model file.
 """
 
 from __future__ import annotations
 
 import heapq
-import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,7 +24,9 @@ from .common import free_name, slices
 
 SPACE = "▁"
 #: Units remembered per worker, and the longest one that is.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 500_000, 64
+#: The vocabulary's commonest characters, of those below LATIN, between which places to cut are looked up; next to others none is cut.
+COMMON, LATIN = 255, 0x3000
 #: Texts (or ids) of about so many bytes (or ids) are encoded (or decoded) at a time.
 TEXT_BYTES = 1 << 20
 #: Piece types of the model file.
@@ -87,26 +89,28 @@ class Model:
         self.is_control = np.zeros(len(self.surface), bool)
         self.is_control[list(control)] = True
         self.unknown_surface = m.trainer_spec.unk_surface.encode()
-        inner = {p for p in self.ids if SPACE in p.lstrip(SPACE)}
-        if inner:
-            raise ValueError("pieces may have white space at their beginning only")
-        known = {c for p in self.ids for c in p}
-        lone = "" if "\n" in known else "\n"
-        self.units = re.compile(f"{lone or '(?!)'}|{SPACE}+[^{SPACE}{lone}]*|[^{SPACE}{lone}]+")
         if len(self.byte_ids) < 256:
             raise ValueError("a model with byte pieces is needed")
         self.surfaces = np.array(self.surface, object)
         # Bytes of a piece's span; the first byte of a character without a piece spans it all, the others nothing.
         self.widths = np.array([len(x) for x in self.surface])
         self.widths[list(self.byte_ids.values())] = [1 if b < 0x80 else 0 if b < 0xC0 else 2 if b < 0xE0 else 3 if b < 0xF0 else 4 for b in self.byte_ids]
-        self.source_widths = self.widths - 2 * np.array([0 if b else p.piece.count(SPACE) for b, p in zip(self.is_byte, m.pieces, strict=True)])
-        self.kernel = None
-        if not self.chars.units and not self.trim and self.prefix and self.escape and lone:
-            from sentencepiece import SentencePieceProcessor
-
-            self.kernel = SentencePieceProcessor(model_file=path)
+        self.kinds, self.joined = self._joined()
         self.memory: dict[str, bytes] = {}
 
+    def _joined(self) -> tuple[np.ndarray, np.ndarray]:
+        """Kinds of characters (0 is any that is not told apart), and by two kinds whether a piece may have them side by side."""
+        counts = Counter(c for p in self.ids for c in p if ord(c) < LATIN)
+        kinds = np.zeros(LATIN + 1, np.intp)
+        for i, (c, _) in enumerate(counts.most_common(COMMON)):
+            kinds[ord(c)] = i + 1
+        joined = np.zeros((COMMON + 1, COMMON + 1), bool)
+        joined[0, :] = joined[:, 0] = True
+        for p in self.ids:
+            of = [kinds[min(ord(c), LATIN)] for c in p]
+            joined[of[:-1], of[1:]] = True
+        return kinds, joined
+
     def normalised(self, text: str) -> tuple[str, np.ndarray | None]:
         """The normalised text, and for each of its bytes and its end the source byte; None if that is the byte less the added prefix."""
         if not text:
@@ -134,8 +138,12 @@ class Model:
             at += n
         source.append(len(data))
         if self.trim:  # leading, trailing and repeated spaces go
-            kept = [i for i, c in enumerate(out) if c != 32 or (i + 1 < len(out) and out[i + 1] != 32 and any(x != 32 for x in out[:i]))] if b" " in out else range(len(out))
-            out, source = bytearray(out[i] for i in kept), [source[i] for i in kept] + [source[-1]]
+            first = len(out) - len(out.lstrip(b" "))
+            kept = [i for i in range(first, len(out)) if out[i] != 32 or (i + 1 < len(out) and out[i + 1] != 32)]
+            last, mark = len(kept), SPACE.encode() if self.escape else b" "
+            while bytes(out[i] for i in kept[max(0, last - len(mark)) : last]) == mark or (last and out[kept[last - 1]] == 32):
+                last -= 1 if out[kept[last - 1]] == 32 else len(mark)
+            out, source = bytearray(out[i] for i in kept[:last]), [source[i] for i in kept[:last]] + [source[-1]]
         if not out:
             return "", None
         space = SPACE.encode() if self.escape else b" "
@@ -191,9 +199,15 @@ class Model:
                 ids += [self.byte_ids[b] for b in s.encode("utf-8", "surrogatepass")]
         return np.array(ids, "<i4").tobytes()
 
+    def units(self, normal: str) -> list[str]:
+        """Parts of a normalised text that merge by themselves."""
+        kinds = self.kinds[np.minimum(np.frombuffer(normal.encode("utf-32-le", "surrogatepass"), np.uint32), LATIN)]
+        at = [0, *(np.flatnonzero(~self.joined[kinds[:-1], kinds[1:]]) + 1).tolist(), len(normal)]
+        return [normal[i:j] for i, j in zip(at, at[1:])]
+
     def ids_of(self, normal: str) -> np.ndarray:
         found, memory = [], self.memory
-        for u in self.units.findall(normal):
+        for u in self.units(normal) if normal else ():
             if (known := memory.get(u)) is None:
                 known = self.unit(u)
                 if len(u) <= LONGEST:
@@ -203,51 +217,46 @@ class Model:
             found.append(known)
         return np.frombuffer(b"".join(found), "<i4")
 
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each text the ids with the end id, and where each one's span of the text's UTF-8 bytes ends; it starts where the one
-        before ends (bytes of one character share its span, the end id has an empty one)."""
-        if self.kernel is None:
-            merged = [None] * len(texts)
-        else:  # with an identity map the library's own merging, which is faster, gives the same ids
-            merged = self.kernel.encode(texts, add_eos=True, num_threads=1)
-        out = []
-        for text, ids in zip(texts, merged, strict=True):
-            if ids is not None and SPACE not in text:
-                # Only spaces change their width, so the pieces' widths in the source are known; the added prefix has none.
-                ids = np.array(ids, np.int32)
-                out.append((ids, np.maximum(np.cumsum(self.source_widths[ids], dtype=np.int32) - 1, 0)))
-                continue
-            norm, source = self.normalised(text)
-            ids = np.append(self.ids_of(norm), np.int32(self.end)) if ids is None else np.array(ids, np.int32)
-            ends = np.cumsum(self.widths[ids])
-            if source is None:
-                size = len(text.encode("utf-8", "surrogatepass"))
-                ends = np.maximum(ends - (len(norm.encode("utf-8", "surrogatepass")) - size), 0)
-            else:
-                ends = source[ends]
-            out.append((ids, ends.astype(np.int32)))
-        return out
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The ids with the end id, and where each one's span of the text's UTF-8 bytes ends; it starts where the one before ends (bytes
+        of one character share its span, the end id has an empty one)."""
+        norm, source = self.normalised(text)
+        ids = np.append(self.ids_of(norm), np.int32(self.end))
+        ends = np.cumsum(self.widths[ids])
+        if source is None:
+            size = len(text.encode("utf-8", "surrogatepass"))
+            ends = np.maximum(ends - (len(norm.encode("utf-8", "surrogatepass")) - size), 0)
+        else:
+            ends = source[ends]
+        return ids, ends.astype(np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
-        """The text of ids: control pieces say nothing, byte pieces form UTF-8 (each byte that can't is U+FFFD), one leading space goes."""
+        """The text of ids: control pieces say nothing, byte pieces form UTF-8 (each byte that can't is U+FFFD), one leading space goes, with a model that
+        trims all of them."""
         ids, surface = np.asarray(ids, np.int32), self.surface
         flags = self.is_byte[ids]
-        if self.unknown not in ids and self.byte_ids[0xE2] not in ids and not self.is_control[ids[:-1]].any():
+        plain = not self.trim or (len(ids) > 0 and surface[ids[0]].removeprefix(SPACE.encode()) != b"")
+        if plain and self.unknown not in ids and self.byte_ids[0xE2] not in ids and not self.is_control[ids[:-1]].any():
             try:  # byte pieces lie between whole characters: if all is valid, each run of them is
                 out = b"".join(self.surfaces[ids].tolist()).decode()
-                return out.removeprefix(SPACE if self.prefix else "").replace(SPACE, " ")
+                return out.removeprefix(SPACE if self.prefix or self.trim else "").replace(SPACE, " ")
             except UnicodeDecodeError:
                 pass
         parts: list[str] = []
+        leading = self.prefix or self.trim
         for is_byte, run in _runs(ids.tolist(), flags.tolist()):
-            raw = b"".join([self.unknown_surface if i == self.unknown else surface[i] for i in run])
+            raw = [self.unknown_surface if i == self.unknown else surface[i] for i in run]
             if is_byte:
-                parts.append(_utf8(raw))
-            else:
-                text = raw.decode("utf-8", "replace")
-                if self.prefix and not any(parts):
-                    text = text.removeprefix(SPACE)
-                parts.append(text.replace(SPACE, " "))
+                parts.append(_utf8(b"".join(raw)))
+                continue
+            for i, piece in enumerate(raw):
+                if not leading or any(parts):
+                    parts.append(b"".join(raw[i:]).decode("utf-8", "replace").replace(SPACE, " "))
+                    break
+                text = piece.decode("utf-8", "replace")
+                shorter = text.removeprefix(SPACE)
+                leading = self.trim or shorter == text
+                parts.append(shorter.replace(SPACE, " "))
         return "".join(parts)
 
 
@@ -300,7 +309,7 @@ def encode_pieces(df: DataFrame, path: str, text_col: str = "text", carry: list[
         for whole in batches:
             sizes = pc.fill_null(pc.binary_length(whole.column(whole.num_columns - 1)), 0).to_numpy(zero_copy_only=False)
             for b in slices(whole, sizes, TEXT_BYTES):
-                pairs = m.encode([x or "" for x in b.column(b.num_columns - 1).to_pylist()])
+                pairs = [m.encode(x or "") for x in b.column(b.num_columns - 1).to_pylist()]
                 offsets = pa.array(np.cumsum([0, *(len(i) for i, _ in pairs)]), pa.int32())
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([p[k] for p in pairs]))) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], *lists], names=[*b.schema.names[:-1], "piece_ids", "piece_ends"])

@@ -56,15 +56,32 @@ def test_as_the_library(spark, path):
     check(spark, path, all_texts())
 
 
-def test_own_merging_is_the_library_s(path):
-    """The way that does not call the library for merging."""
-    m = pieces.Model(path)
-    m.kernel = None
+@pytest.mark.parametrize(("rule", "trim"), [("nmt_nfkc", True), ("nmt_nfkc", False), ("nfkc_cf", True), ("identity", True)])
+def test_with_a_character_map(spark, path, tmp_path, rule, trim):
+    """The given vocabulary behind real compiled maps: composed and compatibility characters, case folding, odd spaces."""
+    from sentencepiece import SentencePieceNormalizer
+
+    m, other = proto.ModelProto(), proto.ModelProto()
+    m.ParseFromString(open(path, "rb").read())
+    other.ParseFromString(SentencePieceNormalizer(rule_name=rule).serialized_model_proto())
+    m.normalizer_spec.name, m.normalizer_spec.precompiled_charsmap = rule, other.normalizer_spec.precompiled_charsmap
+    m.normalizer_spec.remove_extra_whitespaces = trim
+    mapped = tmp_path / "mapped.model"
+    mapped.write_bytes(m.SerializeToString())
+    odd = ["ＡＢＣ ｄｅｆ　ｇ", "ﬁne ﬂow ½ ㍿", "e\u0301a\u0308 é", "\u00a0\u2003 x \u200b y\u00ad", "STRAẞE Ǆ İ", "   lead", "trail   ", "   ", "\u0001\u0002 a", "가각ᄀ", "①②③ ™"]
+    check(spark, str(mapped), all_texts() + odd)
+
+
+def test_whole_table_as_the_library(spark, path):
+    """All of sf0.01's documents; the library is used here only."""
     library = SentencePieceProcessor(model_file=path)
-    for text in all_texts():
-        ids, ends = m.encode([text or ""])[0]
-        assert ids.tolist() == library.encode(text or "", add_eos=True)
-        assert (ends[1:] >= ends[:-1]).all() and ends[-1] == len((text or "").encode())
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    got = pieces.decode_pieces(pieces.encode_pieces(docs, path), path).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        want = library.encode(texts[r.doc_id], add_eos=True)
+        assert r.piece_ids == want and r.decoded == library.decode(want)
 
 
 def test_compiled_map_by_longest_prefix():
