@@ -2,7 +2,7 @@
 
 Facts are counted per text. Each metric is put on a logarithmic grid and counted per language, source and cell: a quantile sketch
 with a fixed relative error whose parts merge by adding counts, whatever the order. Thresholds are fences around the quartiles of
-a group; those of a group with few documents come from its language's merged sketch, or else from that of all rows. The thresholds
+a group, as wide as the group's own spread (between its quartiles, or from its median to its ninth decile); those of a group with few documents come from its language's merged sketch, or else from that of all rows. The thresholds
 are joined back and filter.
 """
 
@@ -21,12 +21,13 @@ MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 GAMMA = 1.05
 #: A group with fewer documents takes the thresholds of its language, a language with fewer those of all rows.
 MIN_GROUP = 200
-#: Metric: (fence in interquartile ranges, smallest range in parts of the median, smallest range, both sides).
+#: Metric: (fence in spreads, smallest spread in parts of the median, smallest spread, both sides). In a group that is all alike each
+#: metric can fire within the base rules.
 METRICS = {
-    "symbols_per_word": (4.0, 0.25, 0.05, False),
+    "symbols_per_word": (4.0, 0.25, 0.03, False),
     "dup_line_share": (4.0, 0.25, 0.05, False),
-    "repeat_word_share": (4.0, 0.25, 0.05, False),
-    "chars_per_word": (6.0, 0.12, 0.5, True),
+    "repeat_word_share": (4.0, 0.25, 0.03, False),
+    "chars_per_word": (5.0, 0.12, 0.4, True),
 }
 FACTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -88,13 +89,13 @@ def cell_value(c: Column) -> Column:
 
 
 def quartiles(sketch: DataFrame, group: list[str]) -> DataFrame:
-    """q1, q2, q3 and the number of documents of each group's merged sketch."""
+    """q1, q2, q3, q90 and the number of documents of each group's merged sketch."""
     merged = sketch.groupBy(*group, "metric", "cell").agg(F.sum("n").alias("n"))
     family = Window.partitionBy(*group, "metric")
     ranked = merged.withColumn("upto", F.sum("n").over(family.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)))
     ranked = ranked.withColumn("total", F.sum("n").over(family))
-    q = lambda k: cell_value(F.min(F.when(F.col("upto") * 4 >= F.col("total") * k, F.col("cell")))).alias(f"q{k}")
-    return ranked.groupBy(*group, "metric").agg(q(1), q(2), q(3), F.max("total").alias("docs"))
+    q = lambda k, of: cell_value(F.min(F.when(F.col("upto") * of >= F.col("total") * k, F.col("cell"))))
+    return ranked.groupBy(*group, "metric").agg(*[q(k, 4).alias(f"q{k}") for k in (1, 2, 3)], q(9, 10).alias("q90"), F.max("total").alias("docs"))
 
 
 def thresholds(facts: DataFrame) -> DataFrame:
@@ -107,7 +108,7 @@ def thresholds(facts: DataFrame) -> DataFrame:
     )
     sketch = cut(stacked.groupBy("g_lang", "g_source", "m.metric", "m.cell").agg(F.count(F.lit(1)).alias("n")))
     own, lang, every = (quartiles(sketch, g) for g in (["g_lang", "g_source"], ["g_lang"], []))
-    pick = lambda t, at: t.select(*[c for c in t.columns if c.startswith("g_")], F.col("metric"), F.struct("q1", "q2", "q3", "docs").alias(at))
+    pick = lambda t, at: t.select(*[c for c in t.columns if c.startswith("g_")], F.col("metric"), F.struct("q1", "q2", "q3", "q90", "docs").alias(at))
     joined = pick(own, "own").join(pick(lang, "of_lang"), ["g_lang", "metric"]).join(F.broadcast(pick(every, "of_all")), "metric")
     use = (
         F.when(F.col("own.docs") >= MIN_GROUP, F.col("own")).when(F.col("of_lang.docs") >= MIN_GROUP, F.col("of_lang")).otherwise(F.col("of_all"))
@@ -115,7 +116,7 @@ def thresholds(facts: DataFrame) -> DataFrame:
     used = joined.select("g_lang", "g_source", "metric", use.alias("u"))
     aggs = []
     for m, (k, part, least, both) in METRICS.items():
-        spread = F.greatest(F.col("u.q3") - F.col("u.q1"), F.col("u.q2") * part, F.lit(least))
+        spread = F.greatest(F.col("u.q3") - F.col("u.q1"), F.col("u.q90") - F.col("u.q2"), F.col("u.q2") * part, F.lit(least))
         aggs.append(F.max(F.when(F.col("metric") == m, F.col("u.q3") + spread * k)).alias(f"high_{m}"))
         if both:
             aggs.append(F.max(F.when(F.col("metric") == m, F.col("u.q1") - spread * k)).alias(f"low_{m}"))

@@ -34,22 +34,24 @@ WITH w AS (
 ), ranked AS (
     SELECT *, sum(n) OVER (PARTITION BY level, lang, source, metric ORDER BY cell) AS upto, sum(n) OVER (PARTITION BY level, lang, source, metric) AS total FROM levels
 ), quart AS (
-    SELECT level, lang, source, metric, max(total) AS docs, min(cell) FILTER (upto * 4 >= total) AS c1, min(cell) FILTER (upto * 4 >= total * 2) AS c2, min(cell) FILTER (upto * 4 >= total * 3) AS c3
+    SELECT level, lang, source, metric, max(total) AS docs, min(cell) FILTER (upto * 4 >= total) AS c1, min(cell) FILTER (upto * 4 >= total * 2) AS c2, min(cell) FILTER (upto * 4 >= total * 3) AS c3, min(cell) FILTER (upto * 10 >= total * 9) AS c4
     FROM ranked GROUP BY ALL
 ), value AS (
     SELECT level, lang, source, metric, docs, CASE WHEN c1 > -100000 THEN 2 * pow(1.05::DOUBLE, c1) / 2.05::DOUBLE ELSE 0 END AS q1,
-           CASE WHEN c2 > -100000 THEN 2 * pow(1.05::DOUBLE, c2) / 2.05::DOUBLE ELSE 0 END AS q2, CASE WHEN c3 > -100000 THEN 2 * pow(1.05::DOUBLE, c3) / 2.05::DOUBLE ELSE 0 END AS q3 FROM quart
+           CASE WHEN c2 > -100000 THEN 2 * pow(1.05::DOUBLE, c2) / 2.05::DOUBLE ELSE 0 END AS q2, CASE WHEN c3 > -100000 THEN 2 * pow(1.05::DOUBLE, c3) / 2.05::DOUBLE ELSE 0 END AS q3,
+           CASE WHEN c4 > -100000 THEN 2 * pow(1.05::DOUBLE, c4) / 2.05::DOUBLE ELSE 0 END AS q90 FROM quart
 ), used AS (
     SELECT o.lang, o.source, o.metric, CASE WHEN o.docs >= 200 THEN o.q1 WHEN l.docs >= 200 THEN l.q1 ELSE a.q1 END AS q1,
-           CASE WHEN o.docs >= 200 THEN o.q2 WHEN l.docs >= 200 THEN l.q2 ELSE a.q2 END AS q2, CASE WHEN o.docs >= 200 THEN o.q3 WHEN l.docs >= 200 THEN l.q3 ELSE a.q3 END AS q3
+           CASE WHEN o.docs >= 200 THEN o.q2 WHEN l.docs >= 200 THEN l.q2 ELSE a.q2 END AS q2, CASE WHEN o.docs >= 200 THEN o.q3 WHEN l.docs >= 200 THEN l.q3 ELSE a.q3 END AS q3,
+           CASE WHEN o.docs >= 200 THEN o.q90 WHEN l.docs >= 200 THEN l.q90 ELSE a.q90 END AS q90
     FROM (SELECT * FROM value WHERE level = 1) o JOIN (SELECT * FROM value WHERE level = 2) l USING (lang, metric) JOIN (SELECT * FROM value WHERE level = 3) a ON a.metric = o.metric
 ), fence AS (
     SELECT lang, source,
-           max(q3 + 4 * greatest(q3 - q1, q2 * 0.25::DOUBLE, 0.05::DOUBLE)) FILTER (metric = 'symbols_per_word') AS h_symbols,
-           max(q3 + 4 * greatest(q3 - q1, q2 * 0.25::DOUBLE, 0.05::DOUBLE)) FILTER (metric = 'dup_line_share') AS h_lines,
-           max(q3 + 4 * greatest(q3 - q1, q2 * 0.25::DOUBLE, 0.05::DOUBLE)) FILTER (metric = 'repeat_word_share') AS h_repeat,
-           max(q3 + 6 * greatest(q3 - q1, q2 * 0.12::DOUBLE, 0.5::DOUBLE)) FILTER (metric = 'chars_per_word') AS h_chars,
-           max(q1 - 6 * greatest(q3 - q1, q2 * 0.12::DOUBLE, 0.5::DOUBLE)) FILTER (metric = 'chars_per_word') AS l_chars
+           max(q3 + 4 * greatest(q3 - q1, q90 - q2, q2 * 0.25::DOUBLE, 0.03::DOUBLE)) FILTER (metric = 'symbols_per_word') AS h_symbols,
+           max(q3 + 4 * greatest(q3 - q1, q90 - q2, q2 * 0.25::DOUBLE, 0.05::DOUBLE)) FILTER (metric = 'dup_line_share') AS h_lines,
+           max(q3 + 4 * greatest(q3 - q1, q90 - q2, q2 * 0.25::DOUBLE, 0.03::DOUBLE)) FILTER (metric = 'repeat_word_share') AS h_repeat,
+           max(q3 + 5 * greatest(q3 - q1, q90 - q2, q2 * 0.12::DOUBLE, 0.4::DOUBLE)) FILTER (metric = 'chars_per_word') AS h_chars,
+           max(q1 - 5 * greatest(q3 - q1, q90 - q2, q2 * 0.12::DOUBLE, 0.4::DOUBLE)) FILTER (metric = 'chars_per_word') AS l_chars
     FROM used GROUP BY 1, 2
 ), judged AS (
     SELECT m.*, concat_ws(',', CASE WHEN symbols_per_word > h_symbols THEN 'symbols_per_word' END, CASE WHEN dup_line_share > h_lines THEN 'dup_line_share' END,

@@ -59,3 +59,28 @@ def test_sketches_merge(spark):
     for k, q in enumerate((got.q1, got.q2, got.q3), 1):
         true = values[(len(values) * k + 3) // 4 - 1]
         assert abs(q / true - 1) <= (rules.GAMMA - 1) / 2 + 1e-9
+
+
+def test_each_metric_alone_rejects(spark):
+    """In a clean group each metric can fire within the base rules; what lies on a fence stays; repeated rows are judged alike."""
+    rng, data = random.Random(6), []
+    word = lambda k=5: "".join(rng.choices("abcdefghijklmnop", k=k))
+    text = lambda n, k=5: [word(k) for _ in range(n)]
+    for i in range(300):
+        data.append((f"clean{i}", "\n".join(" ".join(text(10)) for _ in range(10))))
+    odd = {
+        "symbols_per_word": " ".join(w + "#" * (i % 5 == 0) for i, w in enumerate(text(100))),
+        "dup_line_share": "\n".join(x for i in range(8) for x in [" ".join(text(12)), *["again here"] * (i % 2)]),
+        "repeat_word_share": " ".join([*(passage := text(9)), *text(50), *passage, *text(50)]),
+        "chars_per_word": " ".join(text(100, 9)),
+        "chars_per_word ": " ".join(text(100, 1)),
+    }
+    data += [(k, t) for k, t in odd.items() for _ in range(2)]
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in data], "doc_id string, text string, lang string, source string")
+    got = rules.quality_rules(df, carry=["doc_id"]).collect()
+    for r in got:
+        assert not r.base_failed, r.doc_id
+        assert list(r.failed) == ([r.doc_id.strip()] if r.doc_id in odd else []), r
+    assert len(got) == len(data)
+    fence = rules.thresholds(df.sparkSession.createDataFrame([("en", "s", False, *[0.5] * 4)] * 200, "g_lang string, g_source string, base_failed boolean, " + ", ".join(f"{m} double" for m in rules.METRICS))).first()
+    assert fence.high_repeat_word_share > 0.5  # equal values lie within
