@@ -1,13 +1,17 @@
 """Quality classifier by hierarchical empirical Bayes.
 
-A logistic regression on surface features, fitted on a bounded sample of labelled rows, gives each document its own evidence. Grouped
+A logistic regression on surface features and on the words' own evidence, fitted on a bounded sample of labelled rows, gives each
+document its probability. The words' evidence is the mean log ratio of a document's words between the classes, counted by grouped
+aggregation in hashed buckets; in fitting, each half of the sample is judged by the other half's counts. Grouped
 sums of that evidence give every host, and every path below a host, a Beta posterior: a sparse host is shrunk toward the global mean
 and a sparse path toward its host, as strongly as the groups' spread allows. The posterior shifts the document's log odds.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +28,24 @@ THRESHOLD = 0.5
 #: Prior sizes (in documents) stay within these bounds.
 PRIOR_SIZE = (5.0, 1000.0)
 RIDGE, STEPS = 1.0, 25
-FEATURES = ("log_words", "symbols", "digits", "upper", "punctuation", "exclaims", "word_bytes", "distinct_words", "distinct_lines", "top_word", "bars", "ends")
+FEATURES = ("log_words", "symbols", "digits", "upper", "punctuation", "exclaims", "word_bytes", "distinct_words", "distinct_lines", "top_word", "bars", "ends", "evidence")
+#: Buckets of hashed words.
+BUCKETS = 1 << 15
 _SYMBOLS, _PUNCTUATION = np.frombuffer(b"#*$%&<>~^{}[]\\_=@", np.uint8), np.frombuffer(b".,;:?", np.uint8)
 
 
-def features(text: str | None) -> list[float]:
-    """Shares and means of the whole text, in the order of FEATURES."""
+def buckets(words: Iterable[bytes]) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, words), np.int64) % BUCKETS
+
+
+def log_ratio(counts: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Log ratio of each bucket's share of documents between the classes, smoothed. counts: (2, BUCKETS) by class; docs: by class."""
+    share = (counts + 1) / (docs[:, None] + 2)
+    return np.log(share[1] / share[0])
+
+
+def features(text: str | None, ratio: np.ndarray | None = None) -> list[float]:
+    """Shares and means of the whole text, in the order of FEATURES. ratio: the buckets' log ratios (0 if not given)."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     words = raw.split()
     if not words:
@@ -37,9 +53,8 @@ def features(text: str | None) -> list[float]:
     n = len(words)
     count = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
     lines = [x for x in raw.split(b"\n") if x.strip()]
-    distinct = set(words)
+    distinct = Counter(words)
     letters = int(count[65:91].sum() + count[97:123].sum()) or 1
-    top = max(map(words.count, distinct)) if n <= 30 else n / len(distinct)
     return [
         float(np.log1p(n)),
         min(5.0, count[_SYMBOLS].sum() / n),
@@ -50,25 +65,26 @@ def features(text: str | None) -> list[float]:
         min(20.0, float(len(raw) - count[9:14].sum() - count[32]) / n),
         len(distinct) / n,
         len(set(lines)) / len(lines),
-        min(10.0, top),
+        max(distinct.values()) / n,
         min(5.0, float(count[124]) / n),
         min(1.0, float(count[46]) / n),
+        0.0 if ratio is None else float(ratio[buckets(distinct)].mean()),
     ]
 
 
 class Classifier:
     """Standardised logistic regression."""
 
-    def __init__(self, mean: np.ndarray, scale: np.ndarray, weights: np.ndarray):
-        self.mean, self.scale, self.weights = mean, scale, weights
+    def __init__(self, mean: np.ndarray, scale: np.ndarray, weights: np.ndarray, ratio: np.ndarray | None = None):
+        self.mean, self.scale, self.weights, self.ratio = mean, scale, weights, ratio
 
     @classmethod
-    def fitted(cls, x: np.ndarray, y: np.ndarray) -> Classifier:
+    def fitted(cls, x: np.ndarray, y: np.ndarray, ratio: np.ndarray | None = None) -> Classifier:
         """Newton steps with a ridge. Without both classes every document gets the classes' mean (0.5 without rows)."""
         d = len(FEATURES)
         if len(y) == 0 or y.min() == y.max():
             p = float(np.clip(y.mean() if len(y) else 0.5, 0.01, 0.99))
-            return cls(np.zeros(d), np.ones(d), np.append(np.zeros(d), np.log(p / (1 - p))))
+            return cls(np.zeros(d), np.ones(d), np.append(np.zeros(d), np.log(p / (1 - p))), ratio)
         mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
         z = np.c_[np.clip((x - mean) / scale, -8, 8), np.ones(len(x))]
         w, ridge = np.zeros(d + 1), np.diag([RIDGE] * d + [0.0])
@@ -78,7 +94,7 @@ class Classifier:
             w += step
             if np.abs(step).max() < 1e-6:
                 break
-        return cls(mean, scale, w)
+        return cls(mean, scale, w, ratio)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.scale, -8, 8) @ self.weights[:-1] + self.weights[-1]
@@ -86,19 +102,38 @@ class Classifier:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = LABEL_SAMPLE) -> Classifier:
-    """labels: id_col and quality (0 or 1; null is no label, repeated ids are averaged). At most about `sample` rows reach the driver."""
+    """labels: id_col and quality (0 or 1; null is no label, repeated ids are averaged). At most about `sample` rows are fitted; their
+    features and four counts a bucket reach the driver."""
     known = labels.where(F.col("quality").isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("label_id"), "quality")
     share = min(1.0, sample / max(1, known.count()))
-    drawn = known.where(F.pmod(F.xxhash64("label_id"), F.lit(1_000_000)) < int(share * 1_000_000)).groupBy("label_id").agg(F.avg("quality").alias("quality"))
-    rows = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("t")).join(F.broadcast(drawn), "label_id").select("quality", "t")
+    drawn = known.where(F.pmod(F.xxhash64("label_id"), F.lit(1 << 60)) < int(share * (1 << 60))).groupBy("label_id").agg(F.avg("quality").alias("quality"))
+    half = F.pmod(F.xxhash64("label_id", F.lit("half")), F.lit(2)).cast("int").alias("half")
+    rows = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("t")).join(F.broadcast(drawn), "label_id")
+    rows = rows.select(half, (F.col("quality") >= 0.5).cast("int").alias("good"), "t")
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for half, good, text in zip(*b.columns, strict=True):
+                found = np.unique(buckets(set((text.as_py() or "").encode("utf-8", "surrogatepass").split())))
+                found = np.append(found, -1)  # counts the document itself
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), x.as_py(), np.int32)) for x in (half, good)] + [pa.array(found)], names=["half", "good", "bucket"])
+
+    counts, docs_in = np.zeros((2, 2, BUCKETS)), np.zeros((2, 2))
+    told = rows.mapInArrow(words, "half int, good int, bucket long").groupBy("half", "good", "bucket").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    halves, goods, places, n = (told.column(i).to_numpy() for i in range(4))
+    whole = places < 0
+    docs_in[halves[whole], goods[whole]] = n[whole]
+    counts[halves[~whole], goods[~whole], places[~whole]] = n[~whole]
+    others = [log_ratio(counts[1 - i], docs_in[1 - i]) for i in (0, 1)]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([features(x.as_py()) for x in b.column(1)], pa.list_(pa.float64()))], names=["quality", "x"])
+            x = [features(text.as_py(), others[half.as_py()]) for half, text in zip(b.column(0), b.column(2), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(x, pa.list_(pa.float64()))], names=["good", "x"])
 
-    got = rows.mapInArrow(work, "quality double, x array<double>").toArrow()
+    got = rows.mapInArrow(work, "good int, x array<double>").toArrow()
     x = np.array(got.column("x").to_pylist(), float).reshape(-1, len(FEATURES))
-    return Classifier.fitted(x, (got.column("quality").to_numpy() >= 0.5).astype(float))
+    return Classifier.fitted(x, got.column("good").to_numpy().astype(float), log_ratio(counts.sum(axis=0), docs_in.sum(axis=0)))
 
 
 def with_score(df: DataFrame, model: Classifier, text_col: str, name: str, carry: list[str]) -> DataFrame:
@@ -108,7 +143,7 @@ def with_score(df: DataFrame, model: Classifier, text_col: str, name: str, carry
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array([features(t.as_py()) for t in b.column(b.num_columns - 1)]).reshape(-1, len(FEATURES))
+            x = np.array([features(t.as_py(), model.ratio) for t in b.column(b.num_columns - 1)]).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(model.score(x))], names=[*b.schema.names[:-1], name])
 
     return df.select(*carry, F.col(text_col).alias(text)).mapInArrow(work, schema)

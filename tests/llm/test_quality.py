@@ -80,3 +80,33 @@ def test_odd_tables(spark):
         got = quality.quality_classifier(df, model)
         assert got.count() == 4 and got.columns.count("kept") == 1
         assert quality.quality_classifier(df.limit(0), model).count() == 0
+
+
+def test_words_are_evidence(spark):
+    """Classes that differ in their words only."""
+    rng = np.random.default_rng(5)
+    text = lambda kind: " ".join(f"{kind}{i}" if rng.random() < 0.3 else f"x{i}" for i in rng.integers(0, 200, 40))
+    rows = [(i, text("good" if i % 2 else "poor"), "s", "l") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, quality int")
+    got = quality.quality_classifier(docs, quality.fit(docs, labels)).collect()
+    assert np.mean([r.kept == bool(r.doc_id % 2) for r in got if r.doc_id >= 300]) > 0.95
+
+
+def test_query_against_a_plain_version(spark, sf):
+    """The query's rows from the same features by plain loops; a tie at the threshold is kept."""
+    from sedgewren.llm import queries
+
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels)
+    rows = docs.collect()
+    own = model.score(np.array([quality.features(r.text, model.ratio) for r in rows]))
+    want = brute([(r.source or "", r.lang or "") for r in rows], own)
+    got = {r.doc_id: r for r in queries.op3_quality_classifier(spark, sf).collect()}
+    assert len(got) == len(rows)
+    for r, (site, q) in zip(rows, want, strict=True):
+        x = got[r.doc_id]
+        assert abs(x.site_quality - site) < 1e-6 and abs(x.quality - q) < 1e-6 and (x.kept == (q >= 0.5) or abs(q - 0.5) < 1e-6)
+    flat = quality.Classifier.fitted(np.empty((0, len(quality.FEATURES))), np.empty(0))
+    same = quality.quality_classifier(docs, flat, carry=["doc_id"]).collect()
+    assert all(abs(r.quality - 0.5) < 1e-12 for r in same)
