@@ -20,12 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ROUNDS = 10
-#: Key of the permutations where none is given; production passes its own.
-DEFAULT_KEY = b"change me"
 DIGITS, LETTERS = "0123456789", "abcdefghijklmnopqrstuvwxyz"
-#: Dates permute within these years, ends included.
-YEARS = (1900, 2099)
-FIRST, LAST = date(YEARS[0], 1, 1).toordinal(), date(YEARS[1], 12, 31).toordinal()
+#: Dates permute within 200 years, of which one such span begins here.
+SPAN_YEARS, SPAN_FROM = 200, 1900
 
 
 def permute(value: int, size: int, key: bytes, tweak: bytes, inverse: bool = False) -> int:
@@ -128,11 +125,11 @@ def day(m: re.Match, key: bytes, inverse: bool) -> str | None:
             ordinal = date(int(parts["y"]), int(parts["m"]), int(parts["d"])).toordinal()
         except ValueError:
             continue
-        if not FIRST <= ordinal <= LAST:
-            return None
+        since = SPAN_FROM + (int(parts["y"]) - SPAN_FROM) // SPAN_YEARS * SPAN_YEARS
+        low, high = date(max(since, 1), 1, 1).toordinal(), date(min(since + SPAN_YEARS - 1, 9999), 12, 31).toordinal()
         # Month and day are told apart in the same way in what comes out: the permutation walks until it is.
         while True:
-            ordinal = FIRST + permute(ordinal - FIRST, LAST - FIRST + 1, key, b"date" + order.encode(), inverse)
+            ordinal = low + permute(ordinal - low, high - low + 1, key, b"date" + order.encode(), inverse)
             new = date.fromordinal(ordinal)
             if order != "mdy" or new.day > 12:
                 break
@@ -219,10 +216,10 @@ def _cached(key: bytes, inverse: bool):
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("value", T.StringType())]))
 
 
-def pseudonyms(df: DataFrame, text_col: str = "text", key: bytes = DEFAULT_KEY, inverse: bool = False) -> DataFrame:
+def pseudonyms(df: DataFrame, key: bytes, text_col: str = "text", inverse: bool = False) -> DataFrame:
     """Replaces text_col by the pseudonymised text and adds pii_spans (kind, start and end in the old text in code points, new value).
 
-    Null texts stay null with null spans, texts without personal data are unchanged with no spans. inverse undoes the replacement
+    key is secret: whoever has it can undo the replacement. Null texts stay null with null spans, texts without personal data are unchanged with no spans. inverse undoes the replacement
     where the new values are found and read as the same kind. A column pii_spans is replaced. Rows stay one to one.
     """
     keep = [c for c in df.columns if c.lower() != "pii_spans"]
