@@ -77,8 +77,8 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def url_tokens(url: Column) -> Column:
-    """Distinct runs of a-z0-9 of the lower-cased URL, and the empty token under which rules without any token are filed."""
-    return F.array_distinct(F.concat(F.split(F.lower(url), "[^a-z0-9]+"), F.array(F.lit(""))))
+    """Distinct runs of a-z0-9 of the URL, lower-cased in A-Z only as the expressions are, and the empty token under which rules without any token are filed."""
+    return F.array_distinct(F.concat(F.split(F.translate(url, UPPER, LOWER), "[^a-z0-9]+"), F.array(F.lit(""))))
 
 
 def rule_index(spark: SparkSession, rules: list[Rule], tokens: DataFrame) -> DataFrame:
@@ -107,8 +107,8 @@ def url_filter(df: DataFrame, url_col: str = "url", site_rules=SITE_RULES, patte
     spark = df.sparkSession
     rules = [site_rule(*r) for r in site_rules] + [pattern_rule(*r) for r in pattern_rules]
     key = free_name(df, "url_key")
-    base = df.drop(*[c for c in df.columns if c.lower() in ("host", "path", "rule", "verdict", "matched_pattern") and c != url_col])
-    base = base.withColumn(key, F.col(url_col))
+    kept = [c for c in df.columns if c.lower() not in ("host", "path", "rule", "verdict", "matched_pattern")]
+    base = df.select(*kept, F.col(url_col).alias(key))
     host, path = host_and_path(F.col(key))
     urls = base.select(F.col(key)).where(F.col(key).isNotNull()).distinct()
     tokens = urls.select(F.col(key).alias("u"), F.concat(host, path).alias("site"), F.explode(url_tokens(F.col(key))).alias("token"))

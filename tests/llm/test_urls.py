@@ -52,3 +52,22 @@ def test_tokens_of_rules_are_in_every_fitting_url(text):
     rule = urls.site_rule("block", text)
     url = "https://sub." + text + "more"
     assert set(rule.tokens) <= set(re.split("[^a-z0-9]+", url.lower()))
+
+
+def test_letters_that_fold_to_ascii(spark):
+    """Kelvin sign and dotted capital I are not letters of a token: expressions and tokens ignore case in A-Z only."""
+    rows = [(0, "https://x.example/loginK"), (1, "https://x.example/casinoİ"), (2, "https://x.example/CaSiNo/"), (3, "https://x.example/" + "a/" * 50_000 + "login")]
+    got = {r.page_id: r for r in urls.url_filter(spark.createDataFrame(rows, "page_id int, url string")).collect()}
+    assert [got[i].matched_pattern for i in range(4)] == ["/login^", "^casino^", "^casino^", "/login^"]
+
+
+def test_url_column_named_like_a_result(spark):
+    got = urls.url_filter(spark.createDataFrame([("https://a.net/x",)], "host string"), url_col="host")
+    assert got.columns == ["host", "path", "rule", "verdict", "matched_pattern"] and got.first().host == "a.net"
+
+
+def test_rules_of_equal_length(spark):
+    """Of two fitting rules of one length the first listed decides."""
+    df = spark.createDataFrame([("http://a.b/",)], "url string")
+    for first, second in (("allow", "block"), ("block", "allow")):
+        assert urls.url_filter(df, site_rules=[(first, "a.b/"), (second, "a.b/")], pattern_rules=[]).first().verdict == first
