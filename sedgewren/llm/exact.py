@@ -19,14 +19,16 @@ from pyspark.sql import types as T
 
 from .common import ascii_lower, free_name, written
 
-#: Characters of the normalised text in a splitter; the digest decides beyond them.
-SPLITTER_CHARS = 32
+#: Bytes of the normalised text in a splitter. Samples of splitters reach the driver, so they must be short: texts that are equal so
+#: far are put in the order of their digests instead of the bytes that follow.
+SPLITTER_BYTES = 48
 
 
 def marker(n_keep: int, run_names: list[str]):
     """mapInArrow function over sorted partitions with columns [kept columns..., id, text, digest]; adds run facts, so named, to the kept ones.
 
-    A run is a maximal stretch of equal texts. It is held until it ends, at most a partition's worth of rows.
+    A run is a maximal stretch of equal texts. It is held until it ends, at most a partition's worth of rows, without the texts unless
+    they are kept columns.
     """
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,7 +54,7 @@ def marker(n_keep: int, run_names: list[str]):
             is_last = np.zeros(n, bool)
             is_last[starts + sizes - 1] = True
             columns = [table.column(i).combine_chunks() for i in range(n_keep)] + [
-                table.column(n_keep + 2).combine_chunks(),
+                table.column(n_keep + 1).combine_chunks(),
                 pa.array(np.repeat(sizes, sizes)),
                 pa.array(np.repeat(top, sizes), mask=np.repeat(~has, sizes)),
                 pa.array(np.repeat(edge, sizes)),
@@ -74,7 +76,7 @@ def marker(n_keep: int, run_names: list[str]):
                 elif texts[i].as_py().lower() != (prior[1] if prior[1] is not None else texts[i - 1].as_py().lower()):
                     starts.append(i)  # neighbours are compared in full
             last = (digests[-1], texts[batch.num_rows - 1].as_py().lower())
-            table = pa.Table.from_batches([batch])
+            table = pa.Table.from_batches([batch]).remove_column(n_keep + 1)
             if not starts:
                 held.append(table)
                 continue
@@ -115,7 +117,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
         F.col(id_col).cast("long").alias(id_name),
         F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias(text_name),
         F.unhex(F.sha2(norm.cast("binary"), 256)).alias(sha_name),
-        F.substring(norm, 1, SPLITTER_CHARS).alias(head),
+        F.substring(norm.cast("binary"), 1, SPLITTER_BYTES).alias(head),
     )
     order = [F.col(head), F.col(sha_name), F.col(id_name).asc_nulls_first()]
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop(head)

@@ -23,6 +23,8 @@ SEED, MAX_EPOCHS, BUDGET_SHARE = 7, 3, 0.5
 WEIGHTS: Mapping[str, Mapping[str, int]] = {"lang": {"en": 4, "de": 2, "fr": 2, "es": 2}}
 #: The nodes' key columns while budgets are computed.
 NODE = "node_"
+#: Budgets are doubles; one that should be a whole number may fall short of it by a rounding error.
+ROUNDING = 1e-6
 
 
 def words(text: Column) -> Column:
@@ -69,7 +71,7 @@ def budgets(leaves: DataFrame, levels: list[str], weights, max_epochs: int, budg
         else:
             nodes = nodes.join(above.withColumnRenamed("budget", "parent_budget"), keys[:i])
         above = shared_out(nodes, keys[:i], keys[i]).select(*keys[: i + 1], "budget")
-    return leaves.join(above, keys, "left").select(*keys, "tokens", F.floor(F.coalesce("budget", F.lit(0.0))).cast("long").alias("target"))
+    return leaves.join(above, keys, "left").select(*keys, "tokens", F.floor(F.coalesce("budget", F.lit(0.0)) + ROUNDING).cast("long").alias("target"))
 
 
 def prefix_cuts(rows: DataFrame, keys: list[str], key: Column, target: Column) -> DataFrame:

@@ -30,7 +30,7 @@ WITH d AS (
 ), c2 AS (
     SELECT k0, k1, k2, CASE WHEN is_full THEN capacity ELSE (parent - coalesce(sum(capacity) FILTER (is_full) OVER (PARTITION BY k0, k1), 0)) / sum(weight) FILTER (NOT is_full) OVER (PARTITION BY k0, k1) * weight END AS budget FROM b2
 ), plan AS (
-    SELECT k0, k1, k2, tokens, CAST(floor(budget) AS BIGINT) AS target, CAST(least(floor(floor(budget) / tokens), 3) AS INTEGER) AS whole FROM leaf JOIN c2 USING (k0, k1, k2)
+    SELECT k0, k1, k2, tokens, CAST(floor(budget + 1e-6::DOUBLE) AS BIGINT) AS target, CAST(least(floor(floor(budget + 1e-6::DOUBLE) / tokens), 3) AS INTEGER) AS whole FROM leaf JOIN c2 USING (k0, k1, k2)
 ), o AS (
     SELECT d.*, whole, target - whole * tokens AS part, md5('7:' || whole || ':' || ident) AS key FROM d JOIN plan USING (k0, k1, k2)
 ), cum AS (
