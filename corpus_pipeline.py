@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedgewren.llm import exact, mixing, pieces, quality, queries, similar
-from sedgewren.llm.common import shared_folder
+from sedgewren.llm.common import WRITTEN, remove, shared_folder
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,13 +57,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents. Results between stages are kept in the shared folder."""
+    """All stages over documents. A stage's result is kept in the shared folder until the next one's is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_folder(spark)}/pipeline/{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
+        before = set(WRITTEN)
         out = stage(spark, docs, sf_dir)
         if i + 1 == len(STAGES):
             return out
         out.write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
+        remove(spark, [x for x in WRITTEN if x not in before] + ([f"{folder}/{i - 1}"] if i else []))
     return docs
