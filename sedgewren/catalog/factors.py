@@ -60,7 +60,7 @@ CASES: dict[str, tuple[str, str, int]] = {
     "d37_decay_linear": ("decay_linear(close, 4)", f"(close * 4 + {lag('close', 1)} * 3 + {lag('close', 2)} * 2 + {lag('close', 3)}) / 10", 4),
     "d38_wma": ("wma(volume, 3)", f"(volume * 3 + {lag('volume', 1)} * 2 + {lag('volume', 2)}) / 6", 5),
     "d39_sma": ("sma(volume, 5)", full(5, f"avg(volume) {ts(5)}"), 5),
-    "d40_ema": ("ema(volume, 3)", f"list_reduce(list(volume) {ts(30)}, lambda a, v: a + 0.5::DOUBLE * (v - a))", 5),
+    "d40_ema": ("ema(volume, 3)", f"list_reduce(list(volume) {ts()}, lambda a, v: a + 0.5::DOUBLE * (v - a))", 5),
     "d41_trade_when": ("trade_when(volume > 20, close, -1)", "CASE WHEN volume > 20 THEN close ELSE -1.0::DOUBLE END", 4),
     "d42_product": ("product(close / 1000, 3)", full(3, f"product(close / 1000) {ts(3)}"), 5),
     "d46_boll_mid": ("boll_mid(close, 20)", full(20, f"avg(close) {ts(20)}"), 4),
@@ -82,8 +82,8 @@ STAGED: dict[str, tuple[str, str, str, int]] = {
     ),
     "d44_macd": (
         "macd(volume, 3, 6)",
-        f"list_reduce(list(volume) {ts(30)}, lambda a, v: a + 0.5::DOUBLE * (v - a))",
-        f"step - list_reduce(list(volume) {ts(60)}, lambda a, v: a + (2.0::DOUBLE / 7) * (v - a))",
+        f"list_reduce(list(volume) {ts()}, lambda a, v: a + 0.5::DOUBLE * (v - a))",
+        f"step - list_reduce(list(volume) {ts()}, lambda a, v: a + (2.0::DOUBLE / 7) * (v - a))",
         5,
     ),
     "d45_obv": ("obv(close, volume)", f"coalesce(sign(close - {lag('close', 1)}), 0) * volume", f"sum(step) {ts()}", 4),

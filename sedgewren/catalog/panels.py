@@ -76,10 +76,10 @@ def s_business_days(spark, sf):
 
 
 @query(f"""WITH {PANEL} SELECT code, trade_date, round(close, 6) AS close, 'base' AS origin FROM panel WHERE trade_date < '2001-01-01'
-UNION ALL SELECT code, trade_date, round(close * 1.01::DOUBLE, 6), 'delta' FROM panel WHERE trade_date >= '2001-01-01' AND code < 50""")
+UNION ALL SELECT code, trade_date, round(close * 1.01::DOUBLE, 6), 'delta' FROM panel WHERE trade_date >= '2001-01-01'""")
 def k_tail_replace(spark, sf):
     p = bars(spark, sf).select("code", "trade_date", "close")
-    delta = p.where("code < 50").withColumn("close", F.col("close") * 1.01).withColumn("origin", F.lit("delta"))
+    delta = p.withColumn("close", F.col("close") * 1.01).withColumn("origin", F.lit("delta"))
     out = panel.tail_replace(p.withColumn("origin", F.lit("base")), delta, "trade_date", F.lit("2001-01-01").cast("date"))
     return rounded(out, 6, "close")
 
@@ -100,9 +100,9 @@ def k_calendar_densify(spark, sf):
     return panel.densify(p, panel.calendar(p), "volume")
 
 
-@query(f"""WITH {PANEL} SELECT count(*) AS n, min(code) AS min_code, max(code) AS max_code FROM panel""")
+@query(f"""WITH {PANEL} SELECT count(*) AS n, min(code) AS min_code, max(code) AS max_code, CAST(sum(CAST(CAST('0x' || left(md5(code || '|' || trade_date || '|' || CAST(volume AS BIGINT)), 15) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS content FROM panel""")
 def k_fingerprint(spark, sf):
-    return tables.fingerprint(bars(spark, sf).select("code", "trade_date"), ["code"]).select("n", "min_code", "max_code")
+    return tables.fingerprint(bars(spark, sf).select("code", "trade_date", F.col("volume").cast("long")), ["code"]).withColumn("content", F.col("content").cast("string"))
 
 
 # Projections and predicates.
@@ -168,14 +168,15 @@ def j_asof(spark, sf):
 SPANS = """spans AS (SELECT o_custkey AS code, o_orderkey AS name, CAST(o_orderdate AS DATE) AS s, lead(CAST(o_orderdate AS DATE)) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS e FROM orders)"""
 
 
-@query(f"""WITH {PANEL}, {SPANS} SELECT p.code, p.trade_date, arg_max(name, (s, name)) AS name FROM panel p LEFT JOIN spans ON spans.code = p.code AND p.trade_date >= s AND (e IS NULL OR p.trade_date <= e) GROUP BY 1, 2""")
+@query(f"""WITH {SPANS}, points AS (SELECT l_suppkey AS code, CAST(l_shipdate AS DATE) AS trade_date FROM lineitem) SELECT p.code, p.trade_date, (SELECT arg_max(name, (s, name)) FROM spans WHERE spans.code = p.code AND p.trade_date >= s AND (e IS NULL OR p.trade_date <= e)) AS name FROM points p""")
 def j_interval_lookup(spark, sf):
     from pyspark.sql import Window
 
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     d = F.to_date("o_orderdate")
     spans = table(spark, sf, "orders").select(F.col("o_custkey").alias("code"), F.col("o_orderkey").alias("name"), d.alias("s"), F.date_sub(F.lead(d).over(w), 1).alias("e"))
-    return panel.interval_lookup(bars(spark, sf).select("code", "trade_date"), spans, "code", "trade_date", "s", "e", ["name"])
+    points = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("code"), F.to_date("l_shipdate").alias("trade_date"))
+    return panel.interval_lookup(points, spans, "code", "trade_date", "s", "e", ["name"])
 
 
 @query(f"""WITH {PANEL} SELECT s_suppkey AS code, s_name FROM supplier WHERE s_suppkey NOT IN (SELECT code FROM panel WHERE trade_date = (SELECT max(trade_date) FROM panel))""")
@@ -186,14 +187,15 @@ def j_anti_coverage_gap(spark, sf):
     return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("code"), "s_name").join(there, "code", "left_anti")
 
 
-@query(f"""WITH {PANEL}, a AS (SELECT code, trade_date, close, volume FROM panel WHERE code < 60), b AS (SELECT code, trade_date, CASE WHEN code % 10 = 3 THEN close * 1.1::DOUBLE ELSE close END AS close, volume + CASE WHEN code = 45 THEN 1 ELSE 0 END AS volume FROM panel WHERE code >= 40),
+@query(f"""WITH {PANEL}, a AS (SELECT code, trade_date, close, volume FROM panel WHERE volume <> 1), b AS (SELECT code, trade_date, CASE WHEN volume > 40 THEN close * 1.1::DOUBLE ELSE close END AS close, volume + CASE WHEN discount = 0.05 THEN 1 ELSE 0 END AS volume FROM panel WHERE volume <> 2),
 x AS (SELECT a.code IS NOT NULL AS ia, b.code IS NOT NULL AS ib, a.close AS ac, b.close AS bc, a.volume AS av, b.volume AS bv FROM a FULL JOIN b USING (code, trade_date)),
 s AS (SELECT 'close' AS field, ia, ib, ac AS p, bc AS q FROM x UNION ALL SELECT 'volume', ia, ib, av, bv FROM x)
 SELECT field, CASE WHEN NOT ib THEN 'only_left' WHEN NOT ia THEN 'only_right' WHEN p IS NOT DISTINCT FROM q OR coalesce(abs(p - q) <= 1e-8 + 1e-8 * abs(q), false) THEN 'same' ELSE 'differs' END AS outcome, count(*) AS n FROM s GROUP BY 1, 2""")
 def j_tolerant_diff(spark, sf):
-    p = bars(spark, sf).select("code", "trade_date", "close", "volume")
-    b = p.where("code >= 40").withColumn("close", F.when(F.col("code") % 10 == 3, F.col("close") * 1.1).otherwise(F.col("close"))).withColumn("volume", F.col("volume") + F.when(F.col("code") == 45, 1).otherwise(0))
-    return panel.tolerant_diff(p.where("code < 60"), b, ["code", "trade_date"], ["close", "volume"])
+    p = bars(spark, sf).select("code", "trade_date", "close", "volume", "discount")
+    close, volume = F.when(F.col("volume") > 40, F.col("close") * 1.1).otherwise(F.col("close")), F.col("volume") + F.when(F.col("discount") == 0.05, 1).otherwise(0)
+    b = p.where("volume <> 2").withColumns({"close": close, "volume": volume})
+    return panel.tolerant_diff(p.where("volume <> 1"), b, ["code", "trade_date"], ["close", "volume"])
 
 
 @query("""SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000) AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')""")
@@ -473,13 +475,13 @@ def g_risk_cap(spark, sf):
     return rounded(scoring.risk_cap(t, "target_weight", {"model": F.lit(0.9), "market": market}), 6, "capped").select("code", "trade_date", "capped", "binding")
 
 
-@query(f"""WITH {PANEL}, t AS (SELECT s_suppkey AS code, 0.01::DOUBLE + s_suppkey * 0.001::DOUBLE AS weight, (s_suppkey % 7 + 3) * 1.37::DOUBLE AS price FROM supplier WHERE s_suppkey < 20), h AS (SELECT s_suppkey AS code, s_suppkey * 300 AS amount FROM supplier WHERE s_suppkey BETWEEN 10 AND 29),
+@query(f"""WITH {PANEL}, t AS (SELECT s_suppkey AS code, 0.01::DOUBLE + s_suppkey * 0.001::DOUBLE AS weight, (s_suppkey % 7 + 3) * 1.37::DOUBLE AS price FROM supplier WHERE s_acctbal > 0), h AS (SELECT s_suppkey AS code, s_suppkey * 300 AS amount FROM supplier WHERE s_acctbal < 5000),
 b AS (SELECT code, price, CAST(coalesce(floor(weight * 1000000 / price / 100) * 100, 0) AS BIGINT) AS want, CAST(coalesce(amount, 0) AS BIGINT) AS have FROM t FULL JOIN h USING (code))
 SELECT code, want, have, CASE WHEN want > have THEN 'buy' WHEN want < have THEN 'sell' WHEN want > 0 THEN 'hold' ELSE 'ignore' END AS action, round(abs(want - have) * price, 4) AS notional FROM b""")
 def z_order_preview(spark, sf):
     s = table(spark, sf, "supplier")
-    t = s.where("s_suppkey < 20").select(F.col("s_suppkey").alias("code"), (0.01 + F.col("s_suppkey") * 0.001).alias("weight"), ((F.col("s_suppkey") % 7 + 3) * 1.37).alias("price"))
-    h = s.where("s_suppkey between 10 and 29").select(F.col("s_suppkey").alias("code"), (F.col("s_suppkey") * 300).alias("amount"))
+    t = s.where("s_acctbal > 0").select(F.col("s_suppkey").alias("code"), (0.01 + F.col("s_suppkey") * 0.001).alias("weight"), ((F.col("s_suppkey") % 7 + 3) * 1.37).alias("price"))
+    h = s.where("s_acctbal < 5000").select(F.col("s_suppkey").alias("code"), (F.col("s_suppkey") * 300).alias("amount"))
     return rounded(scoring.order_preview(t, h, 1_000_000), 4, "notional")
 
 
@@ -540,26 +542,35 @@ def r_cluster_overlap(spark, sf):
     return rounded(graph.cluster_overlap(old, new), 6, "jaccard")
 
 
-EDGES = "e AS (SELECT DISTINCT o_custkey AS a, o_custkey + 7 AS b FROM orders WHERE o_custkey % 5 <> 0 AND o_custkey % 3 <> 0 AND o_custkey + 7 < 1500)"
+EDGES = """o AS (SELECT o_custkey AS node, min(o_custkey) OVER (PARTITION BY o_orderdate, o_orderpriority, o_orderstatus, floor(o_totalprice / 10000)) AS first FROM orders),
+e AS (SELECT DISTINCT first AS a, node AS b FROM o WHERE first <> node)"""
 
 
 def customer_edges(spark, sf):
-    c = F.col("o_custkey")
-    return table(spark, sf, "orders").where((c % 5 != 0) & (c % 3 != 0) & (c + 7 < 1500)).select(c.alias("a"), (c + 7).alias("b")).distinct()
+    """Customers with like orders on one day: of equal priority and status and about one price."""
+    from pyspark.sql import Window
+
+    alike = Window.partitionBy("o_orderdate", "o_orderpriority", "o_orderstatus", F.floor(F.col("o_totalprice") / 10000))
+    return table(spark, sf, "orders").select(F.min("o_custkey").over(alike).alias("a"), F.col("o_custkey").alias("b")).where("a != b").distinct()
 
 
-@query(f"""WITH RECURSIVE {EDGES}, u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, root) AS (SELECT c_custkey, c_custkey FROM customer WHERE c_custkey < 1500 UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.node) SELECT node, min(root) AS root FROM r GROUP BY 1""")
+@query(f"""WITH RECURSIVE {EDGES}, u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, root) AS (SELECT c_custkey, c_custkey FROM customer UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.node) SELECT node, min(root) AS root FROM r GROUP BY 1""")
 def r_components(spark, sf):
-    edges = customer_edges(spark, sf)
-    nodes = table(spark, sf, "customer").where("c_custkey < 1500").select(F.col("c_custkey").alias("node")).unionByName(edges.select(F.explode(F.array("a", "b")).alias("node")))
-    return graph.connected_components(nodes, edges)
+    return graph.connected_components(table(spark, sf, "customer").select(F.col("c_custkey").alias("node")), customer_edges(spark, sf))
+
+
+PAIRS = "w AS (SELECT l_suppkey AS a, -1 - l_partkey AS b, count(*) AS w FROM lineitem GROUP BY 1, 2)"
+
+
+def pair_edges(spark, sf):
+    """Suppliers and parts (as negative nodes) by the number of lines that have both."""
+    return table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("a"), (-1 - F.col("l_partkey")).alias("b")).agg(F.count(F.lit(1)).alias("w"))
 
 
-@query("""WITH w AS (SELECT l_suppkey AS a, l_partkey % 100 AS b, count(*) AS w FROM lineitem WHERE l_suppkey < l_partkey % 100 GROUP BY 1, 2), u AS (SELECT * FROM w UNION ALL SELECT b, a, w FROM w)
+@query(f"""WITH {PAIRS}, u AS (SELECT * FROM w UNION ALL SELECT b, a, w FROM w)
 SELECT a, b, w, nth FROM (SELECT *, CAST(row_number() OVER (PARTITION BY a ORDER BY w DESC, b) AS INTEGER) AS nth FROM u) WHERE nth <= 2""")
 def r_top_neighbours(spark, sf):
-    e = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") % 100).alias("b")).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("w"))
-    return graph.top_neighbours(e, 2)
+    return graph.top_neighbours(pair_edges(spark, sf), 2)
 
 
 # Streams, run as batches here.

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph, labels, panel, reports, scoring
 from ..streaming import events as streams
-from .panels import LABEL, query, rounded
+from .panels import LABEL, PAIRS, pair_edges, query, rounded
 from .views import PANEL, rank, table
 from .views import panel as bars
 
@@ -169,27 +169,20 @@ def st_sliding(spark, sf):
     return streams.sliding(table(spark, sf, "events"), "1 hour", "30 minutes").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-EDGES = "w AS (SELECT l_suppkey AS a, l_partkey % 100 AS b, count(*) AS w FROM lineitem WHERE l_suppkey < l_partkey % 100 GROUP BY 1, 2)"
-
-
-def edges(spark, sf):
-    return table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") % 100).alias("b")).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("w"))
-
-
 def regions(spark, sf):
-    nodes = edges(spark, sf).selectExpr("explode(array(a, b)) AS node").distinct()
-    return nodes.withColumn("root", F.col("node") % 7)
+    nodes = pair_edges(spark, sf).selectExpr("explode(array(a, b)) AS node").distinct()
+    return nodes.withColumn("root", F.pmod("node", F.lit(7)))
 
 
-@query(f"""WITH {EDGES} SELECT least(a % 7, b % 7) AS r1, greatest(a % 7, b % 7) AS r2, max(w) AS w FROM w WHERE a % 7 <> b % 7 GROUP BY 1, 2""")
+@query(f"""WITH {PAIRS} SELECT least(a % 7, (b % 7 + 7) % 7) AS r1, greatest(a % 7, (b % 7 + 7) % 7) AS r2, max(w) AS w FROM w WHERE a % 7 <> (b % 7 + 7) % 7 GROUP BY 1, 2""")
 def r_strongest_between(spark, sf):
-    return graph.strongest_between(edges(spark, sf), regions(spark, sf))
+    return graph.strongest_between(pair_edges(spark, sf), regions(spark, sf))
 
 
-@query(f"""WITH {EDGES}, n AS (SELECT node, sum(w) AS score FROM (SELECT a AS node, w FROM w UNION ALL SELECT b, w FROM w) GROUP BY 1), r AS (SELECT node % 7 AS root, node, score, row_number() OVER (PARTITION BY node % 7 ORDER BY score DESC, node) AS nth, count(*) OVER (PARTITION BY node % 7) AS size FROM n)
+@query(f"""WITH {PAIRS}, n AS (SELECT node, sum(w) AS score FROM (SELECT a AS node, w FROM w UNION ALL SELECT b, w FROM w) GROUP BY 1), r AS (SELECT (node % 7 + 7) % 7 AS root, node, score, row_number() OVER (PARTITION BY (node % 7 + 7) % 7 ORDER BY score DESC, node) AS nth, count(*) OVER (PARTITION BY (node % 7 + 7) % 7) AS size FROM n)
 SELECT root, node AS representative, CAST(score AS BIGINT) AS score, size FROM r WHERE nth = 1""")
 def r_representatives(spark, sf):
-    e = edges(spark, sf)
+    e = pair_edges(spark, sf)
     scores = e.selectExpr("a AS node", "w").unionByName(e.selectExpr("b AS node", "w")).groupBy("node").agg(F.sum("w").alias("score"))
     return graph.representatives(regions(spark, sf), scores)
 

@@ -6,14 +6,19 @@ aggregates skip nulls within it. Division by zero and logarithms of non-positive
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 CODE, DATE = "code", "trade_date"
 #: Standard deviations at or below this count as zero.
 FLAT = 1e-12
-#: ema looks back over this many times its length; older rows weigh less than e^-20.
+#: Rows beyond this many lengths of an ema weigh less than e^-20 in it: its look-back for reports. The ema itself reads all rows.
 EMA_REACH = 10
+#: Decimal orders that an ema's weights may span within one block of rows.
+EMA_ORDERS = 250
 
 
 def across(*groups) -> Window:
@@ -180,12 +185,24 @@ def decay_linear(x: Column, n: int) -> Column:
     return total / (n * (n + 1) / 2)
 
 
-def ema(x: Column, n: int) -> Column:
-    """Recursive mean with weight 2 / (n + 1), from the oldest of the last EMA_REACH * n rows; nulls are skipped."""
+def ema(x: Column, n: int, staged: Callable[[str, Column], Column]) -> Column:
+    """Recursive mean with weight 2 / (n + 1) over all rows so far, from the first value on; nulls are skipped.
+
+    The recursion is a running sum of values over powers of its decay. The sum begins anew with each block of so many rows that the
+    powers stay in range, and a block adds what the one before ended with; what is older than that weighs less than 10^-EMA_ORDERS.
+    `staged` makes an intermediate column that later ones may use in their windows."""
+    if n == 1:
+        return F.last(x, ignorenulls=True).over(along())
     alpha = 2.0 / (n + 1)
-    seen = F.collect_list(x).over(along(EMA_REACH * n))
-    rest = F.slice(seen, 2, F.greatest(F.size(seen) - 1, F.lit(0)))
-    return F.when(F.size(seen) > 0, F.aggregate(rest, F.get(seen, F.lit(0)), lambda a, v: a + F.lit(alpha) * (v - a)))
+    decay = 1 - alpha
+    rows = int(EMA_ORDERS * math.log(10) / -math.log(decay))
+    seen = staged("seen", F.count(x).over(along()))
+    block, place = F.floor((seen - 1) / rows), F.pmod(seen - 1, F.lit(rows))
+    weight = F.when(seen == 1, 1.0).otherwise(alpha)
+    within = Window.partitionBy(CODE, block).orderBy(DATE).rowsBetween(Window.unboundedPreceding, 0)
+    sofar = staged("sofar", F.sum(weight * x * F.pow(F.lit(decay), -place)).over(within) * F.pow(F.lit(decay), place))
+    ended = staged("ended", F.max_by(sofar, F.col(DATE)).over(Window.partitionBy(CODE).orderBy(block).rangeBetween(-1, -1)))
+    return sofar + F.coalesce(ended, F.lit(0.0)) * F.pow(F.lit(decay), place + 1)
 
 
 def trade_when(c: Column, alpha: Column, hold: Column) -> Column:
@@ -206,8 +223,8 @@ def rsi(x: Column, n: int) -> Column:
     return F.when(F.count(move).over(along(n)) == n, 100 * F.try_divide(gain, moves))
 
 
-def macd(x: Column, fast: int = 12, slow: int = 26) -> Column:
-    return ema(x, fast) - ema(x, slow)
+def macd(x: Column, fast: int, slow: int, staged: Callable[[str, Column], Column]) -> Column:
+    return ema(x, fast, lambda name, c: staged(f"fast {name}", c)) - ema(x, slow, lambda name, c: staged(f"slow {name}", c))
 
 
 def obv(x: Column, volume: Column) -> Column:

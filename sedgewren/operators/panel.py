@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CODE, DATE = "code", "trade_date"
+#: Days of a cell of interval joins.
+CELL = 365
 
 
 def asof_join(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time: str, values: list[str]) -> DataFrame:
@@ -23,15 +25,23 @@ def asof_join(left: DataFrame, right: DataFrame, by: str, left_time: str, right_
 
 
 def interval_lookup(points: DataFrame, intervals: DataFrame, by: str, time: str, start: str, end: str, values: list[str]) -> DataFrame:
-    """points with the values of the interval [start, end] (null end: open) that holds their time; of several the latest start.
+    """points with the values of the interval [start, end] (null end: open) that holds their time; of several the latest start, of
+    equal starts the greatest values. Points stay one to one, repeated ones too.
 
-    Many intervals of one key may overlap, so this is a range join, reduced per point by max_by."""
+    Intervals may overlap, so this is a range join of the distinct times. Both sides are dealt to cells of CELL days, so that a key meets
+    the intervals of its own years only."""
     names = [f"i_{v}" for v in values]
     i = intervals.select(F.col(by).alias("i_key"), F.col(start).alias("i_start"), F.col(end).alias("i_end"), *[F.col(v).alias(n) for v, n in zip(values, names, strict=True)])
-    hit = (F.col(by) == F.col("i_key")) & (F.col(time) >= F.col("i_start")) & (F.col("i_end").isNull() | (F.col(time) <= F.col("i_end")))
-    joined = points.join(i, hit, "left")
-    best = joined.groupBy(*points.columns).agg(F.max(F.struct("i_start", *names)).alias("best"))
-    return best.select(*points.columns, *[F.col(f"best.{n}").alias(v) for v, n in zip(values, names, strict=True)])
+    cell = lambda c: F.floor(F.unix_date(F.to_date(c)) / CELL)
+    asked = points.select(F.col(by).alias("p_key"), F.col(time).alias("p_time")).distinct().withColumn("p_cell", cell(F.col("p_time")))
+    reach = points.agg(F.max(time).alias("last_time"))
+    i = i.join(F.broadcast(reach)).where(F.col("i_start") <= F.col("last_time"))
+    until = F.least(F.coalesce("i_end", "last_time"), "last_time")
+    i = i.where(F.col("i_start") <= until).withColumn("i_cell", F.explode(F.sequence(cell(F.col("i_start")), cell(until)))).drop("last_time")
+    hit = (F.col("p_key") == F.col("i_key")) & (F.col("p_cell") == F.col("i_cell")) & (F.col("p_time") >= F.col("i_start")) & (F.col("i_end").isNull() | (F.col("p_time") <= F.col("i_end")))
+    best = asked.join(i, hit).groupBy("p_key", "p_time").agg(F.max(F.struct("i_start", *names)).alias("best"))
+    found = points.join(best, (F.col(by) == F.col("p_key")) & (F.col(time) == F.col("p_time")), "left")
+    return found.select(*points.columns, *[F.col(f"best.{n}").alias(v) for v, n in zip(values, names, strict=True)])
 
 
 def latest_per_key(df: DataFrame, keys: list[str], *priority: Column) -> DataFrame:

@@ -27,7 +27,8 @@ FIELD_ALIASES = {"cap": "total_mv", "market_cap": "total_mv"}
 
 @dataclass(frozen=True)
 class Function:
-    """build gets columns, and plain numbers where `numbers` says so. window: the argument that is a number of rows."""
+    """build gets columns, and plain numbers where `numbers` says so. window: the argument that is a number of rows. staged: build also
+    gets a function that makes intermediate columns."""
 
     build: Callable[..., Column]
     arity: tuple[int, ...]
@@ -35,6 +36,7 @@ class Function:
     window: int | None = None
     windowed: bool = True
     extra_rows: int = 0
+    staged: bool = False
 
 
 def _ts(build, columns: int = 1, **kw) -> Function:
@@ -81,10 +83,10 @@ FUNCTIONS: dict[str, Function] = {
     "ts_av_diff": _ts(f.ts_av_diff),
     "ts_zscore": _ts(f.ts_zscore),
     "decay_linear": _ts(f.decay_linear),
-    "ema": _ts(f.ema),
+    "ema": _ts(f.ema, staged=True),
     "product": _ts(f.product),
     "rsi": _ts(f.rsi, extra_rows=1),
-    "macd": Function(f.macd, (1, 3), (1, 2)),
+    "macd": Function(lambda x, *more: f.macd(x, *(more if len(more) == 3 else (12, 26, *more))), (1, 3), (1, 2), staged=True),
     "obv": Function(f.obv, (2,)),
     "boll_mid": _ts(f.ts_mean),
     "boll_upper": Function(lambda x, n, k=2.0: f.boll(x, n, k), (2, 3), (1, 2), 1),
@@ -291,6 +293,15 @@ class Plan:
                         c, level = self.column(a)
                         values.append(c)
                         at = max(at, level)
+                if fn.staged:
+                    key = ast.unparse(node)
+
+                    def staged(name: str, c: Column) -> Column:
+                        nonlocal at
+                        made, at = self.share(f"{name} of {key}", c, at)
+                        return made
+
+                    values.append(staged)
                 made = fn.build(*values)
                 return self.share(ast.unparse(node), made, at) if fn.windowed else (made, at)
         raise ExpressionError(f"not in the language: {ast.unparse(node)}")

@@ -113,3 +113,34 @@ def test_upsert_days_rewrites_late_rows(spark, tmp_path):
     write(make([(1, "2024-01-01 10:00:00", 1.0), (1, "2024-01-02 10:00:00", 2.0)]), 0)
     write(make([(1, "2024-01-01 11:00:00", 5.0), (1, "2024-01-01 09:00:00", 4.0)]), 1)
     assert sorted(r.value for r in spark.read.parquet(out).collect()) == [2.0, 5.0]
+
+
+def test_ema_is_a_recursion_over_all_rows(spark):
+    """A first value far above the rest, nulls, and more rows than a block."""
+    from sedgewren.plans import dsl
+
+    start = dt.date(2000, 1, 1)
+    series = {0: [1e9] + [0.0] * 40, 1: [None, 2.0, None, 3.0, 5.0], 2: [float(i % 7) for i in range(2000)], 3: [None, None]}
+    rows = [(c, start + dt.timedelta(i), v) for c, s in series.items() for i, v in enumerate(s)]
+    df = spark.createDataFrame(rows, "code int, trade_date date, x double")
+    got = {(r.code, r.trade_date): r for r in dsl.evaluate(df, {"e": "ema(x, 2)", "one": "ema(x, 1)", "m": "macd(x, 3, 6)"}).collect()}
+    for c, s in series.items():
+        e2 = e3 = e6 = last = None
+        for i, v in enumerate(s):
+            if v is not None:
+                step = lambda e, n: v if e is None else e + 2 / (n + 1) * (v - e)  # noqa: B023, E731
+                e2, e3, e6, last = step(e2, 2), step(e3, 3), step(e6, 6), v
+            r = got[c, start + dt.timedelta(i)]
+            if e2 is None:
+                assert r.e is None and r.one is None and r.m is None
+            else:
+                assert abs(r.e - e2) <= 1e-9 * abs(e2) and r.one == last and abs(r.m - (e3 - e6)) <= 1e-9 * max(abs(e3), abs(e6), 1e-3)
+    assert abs(got[0, start + dt.timedelta(20)].e - 1e9 / 3**20) < 1e-9
+
+
+def test_interval_lookup_keeps_repeated_points(spark):
+    d = dt.date.fromisoformat
+    points = spark.createDataFrame([(1, d("2020-01-05")), (1, d("2020-01-05")), (1, d("2019-01-01")), (None, d("2020-01-05")), (2, None)], "code int, trade_date date")
+    spans = spark.createDataFrame([(1, d("2010-01-01"), None, "old"), (1, d("2020-01-01"), d("2020-02-01"), "new"), (1, d("2020-01-01"), d("2019-01-01"), "none")], "code int, s date, e date, name string")
+    got = panel.interval_lookup(points, spans, "code", "trade_date", "s", "e", ["name"]).collect()
+    assert sorted(str(r.name) for r in got) == ["None", "None", "new", "new", "old"]
