@@ -60,11 +60,26 @@ def cluster_overlap(old: DataFrame, new: DataFrame, least: float = 0.5) -> DataF
     return scored.where(F.col("jaccard") >= least).select("old", "new", "common", "jaccard")
 
 
-def greedy_novelty(candidates: list[tuple[str, float]], dependency: dict[tuple[str, str], float], most: float = 0.75) -> list[str]:
-    """Accepts candidates best first if their dependency on every accepted one is below `most`. For the pair table of one library:
-    its size is that of the factor list, not of the data."""
-    accepted: list[str] = []
-    for name, _ in sorted(candidates, key=lambda c: (-c[1], c[0])):
-        if all(dependency.get((min(name, a), max(name, a)), 0.0) < most for a in accepted):
-            accepted.append(name)
-    return accepted
+def novel(candidates: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """Nodes that are accepted when candidates are taken best first and none may conflict with an accepted one. candidates: node, score;
+    conflicts: a, b (pairs whose dependency reaches its threshold, in any order); equal scores go by node.
+
+    The order is kept without a loop over candidates: a round accepts all whose better neighbours are all refused, and refuses the
+    neighbours of those. Rounds are as many as the longest chain of such decisions."""
+    order = F.struct((-F.col("score")).alias("score"), "node")
+    open_ = shared_checkpoint(candidates.select("node", order.alias("place")).distinct())
+    both = conflicts.select("a", "b").unionByName(conflicts.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct()
+    edges = both.join(open_.select(F.col("node").alias("a"), F.col("place").alias("at")), "a").join(open_.select(F.col("node").alias("b"), F.col("place").alias("above")), "b")
+    edges = shared_checkpoint(edges.where("above < at").select("a", "b"))  # b is better than a
+    accepted = None
+    while True:
+        waiting = edges.select(F.col("a").alias("node")).distinct()
+        now = shared_checkpoint(open_.join(waiting, "node", "left_anti").select("node"))
+        accepted = now if accepted is None else shared_checkpoint(accepted.unionByName(now))
+        refused = edges.join(now.withColumnRenamed("node", "b"), "b", "left_semi").select(F.col("a").alias("node")).distinct()
+        done = shared_checkpoint(now.unionByName(refused))
+        open_ = shared_checkpoint(open_.join(done, "node", "left_anti"))
+        gone = done.withColumnRenamed("node", "a")
+        edges = shared_checkpoint(edges.join(gone, "a", "left_anti").join(gone.withColumnRenamed("a", "b"), "b", "left_anti"))
+        if open_.isEmpty():
+            return accepted

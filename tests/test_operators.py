@@ -72,8 +72,9 @@ def test_components_and_novelty(spark):
     nodes = spark.range(8).withColumnRenamed("id", "node")
     edges = spark.createDataFrame([(5, 1), (1, 3), (6, 7)], "a long, b long")
     assert {r.node: r.root for r in graph.connected_components(nodes, edges).collect()} == {0: 0, 1: 1, 2: 2, 3: 1, 4: 4, 5: 1, 6: 6, 7: 6}
-    dep = {("a", "b"): 0.8, ("b", "c"): 0.1, ("a", "c"): 0.75}
-    assert graph.greedy_novelty([("a", 1.0), ("b", 2.0), ("c", 0.5)], dep) == ["b", "c"]
+    scores = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", 0.5)], "node string, score double")
+    conflicts = spark.createDataFrame([("a", "b"), ("c", "a")], "a string, b string")
+    assert sorted(r.node for r in graph.novel(scores, conflicts).collect()) == ["b", "c"]
 
 
 def test_scan_conform_and_csv(spark, tmp_path):
