@@ -1,6 +1,6 @@
 """Named queries over the driver's tables, with the equivalent SQL."""
 
-from . import factors, gates, panels, reports, status  # noqa: F401  these add to the queries of panels
+from . import audits, factors, gates, panels, reports, status  # noqa: F401  these add to the queries of panels
 
 QUERIES = {**factors.QUERIES, **panels.QUERIES}
 ORACLES = {**factors.ORACLES, **panels.ORACLES}

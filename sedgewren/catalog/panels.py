@@ -380,8 +380,8 @@ def a_trajectory(spark, sf):
 def w_executable_label(spark, sf):
     p = bars(spark, sf)
     days = panel.calendar(p)
-    entry = p.join(F.broadcast(days), "trade_date").select("code", (F.col("cal_idx") - 1).alias("cal_idx"), F.col("close").alias("entry"))
-    at = labels.forward_label(p, "close", 5, 1).join(F.broadcast(days), "trade_date").join(entry, ["code", "cal_idx"], "left")
+    entry = p.join(days, "trade_date").select("code", (F.col("cal_idx") - 1).alias("cal_idx"), F.col("close").alias("entry"))
+    at = labels.forward_label(p, "close", 5, 1).join(days, "trade_date").join(entry, ["code", "cal_idx"], "left")
     return at.select("code", "trade_date", F.round(labels.executable(F.col("label"), F.col("entry"), F.lit(4000.0)), 6).alias("label"))
 
 

@@ -239,6 +239,6 @@ def w_limit_label(spark, sf):
     """Labels, zero where the entry day's price is at that day's own upper limit."""
     p = panel.previous_close(bars(spark, sf)).withColumn("up_limit", F.col("pre_close") * (1 + panel.limit_rate(F.col("code").cast("string"), F.col("code") % 7 == 0)))
     days = panel.calendar(p)
-    entry = p.join(F.broadcast(days), "trade_date").select("code", (F.col("cal_idx") - 1).alias("cal_idx"), F.col("close").alias("entry"), "up_limit")
-    at = labels.forward_label(p, "close", 5, 1).join(F.broadcast(days), "trade_date").join(entry, ["code", "cal_idx"], "left")
+    entry = p.join(days, "trade_date").select("code", (F.col("cal_idx") - 1).alias("cal_idx"), F.col("close").alias("entry"), "up_limit")
+    at = labels.forward_label(p, "close", 5, 1).join(days, "trade_date").join(entry, ["code", "cal_idx"], "left")
     return rounded(at.select("code", "trade_date", labels.executable(F.col("label"), F.col("entry"), F.col("up_limit")).alias("label")), 6, "label")

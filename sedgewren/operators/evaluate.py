@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,19 +39,30 @@ def information(daily: DataFrame) -> DataFrame:
 
 
 def pairwise(df: DataFrame, factors: list[str], least: int = 10) -> DataFrame:
-    """Mean, 90th percentile and maximum of the absolute daily correlation of each pair, over one scan: all pairs of a date are
-    aggregates of the same group, so no row is multiplied."""
-    pairs = [(a, b) for i, a in enumerate(factors) for b in factors[i + 1 :]]
-
-    def corr(a: str, b: str) -> Column:
-        ok = F.col(a).isNotNull() & F.col(b).isNotNull()
-        x, y = F.when(ok, F.col(a)), F.when(ok, F.col(b))
-        return F.when((F.count(x) >= least) & (F.stddev_pop(x) > FLAT) & (F.stddev_pop(y) > FLAT), correlation(x, y))
-
-    daily = df.groupBy(DATE).agg(*[corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    long = daily.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("c")) for i, (a, b) in enumerate(pairs)])).alias("p"))
-    size = F.abs("p.c")
-    return long.groupBy("p.a", "p.b").agg(F.avg("p.c").alias("mean"), F.avg(size).alias("mean_abs"), F.percentile(size, F.lit(0.9)).alias("p90_abs"), F.max(size).alias("max_abs"), F.count("p.c").alias("days"))
+    """Mean, 90th percentile and maximum of the absolute daily correlation of each pair of factors.
+
+    A task takes a date's cross-section at a time, codes by factors, and finds all its correlations by four products of matrices, so
+    hundreds of factors are no more columns of a plan than five. Rows where one of a pair is missing are left out of that pair."""
+    names = np.array(factors)
+    first, second = np.triu_indices(len(names), 1)
+
+    def daily(rows: pa.Table) -> pa.Table:
+        x = np.column_stack([rows.column(c).to_numpy().astype(float) for c in factors])
+        known = ~np.isnan(x)
+        m = known.astype(float)
+        x = np.where(known, x - np.nan_to_num(np.nanmean(np.where(known.any(axis=0), x, 0.0), axis=0)), 0.0)
+        n = np.maximum(m.T @ m, 1)
+        sums, squares = x.T @ m, (x * x).T @ m  # of the row's factor, over rows that have the column's
+        var = np.maximum(squares / n - (sums / n) ** 2, 0)
+        cov = (x.T @ x) / n - (sums / n) * (sums / n).T
+        sd = np.sqrt(var)
+        ok = (n >= least) & (sd > FLAT) & (sd.T > FLAT)
+        c = np.where(ok, cov / np.where(ok, sd * sd.T, 1), np.nan)[first, second]
+        return pa.table({"a": names[first], "b": names[second], "c": pa.array(c, mask=np.isnan(c))})
+
+    long = df.select(DATE, *[F.col(c).cast("double").alias(c) for c in factors]).groupBy(DATE).applyInArrow(daily, "a string, b string, c double")
+    size = F.abs("c")
+    return long.groupBy("a", "b").agg(F.avg("c").alias("mean"), F.avg(size).alias("mean_abs"), F.percentile(size, F.lit(0.9)).alias("p90_abs"), F.max(size).alias("max_abs"), F.count("c").alias("days"))
 
 
 def coverage(df: DataFrame, dates: DataFrame, value: str, least: int) -> DataFrame:

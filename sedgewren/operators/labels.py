@@ -11,12 +11,10 @@ from .panel import CODE, DATE, calendar
 def forward_label(df: DataFrame, price: str, horizon: int, shift: int = 1) -> DataFrame:
     """price at calendar position T+shift+horizon over that at T+shift, less 1; null where the code did not trade on either day.
 
-    Positions are joined by index, which costs two equi-joins instead of a dense calendar-by-code grid."""
-    days = F.broadcast(calendar(df))
-    at = df.join(days, DATE).select(CODE, DATE, "cal_idx", price)
-    then = at.select(CODE, (F.col("cal_idx") - shift).alias("cal_idx"), F.col(price).alias("entry"))
-    later = at.select(CODE, (F.col("cal_idx") - shift - horizon).alias("cal_idx"), F.col(price).alias("exit"))
-    return at.join(then, [CODE, "cal_idx"], "left").join(later, [CODE, "cal_idx"], "left").select(CODE, DATE, (F.try_divide("exit", "entry") - 1).alias("label"))
+    Ranges of one calendar position find both prices within one sort by code, instead of joins of the panel with itself or a dense grid."""
+    at = df.join(calendar(df), DATE)
+    then = lambda days: F.max(price).over(Window.partitionBy(CODE).orderBy("cal_idx").rangeBetween(days, days))
+    return at.select(CODE, DATE, (F.try_divide(then(shift + horizon), then(shift)) - 1).alias("label"))
 
 
 def executable(label: Column, entry: Column, up_limit: Column) -> Column:

@@ -110,10 +110,11 @@ def calendar(df: DataFrame) -> DataFrame:
 
 
 def densify(df: DataFrame, dates: DataFrame, value: str) -> DataFrame:
-    """Every code on every calendar date within its life, the value carried forward. Dates come from a per-code range join."""
-    life = df.groupBy(CODE).agg(F.min(DATE).alias("first_date"), F.max(DATE).alias("last_date"))
-    days = dates.select(F.col(DATE).alias("day"))
-    grid = life.join(F.broadcast(days), F.col("day").between(F.col("first_date"), F.col("last_date"))).select(CODE, F.col("day").alias(DATE))
+    """Every code on every calendar date (cal_idx, trade_date) within its life, the value carried forward. A life is a range of calendar
+    positions, so the grid comes from equi-joins."""
+    days = dates.select("cal_idx", DATE)
+    life = df.select(CODE, DATE).join(days, DATE).groupBy(CODE).agg(F.min("cal_idx").alias("since"), F.max("cal_idx").alias("until"))
+    grid = life.select(CODE, F.explode(F.sequence("since", "until")).alias("cal_idx")).join(days, "cal_idx").select(CODE, DATE)
     w = Window.partitionBy(CODE).orderBy(DATE).rowsBetween(Window.unboundedPreceding, 0)
     return grid.join(df.select(CODE, DATE, value), [CODE, DATE], "left").withColumn("filled", F.last(value, ignorenulls=True).over(w))
 

@@ -185,6 +185,13 @@ def replay(scores: DataFrame, k: int, drop: int, cost: float) -> DataFrame:
         return pd.DataFrame(out, columns=["account", DATE, "holdings", "buys", "sells", "net", "value"])
 
     kind = scores.schema["account"].dataType.simpleString()
+    # A code that is never among a day's best 2 k + drop is never bought, so its rows need not reach the account's task.
+    best = Window.partitionBy("account", DATE).orderBy(F.col("score").desc_nulls_last(), CODE)
+    ever = scores.where(F.col("score").isNotNull()).select("account", DATE, CODE, F.row_number().over(best).alias("place")).where(F.col("place") <= 2 * k + drop)
+    wanted = scores.join(ever.select("account", CODE).distinct(), ["account", CODE], "left_semi")
+    # Every day of an account stays, by its best row, so that the days on which nothing is bought are told too.
+    days_kept = scores.groupBy("account", DATE).agg(F.min(F.struct(CODE, "score", "ret")).alias("r")).join(wanted.select("account", DATE).distinct(), ["account", DATE], "left_anti")
+    scores = wanted.select("account", DATE, CODE, "score", "ret").unionByName(days_kept.select("account", DATE, f"r.{CODE}", "r.score", "r.ret"))
     ordered = scores.select("account", DATE, CODE, "score", "ret").repartition("account").sortWithinPartitions("account", DATE, CODE)
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

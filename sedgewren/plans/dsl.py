@@ -22,7 +22,7 @@ ALIASES = {
     "delta": "ts_delta", "delay": "ts_shift", "ts_delay": "ts_shift", "correlation": "ts_corr", "covariance": "ts_cov", "ts_covariance": "ts_cov",
     "stddev": "ts_std", "ts_std_dev": "ts_std", "ts_arg_max": "ts_argmax", "ts_arg_min": "ts_argmin", "av_diff": "ts_av_diff", "wma": "decay_linear", "sma": "ts_mean",
 }
-FIELD_ALIASES = {"cap": "total_mv", "market_cap": "total_mv"}
+FIELD_ALIASES = {"cap": "total_mv", "market_cap": "total_mv", "margin_balance": "borrow_money_bal", "margin_buy_amount": "purch_borrow_money", "short_balance": "sec_lending_bal"}
 
 
 @dataclass(frozen=True)
@@ -241,6 +241,25 @@ def signature(text: str) -> str:
     return of(parse(text))
 
 
+def normalised(text: Column) -> Column:
+    """A column of expressions without blanks, in lower case."""
+    return F.lower(F.regexp_replace(text, r"\s+", ""))
+
+
+def shape(text: Column) -> Column:
+    """A column of expressions with # for every number that is an argument: what structural twins share."""
+    return F.regexp_replace(normalised(text), r"([(,])-?[0-9]+(\.[0-9]+)?", "$1#")
+
+
+def smoothness(text: Column) -> dict[str, Column]:
+    """How often a normalised expression smooths, branches, bends and multiplies."""
+    count = lambda p: F.regexp_count(text, F.lit(p)).cast("long")
+    return {
+        "smooth": count(r"(ts_mean|ts_rank|ts_zscore|decay_linear|ema|sma|wma)\("), "branches": count(r"where\("),
+        "nonlinear": count(r"(tanh|sigmoid|sign_power)\("), "products": count(r"\*"),
+    }
+
+
 class Plan:
     """Columns for expressions; windowed sub-expressions are named by level."""
 

@@ -53,3 +53,53 @@ def fingerprint(df: DataFrame, keys: list[str]) -> DataFrame:
     row = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("?")) for c in df.columns])
     content = F.sum(F.conv(F.substring(F.md5(row.cast("binary")), 1, 15), 16, 10).cast("decimal(38,0)"))
     return df.agg(F.count(F.lit(1)).alias("n"), *[F.min(k).alias(f"min_{k}") for k in keys], *[F.max(k).alias(f"max_{k}") for k in keys], content.alias("content"))
+
+
+def partitions_of(spark: SparkSession, path: str, column: str, values: list) -> DataFrame:
+    """A partitioned table's rows of these partitions; others are not listed as files to read."""
+    return spark.read.parquet(path).where(F.col(column).isin(values))
+
+
+def truncated(path: str, by: str, date: str, boundary: Column, spark: SparkSession) -> None:
+    """Drops rows at or after the boundary: only partitions that have any are rewritten, and those left empty are removed."""
+    df = spark.read.parquet(path)
+    touched = df.where(F.col(date) >= boundary).select(by).distinct()
+    kept = df.join(F.broadcast(touched), by, "left_semi").withColumn("late", F.col(date) >= boundary)
+    emptied = [r[0] for r in kept.groupBy(by).agg(F.min("late").alias("all_late")).where("all_late").select(by).collect()]  # names of partitions
+    rest = kept.where("NOT late").drop("late").checkpoint()
+    overwrite_partitions(rest, path, [by])
+    for value in emptied:
+        place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{by}={value}")
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def stale_keys(source: DataFrame, target: DataFrame, key: str, date: str) -> DataFrame:
+    """Keys whose target is missing or older than the source, with both dates: what an incremental build has to convert."""
+    s = source.groupBy(key).agg(F.max(date).alias("source_date"))
+    t = target.groupBy(key).agg(F.max(date).alias("target_date"))
+    return s.join(t, key, "left").where(F.col("target_date").isNull() | (F.col("target_date") < F.col("source_date")))
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """With a header, so that `read_csv` of the same schema gives the rows back."""
+    df.write.mode("overwrite").option("header", True).csv(path)
+
+
+def append_events(df: DataFrame, path: str) -> None:
+    df.write.mode("append").json(path)
+
+
+def first_available(df: DataFrame, candidates: dict[str, list[str]]) -> DataFrame:
+    """Each output column from the first of its candidates that the table has, null if it has none."""
+    return df.select(*[next((F.col(c) for c in cs if c in df.columns), F.lit(None)).alias(out) for out, cs in candidates.items()])
+
+
+def lenient_date(c: Column) -> Column:
+    """Days as 2024-01-31, 20240131 or 2024/1/31; null for anything else."""
+    plain = F.regexp_replace(F.trim(c.cast("string")), "^([0-9]{4})([0-9]{2})([0-9]{2})$", "$1-$2-$3")
+    return F.to_date(F.try_to_timestamp(F.regexp_replace(plain, "/", "-"), F.lit("yyyy-M-d")))
+
+
+def warm_up(start: Column, days: int = 400) -> Column:
+    """The first day to read so that long windows are full at `start`."""
+    return F.date_sub(start, days)

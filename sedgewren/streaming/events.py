@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import shared_checkpoint
+
 
 def read_stream(spark: SparkSession, folder: str, files: int = 1) -> DataFrame:
     schema = spark.read.parquet(folder).schema
@@ -38,22 +40,18 @@ def counter_delta(events: DataFrame, counter: str, cutoff: str) -> DataFrame:
 
 
 def upsert_days(path: str, key: list[str], order: str):
-    """A foreachBatch function: the batch's days are rewritten with the last row per key of what was there and the batch."""
+    """A foreachBatch function: the batch's days are rewritten with the last row per key of what was there and the batch, of equal
+    `order` values the one with the greatest values. What was there is kept aside in the shared folder while it is overwritten."""
 
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         batch = batch.withColumn("day", F.to_date("ts"))
-        try:
-            there = spark.read.parquet(path)
-        except Exception as e:  # the first batch
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            there = batch.limit(0)
-        days = batch.select("day").distinct()
-        both = there.join(F.broadcast(days), "day", "left_semi").unionByName(batch)
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        first = not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+        there = batch.limit(0) if first else spark.read.parquet(path)
+        both = there.join(batch.select("day").distinct(), "day", "left_semi").unionByName(batch)
         values = [c for c in both.columns if c not in (*key, "day")]
-        latest = both.groupBy("day", *key).agg(F.max_by(F.struct(*values), F.col(order)).alias("v")).select("day", *key, "v.*")
-        # Read before it is overwritten: the old days are kept aside by the checkpoint.
-        latest.checkpoint().write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+        latest = both.groupBy("day", *key).agg(F.max(F.struct(order, *[c for c in values if c != order])).alias("v")).select("day", *key, "v.*")
+        shared_checkpoint(latest).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
 
     return write

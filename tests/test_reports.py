@@ -5,7 +5,7 @@ from datetime import date, timedelta
 
 import pytest
 
-from sedgewren.operators import reports
+from sedgewren.operators import evaluate, graph, reports
 
 SCHEMA = "account long, trade_date date, code long, score double, ret double"
 
@@ -54,3 +54,63 @@ def test_tie_evidence(spark):
     r = reports.tie_evidence(df, "score", 4).first()
     assert (r.boundary, r.above, r.tied, r.slots) == (5.0, 2, 3, 2)
     assert reports.tie_evidence(df, "score", 8).count() == 0
+
+
+def plain_linkage(nodes, dist, most):
+    clusters = [{n} for n in nodes]
+    while True:
+        best = None
+        for i in range(len(clusters)):
+            for j in range(i):
+                pairs = [dist.get((min(a, b), max(a, b))) for a in clusters[i] for b in clusters[j]]
+                if None not in pairs and max(pairs) <= most and (best is None or max(pairs) < best[0]):
+                    best = (max(pairs), i, j)
+        if best is None:
+            return {n: min(c) for c in clusters for n in c}
+        clusters[best[2]] |= clusters.pop(best[1])
+
+
+def test_complete_linkage(spark):
+    rng = random.Random(9)
+    nodes = list(range(14))
+    dist = {(a, b): rng.random() for a in nodes for b in nodes if a < b and rng.random() < 0.9}
+    df = spark.createDataFrame([(b, a, d) for (a, b), d in dist.items()], "a int, b int, d double")
+    got = {r.node: r.cluster for r in graph.complete_linkage(spark.createDataFrame([(n,) for n in nodes], "node int"), df, 0.6).collect()}
+    assert got == plain_linkage(nodes, dist, 0.6) and 3 < len(set(got.values())) < 14
+
+
+def test_linkage_query_against_a_plain_loop(spark, sf, duck):
+    from sedgewren import catalog
+
+    x = dict(duck.sql("SELECT n_nationkey, coalesce(avg(c_acctbal), 0) FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1").fetchall())
+    got = {r.node: r.cluster for r in catalog.QUERIES["r_complete_linkage"](spark, sf).collect()}
+    assert got == plain_linkage(sorted(x), {(a, b): abs(x[a] - x[b]) for a in x for b in x if a < b}, 500.0)
+
+
+def test_structure_of_expressions(spark, sf):
+    from sedgewren import catalog
+
+    got = {r.name: (r.fields, r.depth, r.lookback, r.signature) for r in catalog.QUERIES["e_structure"](spark, sf).collect()}
+    assert got["d33_ts_corr"] == ("close,volume", 1, 9, "ts_corr(close,volume)")
+    assert got["d29_ts_delta"] == ("close", 1, 3, "ts_delta(close)")
+    assert got["d05_scale"] == ("close", 1, 0, "close")
+    assert got["d03_group_rank"][0] == "close,region" and got["d50_adv"][:3] == ("volume", 0, 4)
+
+
+def test_pairwise_with_missing_values(spark):
+    rng, rows = random.Random(2), []
+    for d in range(4):
+        for code in range(25):
+            x = rng.gauss(0, 1)
+            rows.append((date(2020, 1, 1 + d), code, x, None if rng.random() < 0.2 else x + rng.gauss(0, 1), 1e9 + rng.random() if d else 7.0, None))
+    got = {(r.a, r.b): r for r in evaluate.pairwise(spark.createDataFrame(rows, "trade_date date, code int, p double, q double, r double, s double"), ["p", "q", "r", "s"]).collect()}
+    for (a, i), (b, j) in [(("p", 2), ("q", 3)), (("q", 3), ("r", 4)), (("p", 2), ("r", 4))]:
+        daily = []
+        for d in range(4):
+            both = [(r[i], r[j]) for r in rows if r[0].day == d + 1 and r[i] is not None and r[j] is not None]
+            mx, my = (sum(v) / len(both) for v in zip(*both))
+            sx, sy = (sum((v[k] - m) ** 2 for v in both) for k, m in ((0, mx), (1, my)))
+            if min(sx, sy) > 0:
+                daily.append(sum((u - mx) * (v - my) for u, v in both) / (sx * sy) ** 0.5)
+        assert got[a, b].days == len(daily) and abs(got[a, b].mean - sum(daily) / len(daily)) < 1e-6
+    assert got["p", "s"].days == 0 and got["p", "s"].mean is None
