@@ -144,3 +144,26 @@ def tolerant_diff(a: DataFrame, b: DataFrame, keys: list[str], values: list[str]
 
     fields = F.explode(F.array(*[F.struct(F.lit(v).alias("field"), outcome(v).alias("outcome")) for v in values]))
     return both.select(fields.alias("x")).groupBy("x.field", "x.outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+def adjusted_once(df: DataFrame, columns: list[str], factor: str, done: str) -> DataFrame:
+    """Columns times the factor where `done` does not say that they are adjusted already."""
+    return df.withColumns({c: F.when(F.col(done), F.col(c)).otherwise(F.col(c) * F.col(factor)) for c in columns})
+
+
+def backfilled(base: DataFrame, fill: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """base with missing values from `fill` (one row a key), and where each comes from."""
+    both = base.join(fill.select(*keys, F.col(value).alias("fill_value")), keys, "left")
+    origin = F.when(F.col(value).isNotNull(), "there").when(F.col("fill_value").isNotNull(), "backfilled").otherwise("missing")
+    return both.select(*[c for c in base.columns if c != value], F.coalesce(value, "fill_value").alias(value), origin.alias("origin"))
+
+
+def kind_by_tokens(text: Column, kinds: dict[str, list[str]], other: str, short: int = 3) -> Column:
+    """The first kind with a token in the lower-cased text; tokens of up to `short` characters must stand as words of their own."""
+    out = F.lit(other)
+    for kind, tokens in reversed(kinds.items()):
+        hit = F.lit(False)
+        for t in tokens:
+            hit = hit | (F.rlike(text, F.lit(f"(^|[^a-z0-9]){t}([^a-z0-9]|$)")) if len(t) <= short else F.contains(text, F.lit(t)))
+        out = F.when(hit, kind).otherwise(out)
+    return out
