@@ -5,7 +5,7 @@
 2. No radius of a SimHash stands for a similarity: at 0.8 about 15 % of the bits differ, more in short texts. So all sets of shingles
    also meet by prefixes: in one order, shingles that are common in a sample last, two sets with a similarity of t or more share one
    of the first n - ceil(t * n) + 1 of each (n its size), and where they share their first one, enough are left in both to reach the
-   overlap that t needs. A bucket's members of different components are compared with two of its members, then, as far as components
+   overlap that t needs. A bucket's members are compared with the most typical one of about their size, then, as far as components
    still differ, with each other, large buckets as pairs of blocks.
 3. Whatever meets is compared in full, by the sets of both whole texts, and linked at the similarity or more.
 
@@ -33,6 +33,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 SAMPLE, COMMON = 16, 100_000
 #: Rows of one shingle, as the sample tells, that are dealt to one task; more are salted.
 SALT_ROWS = 100_000
+#: Ratio of the largest to the smallest size of a scale.
+SCALE = 1.6
 #: Members of a bucket that are compared at once.
 GROUP = 2048
 #: Keeps a product that should be a whole number from being rounded up.
@@ -179,31 +181,31 @@ def covered(rows: DataFrame) -> DataFrame:
     return same.unionByName(apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
 
 
+def starred(shared: DataFrame, similarity: float, shift: float) -> DataFrame:
+    """Pairs a, b of each member of a bucket with the most typical one of about its size: the one with the fewest shingles rarer than
+    the bucket's. In a group of near copies that is the text that they were made from, or nearly, so one such pair each links most."""
+    rows = shared.withColumn("scale", F.floor(F.log(F.col("n").cast("double")) / math.log(SCALE) + shift).cast("int"))
+    hubs = rows.groupBy(F.col("h").alias("of"), F.col("scale").alias("at")).agg(F.min(F.struct("pos", "node", "n")).alias("hub"), F.count(F.lit(1)).alias("k"))
+    hubs = written(hubs.where("k > 1").drop("k"))
+    found = rows.join(hubs, (F.col("h") == F.col("of")) & (F.col("scale") == F.col("at"))).where("node != hub.node")
+    found = found.where(can_reach(F.struct("n", "pos"), F.col("hub"), similarity))
+    return found.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
+
+
 def links(rows: DataFrame, similarity: float, size: int, group: int = GROUP) -> DataFrame:
     """Edges a, b between nodes (columns node, text, fp) whose components are those of all similar pairs."""
     texts = rows.select("node", "text")
-    edges = verified(covered(rows), texts, similarity, size)
     shared = written(shared_prefixes(texts, similarity, size))
-
-    def members(edges: DataFrame) -> DataFrame:
-        """Members of buckets with more than one component, and the buckets' numbers of members."""
-        roots = cut(components(edges).withColumnRenamed("node", "key"))
-        named = shared.join(roots, F.col("node") == F.col("key"), "left").select("h", F.coalesce("root", "node").alias("root"), "node", "n", "pos")
-        whole = F.struct("root", "node", "n", "pos")
-        mixed = named.groupBy(F.col("h").alias("of")).agg(F.count(F.lit(1)).alias("members"), F.min(whole).alias("low"), F.max(whole).alias("high"))
-        mixed = cut(mixed.where("low.root < high.root"))
-        return written(named.join(mixed, F.col("h") == F.col("of")).drop("of"))
-
-    found = members(edges)
-    member = F.struct("n", "pos")
-    stars = [
-        found.where((F.col("root") != F.col(f"{hub}.root")) & can_reach(member, F.col(hub), similarity)).select(F.least("node", f"{hub}.node").alias("a"), F.greatest("node", f"{hub}.node").alias("b"))
-        for hub in ("low", "high")
-    ]
-    edges = edges.unionByName(verified(stars[0].unionByName(stars[1]), texts, similarity, size))
+    # Sizes are dealt to scales in two ways, half a scale apart, so that similar texts are of one scale in one of them.
+    pairs = covered(rows).unionByName(starred(shared, similarity, 0.0)).unionByName(starred(shared, similarity, 0.5))
+    edges = verified(pairs, texts, similarity, size)
+    roots = cut(components(edges).withColumnRenamed("node", "key"))
+    members = written(shared.join(roots, F.col("node") == F.col("key"), "left").select("h", F.coalesce("root", "node").alias("root"), "node", "n", "pos"))
+    mixed = members.groupBy(F.col("h").alias("of")).agg(F.count(F.lit(1)).alias("members"), F.min("root").alias("least"), F.max("root").alias("most"))
     blocks = F.when(F.col("members") > group, F.ceil(F.col("members") / max(1, group // 2))).otherwise(1).cast("int")
+    mixed = cut(mixed.where("least < most").select("of", blocks.alias("blocks")))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = members(edges).withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = members.join(mixed, F.col("h") == F.col("of")).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     # A hash names the pair of blocks; pairs that share one by chance only cost comparisons.
     keyed = dealt.select(F.xxhash64("h", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "root", "node", "n", "pos")
     return edges.unionByName(verified(met_in_buckets(keyed, similarity), texts, similarity, size))

@@ -111,3 +111,23 @@ def test_empty_table(spark, folder, tmp_path):
     spark.read.parquet(f"{out}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
     assert quality.fit(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet")) is not None
+
+
+def test_odd_rows_and_names(spark, folder, tmp_path):
+    """Repeated rows, rows without an id, a very long text and extra columns named like results: every stage keeps the columns' values."""
+    out, docs, _ = folder
+    rows = [(*d, "mine", d[0], i) for i, d in enumerate(list(docs.values())[:60])]
+    long = " ".join(f"long{i % 977} and{i}." for i in range(60_000)).capitalize()
+    rows += [rows[0], rows[0], (None, rows[3][1] + " Once more.", "en", "src1", 1, "mine", 7, 900), (5000, long, "en", "src2", len(long), "mine", 8, 901)]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, kept string, component_id long, node int"
+    table = spark.createDataFrame(rows, kinds)
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        got = stage(spark, table, out)
+        assert got.columns == table.columns
+        got.write.parquet(f"{tmp_path}/{i}")
+        table = spark.read.parquet(f"{tmp_path}/{i}")
+        assert {tuple(r) for r in table.collect()} <= set(rows) and table.count() > 0
+        if i == 1:
+            ids = [r.doc_id for r in table.collect()]
+            assert len(ids) == len(set(ids))
+    assert corpus_pipeline.encode(spark, table, out).count() == table.count()
