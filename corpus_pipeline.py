@@ -16,26 +16,41 @@ from sedgewren.llm import exact, mixing, pieces, quality, queries, similar
 from sedgewren.llm.common import WRITTEN, remove, shared_folder
 
 
+def renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with names that no operator's results have, and these names; `restored` gives the old ones back."""
+    names = {c: f"doc_{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def restored(out: DataFrame, names: dict[str, str]) -> DataFrame:
+    return out.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the quality classifier accepts."""
     model = quality.fit(docs, queries.table(spark, sf_dir, "labels"))
-    return quality.quality_classifier(docs, model, carry=docs.columns).where("kept").select(*docs.columns)
+    plain, at = renamed(docs)
+    return restored(quality.quality_classifier(plain, model, F.col(at["source"]), F.col(at["lang"]), at["text"]).where("kept"), at)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of every group of equal texts."""
-    return exact.exact_dedup(docs).where("kept").select(*docs.columns)
+    plain, at = renamed(docs)
+    return restored(exact.exact_dedup(plain, at["doc_id"], at["text"]).where("kept"), at)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of every group of near copies: SimHash candidates and an exact join, five-word shingles, a
     similarity of 0.8 or more."""
-    return similar.near_copies(docs, carry=docs.columns).where("kept").select(*docs.columns)
+    plain, at = renamed(docs)
+    return restored(similar.near_copies(plain, at["doc_id"], at["text"], carry=plain.columns).where("kept"), at)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The chosen documents, once per epoch in which they are chosen."""
-    return mixing.mix(docs, queries.tree()).select(*docs.columns)
+    plain, at = renamed(docs)
+    tree = {"domain": queries.domain(F.col(at["source"])), "lang": F.col(at["lang"]), "source": F.col(at["source"])}
+    return restored(mixing.mix(plain, tree, id_col=at["doc_id"], text_col=at["text"]), at)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
