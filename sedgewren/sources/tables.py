@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.graph import shared_checkpoint
+
 
 def scan(spark: SparkSession, path: str, columns: list[str] | None = None, predicate: Column | None = None) -> DataFrame:
     """Parquet with the wanted columns that exist, NaN read as null; predicate and projection reach the scan."""
@@ -66,7 +68,7 @@ def truncated(path: str, by: str, date: str, boundary: Column, spark: SparkSessi
     touched = df.where(F.col(date) >= boundary).select(by).distinct()
     kept = df.join(F.broadcast(touched), by, "left_semi").withColumn("late", F.col(date) >= boundary)
     emptied = [r[0] for r in kept.groupBy(by).agg(F.min("late").alias("all_late")).where("all_late").select(by).collect()]  # names of partitions
-    rest = kept.where("NOT late").drop("late").checkpoint()
+    rest = shared_checkpoint(kept.where("NOT late").drop("late"))  # kept aside while the table is overwritten
     overwrite_partitions(rest, path, [by])
     for value in emptied:
         place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{by}={value}")
