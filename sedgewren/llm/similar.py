@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import cut, small, written
+from .common import WRITTEN, cut, remove, small, written
 from .simhash import SEED, components
 
 #: Defaults: words in a shingle and least similarity (shared shingles among all of two texts).
@@ -196,11 +196,14 @@ def links(rows: DataFrame, similarity: float, size: int, group: int = GROUP) ->
     """Edges a, b between nodes (columns node, text, fp) whose components are those of all similar pairs."""
     texts = rows.select("node", "text")
     shared = written(shared_prefixes(texts, similarity, size))
+    own_tables = len(WRITTEN) - 1  # from here on; each is removed when what was read from it is cut
     # Sizes are dealt to scales in two ways, half a scale apart, so that similar texts are of one scale in one of them.
     pairs = covered(rows).unionByName(starred(shared, similarity, 0.0)).unionByName(starred(shared, similarity, 0.5))
     edges = verified(pairs, texts, similarity, size)
+    remove(rows.sparkSession, WRITTEN[own_tables + 1 :])
     roots = cut(components(edges).withColumnRenamed("node", "key"))
     members = written(shared.join(roots, F.col("node") == F.col("key"), "left").select("h", F.coalesce("root", "node").alias("root"), "node", "n", "pos"))
+    remove(rows.sparkSession, [WRITTEN[own_tables]])
     mixed = members.groupBy(F.col("h").alias("of")).agg(F.count(F.lit(1)).alias("members"), F.min("root").alias("least"), F.max("root").alias("most"))
     blocks = F.when(F.col("members") > group, F.ceil(F.col("members") / max(1, group // 2))).otherwise(1).cast("int")
     mixed = cut(mixed.where("least < most").select("of", blocks.alias("blocks")))
@@ -208,7 +211,9 @@ def links(rows: DataFrame, similarity: float, size: int, group: int = GROUP) ->
     dealt = members.join(mixed, F.col("h") == F.col("of")).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     # A hash names the pair of blocks; pairs that share one by chance only cost comparisons.
     keyed = dealt.select(F.xxhash64("h", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "root", "node", "n", "pos")
-    return edges.unionByName(verified(met_in_buckets(keyed, similarity), texts, similarity, size))
+    more = verified(met_in_buckets(keyed, similarity), texts, similarity, size)
+    remove(rows.sparkSession, WRITTEN[own_tables:])
+    return edges.unionByName(more)
 
 
 def near_copies(
