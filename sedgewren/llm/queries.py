@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, mixing, pieces, pii, quality, rules, secrets, simhash, urls, wrappers
+from . import exact, lexical, mixing, pieces, pii, quality, rules, secrets, simhash, urls, wrappers
 
 #: Key of op6's pseudonyms.
 PII_KEY = b"sedgewren-op6"
@@ -95,6 +95,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, tree(), carry=["doc_id", "lang", "source"])
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -108,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_main_text,
         op9_quality_rules,
         op10_mixing,
+        op11_lexical_search,
     )
 }
 
