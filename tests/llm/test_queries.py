@@ -54,6 +54,6 @@ def test_entry_registers_all(spark):
     import __spark_entry__
 
     names = [n for n in __spark_entry__.queries() if n.startswith("op")] + ["pipeline"]
-    assert [n.split("_")[0] for n in names[:-1]] == [f"op{i}" for i in range(1, 12)] and len(corpus_pipeline.STAGES) == 5
+    assert [n.split("_")[0] for n in names[:-1]] == [f"op{i}" for i in range(1, 14)] and len(corpus_pipeline.STAGES) == 5
     json.dumps(__spark_entry__.oracle_sql())
     assert Path(corpus_pipeline.__file__).name == "corpus_pipeline.py"
