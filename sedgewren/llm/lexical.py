@@ -208,32 +208,35 @@ def walk(lists: list[tuple[Postings, int]], norms: np.ndarray, top: int, floor:
     base = np.arange(len(lists), dtype=np.int64) << 32
     keys = np.repeat(base, counts) | lasts
     most = np.maximum.reduceat(bounds, begin)
+    # A block that may not be skipped is unpacked and added to the sums once; a range is complete when all blocks over it are.
+    sums, added = np.zeros(len(norms), np.int64), np.zeros(len(keys), bool)
     threshold, here = max(0, floor - 1), 0
     while True:
-        at = np.searchsorted(keys, base | here)
+        at = keys.searchsorted(base | here)
         low = np.maximum(firsts[at], here)
-        order = np.argsort(low, kind="stable")
-        reach = np.searchsorted(np.cumsum(most[order]), threshold, "right")
+        order = low.argsort(kind="stable")
+        reach = int(most[order].cumsum().searchsorted(threshold, "right"))
         if reach == len(order) or (pivot := int(low[order[reach]])) == END:
             return places, scores
-        at = np.searchsorted(keys, base | pivot)  # shallow: only the block table is read
+        at = keys.searchsorted(base | pivot)  # shallow: only the block table is read
         low = firsts[at]
         on = low <= pivot
-        end = int(lasts[at[on]].min())
-        if not on.all():
+        over = at[on]
+        end = int(lasts[over].min())
+        if len(over) < len(at):
             end = min(end, int(low[~on].min()) - 1)
         here = end + 1
-        if int(bounds[at[on]].sum()) <= threshold:
+        if int(bounds[over].sum()) <= threshold:
             continue
-        sums = np.zeros(end - pivot + 1, np.int64)
-        for i in np.flatnonzero(on).tolist():
-            postings, weight = lists[i]
-            docs, values = postings.block(int(at[i] - begin[i]), norms)
-            a, b = np.searchsorted(docs, (pivot, here))
-            sums[docs[a:b] - pivot] += weight * values[a:b]
-        better = np.flatnonzero(sums > threshold)
-        if len(better):
-            places, scores = np.r_[places, better + pivot], np.r_[scores, sums[better]]
+        if not added[over].all():
+            for i in np.flatnonzero(on & ~added[at]).tolist():
+                docs, values = lists[i][0].block(int(at[i] - begin[i]), norms)
+                sums[docs] += lists[i][1] * values
+            added[over] = True
+        found = sums[pivot:here]
+        if int(found.max()) > threshold:
+            better = np.flatnonzero(found > threshold)
+            places, scores = np.concatenate([places, better + pivot]), np.concatenate([scores, found[better]])
             if len(places) >= top:
                 best = np.lexsort((places, -scores))[:top]
                 places, scores = places[best], scores[best]
