@@ -108,14 +108,6 @@ def a_coverage_summary(spark, sf):
     return c.agg(F.min("valid").alias("least"), F.median("valid").alias("middle"), F.max("valid").alias("most"), F.count(F.lit(1)).alias("dates"))
 
 
-@query(f"""WITH {PANEL}, s AS (SELECT code, trade_date, {rank('close')} AS a, {rank('volume')} AS b FROM panel) SELECT round(covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)), 6) AS pooled, count(*) AS n FROM s""")
-def a_pooled_rank(spark, sf):
-    from ..functions import factor
-
-    p = bars(spark, sf).select(factor.rank(F.col("close")).alias("a"), factor.rank(F.col("volume")).alias("b"))
-    return rounded(reports.pooled_correlation(p, "a", "b"), 6, "pooled")
-
-
 # Lookups, snapshots, events.
 
 

@@ -24,7 +24,7 @@ def metrics(spark, sf):
 
 
 def clip(x: str, zero: float, full: float) -> str:
-    return f"coalesce(greatest(0.0::DOUBLE, least(100.0::DOUBLE, ({x} - {zero}::DOUBLE) / ({full}::DOUBLE - {zero}::DOUBLE) * 100)), 0.0)"
+    return f"CASE WHEN {x} IS NULL THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, least(100.0::DOUBLE, ({x} - {zero}::DOUBLE) / ({full}::DOUBLE - {zero}::DOUBLE) * 100)) END"
 
 
 DEEP = "d AS (SELECT *, annual < 0 OR sharpe < 0 AS loss, CASE WHEN overfit IS NULL OR rolling IS NULL THEN 0.0::DOUBLE ELSE quick * 0.55::DOUBLE + overfit * 0.15::DOUBLE + rolling * 0.20::DOUBLE + adversarial * 0.10::DOUBLE END AS total FROM m), e AS (SELECT *, CASE WHEN loss THEN least(total, 59.9::DOUBLE) ELSE total END AS deep FROM d)"

@@ -486,7 +486,7 @@ def z_order_preview(spark, sf):
 
 
 def _clip(x: str, zero: str, full_: str) -> str:
-    return f"coalesce(greatest(0.0::DOUBLE, least(100.0::DOUBLE, ({x} - {zero}) / ({full_} - {zero}) * 100)), 0.0)"
+    return f"CASE WHEN {x} IS NULL THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, least(100.0::DOUBLE, ({x} - {zero}) / ({full_} - {zero}) * 100)) END"
 
 
 @query(f"""WITH m AS (SELECT p_partkey, (p_partkey % 13 - 6) / 100.0::DOUBLE AS ic, (p_partkey % 17 - 8) / 10.0::DOUBLE AS ir, (p_partkey % 23 - 5) / 50.0::DOUBLE AS annual, (p_partkey % 11 - 2) / 4.0::DOUBLE AS sharpe, -(p_partkey % 50) / 100.0::DOUBLE AS drawdown, (p_partkey % 70) / 100.0::DOUBLE AS turnover, (p_partkey % 5) / 4.0::DOUBLE AS monotone, 0.5::DOUBLE + (p_partkey % 6) / 10.0::DOUBLE AS coverage FROM part),

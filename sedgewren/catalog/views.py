@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -13,12 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+def panel(spark: SparkSession, sf_dir: str, day: Column | None = None) -> DataFrame:
     """Daily panel: a supplier is a security, its lines of one day are a bar. Prices are net of FEE, which also keeps them off the
     short decimals whose rounding engines disagree about."""
     lines = table(spark, sf_dir, "lineitem")
     unit = F.col("l_extendedprice") / (F.col("l_quantity") * FEE)
-    bars = lines.groupBy(F.col("l_suppkey").alias("code"), F.to_date("l_shipdate").alias("trade_date")).agg(
+    bars = lines.groupBy(F.col("l_suppkey").alias("code"), (F.to_date("l_shipdate") if day is None else day).alias("trade_date")).agg(
         F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("amount"),
         F.sum("l_quantity").alias("volume"),
         F.max(unit).alias("high"),
@@ -28,6 +28,11 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars.withColumn("close", F.col("amount") / (F.col("volume") * FEE))
 
 
+def weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel with a bar a week: most securities have one, so that labels and cross-sections are dense."""
+    return panel(spark, sf_dir, F.to_date(F.date_trunc("week", "l_shipdate")))
+
+
 def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Security to region."""
     return table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(
@@ -45,6 +50,7 @@ PANEL = f"""panel AS (
                CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS DOUBLE) AS amount, sum(l_quantity) AS volume,
                max(l_extendedprice / (l_quantity * {FEE}::DOUBLE)) AS high, min(l_extendedprice / (l_quantity * {FEE}::DOUBLE)) AS low, max(l_discount) AS discount
         FROM lineitem GROUP BY 1, 2))"""
+WEEKLY = PANEL.replace("CAST(l_shipdate AS DATE)", "CAST(date_trunc('week', l_shipdate) AS DATE)")
 GROUPED = PANEL + """, grouped AS (
     SELECT p.*, n_regionkey AS region FROM panel p JOIN supplier ON code = s_suppkey JOIN nation ON s_nationkey = n_nationkey)"""
 

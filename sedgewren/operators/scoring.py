@@ -10,7 +10,7 @@ from .panel import CODE, DATE
 
 def ramp(x: Column, zero: float, full: float) -> Column:
     """0 at `zero`, 100 at `full`, linear between and clipped; null counts as 0."""
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(100.0), (x - zero) / (full - zero) * 100)), F.lit(0.0))
+    return F.when(x.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(100.0), (x - zero) / (full - zero) * 100)))
 
 
 #: Weights of the quick score's components.
