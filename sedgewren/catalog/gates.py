@@ -30,26 +30,6 @@ def clip(x: str, zero: float, full: float) -> str:
 DEEP = "d AS (SELECT *, annual < 0 OR sharpe < 0 AS loss, CASE WHEN overfit IS NULL OR rolling IS NULL THEN 0.0::DOUBLE ELSE quick * 0.55::DOUBLE + overfit * 0.15::DOUBLE + rolling * 0.20::DOUBLE + adversarial * 0.10::DOUBLE END AS total FROM m), e AS (SELECT *, CASE WHEN loss THEN least(total, 59.9::DOUBLE) ELSE total END AS deep FROM d)"
 
 
-@query(f"""WITH {SQL_METRICS}, {DEEP} SELECT k, round(deep, 3) AS deep, CASE WHEN loss THEN 'C' WHEN total >= 85 THEN 'A' WHEN total >= 70 THEN 'B' WHEN total >= 55 THEN 'C' ELSE 'D' END AS deep_grade FROM e""")
-def g_deep_score(spark, sf):
-    return rounded(gates.deep_score(metrics(spark, sf)), 3, "deep").select("k", "deep", "deep_grade")
-
-
-@query(f"""WITH {SQL_METRICS}, s AS (SELECT k, stability * 0.30::DOUBLE + stress * 0.25::DOUBLE + placebo * 0.25::DOUBLE + half_life * 0.20::DOUBLE AS s, (stability + stress + placebo + half_life) / 4 AS a FROM m)
-SELECT k, round(s, 3) AS anti_score, CASE WHEN s >= 80 THEN 'recommended' WHEN s >= 60 THEN 'cautious' WHEN s >= 40 THEN 'needs improvement' ELSE 'not recommended' END AS recommendation, s < 50 AS veto, round(a, 3) AS adversarial_score, a >= 60 AS adversarial_passed FROM s""")
-def g_anti_overfit(spark, sf):
-    df = gates.adversarial(gates.anti_overfit(metrics(spark, sf)), ["stability", "stress", "placebo", "half_life"])
-    return rounded(df, 3, "anti_score", "adversarial_score").select("k", "anti_score", "recommendation", "veto", "adversarial_score", "adversarial_passed")
-
-
-@query(f"""WITH {SQL_METRICS}, {DEEP}, r AS (SELECT k, CASE WHEN deep < 80 THEN 'deep' END AS a, CASE WHEN abs(ic) < 0.02 THEN 'ic' END AS b, CASE WHEN abs(ir) < 0.30 THEN 'ir' END AS c, CASE WHEN overfit IS NULL THEN 'no_anti' END AS d,
-CASE WHEN rolling IS NULL THEN 'no_rolling' END AS e, CASE WHEN pearson >= 0.75 OR rank >= 0.80 OR p90_pearson >= 0.70 OR coalesce(p90_rank >= 0.75, false) THEN 'novelty' END AS f FROM e) SELECT k, concat_ws(',', a, b, c, d, e, f) AS reasons, concat_ws(',', a, b, c, d, e, f) = '' AS passed FROM r""")
-def g_admission(spark, sf):
-    df = gates.deep_score(metrics(spark, sf))
-    rules = {"deep": F.col("deep") < gates.ADMISSION["deep"], "ic": F.abs("ic") < gates.ADMISSION["ic"], "ir": F.abs("ir") < gates.ADMISSION["ir"], "no_anti": F.col("overfit").isNull(), "no_rolling": F.col("rolling").isNull(), "novelty": gates.novelty_veto(df)}
-    return scoring.vetoes(df, rules).select("k", "reasons", "passed")
-
-
 LIFE = f"""{DEEP.replace('FROM m)', 'FROM m0)')}, l AS (SELECT *, quick >= 70 AND abs(ic) >= 0.02 AND abs(ir) >= 0.30 AS base, deep < 70 OR quick < 55 OR abs(ic) < 0.01 OR abs(ir) < 0.15 AS weak FROM e),
 a AS (SELECT *, CASE WHEN k % 29 = 0 THEN CASE WHEN status = 'active' THEN 'exit_candidate' ELSE 'keep_retired' END WHEN k % 5 = 0 AND quick >= 70 THEN 'direction_review' WHEN status = 'active' AND base AND deep >= 79.5 THEN 'keep_active'
 WHEN status = 'active' AND weak THEN 'exit_candidate' WHEN status = 'active' THEN 'active_review' WHEN base AND deep >= 80 AND k % 7 = 0 THEN 'policy_review' WHEN base AND deep >= 80 THEN 'restore_candidate' ELSE 'keep_retired' END AS advice FROM l)"""

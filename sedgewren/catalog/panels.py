@@ -485,20 +485,6 @@ def z_order_preview(spark, sf):
     return rounded(scoring.order_preview(t, h, 1_000_000), 4, "notional")
 
 
-def _clip(x: str, zero: str, full_: str) -> str:
-    return f"CASE WHEN {x} IS NULL THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, least(100.0::DOUBLE, ({x} - {zero}) / ({full_} - {zero}) * 100)) END"
-
-
-@query(f"""WITH m AS (SELECT p_partkey, (p_partkey % 13 - 6) / 100.0::DOUBLE AS ic, (p_partkey % 17 - 8) / 10.0::DOUBLE AS ir, (p_partkey % 23 - 5) / 50.0::DOUBLE AS annual, (p_partkey % 11 - 2) / 4.0::DOUBLE AS sharpe, -(p_partkey % 50) / 100.0::DOUBLE AS drawdown, (p_partkey % 70) / 100.0::DOUBLE AS turnover, (p_partkey % 5) / 4.0::DOUBLE AS monotone, 0.5::DOUBLE + (p_partkey % 6) / 10.0::DOUBLE AS coverage FROM part),
-s AS (SELECT *, {_clip('abs(ic)', '0.0::DOUBLE', '0.06::DOUBLE')} * 0.2::DOUBLE + {_clip('abs(ir)', '0.0::DOUBLE', '0.6::DOUBLE')} * 0.2::DOUBLE + {_clip('annual', '0.0::DOUBLE', '0.3::DOUBLE')} * 0.1::DOUBLE + {_clip('sharpe', '0.0::DOUBLE', '2.0::DOUBLE')} * 0.1::DOUBLE + {_clip('abs(drawdown)', '0.4::DOUBLE', '0.1::DOUBLE')} * 0.15::DOUBLE
-+ (CASE WHEN turnover < 0.10 THEN {_clip('turnover', '0.0::DOUBLE', '0.1::DOUBLE')} ELSE {_clip('turnover', '0.6::DOUBLE', '0.28::DOUBLE')} END) * 0.1::DOUBLE + {_clip('monotone', '0.0::DOUBLE', '1.0::DOUBLE')} * 0.1::DOUBLE + {_clip('coverage', '0.5::DOUBLE', '1.0::DOUBLE')} * 0.05::DOUBLE AS t FROM m)
-SELECT p_partkey, round(CASE WHEN annual < 0 OR sharpe < 0 THEN least(t, 59.9::DOUBLE) ELSE t END, 2) AS score FROM s""")
-def g_quick_score(spark, sf):
-    k = F.col("p_partkey")
-    m = table(spark, sf, "part").select("p_partkey", ((k % 13 - 6) / 100.0).alias("ic"), ((k % 17 - 8) / 10.0).alias("ir"), ((k % 23 - 5) / 50.0).alias("annual"), ((k % 11 - 2) / 4.0).alias("sharpe"), (-(k % 50) / 100.0).alias("drawdown"), ((k % 70) / 100.0).alias("turnover"), ((k % 5) / 4.0).alias("monotone"), (0.5 + (k % 6) / 10.0).alias("coverage"))
-    return scoring.quick_score(m).select("p_partkey", F.round("score", 2).alias("score"))
-
-
 @query("""SELECT p_partkey, concat_ws(',', CASE WHEN p_size < 10 THEN 'small' END, CASE WHEN p_retailprice > 1500 THEN 'dear' END, CASE WHEN p_type = 'ECONOMY' THEN 'cheap_kind' END) AS reasons, p_size >= 10 AND p_retailprice <= 1500 AND p_type <> 'ECONOMY' AS passed FROM part""")
 def g_vetoes(spark, sf):
     rules = {"small": F.col("p_size") < 10, "dear": F.col("p_retailprice") > 1500, "cheap_kind": F.col("p_type") == "ECONOMY"}

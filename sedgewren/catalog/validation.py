@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import backtest, labels, ranking, reports, validation
+from ..operators import backtest, dependency, gates, graph, labels, ranking, reports, scoring, validation
 from .gates import clip
 from .panels import FACTORS, LABEL, factor_columns, query, rounded
 from .views import PANEL, WEEKLY, weekly
 from .views import panel as bars
 
-# Three factors of the weekly panel, and next week's close as a control that knows the future.
-SHOWN = ("f1", "f2", "f3", "control")
+# Five factors of the weekly panel, and next week's close as a control that knows the future.
+SHOWN = ("f1", "f2", "f3", "f4", "f5", "control")
 VALUES = f"""{FACTORS}, wide AS (SELECT fx.*, lead(f1) OVER (PARTITION BY code ORDER BY trade_date) AS control FROM fx), vals AS ({' UNION ALL '.join(f"SELECT code, trade_date, '{f}' AS factor, CAST({f} AS DOUBLE) AS value FROM wide" for f in SHOWN)}),
 base AS (SELECT v.code, v.trade_date, factor, value AS x, label AS y FROM vals v JOIN lab USING (code, trade_date) WHERE value IS NOT NULL AND label IS NOT NULL)"""
 HEAD = f"WITH {WEEKLY}, {LABEL}, {VALUES}"
@@ -163,3 +163,107 @@ def g_backtest(spark, sf):
     """Each group after the training window, and the side that training chose."""
     out = backtest.group_statistics(backtested(spark, sf), F.col("trade_date") < F.lit(TRAIN).cast("date"), YEAR, ["factor"])
     return rounded(rounded(out, 5, "annual", "sharpe", "max_drawdown", "turnover", "monotone"), 6, "train_mean")
+
+
+# From the evidence to a verdict.
+PLACEBO = f"""swaps AS (SELECT o.trial, o.code, p.code AS other FROM (SELECT trial, code, row_number() OVER (PARTITION BY trial ORDER BY {sql_drawn(str(SEED), "'own'", 'trial', 'code')}) AS place FROM ccodes) o
+JOIN (SELECT trial, code, row_number() OVER (PARTITION BY trial ORDER BY {sql_drawn(str(SEED), "'other'", 'trial', 'code')}) AS place FROM ccodes) p USING (trial, place)),
+ccodes AS (SELECT code, unnest(range({TRIALS})) AS trial FROM (SELECT DISTINCT code FROM base)), cpairs AS (SELECT factor, -1 AS trial, trade_date, x, y FROM base UNION ALL SELECT factor, trial, b.trade_date, x, label FROM base b JOIN swaps s ON s.code = b.code JOIN lab l ON l.code = s.other AND l.trade_date = b.trade_date WHERE label IS NOT NULL),
+cmeans AS (SELECT factor, trial, avg(ic) AS ic FROM ({sql_correlations('cpairs', 'factor, trial')}) GROUP BY ALL), placebos AS (SELECT factor, {clip("(abs(max(ic) FILTER (trial < 0)) / nullif(quantile_cont(abs(ic), 0.95) FILTER (trial >= 0), 0.0::DOUBLE))", "1", "2")} AS placebo FROM cmeans GROUP BY 1)"""
+PLACEBO = PLACEBO[PLACEBO.index("ccodes AS") : PLACEBO.index(", cpairs")] + ", " + PLACEBO[: PLACEBO.index("ccodes AS")] + PLACEBO[PLACEBO.index("cpairs AS") :]
+ROLLING = f"""rback AS (SELECT factor, ic, date_diff('day', trade_date, (SELECT max(trade_date) FROM sknown)) AS back FROM sknown), rper AS (SELECT factor, CASE {' '.join(f'WHEN back < {u} THEN {i}' for i, (u, _, _) in enumerate(validation.PERIODS))} END AS period, ic FROM rback),
+rmeans AS (SELECT factor, period, avg(ic) AS ic, count(*) AS n, {list(w for _, w, _ in validation.PERIODS)}[period + 1]::DOUBLE AS w FROM rper WHERE period IS NOT NULL GROUP BY ALL HAVING count(*) >= 10 * {list(n for _, _, n in validation.PERIODS)}[period + 1]),
+rscores AS (SELECT factor, count(*) FILTER (period < 3) AS new, sum(w * ic) / sum(w) AS m, sum(w * ic * ic) / sum(w) AS q FROM rmeans GROUP BY 1), rolled AS (SELECT factor, CASE WHEN new = 3 THEN {clip("(m - 0.25::DOUBLE * sqrt(greatest(0, q - m * m)))", "0", "0.08")} END AS rolling FROM rscores)"""
+LINEAR = f"""pdays AS (SELECT factor, trade_date, CASE WHEN count(*) >= {LEAST} AND stddev_pop(x) > 1e-10 AND stddev_pop(y) > 1e-10 THEN covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)) END AS ic FROM base GROUP BY ALL),
+linear_ AS (SELECT factor, avg(ic) AS ic, CASE WHEN stddev_samp(ic) > 1e-10 THEN avg(ic) / stddev_samp(ic) END AS ir FROM pdays GROUP BY 1)"""
+QUICK_SQL = " + ".join(f"{w}::DOUBLE * {clip(x, str(lo), str(hi))}" for x, (w, lo, hi) in {f"abs({c})" if c in ("ic", "ir", "rank_ic", "rank_ir", "drawdown") else c: v for c, v in scoring.QUICK.items() if c != "turnover"}.items())
+EVIDENCE = f"""measured AS (SELECT f.factor, l.ic, l.ir, s.ic AS rank_ic, s.ir AS rank_ir, t.annual, t.sharpe, t.max_drawdown AS drawdown, t.turnover, stability, stress, placebo, {clip("half_life", "1", "8")} AS half_life, rolling, adversarial_score AS adversarial
+FROM (SELECT DISTINCT factor FROM vals) f LEFT JOIN linear_ l USING (factor) LEFT JOIN stable s USING (factor) LEFT JOIN tests t ON t.factor = f.factor AND t.held LEFT JOIN stressed USING (factor) LEFT JOIN placebos USING (factor) LEFT JOIN decays d USING (factor) LEFT JOIN rolled USING (factor) LEFT JOIN adversarial a USING (factor)),
+quicks AS (SELECT *, {QUICK_SQL} + 0.05::DOUBLE * CASE WHEN turnover < 0.10 THEN {clip("turnover", "0", "0.1")} ELSE {clip("turnover", "0.6", "0.28")} END AS q, coalesce(annual < 0 OR sharpe < 0, false) AS loss, stability * 0.30::DOUBLE + stress * 0.25::DOUBLE + placebo * 0.25::DOUBLE + half_life * 0.20::DOUBLE AS overfit FROM measured),
+capped AS (SELECT *, CASE WHEN loss THEN least(q, 59.9::DOUBLE) ELSE q END AS quick FROM quicks), deeps AS (SELECT *, CASE WHEN quick IS NULL OR overfit IS NULL OR rolling IS NULL OR adversarial IS NULL THEN 0.0::DOUBLE ELSE quick * 0.55::DOUBLE + overfit * 0.15::DOUBLE + rolling * 0.20::DOUBLE + adversarial * 0.10::DOUBLE END AS total FROM capped),
+verdicts AS (SELECT *, CASE WHEN loss THEN least(total, 59.9::DOUBLE) ELSE total END AS deep FROM deeps)"""
+ALL = f"{HEAD}, {ADVERSARIAL}, {DECAY}, {STABILITY}, {STRESS}, {PLACEBO}, {ROLLING}, {LINEAR}, {BACKTEST}, {EVIDENCE}"
+
+
+def evidence(spark, sf) -> DataFrame:
+    """A row a factor with what its values show: correlations, the held group's returns, four tests against overfitting, the rolling and the
+    adversarial score."""
+    v, lab = map(graph.shared_checkpoint, both(spark, sf))  # read by every test
+    base = validation.paired(v, lab)
+    daily = graph.shared_checkpoint(validation.rank_correlations(base, ["factor"], LEAST))
+    plain = validation.stability(validation.linear_correlations(base, LEAST)).select("factor", "ic", "ir")
+    ranked = validation.stability(daily).select("factor", F.col("ic").alias("rank_ic"), F.col("ir").alias("rank_ir"), "stability")
+    tests = backtest.group_statistics(backtested(spark, sf), F.col("trade_date") < F.lit(TRAIN).cast("date"), YEAR, ["factor"])
+    held = tests.where("held").select("factor", "annual", "sharpe", F.col("max_drawdown").alias("drawdown"), "turnover")
+    lives = validation.decay(validation.lagged_correlations(v, lab, LAGS, LEAST), REPLICATES, SEED, BLOCK).select("factor", scoring.ramp(F.col("half_life"), 1.0, 8.0).alias("half_life"))
+    trials = validation.adversarial_trials(v, lab, TRIALS, SEED, BLOCK, LEAST).select("factor", F.col("adversarial_score").alias("adversarial"))
+    out = v.select("factor").distinct()
+    for part in (plain, ranked, held, validation.stress(v, lab, SEED, LEAST), validation.placebo(v, lab, TRIALS, SEED, LEAST), lives, validation.rolling(daily, 10), trials):
+        out = out.join(graph.shared_checkpoint(part), "factor", "left")  # a row a factor
+    return out
+
+
+def judged(spark, sf) -> DataFrame:
+    of = scoring.quick_score(gates.anti_overfit(evidence(spark, sf))).withColumnsRenamed({"score": "quick", "anti_score": "overfit"})
+    return gates.deep_score(of)
+
+
+@query(f"""{ALL} SELECT factor, round(ic, 6) AS ic, round(ir, 5) AS ir, round(rank_ic, 6) AS rank_ic, round(rank_ir, 5) AS rank_ir, round(annual, 5) AS annual, round(sharpe, 5) AS sharpe, round(drawdown, 5) AS drawdown, round(turnover, 5) AS turnover, round(quick, 3) AS score FROM verdicts""")
+def g_quick_score(spark, sf):
+    """The quick score of each factor's measured correlations and of the group that training chose."""
+    out = scoring.quick_score(evidence(spark, sf)).select("factor", "ic", "ir", "rank_ic", "rank_ir", "annual", "sharpe", "drawdown", "turnover", "score")
+    return rounded(rounded(rounded(out, 6, "ic", "rank_ic"), 5, "ir", "rank_ir", "annual", "sharpe", "drawdown", "turnover"), 3, "score")
+
+
+@query(f"""{ALL} SELECT factor, round(stability, 3) AS stability, round(stress, 3) AS stress, round(placebo, 3) AS placebo, round(half_life, 3) AS half_life, round(overfit, 3) AS anti_score,
+CASE WHEN overfit >= 80 THEN 'recommended' WHEN overfit >= 60 THEN 'cautious' WHEN overfit >= 40 THEN 'needs improvement' ELSE 'not recommended' END AS recommendation, overfit < 50 AS veto FROM verdicts""")
+def g_anti_overfit(spark, sf):
+    """Four tests against overfitting, run on the values."""
+    out = gates.anti_overfit(evidence(spark, sf)).select("factor", "stability", "stress", "placebo", "half_life", "anti_score", "recommendation", "veto")
+    return rounded(out, 3, "stability", "stress", "placebo", "half_life", "anti_score")
+
+
+@query(f"""{ALL} SELECT factor, round(rolling, 3) AS rolling, round(deep, 3) AS deep, CASE WHEN loss THEN 'C' WHEN total >= 85 THEN 'A' WHEN total >= 70 THEN 'B' WHEN total >= 55 THEN 'C' ELSE 'D' END AS deep_grade FROM verdicts""")
+def g_deep_score(spark, sf):
+    return rounded(judged(spark, sf).select("factor", "rolling", "deep", "deep_grade"), 3, "rolling", "deep")
+
+
+@query(f"""{ALL} SELECT factor, concat_ws(',', CASE WHEN deep < 80 THEN 'deep' END, CASE WHEN abs(rank_ic) < 0.02 THEN 'ic' END, CASE WHEN abs(rank_ir) < 0.30 THEN 'ir' END, CASE WHEN overfit IS NULL OR overfit < 50 THEN 'overfit' END, CASE WHEN rolling IS NULL THEN 'no_rolling' END, CASE WHEN adversarial IS NULL OR adversarial < 60 THEN 'adversarial' END) AS reasons,
+deep >= 80 AND abs(rank_ic) >= 0.02 AND abs(rank_ir) >= 0.30 AND coalesce(overfit >= 50, false) AND rolling IS NOT NULL AND coalesce(adversarial >= 60, false) AS passed FROM verdicts""")
+def g_admission(spark, sf):
+    """Why a factor is not admitted, from its measured evidence; no reason admits it."""
+    df = judged(spark, sf)
+    rules = {"deep": F.col("deep") < gates.ADMISSION["deep"], "ic": F.abs("rank_ic") < gates.ADMISSION["ic"], "ir": F.abs("rank_ir") < gates.ADMISSION["ir"], "overfit": F.col("overfit") < 50, "no_rolling": F.col("rolling").isNull(), "adversarial": F.col("adversarial") < 60}
+    return scoring.vetoes(df, rules).select("factor", "reasons", "passed")
+
+
+# A library of factors, some of them near copies; f1 and f2 are in it already, the others are candidates.
+LIBRARY = {"f1": "close", "f2": "volume", "f3": "high - low", "f4": "close * volume", "f5": "close * 2 + 1", "f6": "-volume", "f7": "cast(discount as double)", "f8": "high", "f9": "low", "f10": "amount", "f11": "high - 2 * low", "f12": "low / high"}
+DEPENDENT = f"""WITH {WEEKLY}, {LABEL}, lib AS ({' UNION ALL '.join(f"SELECT code, trade_date, '{n}' AS factor, CAST({e} AS DOUBLE) AS v FROM panel" for n, e in LIBRARY.items())}), lranks AS (SELECT *, {sql_rank('v', 'factor, trade_date')} AS r FROM lib),
+pd AS (SELECT a.factor AS a, b.factor AS b, trade_date, count(*) AS common, CASE WHEN stddev_pop(a.v) > 1e-10 AND stddev_pop(b.v) > 1e-10 THEN abs(covar_pop(a.v, b.v) / (stddev_pop(a.v) * stddev_pop(b.v))) END AS p, CASE WHEN stddev_pop(a.r) > 1e-10 AND stddev_pop(b.r) > 1e-10 THEN abs(covar_pop(a.r, b.r) / (stddev_pop(a.r) * stddev_pop(b.r))) END AS r
+FROM lranks a JOIN lranks b USING (code, trade_date) WHERE a.factor < b.factor GROUP BY ALL HAVING count(*) >= {LEAST}),
+dep AS (SELECT a, b, avg(p) AS mean_pearson, quantile_cont(p, 0.9) AS p90_pearson, max(p) AS max_pearson, avg(r) AS mean_rank, quantile_cont(r, 0.9) AS p90_rank, max(r) AS max_rank, greatest(count(p), count(r)) AS days, avg(common) AS common FROM pd GROUP BY 1, 2 HAVING greatest(count(p), count(r)) > 0 AND sum(common) >= 300),
+clash AS (SELECT a, b FROM dep WHERE coalesce(mean_pearson >= 0.75, false) OR coalesce(mean_rank >= 0.80, false) OR coalesce(p90_pearson >= 0.70, false) OR coalesce(p90_rank >= 0.75, false)), sides AS (SELECT a, b FROM clash UNION ALL SELECT b, a FROM clash)"""
+
+
+def library(spark, sf) -> DataFrame:
+    rows = F.array(*[F.struct(F.lit(n).alias("factor"), F.expr(e).cast("double").alias("value")) for n, e in LIBRARY.items()])
+    return weekly(spark, sf).select("code", "trade_date", F.explode(rows).alias("r")).select("code", "trade_date", "r.*")
+
+
+@query(f"""{DEPENDENT} SELECT a, b, {', '.join(f'round({c}, 5) AS {c}' for c in ('mean_pearson', 'p90_pearson', 'max_pearson', 'mean_rank', 'p90_rank', 'max_rank', 'common'))}, days, round(greatest(coalesce(p90_rank, 0), coalesce(p90_pearson, 0), coalesce(mean_rank, 0), coalesce(mean_pearson, 0)), 5) AS dependency FROM dep""")
+def a_dependency(spark, sf):
+    """Both correlations of every pair of a library and its dependency, the largest of four statistics; blocks of five factors."""
+    out = dependency.pairs(library(spark, sf), LEAST, 300, block=5)
+    return rounded(out, 5, "mean_pearson", "p90_pearson", "max_pearson", "mean_rank", "p90_rank", "max_rank", "common", "dependency")
+
+
+@query(f"""{DEPENDENT.replace('WITH ', 'WITH RECURSIVE ', 1)}, lbase AS (SELECT factor, l.trade_date, l.v AS x, label AS y FROM lib l JOIN lab USING (code, trade_date) WHERE label IS NOT NULL), lics AS ({sql_correlations('lbase', 'factor')}), cand AS (SELECT factor, round(abs(avg(ic)), 9) AS score FROM lics WHERE factor NOT IN ('f1', 'f2') GROUP BY 1),
+fit AS (SELECT * FROM cand WHERE factor NOT IN (SELECT a FROM sides WHERE b IN ('f1', 'f2'))), turn AS (SELECT factor, row_number() OVER (ORDER BY score DESC, factor) AS i, (SELECT list(b) FROM sides WHERE a = factor) AS near FROM fit),
+g(i, taken) AS (SELECT 0::BIGINT, []::VARCHAR[] UNION ALL SELECT g.i + 1, CASE WHEN list_has_any(g.taken, coalesce(near, [])) THEN g.taken ELSE list_append(g.taken, factor) END FROM g JOIN turn ON turn.i = g.i + 1) SELECT unnest(taken) AS node FROM g WHERE i = (SELECT count(*) FROM fit)""")
+def g_accepted(spark, sf):
+    """From values to acceptance: candidates, best rank correlation first, that depend on no factor of the library and on none accepted before."""
+    v, (_, lab) = library(spark, sf), both(spark, sf)
+    daily = validation.rank_correlations(validation.paired(v.where(~F.col("factor").isin("f1", "f2")), lab), ["factor"], LEAST)
+    scores = daily.groupBy("factor").agg(F.round(F.abs(F.avg("ic")), 9).alias("score"))
+    return dependency.accepted(v, scores, LEAST, 300, block=5)

@@ -13,27 +13,22 @@ def ramp(x: Column, zero: float, full: float) -> Column:
     return F.when(x.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(100.0), (x - zero) / (full - zero) * 100)))
 
 
-#: Weights of the quick score's components.
-QUICK_WEIGHTS = {"ic": 0.20, "ir": 0.20, "annual": 0.10, "sharpe": 0.10, "drawdown": 0.15, "turnover": 0.10, "monotone": 0.10, "coverage": 0.05}
+# Fixed values of the quick score: each component's weight, and where it is worth 0 and 100.
+QUICK = {"ic": (0.20, 0.0, 0.04), "ir": (0.20, 0.0, 0.50), "rank_ic": (0.10, 0.0, 0.08), "rank_ir": (0.10, 0.0, 0.75), "annual": (0.15, 0.0, 0.18), "sharpe": (0.10, 0.0, 0.65), "drawdown": (0.10, 0.40, 0.10), "turnover": (0.05, 0.60, 0.28)}
+LOW_TURNOVER, LOSS_CAP = 0.10, 59.9
 
 
 def quick_score(df: DataFrame) -> DataFrame:
-    """Weighted components on 0..100: drawdown 10 % scores 100 and 40 % nothing, turnover is best from 10 to 28 % and worth nothing at
-    60 %; a negative return or Sharpe ratio caps the score at 59.9."""
-    t = F.col("turnover")
-    parts = {
-        "ic": ramp(F.abs("ic"), 0.0, 0.06),
-        "ir": ramp(F.abs("ir"), 0.0, 0.6),
-        "annual": ramp(F.col("annual"), 0.0, 0.3),
-        "sharpe": ramp(F.col("sharpe"), 0.0, 2.0),
-        "drawdown": ramp(F.abs("drawdown"), 0.4, 0.1),
-        "turnover": F.when(t < 0.10, ramp(t, 0.0, 0.10)).otherwise(ramp(t, 0.60, 0.28)),
-        "monotone": ramp(F.col("monotone"), 0.0, 1.0),
-        "coverage": ramp(F.col("coverage"), 0.5, 1.0),
-    }
-    total = sum((parts[k] * w for k, w in QUICK_WEIGHTS.items()), F.lit(0.0))
-    capped = F.when((F.col("annual") < 0) | (F.col("sharpe") < 0), F.least(total, F.lit(59.9))).otherwise(total)
-    return df.withColumn("score", capped).withColumn("grade", grade(F.col("score")))
+    """score and grade of ic, ir, rank_ic, rank_ir (by size), annual, sharpe, drawdown (by size) and turnover, which is best from 10 to 28 %.
+
+    A negative return or Sharpe ratio caps the score at 59.9 and the grade at C; a component that is null scores nothing."""
+    size = {c: F.abs(c) if c in ("ic", "ir", "rank_ic", "rank_ir", "drawdown") else F.col(c) for c in QUICK}
+    parts = {c: ramp(size[c], zero, full) for c, (_, zero, full) in QUICK.items()}
+    parts["turnover"] = F.when(F.col("turnover") < LOW_TURNOVER, ramp(F.col("turnover"), 0.0, LOW_TURNOVER)).otherwise(parts["turnover"])
+    total = sum((parts[c] * w for c, (w, _, _) in QUICK.items()), F.lit(0.0))
+    loss = F.coalesce((F.col("annual") < 0) | (F.col("sharpe") < 0), F.lit(False))
+    capped = F.when(loss, F.least(total, F.lit(LOSS_CAP))).otherwise(total)
+    return df.withColumn("score", capped).withColumn("grade", F.when(loss & (total >= 55), "C").otherwise(grade(capped)))
 
 
 def grade(score: Column) -> Column:

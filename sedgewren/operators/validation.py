@@ -23,6 +23,9 @@ LEFT, KEPT, AMPLITUDE = 0.5, 0.5, 0.5
 #: Cumulative probabilities of a Poisson variable with mean 1.
 POISSON = (0.367879441171, 0.735758882343, 0.919698602929, 0.981011843124, 0.996340153173, 0.999405815182, 0.999916759200)
 
+# Fixed: days back at which each rolling period ends, its weight, and its half years.
+PERIODS = ((182, 0.40, 1), (365, 0.25, 1), (730, 0.15, 2), (1095, 0.12, 2), (1460, 0.08, 2))
+
 
 def drawn(*parts: Column | str | int) -> Column:
     """32 hex digits that depend on the parts alone."""
@@ -99,6 +102,49 @@ def adversarial_trials(values: DataFrame, labels: DataFrame, trials: int = 20, s
     return wide.withColumn("adversarial_score", mean).withColumn("adversarial_passed", mean >= 60)
 
 
+def placebo(values: DataFrame, labels: DataFrame, trials: int = 20, seed: int = 1, least: int = 10) -> DataFrame:
+    """factor, placebo: the factor against labels of other codes. In each trial every code has another one's labels for all dates, so that a
+    series keeps its own course; scored like a destroying trial."""
+    base = paired(values, labels)
+    codes = base.select(CODE).distinct().withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
+    placed = lambda salt: F.row_number().over(Window.partitionBy("trial").orderBy(drawn(seed, F.lit(salt), "trial", CODE)))
+    own = codes.select("trial", CODE, placed("own").alias("place"))
+    other = codes.select("trial", F.col(CODE).alias("other"), placed("other").alias("place"))
+    plan = own.join(other, ["trial", "place"]).select("trial", CODE, "other")
+    said = labels.where("label IS NOT NULL").select(F.col(CODE).alias("other"), DATE, F.col("label").cast("double").alias("y"))
+    swapped = base.select(CODE, DATE, "factor", "x").join(plan, CODE).join(said, ["other", DATE]).select("factor", "trial", DATE, "x", "y")
+    pairs = base.select("factor", F.lit(-1).alias("trial"), DATE, "x", "y").unionByName(swapped)
+    means = rank_correlations(pairs, ["factor", "trial"], least).groupBy("factor", "trial").agg(F.avg("ic").alias("ic"))
+    true = F.col("trial") < 0
+    of = means.groupBy("factor").agg(F.max(F.when(true, F.col("ic"))).alias("own"), F.percentile(F.when(~true, F.abs("ic")), F.lit(0.95)).alias("edge"))
+    return of.select("factor", ramp(F.abs("own") / F.nullif("edge", F.lit(0.0)), 1.0, 2.0).alias("placebo"))
+
+
+def linear_correlations(pairs: DataFrame, least: int) -> DataFrame:
+    """factor, trade_date, ic: Pearson correlation of x and y by date."""
+    varied = (F.count(F.lit(1)) >= least) & (F.stddev_pop("x") > FLAT) & (F.stddev_pop("y") > FLAT)
+    return pairs.groupBy("factor", DATE).agg(F.when(varied, F.covar_pop("x", "y") / (F.stddev_pop("x") * F.stddev_pop("y"))).alias("ic"))
+
+
+def rolling(daily: DataFrame, least_dates: int = 60) -> DataFrame:
+    """factor, rolling: the signed correlations of five periods back from the last date, newest heaviest, less a quarter of their weighted
+    deviation; 100 at 0.08. A period needs `least_dates` dates for each half year; without one of the first three the score is null, older
+    ones may lack and the weights are renormalised. daily: factor, trade_date, ic."""
+    known = daily.where("ic IS NOT NULL")
+    last = known.agg(F.max(DATE).alias("last"))  # one row
+    back = F.datediff("last", DATE)
+    period = F.lit(None).cast("int")
+    for i, (until, _, _) in reversed(list(enumerate(PERIODS))):
+        period = F.when(back < until, i).otherwise(period)
+    table = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(n).alias("n")) for _, w, n in PERIODS])
+    per = known.join(F.broadcast(last)).withColumn("period", period).where("period IS NOT NULL").groupBy("factor", "period").agg(F.avg("ic").alias("ic"), F.count(F.lit(1)).alias("dates"))
+    per = per.withColumn("of", F.element_at(table, F.col("period") + 1)).where(F.col("dates") >= F.col("of.n") * least_dates).select("factor", "period", "ic", F.col("of.w").alias("w"))
+    mean = F.sum(F.col("w") * F.col("ic")) / F.sum("w")
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.sum(F.col("w") * F.col("ic") * F.col("ic")) / F.sum("w") - mean * mean))
+    of = per.groupBy("factor").agg(F.count_if(F.col("period") < 3).alias("new"), (mean - 0.25 * spread).alias("robust"))
+    return of.select("factor", F.when(F.col("new") == 3, ramp(F.col("robust"), 0.0, 0.08)).alias("rolling"))
+
+
 def lagged_correlations(values: DataFrame, labels: DataFrame, lags: Sequence[int], least: int) -> DataFrame:
     """factor, lag, trade_date, ic: the factor of a date against labels of the calendar position `lag` days later, all lags in one pass."""
     days = calendar(values)

@@ -52,7 +52,7 @@ def test_dropout_plan(spark):
 
 
 def test_grade_and_quick_score_cap(spark):
-    good = dict(ic=0.1, ir=1.0, annual=-0.01, sharpe=3.0, drawdown=-0.05, turnover=0.2, monotone=1.0, coverage=1.0)
+    good = dict(ic=-0.1, ir=1.0, rank_ic=0.1, rank_ir=0.9, annual=-0.01, sharpe=3.0, drawdown=-0.05, turnover=0.2)
     df = scoring.quick_score(spark.createDataFrame([good, good | {"annual": 0.5}]))
     assert [(round(r.score, 1), r.grade) for r in df.orderBy("score").collect()] == [(59.9, "C"), (100.0, "A")]
 

@@ -175,3 +175,82 @@ def test_residuals_are_least_squares(spark):
         want = y - x @ np.linalg.lstsq(x, y, rcond=None)[0]
         assert np.allclose([got[r[0], r[1]] for r in here], want, atol=1e-9)
     assert got[90, DAY] is None and all(got[r[0], r[1]] is None for r in rows if r[3] is None)
+
+
+def plain_pairs(v, least):
+    """Daily correlations of every pair by pandas."""
+    wide = v.pivot_table(index=["trade_date", "code"], columns="factor", values="value")
+    out = {}
+    for _, day in wide.groupby(level=0):
+        for stat, frame in (("pearson", day), ("rank", day.rank())):
+            c = frame.corr(min_periods=least)
+            for i, a in enumerate(c.columns):
+                for b in c.columns[i + 1 :]:
+                    if (day[a].notna() & day[b].notna()).sum() >= least and not np.isnan(c.loc[a, b]):
+                        out.setdefault((a, b), {}).setdefault(stat, []).append(abs(c.loc[a, b]))
+    return out
+
+
+def library(n, codes, days, seed):
+    rng = np.random.default_rng(seed)
+    common = rng.normal(size=(days, codes, 5))
+    rows = []
+    for k in range(n):
+        x = common[:, :, k % 5] * (0.2 + 0.16 * (k % 6)) + rng.normal(size=(days, codes)) * 0.5
+        rows += [(c, DAY + timedelta(days=d), f"x{k:03}", float(x[d, c])) for d in range(days) for c in range(codes) if rng.random() < 0.95]
+    return rows
+
+
+def test_dependency_in_blocks_equals_the_pair_loop(spark):
+    from sedgewren.operators import dependency
+
+    rows = library(13, 25, 6, 1) + [(c, DAY, "flat", 1.0) for c in range(25)] + [(0, DAY, "x000", float("nan")), (1, DAY, "hole", None)]
+    v = spark.createDataFrame([r for r in rows if not (r[:3] == (0, DAY, "x000") and r[3] == r[3])], "code long, trade_date date, factor string, value double")
+    want = plain_pairs(pd.DataFrame([r for r in rows if r[3] is not None and r[3] == r[3] and r[:3] != (0, DAY, "x000")], columns=["code", "trade_date", "factor", "value"]), 10)
+    for block in (4, 32):
+        got = {(r.a, r.b): r for r in dependency.pairs(v, 10, 0, block).collect()}
+        assert {p for p in got if "flat" not in p} == set(want)
+        for p, stats in want.items():
+            r = got[p]
+            for s in ("pearson", "rank"):
+                assert getattr(r, f"mean_{s}") == pytest.approx(np.mean(stats[s]), abs=1e-9) and getattr(r, f"p90_{s}") == pytest.approx(np.percentile(stats[s], 90), abs=1e-9)
+            assert r.dependency == pytest.approx(max(np.mean(stats["rank"]), np.mean(stats["pearson"]), np.percentile(stats["rank"], 90), np.percentile(stats["pearson"], 90)), abs=1e-9)
+    assert dependency.pairs(v, 10, 10**6).count() == 0
+
+
+def test_two_hundred_factors_from_values_to_acceptance(spark):
+    from sedgewren.operators import dependency
+
+    rows = library(200, 30, 3, 2)
+    v = spark.createDataFrame(rows, "code long, trade_date date, factor string, value double")
+    scores = {f"x{k:03}": float((k * 37) % 200) for k in range(20, 200)}
+    got = {r.node for r in dependency.accepted(v, spark.createDataFrame(list(scores.items()), "factor string, score double"), 10, 30).collect()}
+    of = {(r.a, r.b): r for r in dependency.pairs(v, 10, 30).collect()}
+    assert len(of) == 200 * 199 // 2
+    clash = {p for p, r in of.items() if r.mean_pearson >= 0.75 or r.mean_rank >= 0.80 or r.p90_pearson >= 0.70 or r.p90_rank >= 0.75}
+    near = {}
+    for a, b in clash:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    taken = {f"x{k:03}" for k in range(20)}
+    kept = set()
+    for f in sorted(scores, key=lambda f: (-scores[f], f)):
+        if not near.get(f, set()) & (taken | kept):
+            kept.add(f)
+    assert got == kept and 0 < len(kept) < len(scores)
+
+
+def test_rolling_score(spark):
+    last = DAY
+    rows = [("good", last - timedelta(days=d), 0.05) for d in range(0, 1400, 3)] + [("short", last - timedelta(days=d), 0.05) for d in range(0, 300, 3)] + [("wrong", last - timedelta(days=d), -0.05) for d in range(0, 1400, 3)]
+    rows += [("new", last - timedelta(days=d), 0.1 if d < 182 else 0.0) for d in range(0, 700, 3)]
+    got = {r.factor: r.rolling for r in validation.rolling(spark.createDataFrame(rows, "factor string, trade_date date, ic double"), 50).collect()}
+    mean = 0.4 * 0.1 / 0.8
+    spread = math.sqrt(0.4 * 0.01 / 0.8 - mean**2)
+    assert got["good"] == pytest.approx(62.5) and got["wrong"] == 0 and got["short"] is None and got["new"] == pytest.approx((mean - 0.25 * spread) / 0.08 * 100)
+
+
+def test_placebo(spark):
+    v, lab = planted(spark, days=60)
+    got = {r.factor: r.placebo for r in validation.placebo(v, lab, trials=8).collect()}
+    assert got["signal"] == 100 and got["against"] == 100 and got["noise"] < 60 and got["flat"] == 0
