@@ -3,9 +3,11 @@
 Each page's token stream is read as an expression: an element with its children in order, neighbours of one labelled kind as one
 repeated group (+), text as a slot (#). The expressions of a host are aligned with each other, a few at a time in rounds of grouped
 aggregation; what has no counterpart becomes an optional group (?), until one wrapper per host fits all its pages. Every page is then
-matched against its host's wrapper, which tells the slot that each of its texts fills, and each slot is judged once per host over all
-pages: outside the article, a slot that says the same on different pages, or that is mostly links, is the host's own text. A page's
-main text is what fills the slots that remain.
+matched against its host's wrapper, which tells the slot that each of its texts fills, and the wrapper is judged once per host over all
+its different pages: the subtree that holds most of what varies and is no link is the main one, and what lies beside it goes, whether it
+varies or not. Within it, but not in an article, a slot that says the same on most pages, or that is mostly links, is the host's own
+text. A page's main text is what fills the slots that remain. Names of elements and classes weigh in that choice, and decide alone where
+a host has one page.
 """
 
 from __future__ import annotations
@@ -48,14 +50,20 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
 #: An end tag may be left out: an open element of the value ends when one of the key begins.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
-#: Slots outside MAIN that say the same on so many different pages of a host are the host's own text.
-SAME_ON = 5
+#: Slots outside MAIN that say the same on more than this share of the different pages that fill them are the host's own text.
+SAME_SHARE = 0.5
+#: How many times a character in MAIN counts in the choice of the main subtree.
+PRIOR = 4
+#: A subtree is left for its heaviest part if that has more than half of its weight and nothing beside it has more than this share of the part's.
+BESIDE_SHARE = 0.25
+#: Children that make a bare element one of prose, which is never aligned with one of another kind.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 #: Larger shares of a slot's text in links mark a menu.
 LINK_SHARE = 0.6
 #: Expressions aligned in one group, about.
 FAN_IN = 8
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)/?>""", re.S)
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?]|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)/?>""", re.S)
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 RAW_END = {t: re.compile(rf"</{t}(?=[\s>/])[^>]*>", re.I) for t in RAW}
 
@@ -73,10 +81,12 @@ def marked(words: list[str], inside: bool) -> bool:
 
 #: An element on the way to a block: its signature and its number on the page.
 Step = tuple[str, int]
+#: The way to a block from the inside: what is above (None: nothing) and the element. Blocks share what is above them.
+Path = tuple["Path | None", Step]
 
 
 class Block(NamedTuple):
-    path: tuple[Step, ...]
+    path: Path | None
     text: str
     links: int  # characters in links
     main: bool  # in an article or main element
@@ -87,14 +97,15 @@ def blocks(page: str) -> Iterator[Block]:
     """Every block with text, in page order.
 
     A signature is the element's name, its words from class, id and role, and ! if it is off."""
-    stack: list[tuple[str, Step]] = []
+    stack: list[tuple[str, Path]] = []
+    opened: dict[str, int] = {}  # open elements by name
     text: list[str] = []
-    links, in_link, at, made, inside, outside = 0, 0, 0, 0, 0, 0
+    links, in_link, at, made, inside, outside, no_end = 0, 0, 0, 0, 0, 0, False
 
     def flush():
         nonlocal text, links
         said = " ".join(html.unescape("".join(text)).split())
-        got = Block(tuple(s for _, s in stack), said, min(links, len(said)), inside > 0, outside > 0) if said else None
+        got = Block(stack[-1][1] if stack else None, said, min(links, len(said)), inside > 0, outside > 0) if said else None
         text, links = [], 0
         return got
 
@@ -104,11 +115,26 @@ def blocks(page: str) -> Iterator[Block]:
         if in_link:
             links += len(piece)
 
+    def pop() -> str:
+        nonlocal inside, outside
+        tag, (_, (signature, _)) = stack.pop()
+        opened[tag] -= 1
+        inside -= tag in MAIN
+        outside -= signature[-1] == "!"
+        return tag
+
     while m := TOKEN.search(page, at):
         if m.start() > at:
             add(page[at : m.start()])
         at = m.end()
         if not m[2]:
+            if m[0] in ("<!", "<?"):
+                end = -1 if no_end else page.find(">", at)
+                no_end = end < 0
+                if no_end:
+                    add(m[0])
+                else:
+                    at = end + 1
             continue
         tag = m[2].lower()
         if tag in INLINE:
@@ -120,16 +146,13 @@ def blocks(page: str) -> Iterator[Block]:
         if got := flush():
             yield got
         if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    inside -= sum(t in MAIN for t, _ in stack[i:])
-                    outside -= sum(sig[-1] == "!" for _, (sig, _) in stack[i:])
-                    del stack[i:]
-                    in_link = 0
-                    break
+            if opened.get(tag):
+                while pop() != tag:
+                    pass
+                in_link = 0
             continue
         if stack and (stack[-1][0] == "p" or stack[-1][0] in ENDS.get(tag, ())):
-            outside -= stack.pop()[1][0][-1] == "!"
+            pop()
         if tag in VOID:
             continue
         words = [w for x in NAMED.findall(m[3]) for w in next(filter(None, x), "").split()] if m[3] else []
@@ -150,7 +173,8 @@ def blocks(page: str) -> Iterator[Block]:
         made += 1
         inside += tag in MAIN
         outside += off
-        stack.append((tag, (label + "!" * off, made)))
+        opened[tag] = opened.get(tag, 0) + 1
+        stack.append((tag, (stack[-1][1] if stack else None, (label + "!" * off, made))))
     if at < len(page):
         add(page[at:])
     if got := flush():
@@ -168,22 +192,25 @@ def _marks(marks: str) -> str:
     return "".join(c for c in "?+#" if c in marks)
 
 
-def tree(paths: list[tuple[Step, ...]]) -> tuple[list, list[list]]:
-    """The page's root, and for each block the node that has its text."""
+def tree(paths: list[Path | None]) -> tuple[list, list[list]]:
+    """The page's root, and for each block the node that has its text. A bare element with prose in it has ~ after its name."""
     root: list = ["", "", []]
-    open_: list[tuple[Step | None, list]] = [(None, root)]
-    holders = []
+    nodes, holders = {0: root}, []
     for path in paths:
-        same = 1
-        while same < len(open_) and same <= len(path) and open_[same][0] == path[same - 1]:
-            same += 1
-        del open_[same:]
-        for step in path[same - 1 :]:
-            node: list = [step[0], "", []]
-            open_[-1][1][2].append(node)
-            open_.append((step, node))
-        open_[-1][1][1] = "#"
-        holders.append(open_[-1][1])
+        new = []
+        while path is not None and path[1][1] not in nodes:
+            new.append(path[1])
+            path = path[0]
+        above = nodes[path[1][1] if path is not None else 0]
+        for signature, number in reversed(new):
+            nodes[number] = [signature, "", []]
+            above[2].append(nodes[number])
+            above = nodes[number]
+        above[1] = "#"
+        holders.append(above)
+    for node in nodes.values():
+        if node[0] in BARE and any(c[0].split(".")[0] in PROSE for c in node[2]):
+            node[0] += "~"
     return root, holders
 
 
@@ -191,7 +218,7 @@ def runs(children: list[list]) -> list[list[list]]:
     """Neighbours of one kind together, unless it is BARE."""
     out: list[list[list]] = []
     for c in children:
-        if out and out[-1][0][0] == c[0] and c[0] not in BARE:
+        if out and out[-1][0][0] == c[0] and c[0].rstrip("~") not in BARE:
             out[-1].append(c)
         else:
             out.append([c])
@@ -310,11 +337,16 @@ def expression(wrapper: list) -> str:
     return out + "".join(reversed(ends))
 
 
-def matched(root: list, holders: list[list], wrapper: list) -> list[int]:
+def numbered(wrapper: list) -> dict[int, int]:
+    """Numbers of a wrapper's nodes by their identity."""
+    return {id(node): i for i, (_, node) in enumerate(flat(wrapper))}
+
+
+def matched(root: list, holders: list[list], wrapper: list, number: dict[int, int] | None = None) -> list[int]:
     """The slot of each block of a page: the number of the wrapper's node that its element fills, -1 if none fits.
 
     Children are paired in order as in `aligned`; one that finds no counterpart goes to the nearest node of its kind."""
-    number = {id(node): i for i, (_, node) in enumerate(flat(wrapper))}
+    number = numbered(wrapper) if number is None else number
     fills = {id(root): wrapper}
     work = [(root, wrapper)]
     while work:
@@ -378,15 +410,16 @@ class Filled:
     """Pages read through wrappers; a wrapper is built once per run of its pages."""
 
     def __init__(self) -> None:
-        self.text, self.wrapper = None, None
+        self.text, self.wrapper, self.number = None, None, {}
 
     def blocks(self, page: str, wrapper: str) -> list[tuple[int, Block]]:
         """The page's blocks and the slots that they fill."""
         if wrapper != self.text:
             self.text, self.wrapper = wrapper, loaded(wrapper)
+            self.number = numbered(self.wrapper)
         found = list(blocks(page))
         root, holders = tree([x.path for x in found])
-        return list(zip(matched(root, holders, self.wrapper), found, strict=True))
+        return list(zip(matched(root, holders, self.wrapper, self.number), found, strict=True))
 
 
 def slots_said(pages: DataFrame) -> DataFrame:
@@ -413,35 +446,91 @@ def slots_said(pages: DataFrame) -> DataFrame:
     return pages.select("h", "page", "wrapper").mapInArrow(work, T.StructType([T.StructField("h", T.StringType()), T.StructField("said", SAID)]))
 
 
+class Slot(NamedTuple):
+    """What a slot says on a host's different pages: characters, those in links, those of texts that are not most pages', and those in MAIN."""
+
+    chars: int
+    links: int
+    varying: int
+    main: int
+    same: bool  # one text on most of the pages
+
+
+def chosen(wrapper: list, slots: dict[int, Slot], pages: int) -> list[int]:
+    """The slots that are main text, of a host with so many different pages.
+
+    From the root on, a subtree is left for its heaviest part while that has more than half of its weight and nothing beside it comes near
+    (BESIDE_SHARE). A slot weighs what varies in it and is no link, PRIOR times in MAIN. Slots of the host's own text go."""
+    nodes = flat(wrapper)
+    weight = [0.0] * len(nodes)
+    for i, x in slots.items():
+        share = max(0.0, 1 - x.links / x.chars) if x.chars else 0.0
+        weight[i] = (x.varying if pages > 1 else x.chars) * share * (PRIOR if 2 * x.main > x.chars else 1)
+    total, number = list(weight), numbered(wrapper)
+    for i in range(len(nodes) - 1, -1, -1):
+        total[i] += sum(total[number[id(c)]] for c in nodes[i][1][2])
+    at = 0
+    while pages > 1:
+        parts = sorted((total[number[id(c)]], -number[id(c)]) for c in nodes[at][1][2])
+        if not parts:
+            break
+        best, beside = -parts[-1][1], max([weight[at], *(t for t, _ in parts[:-1])])
+        if "+" in nodes[best][1][1] or not nodes[best][1][2] or 2 * total[best] <= total[at] or beside > BESIDE_SHARE * total[best]:
+            break
+        at = best
+    depth, end = nodes[at][0], at + 1
+    while end < len(nodes) and nodes[end][0] > depth:
+        end += 1
+    kept = [i for i in range(at, end) if i in slots]
+    inside = [i for i in kept if 2 * slots[i].main > slots[i].chars]
+    if inside and (pages == 1 or 2 * sum(weight[i] for i in inside) > sum(weight[i] for i in kept)):
+        return inside
+    return [i for i in kept if i in inside or not (slots[i].same or slots[i].links > slots[i].chars * LINK_SHARE)]
+
+
 def wrappers(pages: DataFrame, host: str = "h", page: str = "page") -> DataFrame:
-    """host_key, wrapper and drop (its slots that are the host's own text) for every host."""
+    """host_key, wrapper and drop (its slots that are not main text) for every host."""
     pages = pages.select(F.col(host).alias("h"), F.col(page).alias("page"))
     fitted = cut(inferred(cut(pages_folded(pages))).select(F.col("h").alias("host_key"), F.col("w").alias("wrapper")))
     said = slots_said(pages.join(small(fitted), F.col("h") == F.col("host_key")))
-    # Copies of a page are one page: what they share says nothing about the host. Partial sums are shuffled, a row a slot and task.
-    flat_said = said.select("h", F.xxhash64("said").alias("p"), F.explode("said").alias("s")).where("NOT s.main").select("h", "p", "s.*")
-    facts = flat_said.groupBy("h", "slot").agg(
-        F.count_distinct("p").alias("pages"), (F.min("hash") == F.max("hash")).alias("same"), F.sum("chars").alias("chars"), F.sum("links").alias("links")
+    # Copies of a page are one page: what they share says nothing about the host. Partial sums are shuffled, a row a slot, text and task.
+    each = cut(said.select("h", F.xxhash64("said").alias("p"), "said").groupBy("h", "p").agg(F.first("said").alias("said")))
+    texts = each.select("h", F.explode("said").alias("s")).select("h", "s.*").groupBy("h", "slot", "hash").agg(
+        F.count(F.lit(1)).alias("pages"), F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.sum(F.when(F.col("main"), F.col("chars")).otherwise(0)).alias("main")
     )
-    own = (F.col("same") & (F.col("pages") >= SAME_ON)) | (F.col("links") > F.col("chars") * LINK_SHARE)
-    dropped = facts.where(own).groupBy(F.col("h").alias("d_h")).agg(F.sort_array(F.collect_set("slot")).alias("drop"))
-    out = fitted.join(dropped, F.col("host_key") == F.col("d_h"), "left")
-    return cut(out.select("host_key", "wrapper", F.coalesce("drop", F.array().cast("array<int>")).alias("drop")))
+    top = F.max(F.struct("pages", "chars"))
+    slots = texts.groupBy("h", "slot").agg(F.sum("pages").alias("pages"), F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.sum("main").alias("main"), top.alias("top"))
+    same = (F.col("pages") > 1) & (F.col("top.pages") > F.col("pages") * SAME_SHARE)
+    slots = slots.select("h", F.struct("slot", "chars", "links", (F.col("chars") - F.when(same, F.col("top.chars")).otherwise(0)).alias("varying"), "main", same.alias("same")).alias("s"))
+    facts = slots.groupBy("h").agg(F.collect_list("s").alias("slots"))  # a wrapper's slots
+    count = each.groupBy(F.col("h").alias("n_h")).agg(F.count(F.lit(1)).alias("pages"))
+    told = fitted.join(facts, F.col("host_key") == F.col("h"), "left").join(count, F.col("host_key") == F.col("n_h"), "left")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            drop = []
+            for wrapper, slots, pages in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True):
+                said = {x.pop("slot"): Slot(**x) for x in slots or ()}
+                drop.append(sorted(set(said) - set(chosen(loaded(wrapper), said, pages or 1))))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(drop, pa.list_(pa.int32()))], names=["host_key", "wrapper", "drop"])
+
+    return cut(told.select("host_key", "wrapper", "slots", "pages").mapInArrow(work, "host_key string, wrapper string, drop array<int>"))
 
 
 def main_of(found: list[tuple[int, Block]], drop: frozenset[int]) -> str:
-    """What fills the slots that are main text: those in article or main, unless the page says more than twice as much outside of them."""
-    kept = [x for slot, x in found if not x.off and (x.main or slot not in drop)]
-    inside = [x.text for x in kept if x.main]
-    outside = sum(len(x.text) - x.links for x in kept if not x.main)
-    return "\n".join(inside if inside and outside <= 2 * sum(map(len, inside)) else [x.text for x in kept])
+    """What fills the slots that remain. A page of which nothing does is read by the names of its elements alone."""
+    kept = [x for _, x in found if not x.off]
+    filled = [x for slot, x in found if slot not in drop and not x.off]
+    inside = [x for x in kept if x.main]
+    return "\n".join(x.text for x in filled or inside or kept)
 
 
 def main_text(df: DataFrame, url_col: str = "url", html_col: str = "html", name: str = "text", carry: list[str] | None = None) -> DataFrame:
     """The columns of `carry` (all by default) and the main text of every page, by the wrapper of its host.
 
     Null or empty HTML gives the empty text; a page without any markup is one block. Pages without a host share one wrapper. Repeated
-    pages are one to one. A column `name` is replaced.
+    pages are one to one. A column `name` is replaced. Time and memory grow with a page's length, whatever its markup: unclosed, stray
+    or very deep elements are read once.
     """
     keep = [c for c in (df.columns if carry is None else carry) if c.lower() != name.lower()]
     host, _ = host_and_path(F.col(url_col))
