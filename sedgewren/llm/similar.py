@@ -37,6 +37,8 @@ SALT_ROWS = 100_000
 SCALE = 1.6
 #: Members of a bucket that are compared at once.
 GROUP = 2048
+#: Texts that are compared with one copy of a hub's.
+HUB_ROWS = 1024
 #: Keeps a product that should be a whole number from being rounded up.
 EPS = 1e-9
 
@@ -149,26 +151,38 @@ def met_in_buckets(members: DataFrame, similarity: float) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float, size: int) -> DataFrame:
-    """The pairs a, b whose whole texts are as similar. Only texts in a pair are shuffled, one of a pair more than once."""
+    """The pairs a, b whose whole texts are as similar.
+
+    A pair is dealt to the one of its texts with more pairs, its hub. The other text is sent once a pair, the hub's once for HUB_ROWS of
+    them, ahead of them: a hub of a million pairs is neither sent a million times nor one task's."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before: tuple = (None, None)
+        hub, values = None, np.empty(0, np.int64)
         for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for i, (a, x, y) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True)):
-                if before[0] != a:  # pairs of one text mostly lie together
-                    before = (a, shingle_set(x.as_py(), size))
-                one, other = before[1], shingle_set(y.as_py(), size)
-                both = len(np.intersect1d(one, other, assume_unique=True))
-                keep[i] = both / (len(one) + len(other) - both) >= similarity
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            found = []
+            for one, other, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                own = shingle_set(text.as_py(), size)
+                if other is None:
+                    hub, values = one, own
+                    continue
+                assert hub == one
+                both = len(np.intersect1d(values, own, assume_unique=True))
+                if both / (len(values) + len(own) - both) >= similarity:
+                    found.append((min(one, other), max(one, other)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     pairs = cut(pairs.distinct())
-    wanted = small(cut(pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct()))
-    asked = texts.join(wanted, F.col("node") == F.col("wanted"), "left_semi")
-    one, other = (asked.select(F.col("node").alias(f"{c}_node"), F.col("text").alias(f"{c}_text")) for c in "ab")
-    both = pairs.join(other, F.col("b") == F.col("b_node")).join(one, F.col("a") == F.col("a_node"))
-    return cut(both.select("a", "b", "a_text", "b_text").mapInArrow(work, "a long, b long"))
+    degree = cut(pairs.select(F.explode(F.array("a", "b")).alias("wanted")).groupBy("wanted").agg(F.count(F.lit(1)).alias("k")))
+    asked = texts.join(small(degree.select("wanted")), F.col("node") == F.col("wanted"), "left_semi")
+    of = [degree.select(F.col("wanted").alias(c), F.col("k").alias(f"k_{c}")) for c in "ab"]
+    first = F.col("k_a") >= F.col("k_b")
+    split = F.pmod(F.xxhash64("other"), F.ceil(F.greatest("k_a", "k_b") / HUB_ROWS)).cast("int")
+    dealt = pairs.join(of[0], "a").join(of[1], "b").select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("other"), "k_a", "k_b")
+    dealt = cut(dealt.select("hub", split.alias("split"), "other"))
+    sent = dealt.join(asked, F.col("node") == F.col("other")).select("hub", "split", "other", "text")
+    ahead = dealt.select("hub", "split").distinct().join(asked, F.col("node") == F.col("hub")).select("hub", "split", F.lit(None).cast("long").alias("other"), "text")
+    both = sent.unionByName(ahead).repartition("hub", "split").sortWithinPartitions("hub", "split", F.col("other").asc_nulls_first())
+    return cut(both.mapInArrow(work, "a long, b long"))
 
 
 def covered(rows: DataFrame) -> DataFrame:
