@@ -10,54 +10,105 @@ becomes sequences of powers of two, so nothing is padded.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WRITTEN, remove, written
+from .common import WRITTEN, remove, slices, written
 
-WINDOW, SHARD = 2048, 1 << 21
+WINDOW, SHARD = 2048, 1 << 20
 #: The usual constants of BM25.
 K1, B = 1.2, 0.75
 #: Words whose ids a worker keeps, their greatest length, and characters of a text that are split at a time.
-KNOWN, WORD, PIECE = 1 << 19, 64, 1 << 20
+KNOWN, WORD, PIECE = 1 << 20, 64, 1 << 22
+#: Ids that are counted at a time.
+PARTS = 1 << 22
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 NAMES = [x.split()[0] for x in PIECES.split(", ")]
 
 
-class Words(dict):
-    """Ids of words as bytes. The tokenizer drops white space and nothing in it reaches over a blank, so a text's ids are its words' ids."""
+#: An ASCII letter and a mark behind it, which never share a token (an apostrophe may).
+MARKED = r"([a-z])([!-&(-/:-@\[-`{-~])"
+
+
+class Words:
+    """Ids of words as bytes. The tokenizer drops white space and nothing in it reaches over a blank, so a text's ids are its words' ids;
+    neither does anything reach from a letter to a mark behind it, and the tokenizer lower-cases all. New words are encoded together, apart
+    by a special token."""
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit into 16 bits")
-
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u2").tobytes()
-        if len(word) <= WORD:
-            if len(self) >= KNOWN:
-                self.clear()
-            self[word] = ids
-        return ids
-
-    def ids(self, text: str) -> bytes:
-        parts, at = [], 0
-        while at < len(text):
-            end = len(text) if len(text) - at <= PIECE else max(text.rfind(" ", at, at + PIECE), text.rfind("\n", at, at + PIECE))
-            if end < at:  # no blank there
-                end = min((x for x in (text.find(" ", at + PIECE), text.find("\n", at + PIECE)) if x >= 0), default=len(text))
-            parts += map(self.__getitem__, text[at:end].replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
-            at = end + 1
-        return b"".join(parts)
+        self.known: dict[str, bytes] = {"": b""}
+        special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)}
+        self.apart, self.apart_id = min(special.items(), default=(None, None))
+        self.openings = {t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()}
+
+    def plain(self, word: str) -> bool:
+        """Whether no special token can begin in a word."""
+        for o in self.openings:
+            if o in word:
+                return False
+        return True
+
+    def encoded(self, words: list[str]) -> dict[str, bytes]:
+        joined = [w for w in words if self.apart is not None and self.plain(w)]
+        out = {}
+        if joined:
+            ids = np.array(self.tokenizer.encode_batch_fast([self.apart.join(joined)], add_special_tokens=False)[0].ids, np.int64)
+            ends = np.flatnonzero(ids == self.apart_id)
+            data = ids.astype("<u2").tobytes()
+            out = {w: data[2 * i : 2 * j] for w, i, j in zip(joined, [0, *(ends + 1).tolist()], [*ends.tolist(), len(ids)], strict=True)}
+        for w in words:
+            if w not in out:
+                out[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u2").tobytes()
+        return out
+
+    def ids(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each of a few texts. Every different word is looked up once; its ids are then gathered for all its places."""
+        special = pa.array([False] * len(texts))
+        for o in self.openings:
+            special = pc.or_(special, pc.match_substring(texts, o))
+        texts = pc.if_else(special, texts, pc.replace_substring_regex(pc.ascii_lower(texts), MARKED, "\\1 \\2"))
+        for blank in "\n\t\r":
+            texts = pc.replace_substring(texts, blank, " ")
+        split = pc.split_pattern(texts, " ")
+        coded = split.flatten().dictionary_encode()
+        words, place = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        if len(self.known) + len(words) > KNOWN:
+            self.known = {"": b""}
+        new = self.encoded([w for w in words if w not in self.known])
+        found = [self.known[w] if w in self.known else new[w] for w in words]
+        self.known.update((w, i) for w, i in new.items() if len(w) <= WORD)
+        pool, sizes = np.frombuffer(b"".join(found), "<u2"), np.fromiter(map(len, found), np.int64, len(found)) // 2
+        starts, lengths = (np.cumsum(sizes) - sizes)[place], sizes[place]
+        ends = np.r_[0, np.cumsum(lengths)]
+        data = pool[np.arange(ends[-1]) + np.repeat(starts - ends[:-1], lengths)].tobytes()
+        at = 2 * ends[split.offsets.to_numpy()]
+        return [data[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
+def pieces(text: str) -> Iterator[str]:
+    """Parts of about PIECE characters that end at blanks."""
+    at = 0
+    while at < len(text):
+        end = len(text) if len(text) - at <= PIECE else max(text.rfind(" ", at, at + PIECE), text.rfind("\n", at, at + PIECE))
+        if end < at:  # no blank there
+            end = min((x for x in (text.find(" ", at + PIECE), text.find("\n", at + PIECE)) if x >= 0), default=len(text))
+        yield text[at:end]
+        at = end + 1
 
 
 OPEN: dict[str, Words] = {}
@@ -71,32 +122,53 @@ def words_of(path: str) -> Words:
 
 
 def encoder(path: str, end_id: int):
-    """mapInArrow function from (id, text) to (id, ids): 16-bit ids of the text and the end id."""
+    """mapInArrow function from (id, text) to (id, ids): 16-bit ids of the text and the end id. Texts are taken PIECE characters at a time."""
     end = np.array([end_id], "<u2").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = words_of(path)
         for batch in batches:
-            texts = batch.column(1)
-            ids, size, begin = [], 0, 0
-            for i in range(batch.num_rows):
-                ids.append(words.ids(texts[i].as_py() or "") + end)
-                size += len(ids[-1])
-                if size >= 1 << 24 or i + 1 == batch.num_rows:
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(ids)), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
-                    ids, size, begin = [], 0, i + 1
+            texts = pc.fill_null(batch.column(1), "")
+            filled = pa.RecordBatch.from_arrays([batch.column(0), texts], names=["doc_id", "body"])
+            for part in slices(filled, pc.binary_length(texts).to_numpy(), PIECE):
+                if part.num_rows == 1:
+                    ids = [b"".join(words.ids(pa.array([p]))[0] for p in pieces(part.column(1)[0].as_py()))]
+                else:
+                    ids = words.ids(part.column(1))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x + end for x in ids], pa.binary())], names=["doc_id", "ids"])
 
     return encode
 
 
+def flat_ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a column of 16-bit ids, and the numbers of them by row."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4)
+    return np.frombuffer(column.buffers()[2], "<u2", (offsets[-1] - offsets[0]) // 2, offsets[0]) if offsets[-1] > offsets[0] else np.empty(0, "<u2"), np.diff(offsets) // 2
+
+
+def counted_terms(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, id and occurrences of every different id of a row, rows and ids ascending."""
+    keys = np.repeat(np.arange(len(lengths), dtype=np.int64), lengths) << 16 | ids
+    keys.sort()
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
+    found = keys[starts]
+    return found >> 16, found & 0xFFFF, np.diff(np.r_[starts, len(keys)])
+
+
+def parts_of(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about PARTS ids."""
+    offsets = np.frombuffer(batch.column(column).buffers()[1], np.int32, batch.num_rows + 1, batch.column(column).offset * 4)
+    return slices(batch, np.diff(offsets) // 2, PARTS)
+
+
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents that hold each id; at -1 all documents and their tokens."""
     n, docs, tokens = np.zeros(1 << 16, np.int64), 0, 0
     for batch in batches:
-        for x in batch.column(0):
-            ids = np.frombuffer(x.as_py(), "<u2")
-            n[np.unique(ids)] += 1
-            docs, tokens = docs + 1, tokens + len(ids)
+        for part in parts_of(batch, 0):
+            ids, lengths = flat_ids(part.column(0))
+            n += np.bincount(counted_terms(ids, lengths)[1], minlength=1 << 16)
+            docs, tokens = docs + len(lengths), tokens + len(ids)
     found = np.flatnonzero(n)
     yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, found], pa.int32()), pa.array(np.r_[docs, n[found]]), pa.array(np.r_[tokens, np.zeros(len(found), np.int64)])], names=["id", "docs", "tokens"])
 
@@ -124,15 +196,25 @@ def placer(about: Statistics):
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tops = np.full((batch.num_rows, 2), -1, np.int32)
-            for i, x in enumerate(batch.column(1)):
-                ids = np.frombuffer(x.as_py(), "<u2")
-                terms, tf = np.unique(ids, return_counts=True)
-                kept = about.shared[terms]
-                terms, tf = terms[kept], tf[kept]
-                best = np.argsort(-about.weights(terms, tf, len(ids)), kind="stable")[:2]
-                tops[i, : len(best)] = terms[best]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tops[:, 0]), pa.array(tops[:, 1])], names=["doc_id", "ids", "top", "next"])
+            for part in parts_of(batch, 1):
+                ids, lengths = flat_ids(part.column(1))
+                row, term, tf = counted_terms(ids, lengths)
+                kept = about.shared[term]
+                row, term, tf = row[kept], term[kept], tf[kept]
+                weight = about.weights(term, tf, lengths[row])
+                tops = np.full((2, len(lengths)), -1, np.int32)
+                for top in tops:  # the heaviest, then the heaviest of the others; of equal ones the smallest id
+                    starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.empty(0, np.int64)
+                    if not len(starts):
+                        break
+                    most = np.maximum.reduceat(weight, starts)
+                    at = np.flatnonzero(weight == np.repeat(most, np.diff(np.r_[starts, len(row)])))
+                    at = at[np.r_[True, row[at][1:] != row[at][:-1]]]
+                    top[row[at]] = term[at]
+                    left = np.ones(len(row), bool)
+                    left[at] = False
+                    row, term, weight = row[left], term[left], weight[left]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(tops[0]), pa.array(tops[1])], names=["doc_id", "ids", "top", "next"])
 
     return place
 
@@ -141,12 +223,9 @@ class Lists:
     """Inverted index of a shard: for each id its documents and weights."""
 
     def __init__(self, docs: list[np.ndarray], about: Statistics) -> None:
-        found = [np.unique(x, return_counts=True) for x in docs]
-        terms = np.concatenate([t for t, _ in found]).astype(np.int64)
-        sizes = [len(t) for t, _ in found]
-        tf = np.concatenate([n for _, n in found])
-        of = np.repeat(np.arange(len(docs)), sizes)
-        weight = about.weights(terms, tf, np.repeat([len(x) for x in docs], sizes))
+        lengths = np.array([len(x) for x in docs])
+        of, terms, tf = counted_terms(np.concatenate(docs), lengths)
+        weight = about.weights(terms, tf, lengths[of])
         by = np.argsort(terms, kind="stable")
         self.docs, self.weight = of[by], weight[by]
         self.starts = np.searchsorted(terms[by], np.arange((1 << 16) + 1))
@@ -160,6 +239,17 @@ class Lists:
         return np.bincount(np.concatenate([self.docs[a:b] for a, b in spans]), np.concatenate([self.weight[a:b] for a, b in spans]), self.n)
 
 
+def falling(scores: np.ndarray, first: int = 64) -> Iterator[int]:
+    """Places by falling score, equal ones in order. Most windows need the first few only, so the others are sorted when asked for."""
+    if len(scores) <= 4 * first:
+        yield from np.argsort(-scores, kind="stable").tolist()
+        return
+    least = np.partition(scores, len(scores) - first)[len(scores) - first]
+    for some in (scores >= least, scores < least):
+        places = np.flatnonzero(some)
+        yield from places[np.argsort(-scores[places], kind="stable")].tolist()
+
+
 class Packer:
     """Windows of one task; an open one is kept from shard to shard."""
 
@@ -216,7 +306,7 @@ class Packer:
                     return
                 scores = lists.scores(self.query)[left]
                 seed = None
-                for i in left[np.argsort(-scores, kind="stable")].tolist():
+                for i in map(left.tolist().__getitem__, falling(scores)):
                     unused[i] = False
                     rest = self.add(docs[i], 0)
                     if rest < len(docs[i][1]):

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -36,10 +37,24 @@ def test_ids_are_the_library_s(library, monkeypatch):
     for piece in (packing.PIECE, 16):
         monkeypatch.setattr(packing, "PIECE", piece)
         for t in texts(1, 80):
-            assert np.frombuffer(words.ids(t or ""), "<u2").tolist() == ids_of(library, t)[:-1]
+            assert [i for p in packing.pieces(t or "") for i in np.frombuffer(words.ids(pa.array([p]))[0], "<u2")] == ids_of(library, t)[:-1]
+    made = [t or "" for t in texts(2, 30)] + ODD
+    for w in (words, packing.Words(PATH)):
+        assert [np.frombuffer(x, "<u2").tolist() for x in w.ids(pa.array(made))] == [ids_of(library, t)[:-1] for t in made]
     monkeypatch.setattr(packing, "KNOWN", 5)
     few = packing.Words(PATH)
-    assert all(few.ids(t or "") == words.ids(t or "") for t in texts(2, 30)) and len(few) <= 5
+    for t in made:
+        assert np.frombuffer(few.ids(pa.array([t]))[0], "<u2").tolist() == ids_of(library, t)[:-1]
+
+
+ODD = ["e\u0301!! a\u030a?", "Straße!! ΑΣ!! ΣΑΣ. İI!", "<|endoftext|>!! x<|endoftext|>", "<|ENDOFTEXT|>", "a<|endof text|> <|", "don't!! 'TIS it's' o'clock.\"'", "1st!! 2nd, x1! y²! ½!", "名前!! カナ。!", "a…!! b—c! d\u00a0e! f\u2003g", "ǅ! ﬁ! ＡＢ!", "!!! ??? ... a!b?c", "\u0338!! <\u0338 =\u0338", "__init__! _a_ a_!", "x\x00! y\x1c! z\x85!"]
+
+
+def test_random_words_as_the_library(library):
+    rng = random.Random(6)
+    letters = "abCD'!.<|>éßİσΣ1½_-\u0301\u0338名…"
+    made = [" ".join("".join(rng.choices(letters, k=rng.randint(1, 9))) for _ in range(40)) for _ in range(150)]
+    assert [np.frombuffer(x, "<u2").tolist() for x in packing.Words(PATH).ids(pa.array(made))] == [ids_of(library, t)[:-1] for t in made]
 
 
 def checked(rows, made, library, window):
