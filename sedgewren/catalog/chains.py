@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import evaluate, gates, labels, panel, portfolio, scoring
+from ..operators import evaluate, gates, graph, labels, panel, portfolio, scoring
+from ..plans import tail
+from . import factors
 from .gates import SQL_METRICS, metrics
 from .panels import DAYS, LABEL, query, rounded
 from .views import FEE, PANEL, lag, table
@@ -127,3 +129,32 @@ def p_search_kinds(spark, sf):
     """Kinds by tokens of a search text: short tokens must be whole words, long ones may lie anywhere."""
     blob = F.lower(F.concat_ws(" ", "p_name", "p_brand", "p_type"))
     return table(spark, sf, "part").select("p_partkey", panel.kind_by_tokens(blob, {"metal": ["st", "red", "copper"], "plain": ["standard"]}, "other").alias("kind"))
+
+
+# Values of three tails of days from a state table, each expression's SQL over all days.
+TAILED = {"d23_ts_mean": 4, "d33_ts_corr": 5, "d40_ema": 5, "rank_momentum": 6, "d44_macd": 5, "d45_obv": 4, "d53_nested": 5}
+TAIL_DAYS = ("1998-06-30", "1999-12-31", "2000-12-31")
+
+
+def _tail_sql() -> str:
+    parts = []
+    for i, n in enumerate(TAILED):
+        step, sql = factors.STAGED[n][1:3] if n in factors.STAGED else ("0", factors.CASES[n][1])
+        parts.append(f"s{i} AS (SELECT *, {step} AS step FROM panel), t{i} AS (SELECT code, trade_date, round(CAST({sql} AS DOUBLE), {TAILED[n]}) AS {n} FROM s{i})")
+    joined = " ".join(f"JOIN t{i} USING (code, trade_date)" for i in range(1, len(TAILED)))
+    return f"WITH {PANEL}, {', '.join(parts)} SELECT code, trade_date, {', '.join(TAILED)} FROM t0 {joined}"
+
+
+@query(_tail_sql())
+def k_factor_tail(spark, sf):
+    """Values appended tail by tail: each tail reads its own days and the state that the one before left."""
+    texts = {n: (factors.STAGED[n] if n in factors.STAGED else factors.CASES[n])[0] for n in TAILED}
+    p, day = bars(spark, sf), F.col("trade_date")
+    limits = [F.lit(x).cast("date") for x in TAIL_DAYS]
+    values, state = tail.begin(p.where(day <= limits[0]), texts)
+    out = values
+    for since, until in zip(limits, [*limits[1:], None]):
+        fresh = p.where((day > since) & (F.lit(True) if until is None else day <= until))
+        values, state = tail.extend(graph.shared_checkpoint(state), fresh, texts)
+        out = out.unionByName(values)
+    return out.select("code", "trade_date", *[F.round(F.col(n).cast("double"), d).alias(n) for n, d in TAILED.items()])

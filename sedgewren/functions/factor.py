@@ -223,13 +223,13 @@ def rsi(x: Column, n: int) -> Column:
     return F.when(F.count(move).over(along(n)) == n, 100 * F.try_divide(gain, moves))
 
 
-def macd(x: Column, fast: int, slow: int, staged: Callable[[str, Column], Column]) -> Column:
-    return ema(x, fast, lambda name, c: staged(f"fast {name}", c)) - ema(x, slow, lambda name, c: staged(f"slow {name}", c))
+def obv_step(x: Column, volume: Column) -> Column:
+    """volume with the sign of each move; the first row counts nothing."""
+    return F.coalesce(F.signum(ts_delta(x, 1)), F.lit(0.0)) * volume
 
 
 def obv(x: Column, volume: Column) -> Column:
-    """Running sum of volume with the sign of each move; the first row counts nothing."""
-    return F.sum(F.coalesce(F.signum(ts_delta(x, 1)), F.lit(0.0)) * volume).over(along())
+    return F.sum(obv_step(x, volume)).over(along())
 
 
 def boll(x: Column, n: int, widths: float) -> Column:

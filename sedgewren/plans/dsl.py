@@ -86,7 +86,7 @@ FUNCTIONS: dict[str, Function] = {
     "ema": _ts(f.ema, staged=True),
     "product": _ts(f.product),
     "rsi": _ts(f.rsi, extra_rows=1),
-    "macd": Function(lambda x, *more: f.macd(x, *(more if len(more) == 3 else (12, 26, *more))), (1, 3), (1, 2), staged=True),
+    "macd": Function(lambda fast, slow: fast - slow, (1, 3), (1, 2)),
     "obv": Function(f.obv, (2,)),
     "boll_mid": _ts(f.ts_mean),
     "boll_upper": Function(lambda x, n, k=2.0: f.boll(x, n, k), (2, 3), (1, 2), 1),
@@ -183,6 +183,23 @@ def functions(text: str) -> list[str]:
     return [ALIASES.get(n.func.id, n.func.id) for n in sorted(calls, key=lambda n: n.col_offset)]
 
 
+def reach(text: str) -> int:
+    """Earlier rows of a code that the windows of one level need, if every earlier level is at hand; running functions need the last."""
+
+    def of(node: ast.AST) -> int:
+        inner = max((of(c) for c in ast.iter_child_nodes(node)), default=0)
+        if isinstance(node, ast.Name):
+            return int(m[1]) - 1 if (m := re.fullmatch(r"adv(\d+)", node.id)) else int(node.id == "returns")
+        if not isinstance(node, ast.Call):
+            return inner
+        fn = FUNCTIONS[ALIASES.get(node.func.id, node.func.id)]
+        if fn.window is None or fn.staged:
+            return max(inner, int(node.func.id in ("obv", "macd", "ema")))
+        return max(inner, int(number(node.args[fn.window])) - 1 + fn.extra_rows)
+
+    return of(parse(text))
+
+
 def lookback(text: str) -> int:
     """Earlier rows of a code that a value depends on: windows add up where they are nested."""
 
@@ -260,20 +277,41 @@ def smoothness(text: Column) -> dict[str, Column]:
     }
 
 
+#: Columns of a tail: whether a row is an earlier one, and whether it is its code's last of those; what earlier rows' columns are kept as.
+OLD, LAST, KEPT = "__old", "__last", "__kept"
+
+
 class Plan:
-    """Columns for expressions; windowed sub-expressions are named by level."""
+    """Columns for expressions; windowed sub-expressions are named by level.
+
+    With the plan of the whole as `base`, columns are those of a tail: its rows lie behind each code's last earlier ones, for which every
+    shared column has the value that was kept."""
 
-    def __init__(self) -> None:
+    def __init__(self, base: Plan | None = None) -> None:
         self.named: dict[str, tuple[str, int]] = {}
         self.levels: dict[int, list[tuple[str, Column]]] = {}
+        self.kept: list[str] = []
+        self.base = base
 
-    def share(self, key: str, column: Column, level: int) -> tuple[Column, int]:
+    def share(self, key: str, column: Column, level: int, inner: bool = False) -> tuple[Column, int]:
+        """inner: a step of the next shared column, which earlier rows need not have."""
         if key not in self.named:
             self.named[key] = (f"__{len(self.named)}", level)
-            self.levels.setdefault(level, []).append((self.named[key][0], column))
+            name = self.named[key][0]
+            if not inner:
+                self.kept.append(name)
+                if self.base:
+                    column = F.when(F.col(OLD), F.col(KEPT + name)).otherwise(column)
+            self.levels.setdefault(level, []).append((name, column))
         name, level = self.named[key]
         return F.col(name), level + 1
 
+    def resumed(self, key: str, column: Column) -> Column:
+        """What a running function reads: in a tail, its own last value stands for all earlier rows."""
+        if not self.base:
+            return column
+        return F.when(~F.col(OLD), column).when(F.col(LAST), F.col(KEPT + self.base.named[key][0]))
+
     def column(self, node: ast.expr) -> tuple[Column, int]:
         """The column and the first level at which it can be computed."""
         match node:
@@ -302,27 +340,33 @@ class Plan:
                 (c, i), (x, j), (y, k) = self.column(t), self.column(a), self.column(b)
                 return f.where(c, x, y), max(i, j, k)
             case ast.Call(func=ast.Name(id=name), args=args):
-                fn = FUNCTIONS[ALIASES.get(name, name)]
+                fn, key = FUNCTIONS[ALIASES.get(name, name)], ast.unparse(node)
+                if name == "macd":  # two means, shared with others of the same
+                    fast, slow = args[1:] or (ast.Constant(12), ast.Constant(26))
+                    (x, i), (y, j) = (self.column(ast.Call(ast.Name("ema"), [args[0], n], [])) for n in (fast, slow))
+                    return self.share(key, fn.build(x, y), max(i, j))
                 values, at = [], 0
                 for i, a in enumerate(args):
                     if i in fn.numbers:
                         n = number(a)
-                        values.append(int(n) if i == fn.window or name == "macd" else n)
+                        values.append(int(n) if i == fn.window else n)
                     else:
                         c, level = self.column(a)
                         values.append(c)
                         at = max(at, level)
+                if name == "obv" and self.base:
+                    return self.share(key, F.sum(self.resumed(key, f.obv_step(*values))).over(f.along()), at)
                 if fn.staged:
-                    key = ast.unparse(node)
+                    values[0] = self.resumed(key, values[0])
 
                     def staged(name: str, c: Column) -> Column:
                         nonlocal at
-                        made, at = self.share(f"{name} of {key}", c, at)
+                        made, at = self.share(f"{name} of {key}", c, at, inner=True)
                         return made
 
                     values.append(staged)
                 made = fn.build(*values)
-                return self.share(ast.unparse(node), made, at) if fn.windowed else (made, at)
+                return self.share(key, made, at) if fn.windowed else (made, at)
         raise ExpressionError(f"not in the language: {ast.unparse(node)}")
 
 
