@@ -2,26 +2,86 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import PIECE, ranges, running
+
 CODE, DATE = "code", "trade_date"
 #: Days of a cell of interval joins.
 CELL = 365
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time: str, values: list[str]) -> DataFrame:
+#: Rows of one key that one task takes in an as-of join; larger keys are split by time.
+ASOF_ROWS = 1_000_000
+
+
+def asof_join(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time: str, values: list[str], key_rows: int = ASOF_ROWS) -> DataFrame:
     """left with the values of right's last row at or before its time, by key; null where there is none.
 
-    One shuffle by key: both sides are stacked, right rows first on equal times, and the last right row is carried forward.
-    """
+    Of right rows at one time the one with the greatest values counts; right rows without a key or a time never do. Both sides are stacked,
+    right rows first on equal times, and the last right row is carried forward: in one shuffle by key, or where a key has more than
+    `key_rows` rows, by ranges of key and time, into each of which the last right row of its key's earlier ranges is carried."""
     carried = F.struct(right_time, *values)
-    kinds = right.select(F.struct(right_time, *values).alias("r")).schema["r"].dataType
-    r = right.select(F.col(by).alias("k"), F.col(right_time).alias("t"), F.lit(0).alias("side"), carried.alias("r"), F.lit(None).cast(left.select(F.struct("*").alias("l")).schema["l"].dataType).alias("l"))
+    kinds = right.select(carried.alias("r")).schema["r"].dataType
+    known = right.where(F.col(by).isNotNull() & F.col(right_time).isNotNull())
+    r = known.select(F.col(by).alias("k"), F.col(right_time).alias("t"), F.lit(0).alias("side"), carried.alias("r"), F.lit(None).cast(left.select(F.struct("*").alias("l")).schema["l"].dataType).alias("l"))
     l = left.select(F.col(by).alias("k"), F.col(left_time).alias("t"), F.lit(1).alias("side"), F.lit(None).cast(kinds).alias("r"), F.struct("*").alias("l"))  # noqa: E741
-    w = Window.partitionBy("k").orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0)
-    both = r.unionByName(l).withColumn("r", F.last("r", ignorenulls=True).over(w)).where("side = 1")
-    return both.select("l.*", *[F.col(f"r.{c}").alias(c) for c in [right_time, *values]])
+    both = r.unionByName(l)
+    counts = left.groupBy(F.col(by).alias("k")).count().unionByName(right.groupBy(F.col(by).alias("k")).count())
+    most = counts.groupBy("k").agg(F.sum("count").alias("n")).agg(F.max("n")).first()[0] or 0
+    if most <= key_rows:
+        w = Window.partitionBy("k").orderBy("t", "side", "r").rowsBetween(Window.unboundedPreceding, 0)
+        found = both.withColumn("r", F.last("r", ignorenulls=True).over(w))
+    else:
+        work = ranges(both, "k", "t", "side", "r")
+        w = Window.partitionBy("k", PIECE).orderBy("t", "side", "r").rowsBetween(Window.unboundedPreceding, 0)
+        # The last right row of each key and range; keys that reach over an edge are at most two a range.
+        last = work.groupBy("k", PIECE).agg(F.max(F.when(F.col("side") == 0, F.struct("t", "r"))).alias("last"))
+        spread = last.groupBy("k").agg(F.collect_list(F.struct(PIECE, "last")).alias("all")).where(F.size("all") > 1)  # a number of ranges at most
+        earlier = F.last("last", ignorenulls=True).over(Window.partitionBy("k").orderBy(PIECE).rowsBetween(Window.unboundedPreceding, -1))
+        carry = spread.select("k", F.explode("all").alias("x")).select("k", "x.*").select(F.col("k").alias("of_k"), F.col(PIECE).alias("of_piece"), earlier.alias("before"))
+        local = work.withColumn("r", F.last("r", ignorenulls=True).over(w))
+        found = local.join(F.broadcast(carry), F.col("k").eqNullSafe(F.col("of_k")) & (F.col(PIECE) == F.col("of_piece")), "left").withColumn("r", F.coalesce("r", "before.r"))
+    return found.where("side = 1").select("l.*", *[F.col(f"r.{c}").alias(c) for c in [right_time, *values]])
+
+
+def overlaps(a: DataFrame, b: DataFrame, a_span: tuple[str, str], b_span: tuple[str, str], cell: int = CELL, by: Sequence[str] = ()) -> DataFrame:
+    """Pairs of rows of a and b (all columns of both, which must differ in name but for `by`) whose closed spans of dates have a day in common.
+
+    Both sides are dealt to cells of `cell` days, so that this is an equi-join; a pair that shares several cells is kept in the first of them
+    only. A null end is open; spans without a start, or that end before it, overlap nothing. Cells reach to the last day that either side
+    names, so that an open span is not endless."""
+    number = lambda c: F.floor(F.unix_date(F.to_date(c)) / cell)
+    latest = a.agg(F.max(F.greatest(*a_span)).alias("m")).unionByName(b.agg(F.max(F.greatest(*b_span)).alias("m"))).agg(F.to_date(F.max("m"))).first()[0]
+
+    def dealt(df: DataFrame, span: tuple[str, str], side: str) -> DataFrame:
+        start, end = F.to_date(span[0]), F.to_date(span[1])
+        df = df.withColumns({f"{side}_from": start, f"{side}_to": F.coalesce(end, F.lit(latest).cast("date"))})
+        df = df.where(F.col(f"{side}_from") <= F.col(f"{side}_to"))
+        return df.withColumn(f"{side}_cell", F.explode(F.sequence(number(F.col(f"{side}_from")), number(F.col(f"{side}_to")))))
+
+    x, y = dealt(a, a_span, "a"), dealt(b, b_span, "b")
+    y = y.select(*[F.col(c).alias(f"b_{c}") if c in by else F.col(c) for c in y.columns])
+    meet = (F.col("a_cell") == F.col("b_cell")) & (F.col("a_from") <= F.col("b_to")) & (F.col("b_from") <= F.col("a_to")) & (F.col("a_cell") == F.greatest(number(F.col("a_from")), number(F.col("b_from"))))
+    for c in by:
+        meet = meet & (F.col(c) == F.col(f"b_{c}"))
+    return x.join(y, meet).drop("a_from", "a_to", "a_cell", "b_from", "b_to", "b_cell", *[f"b_{c}" for c in by])
+
+
+def concurrency(df: DataFrame, start: str, end: str, days: DataFrame, date: str = DATE) -> DataFrame:
+    """date, begun, ended, alive: for each of `days`, how many spans begin, have ended since the day before, and hold the day. A null end is open.
+
+    A sweep: each span is +1 on its first day and -1 on the day after its last, counted by day before they are summed in order."""
+    spans = df.where(F.col(start).isNotNull() & (F.col(end).isNull() | (F.col(end) >= F.col(start))))
+    plus = spans.select(F.to_date(start).alias("day"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    minus = spans.where(F.col(end).isNotNull()).select((F.to_date(end) + F.expr("INTERVAL 1 DAY")).cast("date").alias("day"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    asked = days.select(F.to_date(date).alias("day"), F.lit(0).alias("up"), F.lit(0).alias("down"), F.lit(True).alias("asked"))
+    by_day = plus.unionByName(minus).withColumn("asked", F.lit(False)).unionByName(asked).groupBy("day").agg(F.sum("up").alias("begun"), F.sum("down").alias("ended"), F.max("asked").alias("asked"))
+    summed = running(by_day, [], [F.col("day")], {"alive": (F.col("begun") - F.col("ended")).cast("long")})
+    return summed.where("asked").select(F.col("day").alias(date), "begun", "ended", "alive")
 
 
 def interval_lookup(points: DataFrame, intervals: DataFrame, by: str, time: str, start: str, end: str, values: list[str]) -> DataFrame:
