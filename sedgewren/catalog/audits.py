@@ -7,20 +7,15 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import audits, evaluate, graph, labels, panel, portfolio, reports, scoring
+from ..operators import audits, evaluate, graph, labels, panel, portfolio, ranking, reports, scoring
 from ..plans import dsl
 from ..sources import tables
-from .factors import CASES
 from .panels import LABEL, PAIRS, pair_edges, query, rounded
 from .status import BOOK, book
 from .views import PANEL, rank, table
 from .views import panel as bars
 
 
-def values(rows: list[tuple]) -> str:
-    return ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
-
-
 # Reports.
 
 FIRST, LAST = "1996-01-01", "1998-12-31"
@@ -135,13 +130,12 @@ def t_tail(spark, sf):
     return o.orderBy(F.col("o_orderdate").desc(), F.col("o_orderkey").desc()).limit(6000).orderBy("o_orderdate", "o_orderkey")
 
 
-@query("""WITH e AS (SELECT event_type AS stage, user_id % 50 AS grp, ts AS moment, CAST(CAST(round(value) AS INTEGER) AS VARCHAR) AS body FROM events WHERE event_type IN (SELECT DISTINCT event_type FROM events ORDER BY 1 LIMIT 2)),
+@query("""WITH e AS (SELECT event_type AS stage, user_id % 50 AS grp, ts AS moment, CAST(CAST(round(value) AS INTEGER) AS VARCHAR) AS body FROM events),
 h AS (SELECT md5(concat_ws('|', stage, grp, body)) AS event, min(row(moment, stage, grp, body)) AS m FROM e GROUP BY 1), r AS (SELECT event, m[2] AS stage, m[3] AS grp, row_number() OVER (PARTITION BY m[3] ORDER BY m[1] DESC, event) AS nth FROM h) SELECT event, stage, grp, CAST(nth AS INTEGER) AS nth FROM r WHERE nth <= 20""")
 def a_events_projected(spark, sf):
     e = table(spark, sf, "events")
-    stages = [r[0] for r in e.select("event_type").distinct().orderBy("event_type").limit(2).collect()]  # two names
     rows = e.select(F.col("event_type").alias("stage"), (F.col("user_id") % 50).alias("grp"), F.col("ts").alias("at"), F.round("value").cast("int").cast("string").alias("body"))
-    return audits.projected_events(rows, stages, 20).select("event", "stage", "grp", "nth")
+    return audits.projected_events(rows, None, 20).select("event", "stage", "grp", "nth")
 
 
 @query("""WITH a AS (SELECT o_custkey AS k, o_orderpriority AS p, o_orderkey AS moment, 0 AS src FROM orders UNION ALL SELECT o_custkey, o_orderpriority, o_orderkey - 7, 1 FROM orders WHERE o_orderstatus = 'F') SELECT k, p, moment, src FROM (SELECT *, row_number() OVER (PARTITION BY k, p ORDER BY moment, src) AS nth FROM a) WHERE nth = 1""")
@@ -158,13 +152,12 @@ PATHS = ["admission.deep", "deep_score", "scores.deep", "score", "quick.score",
 @query("""WITH r AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_partkey % 50 WHEN 1 THEN p_partkey % 60 WHEN 2 THEN p_partkey % 70 END AS s FROM part) SELECT p_partkey, s::DOUBLE AS admission, CAST(row_number() OVER (ORDER BY s DESC NULLS LAST, p_partkey) AS INTEGER) AS place FROM r""")
 def t_fallback_scores(spark, sf):
     """Rank by the first of several score paths in a JSON record."""
-    from pyspark.sql import Window
-
     k = F.col("p_partkey")
     doc = F.when(k % 4 == 0, F.format_string('{"admission": {"deep": %d}, "score": 1}', k % 50)).when(k % 4 == 1, F.format_string('{"score": %d, "value": 3}', k % 60)).when(k % 4 == 2, F.format_string('{"legacy": {"value": %d}}', k % 70)).otherwise(F.lit("{}"))
     score = F.coalesce(*[F.get_json_object("doc", f"$.{p}").try_cast("double") for p in PATHS])
     df = table(spark, sf, "part").select("p_partkey", doc.alias("doc")).withColumn("admission", score)
-    return df.withColumn("place", F.row_number().over(Window.orderBy(F.col("admission").desc_nulls_last(), "p_partkey"))).select("p_partkey", "admission", "place")
+    out = ranking.positions(df.select("p_partkey", "admission"), [], [F.col("admission").desc_nulls_last(), F.col("p_partkey")], "place")
+    return out.withColumn("place", F.col("place").cast("int"))
 
 
 # Portfolio.
@@ -396,32 +389,37 @@ def p_lenient_dates(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", parsed.alias("parsed"), tables.warm_up(parsed).alias("read_from"))
 
 
-# Expression texts: a library of the catalog's own.
+# Expression texts: a registry with a row a part, its shape by size and its numbers by key; some spelt in capitals and with blanks.
 
-LIBRARY = [(name, text) for name, (text, _, _) in sorted(CASES.items())] + [("twin1", "ts_mean(close, 9)"), ("twin2", " TS_Mean( close,22 )"), ("twin3", "ts_std_dev(volume, 4)")]
+SHAPES = ("ts_mean(close, {n})", " TS_Mean( close,{n} )", "rank(ts_delta(volume, {n}))", "where(close > {n}, high, low)", "sign_power(close / {n} - 1.5, 2)", "ema(ts_std(volume, {n}), {m}) * rank(close)", "ts_corr(close, volume, {n})", "tanh(close / {n}) + adv{m}")
+TEXTS = "l AS (SELECT p_partkey AS name, replace(replace(" + f"{list(SHAPES)}" + f"[1 + p_size % {len(SHAPES)}], '{{n}}', CAST(2 + p_partkey % 20 AS VARCHAR)), '{{m}}', CAST(3 + p_partkey % 7 AS VARCHAR)) AS expression FROM part)"
 
 
-def library(spark):
-    return spark.createDataFrame(LIBRARY, "name string, expression string")
+def registered(spark, sf):
+    k = F.col("p_partkey")
+    shape = F.element_at(F.array(*map(F.lit, SHAPES)), (1 + F.col("p_size") % len(SHAPES)).cast("int"))
+    text = F.replace(F.replace(shape, F.lit("{n}"), (2 + k % 20).cast("string")), F.lit("{m}"), (3 + k % 7).cast("string"))
+    return table(spark, sf, "part").select(k.alias("name"), text.alias("expression"))
 
 
-@query(f"""WITH l(name, expression) AS (VALUES {values(LIBRARY)}), t AS (SELECT name, lower(regexp_replace(expression, '\\s+', '', 'g')) AS text FROM l)
+@query(f"""WITH {TEXTS}, t AS (SELECT name, lower(regexp_replace(expression, '\\s+', '', 'g')) AS text FROM l)
 SELECT name, text, len(regexp_extract_all(text, '(ts_mean|ts_rank|ts_zscore|decay_linear|ema|sma|wma)\\(')) AS smooth, len(regexp_extract_all(text, 'where\\(')) AS branches, len(regexp_extract_all(text, '(tanh|sigmoid|sign_power)\\(')) AS nonlinear, len(regexp_extract_all(text, '\\*')) AS products FROM t""")
 def e_profiles(spark, sf):
-    return library(spark).withColumn("text", dsl.normalised(F.col("expression"))).select("name", "text", *[c.alias(n) for n, c in dsl.smoothness(F.col("text")).items()])
+    t = registered(spark, sf).withColumn("text", dsl.normalised(F.col("expression")))
+    return t.select("name", "text", *[c.alias(n) for n, c in dsl.smoothness(F.col("text")).items()])
 
 
-@query(f"""WITH l(name, expression) AS (VALUES {values(LIBRARY)}), t AS (SELECT name, regexp_replace(lower(regexp_replace(expression, '\\s+', '', 'g')), '([(,])-?[0-9]+(\\.[0-9]+)?', '\\1#', 'g') AS shape FROM l)
+@query(f"""WITH {TEXTS}, t AS (SELECT name, regexp_replace(lower(regexp_replace(expression, '\\s+', '', 'g')), '([(,])-?[0-9]+(\\.[0-9]+)?', '\\1#', 'g') AS shape FROM l)
 SELECT shape, count(*) AS n, min(name) AS first FROM t GROUP BY 1""")
 def e_twins(spark, sf):
     """Structural twins: expressions that differ in their numbers only."""
-    t = library(spark).withColumn("shape", dsl.shape(F.col("expression")))
+    t = registered(spark, sf).withColumn("shape", dsl.shape(F.col("expression")))
     return t.groupBy("shape").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("first"))
 
 
 @query()
 def e_structure(spark, sf):
-    """Fields, depth, look-back and signature of each expression, told by tasks; tested against values written out."""
+    """Fields, depth, look-back and signature of each different expression, told by tasks; tested against values written out."""
     from pyspark.sql.functions import pandas_udf
 
     @pandas_udf("fields string, depth int, lookback int, signature string")
@@ -430,7 +428,8 @@ def e_structure(spark, sf):
 
         return pd.DataFrame([(",".join(sorted(dsl.fields(x))), dsl.depth(x), dsl.lookback(x), dsl.signature(x)) for x in text], columns=["fields", "depth", "lookback", "signature"])
 
-    return library(spark).where("name != 'twin2'").select("name", told("expression").alias("t")).select("name", "t.*")
+    texts = registered(spark, sf).groupBy(dsl.normalised(F.col("expression")).alias("text")).agg(F.count(F.lit(1)).alias("n"))
+    return texts.select("text", "n", told("text").alias("t")).select("text", "n", "t.*")
 
 
 # Statistics with costs.

@@ -13,16 +13,16 @@ from .panels import DAYS, LABEL, query, rounded
 from .views import FEE, PANEL, lag, table
 from .views import panel as bars
 
-# Announced figures of four kinds: orders of one priority each, by customer number modulo 100.
-KINDS = {"equity": "1-URGENT", "profit": "2-HIGH", "shares": "3-MEDIUM", "holders": "5-LOW"}
+# Announced figures of four kinds: orders by priority and customer number modulo 100.
+KINDS = {"equity": ("1-URGENT",), "profit": ("2-HIGH",), "shares": ("3-MEDIUM",), "holders": ("4-NOT SPECIFIED", "5-LOW")}
 
 
 def announced(spark, sf, kind: str):
-    o = table(spark, sf, "orders").where(F.col("o_orderpriority") == KINDS[kind])
+    o = table(spark, sf, "orders").where(F.col("o_orderpriority").isin(*KINDS[kind]))
     return o.groupBy((F.col("o_custkey") % 100).alias("code"), F.to_date("o_orderdate").alias(f"{kind}_date")).agg(F.max("o_totalprice").alias(kind))
 
 
-@query(f"""WITH {PANEL}, {', '.join(f"{k} AS (SELECT o_custkey % 100 AS code, CAST(o_orderdate AS DATE) AS d, max(o_totalprice) AS v FROM orders WHERE o_orderpriority = '{p}' GROUP BY 1, 2)" for k, p in KINDS.items())}
+@query(f"""WITH {PANEL}, {', '.join(f"{k} AS (SELECT o_custkey % 100 AS code, CAST(o_orderdate AS DATE) AS d, max(o_totalprice) AS v FROM orders WHERE o_orderpriority IN ({', '.join(map(repr, p))}) GROUP BY 1, 2)" for k, p in KINDS.items())}
 SELECT p.code, p.trade_date, {', '.join(f'{k}.d AS {k}_date, {k}.v AS {k}' for k in KINDS)} FROM panel p {' '.join(f'ASOF LEFT JOIN {k} ON p.code = {k}.code AND p.trade_date >= {k}.d' for k in KINDS)}""")
 def j_asof_four(spark, sf):
     """Four announced figures as known on each day."""
@@ -60,10 +60,10 @@ def w_relative_nav(spark, sf):
     return r.select("trade_date", F.round("relative", 6).alias("relative"), (F.round(F.col("relative") / F.max("relative").over(w) - 1, 6) + 0.0).alias("drawdown"))
 
 
-@query(f"""WITH {PANEL} SELECT code, trade_date, round({lag('close', 1)}, 5) AS pre_close FROM panel WHERE trade_date <= '2001-12-31'""")
+@query(f"""WITH {PANEL} SELECT code, trade_date, round({lag('close', 1)}, 5) AS pre_close FROM panel""")
 def w_chunk_carry(spark, sf):
     """Previous closes of yearly chunks: each code's last close of earlier chunks is carried into its first row of the next one."""
-    p = bars(spark, sf).where(F.col("trade_date") <= F.lit("2001-12-31").cast("date")).select("code", "trade_date", "close", F.year("trade_date").alias("chunk"))
+    p = bars(spark, sf).select("code", "trade_date", "close", F.year("trade_date").alias("chunk"))
     inside = F.lag("close").over(Window.partitionBy("code", "chunk").orderBy("trade_date"))
     last = p.groupBy("code", "chunk").agg(F.max_by("close", "trade_date").alias("last"))
     carried = last.withColumn("carried", F.lag("last").over(Window.partitionBy("code").orderBy("chunk"))).select("code", "chunk", "carried")

@@ -100,7 +100,7 @@ def k_calendar_densify(spark, sf):
     return panel.densify(p, panel.calendar(p), "volume")
 
 
-@query(f"""WITH {PANEL} SELECT count(*) AS n, min(code) AS min_code, max(code) AS max_code, CAST(sum(CAST(CAST('0x' || left(md5(code || '|' || trade_date || '|' || CAST(volume AS BIGINT)), 15) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS content FROM panel""")
+@query(f"""WITH {PANEL} SELECT count(*) AS n, min(code) AS min_code, max(code) AS max_code, CAST(sum(CAST(CAST('0x' || left(md5(len(CAST(code AS VARCHAR)) || ':' || code || len(CAST(trade_date AS VARCHAR)) || ':' || trade_date || len(CAST(CAST(volume AS BIGINT) AS VARCHAR)) || ':' || CAST(volume AS BIGINT)), 15) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS content FROM panel""")
 def k_fingerprint(spark, sf):
     return tables.fingerprint(bars(spark, sf).select("code", "trade_date", F.col("volume").cast("long")), ["code"]).withColumn("content", F.col("content").cast("string"))
 
@@ -376,15 +376,6 @@ def a_trajectory(spark, sf):
 # Windows, labels, weights.
 
 
-@query(f"""WITH {PANEL}, {LABEL}, {LIMITS.replace('b AS', 'b0 AS')} SELECT lab.code, lab.trade_date, round(CASE WHEN coalesce(entry >= 4000 - 1e-6, false) THEN 0 ELSE label END, 6) AS label FROM lab""")
-def w_executable_label(spark, sf):
-    p = bars(spark, sf)
-    days = panel.calendar(p)
-    entry = p.join(days, "trade_date").select("code", (F.col("cal_idx") - 1).alias("cal_idx"), F.col("close").alias("entry"))
-    at = labels.forward_label(p, "close", 5, 1).join(days, "trade_date").join(entry, ["code", "cal_idx"], "left")
-    return at.select("code", "trade_date", F.round(labels.executable(F.col("label"), F.col("entry"), F.lit(4000.0)), 6).alias("label"))
-
-
 RAMP = "CASE WHEN {0} <= 5 THEN 3.0::DOUBLE - 2.0::DOUBLE * ({0} - 1) / 5 ELSE 1.0::DOUBLE END"
 
 

@@ -39,14 +39,14 @@ def p_name_candidates(spark, sf):
 
 
 NAMES = """names AS (SELECT o_custkey % 100 AS code, CAST(o_orderdate AS DATE) AS start, CASE WHEN o_orderkey % 5 > 0 THEN CAST(o_orderdate AS DATE) + CAST(o_orderkey % 90 AS INTEGER) END AS "end", CASE o_orderkey % 7 WHEN 0 THEN 'ST ' || o_orderkey WHEN 1 THEN '退市 ' || o_orderkey ELSE 'name ' || o_orderkey END AS name,
-CASE o_orderkey % 9 WHEN 0 THEN 'st change' WHEN 1 THEN '终止上市' ELSE 'other' END AS reason FROM orders WHERE o_orderpriority = '1-URGENT')"""
+CASE o_orderkey % 9 WHEN 0 THEN 'st change' WHEN 1 THEN '终止上市' ELSE 'other' END AS reason FROM orders)"""
 
 
 def names(spark, sf):
     k, d = F.col("o_orderkey"), F.to_date("o_orderdate")
     name = F.when(k % 7 == 0, F.concat(F.lit("ST "), k.cast("string"))).when(k % 7 == 1, F.concat(F.lit("退市 "), k.cast("string"))).otherwise(F.concat(F.lit("name "), k.cast("string")))
     reason = F.when(k % 9 == 0, "st change").when(k % 9 == 1, "终止上市").otherwise("other")
-    return table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select((F.col("o_custkey") % 100).alias("code"), d.alias("start"), F.when(k % 5 > 0, F.date_add(d, (k % 90).cast("int"))).alias("end"), name.alias("name"), reason.alias("reason"))
+    return table(spark, sf, "orders").select((F.col("o_custkey") % 100).alias("code"), d.alias("start"), F.when(k % 5 > 0, F.date_add(d, (k % 90).cast("int"))).alias("end"), name.alias("name"), reason.alias("reason"))
 
 
 @query(f"""WITH {PANEL}, {BOOK}, {NAMES}, n AS (SELECT *, regexp_matches(name, '(?i)^\\s*(\\*?ST|SST)') OR contains(upper(reason), 'ST') AS st, contains(name, '退市') OR contains(reason, '终止上市') AS gone FROM names),

@@ -113,9 +113,9 @@ def fallback_lookup(codes: DataFrame, dimension: DataFrame, dialects: list[Colum
     return codes.join(best, CODE, "left").select(*codes.columns, F.col("v.key").alias("found_as"), F.col(f"v.{value}").alias(value))
 
 
-def projected_events(events: DataFrame, stages: list[str], per_group: int) -> DataFrame:
-    """Events of the stages, each once by the hash of what it says, and the last so many of each group. events: stage, grp, at, body."""
-    kept = events.where(F.col("stage").isin(stages)).withColumn("event", F.md5(F.concat_ws("|", "stage", "grp", "body").cast("binary")))
+def projected_events(events: DataFrame, stages: list[str] | None, per_group: int) -> DataFrame:
+    """Events of the stages (None: all), each once by the hash of what it says, and the last so many of each group. events: stage, grp, at, body."""
+    kept = (events if stages is None else events.where(F.col("stage").isin(stages))).withColumn("event", F.md5(F.concat_ws("|", "stage", "grp", "body").cast("binary")))
     once = kept.groupBy("event").agg(F.min(F.struct("at", "stage", "grp", "body")).alias("e")).select("event", "e.*")
     last = Window.partitionBy("grp").orderBy(F.col("at").desc(), "event")
     return once.withColumn("nth", F.row_number().over(last)).where(F.col("nth") <= per_group)

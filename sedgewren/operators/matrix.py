@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .labels import floor_fill
 from .panel import CODE, DATE
 
 
@@ -37,14 +36,21 @@ NEUTRAL, ZERO, FLOOR = "neutral", "structural_zero", "floor"
 
 
 def fill_missing(df: DataFrame, policies: dict[str, str]) -> DataFrame:
-    for column, policy in policies.items():
-        if policy == ZERO:
-            df = df.withColumn(column, F.coalesce(column, F.lit(0.0)))
-        elif policy == FLOOR:
-            df = floor_fill(df, column).drop(column).withColumnRenamed("filled", column)
-        elif policy != NEUTRAL:
+    """df with each column's missing values by its policy. Floors of all columns come from one aggregate by date and one over all dates."""
+    for policy in policies.values():
+        if policy not in (ZERO, FLOOR, NEUTRAL):
             raise ValueError(f"no policy {policy}")
-    return df
+    floored = [c for c, policy in policies.items() if policy == FLOOR]
+    filled = {c: F.coalesce(c, F.lit(0.0)) for c, policy in policies.items() if policy == ZERO}
+    if floored:
+        floor = lambda c: F.min(c) - 0.001 * (F.max(c) - F.min(c))
+        names = {c: f"floor_{i}" for i, c in enumerate(floored)}
+        daily = df.groupBy(F.col(DATE).alias("floor_date")).agg(*[floor(c).alias(n) for c, n in names.items()])
+        whole = df.agg(*[floor(c).alias(f"all_{n}") for c, n in names.items()])  # one row
+        joined = df.join(daily, F.col(DATE).eqNullSafe(F.col("floor_date"))).join(F.broadcast(whole))
+        filled |= {c: F.coalesce(c, n, f"all_{n}") for c, n in names.items()}
+        return joined.withColumns(filled).select(*df.columns)
+    return df.withColumns(filled)
 
 
 def missing_report(df: DataFrame, columns: list[str], segment: Column) -> DataFrame:

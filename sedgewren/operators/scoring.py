@@ -85,15 +85,15 @@ def risk_cap(df: DataFrame, weight: str, layers: dict[str, Column]) -> DataFrame
 def dropout_plan(scores: DataFrame, holdings: DataFrame, k: int, drop: int) -> DataFrame:
     """One day's plan: of the holdings and the best newcomers ranked together, the worst `drop` holdings outside the top are sold and
     as many newcomers bought as make k. Missing scores rank last. scores: code, score; holdings: code."""
-    both = scores.join(holdings.withColumn("held", F.lit(True)), CODE, "full_outer").select(CODE, F.coalesce("score", F.lit(-1e30)).alias("score"), F.coalesce("held", F.lit(False)).alias("held"))
-    order = Window.partitionBy("held").orderBy(F.col("score").desc(), CODE)
-    n_held = F.count_if(F.col("held")).over(Window.partitionBy(F.lit(0)))
-    both = both.withColumn("in_kind", F.row_number().over(order)).withColumn("n_held", n_held)
-    pool = both.where(F.col("held") | (F.col("in_kind") <= drop + F.greatest(F.lit(0), k - F.col("n_held"))))
+    n_held = holdings.select(CODE).distinct().count()  # one number
+    both = scores.join(holdings.select(CODE).distinct().withColumn("held", F.lit(True)), CODE, "full_outer").select(CODE, F.coalesce("score", F.lit(-1e30)).alias("score"), F.coalesce("held", F.lit(False)).alias("held"))
+    # The newcomers that could be bought are few; with the holdings they are the pool, which one window ranks.
+    fresh = both.where("NOT held").orderBy(F.col("score").desc(), CODE).limit(drop + max(0, k - n_held))
+    pool = both.where("held").unionByName(fresh).withColumn("in_kind", F.row_number().over(Window.partitionBy("held").orderBy(F.col("score").desc(), CODE)))
     pool = pool.withColumn("from_end", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("score", F.col(CODE).desc())))
     sold = F.col("held") & (F.col("from_end") <= drop)
     n_sold = F.count_if(sold).over(Window.partitionBy(F.lit(0)))
-    bought = ~F.col("held") & (F.col("in_kind") <= n_sold + k - F.col("n_held"))
+    bought = ~F.col("held") & (F.col("in_kind") <= n_sold + k - n_held)
     return pool.select(CODE, "score", F.when(sold, "sell").when(bought, "buy").when(F.col("held"), "hold").alias("action")).where("action is not null")
 
 

@@ -52,7 +52,8 @@ def overwrite_partitions(df: DataFrame, path: str, by: list[str]) -> None:
 
 def fingerprint(df: DataFrame, keys: list[str]) -> DataFrame:
     """Rows, key range and an order-free content hash (the sum of 60 bits of each row's MD5), to skip work whose input is unchanged."""
-    row = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("?")) for c in df.columns])
+    text = lambda c: F.col(c).cast("string")  # noqa: E731  each with its length, so that no value looks like another or like a null
+    row = F.concat(*[F.coalesce(F.concat(F.length(text(c)).cast("string"), F.lit(":"), text(c)), F.lit("-")) for c in df.columns])
     content = F.sum(F.conv(F.substring(F.md5(row.cast("binary")), 1, 15), 16, 10).cast("decimal(38,0)"))
     return df.agg(F.count(F.lit(1)).alias("n"), *[F.min(k).alias(f"min_{k}") for k in keys], *[F.max(k).alias(f"max_{k}") for k in keys], content.alias("content"))
 

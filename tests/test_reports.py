@@ -5,6 +5,7 @@ from datetime import date, timedelta
 
 import pytest
 
+from sedgewren.plans import dsl
 from sedgewren.operators import evaluate, graph, reports
 
 SCHEMA = "account long, trade_date date, code long, score double, ret double"
@@ -90,11 +91,16 @@ def test_linkage_query_against_a_plain_loop(spark, sf, duck):
 def test_structure_of_expressions(spark, sf):
     from sedgewren import catalog
 
-    got = {r.name: (r.fields, r.depth, r.lookback, r.signature) for r in catalog.QUERIES["e_structure"](spark, sf).collect()}
-    assert got["d33_ts_corr"] == ("close,volume", 1, 9, "ts_corr(close,volume)")
-    assert got["d29_ts_delta"] == ("close", 1, 3, "ts_delta(close)")
-    assert got["d05_scale"] == ("close", 1, 0, "close")
-    assert got["d03_group_rank"][0] == "close,region" and got["d50_adv"][:3] == ("volume", 0, 4)
+    told = lambda x: (",".join(sorted(dsl.fields(x))), dsl.depth(x), dsl.lookback(x), dsl.signature(x))
+    assert told("ts_corr(close, volume, 10)") == ("close,volume", 1, 9, "ts_corr(close,volume)")
+    assert told("ts_delta(close, 3)") == ("close", 1, 3, "ts_delta(close)")
+    assert told("scale(close - 1500)") == ("close", 1, 0, "close")
+    assert told("group_rank(close, region)")[0] == "close,region" and told("volume / adv5")[:3] == ("volume", 0, 4)
+    got = {r.text: (r.fields, r.depth, r.lookback, r.signature) for r in catalog.QUERIES["e_structure"](spark, sf).collect()}
+    assert got == {x: told(x) for x in got}
+    assert got["ts_mean(close,2)"] == ("close", 1, 1, "ts_mean(close)") and got["rank(ts_delta(volume,3))"] == ("volume", 2, 3, "ts_delta(volume)")
+    texts = catalog.QUERIES["e_profiles"](spark, sf).select("text").distinct().count()
+    assert len(got) == texts > 40 and sum(r.n for r in catalog.QUERIES["e_structure"](spark, sf).collect()) == spark.read.parquet(f"{sf}/part.parquet").count()
 
 
 def test_pairwise_with_missing_values(spark):
