@@ -23,11 +23,11 @@ from pyspark.sql import functions as F
 
 from .common import WRITTEN, remove, slices, written
 
-WINDOW, SHARD = 2048, 1 << 20
+WINDOW, SHARD = 2048, 1 << 19
 #: The usual constants of BM25.
 K1, B = 1.2, 0.75
 #: Words whose ids a worker keeps, their greatest length, and characters of a text that are split at a time.
-KNOWN, WORD, PIECE = 1 << 20, 64, 1 << 22
+KNOWN, WORD, PIECE = 1 << 20, 64, 1 << 24
 #: Ids that are counted at a time.
 PARTS = 1 << 22
 
