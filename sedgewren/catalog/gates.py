@@ -88,56 +88,6 @@ def g_strategy(spark, sf):
     return gates.strategy(t).select("o_custkey", "strategy")
 
 
-QUALITY = f"0.45::DOUBLE * {clip('ir', 0.5, 1.5)} + 0.35::DOUBLE * {clip('annual', 0.1, 0.6)} + 0.20::DOUBLE * {clip('abs(drawdown)', 0.3, 0.1)}"
-RESEARCH = f"0.40::DOUBLE * {clip('ir', 0.5, 1.5)} + 0.30::DOUBLE * {clip('annual', 0.1, 0.6)} + 0.20::DOUBLE * {clip('abs(drawdown)', 0.3, 0.1)} + 0.10::DOUBLE * (0.5::DOUBLE * {clip('rank_ic', 0.02, 0.05)} + 0.5::DOUBLE * {clip('rank_ir', 0.2, 0.5)})"
-FOLDS = """f AS (SELECT k, seed, fold, CAST((k * 7 + seed * 3 + fold * 11) % 31 - 5 AS DOUBLE) / 10 AS ir, CAST((k * 5 + seed * 2 + fold * 7) % 29 AS DOUBLE) / 40 AS annual, -CAST((k + seed + fold * 3) % 32 AS DOUBLE) / 100 AS drawdown, CAST((k + seed) % 7 AS DOUBLE) / 100 AS rank_ic, CAST((k + seed) % 9 AS DOUBLE) / 16 AS rank_ir
-FROM (SELECT p_partkey AS k FROM part), (VALUES (42), (17), (83)) s(seed), range(5) r(fold))"""
-
-
-def folds(spark, sf):
-    """Three seeds and four folds (0 is the whole) of a campaign per part."""
-    k = table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.explode(F.array(*map(F.lit, (42, 17, 83)))).alias("seed")).select("*", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("fold"))
-    x = {"ir": "((k * 7 + seed * 3 + fold * 11) % 31 - 5) / 10D", "annual": "((k * 5 + seed * 2 + fold * 7) % 29) / 40D", "drawdown": "-((k + seed + fold * 3) % 32) / 100D", "rank_ic": "((k + seed) % 7) / 100D", "rank_ir": "((k + seed) % 9) / 16D"}
-    return k.select("*", *[F.expr(e).alias(c) for c, e in x.items()])
-
-
-@query(f"""WITH {FOLDS} SELECT k, seed, round({RESEARCH}, 4) AS research_score, concat_ws(',', CASE WHEN annual < 0.1 THEN 'low_return' END, CASE WHEN ir < 0.5 THEN 'low_ir' END) AS blocks FROM f WHERE fold = 0""")
-def g_research_score(spark, sf):
-    return rounded(gates.research_score(folds(spark, sf).where("fold = 0")), 4, "research_score").select("k", "seed", "research_score", "blocks")
-
-
-SEEDS = f"""q AS (SELECT *, {QUALITY} AS q FROM f), s AS (SELECT k, seed, max(q) FILTER (fold = 0) AS overall, min(q) FILTER (fold > 0) AS worst, max(q) FILTER (fold = 4) AS latest, count(*) FILTER (fold > 0 AND ir > 0) AS positive_folds, max(ir) FILTER (fold = 4) AS latest_ir, max(abs(drawdown)) FILTER (fold = 0) AS drawdown FROM q GROUP BY 1, 2),
-t AS (SELECT *, overall * 0.55::DOUBLE + worst * 0.25::DOUBLE + latest * 0.20::DOUBLE AS score FROM s)"""
-
-
-@query(f"""WITH {FOLDS}, {SEEDS} SELECT k, seed, round(overall, 4) AS overall, round(worst, 4) AS worst, round(latest, 4) AS latest, round(score, 4) AS score, score >= 60 AND positive_folds >= 3 AND latest_ir > 0 AND drawdown <= 0.3 AS goes_on FROM t""")
-def g_rolling_seed(spark, sf):
-    df = gates.preliminary_gates(gates.seed_scores(folds(spark, sf), ["k", "seed"], 4))
-    return rounded(df, 4, "overall", "worst", "latest", "score").select("k", "seed", "overall", "worst", "latest", "score", "goes_on")
-
-
-@query(f"""WITH {FOLDS}, q AS (SELECT *, {QUALITY} AS q FROM f), p AS (SELECT k, fold, median(q) AS q, median(ir) AS ir, median(abs(drawdown)) AS dd, stddev_pop(ir) AS isd, stddev_pop(annual) AS rsd, count(*) FILTER (ir > 0) AS pos FROM q GROUP BY 1, 2),
-c AS (SELECT k, max(q) FILTER (fold = 0) * 0.55::DOUBLE + min(q) FILTER (fold > 0) * 0.25::DOUBLE + max(q) FILTER (fold = 4) * 0.20::DOUBLE AS score, max(pos) FILTER (fold = 0) >= 2 AS g1, max(isd) FILTER (fold = 0) <= 0.6 AS g2, max(rsd) FILTER (fold = 0) <= 0.2 AS g3,
-max(dd) FILTER (fold = 0) <= 0.3 AS g4, count(*) FILTER (fold > 0 AND ir > 0) >= 3 AS g5, max(ir) FILTER (fold = 4) > 0 AS g6 FROM p GROUP BY 1) SELECT k, round(score, 4) AS rolling_score, g1 AS two_positive, g2 AS ir_steady, g3 AS return_steady, g5 AS three_folds, score >= 70 AND g1 AND g2 AND g3 AND g4 AND g5 AND g6 AS passed FROM c""")
-def g_campaign(spark, sf):
-    return rounded(gates.campaign(folds(spark, sf), "k", 4), 4, "rolling_score").select("k", "rolling_score", "two_positive", "ir_steady", "return_steady", "three_folds", "passed")
-
-
-@query(f"""WITH {FOLDS}, r AS (SELECT *, {RESEARCH} AS s FROM f WHERE fold = 1), c AS (SELECT k, median(s) AS confirmed, max(s) FILTER (seed = 42) AS first, max(abs(drawdown)) AS dd, stddev_pop(ir) AS isd, stddev_pop(annual) AS rsd, count(*) FILTER (ir > 0) AS pos, count(*) FILTER (annual < 0.1 OR ir < 0.5) AS flawed FROM r GROUP BY 1)
-SELECT k, round(confirmed, 4) AS confirmed, flawed, flawed = 0 AND pos >= 2 AND dd <= 0.3 AND isd <= 0.6 AND rsd <= 0.2 AND confirmed >= first - 10 AS passed FROM c""")
-def g_confirmation(spark, sf):
-    return rounded(gates.confirmation(folds(spark, sf).where("fold = 1"), "k", 42), 4, "confirmed").select("k", "confirmed", "flawed", "passed")
-
-
-@query(f"""WITH {FOLDS}, e AS (SELECT * FROM f WHERE fold = 0 AND seed = 42), r AS (SELECT * FROM f WHERE fold = 0 AND seed = 17 AND k % 13 > 0)
-SELECT e.k, CASE WHEN r.ir IS NULL THEN 'insufficient_evidence' WHEN e.annual >= 0.1 AND r.annual >= 0.1 AND e.ir >= 0.5 AND r.ir >= 0.5 AND greatest(abs(e.drawdown), abs(r.drawdown)) <= 0.3 THEN 'stable'
-WHEN e.annual >= 0 AND r.annual >= 0 AND e.ir >= 0.2 AND r.ir >= 0.2 THEN 'mildly_unstable' ELSE 'unstable' END AS forward FROM e LEFT JOIN r ON e.k = r.k""")
-def g_forward_label(spark, sf):
-    f = folds(spark, sf).where("fold = 0")
-    side = lambda seed, p: f.where(F.col("seed") == seed).select("k", *[F.col(c).alias(f"{p}_{c}") for c in ("annual", "ir", "drawdown")])
-    return gates.forward_label(side(42, "e").join(side(17, "r").where("k % 13 > 0"), "k", "left")).select("k", "forward")
-
-
 @query(f"""WITH {PANEL}, r AS (SELECT trade_date, discount AS s, row_number() OVER (PARTITION BY trade_date ORDER BY discount DESC) AS r FROM panel), b AS (SELECT trade_date, s, coalesce(max(s) FILTER (r = 5) OVER (PARTITION BY trade_date), min(s) OVER (PARTITION BY trade_date)) AS edge FROM r),
 c AS (SELECT trade_date, count(*) AS n, count(DISTINCT s) AS u, count(*) FILTER (s > edge) AS above, count(*) FILTER (s = edge) AS tied FROM b GROUP BY 1), d AS (SELECT *, above + tied > 5 AS bt, CASE WHEN above + tied > 5 THEN above ELSE above + tied END AS sel, day(trade_date) <= 10 AS weak FROM c)
 SELECT trade_date, n, u AS distinct_scores, bt AS boundary_tied, sel AS selected, round(least(1.0::DOUBLE, CASE WHEN weak THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END / 5 * sel), 6) AS exposure, CASE WHEN sel = 0 THEN 'no_trade' WHEN weak OR u < least(20, greatest(floor(n / 20), 1)) OR bt THEN 'weak' ELSE 'strong' END AS state FROM d""")

@@ -145,9 +145,9 @@ slopes AS (SELECT factor, covar_pop(grp, mean_gross) / nullif(stddev_pop(grp) *
 tests AS (SELECT t.*, train_mean, monotone, coalesce(t.grp = side, false) AS held FROM tested t LEFT JOIN trained USING (factor, grp) LEFT JOIN ends USING (factor) JOIN slopes USING (factor))"""
 
 
-def backtested(spark, sf) -> DataFrame:
+def backtested(spark, sf, of: DataFrame | None = None) -> DataFrame:
     p = weekly(spark, sf)
-    exposed = values(p).where("value IS NOT NULL").join(p.select("code", "trade_date", F.log("amount").alias("size"), F.col("discount").cast("double").alias("discount")), ["code", "trade_date"])
+    exposed = (values(p) if of is None else of).where("value IS NOT NULL").join(p.select("code", "trade_date", F.log("amount").alias("size"), F.col("discount").cast("double").alias("discount")), ["code", "trade_date"])
     neutral = backtest.residuals(exposed, "value", ["size", "discount"], by=["factor"]).withColumn("residual", F.round("residual", 7))
     return backtest.group_days(neutral, p, "residual", "close", GROUPS, HOLD, COST, ["factor"])
 

@@ -101,3 +101,19 @@ def group_statistics(daily: DataFrame, train: Column, per_year: int = 238, by: S
     number = F.col("grp").cast("double")
     slope = F.covar_pop(number, "mean_gross").over(every) / F.nullif(F.stddev_pop(number).over(every) * F.stddev_pop("mean_gross").over(every), F.lit(0.0))
     return of.select(*grp, "days", "annual", "sharpe", "max_drawdown", "turnover", "train_mean", slope.alias("monotone"), "held")
+
+
+def folds(returns: DataFrame, ics: DataFrame, n: int, per_year: int, by: Sequence[str]) -> DataFrame:
+    """by, fold, annual, ir, drawdown, rank_ic, rank_ir of the whole (fold 0) and of n equal parts of its dates (1 to n). returns: by,
+    trade_date, net (a row each); ics: by, trade_date, ic. Drawdowns begin anew in each fold."""
+    days = calendar(returns)
+    count = days.agg(F.count(F.lit(1)).alias("n_days"))  # one row
+    part = days.join(F.broadcast(count)).select(DATE, F.expr(f"1 + cal_idx * {n} div n_days").cast("int").alias("fold"))
+    twice = part.select(DATE, F.explode(F.array(F.lit(0), F.col("fold"))).alias("fold"))
+    keys = [*by, "fold"]
+    w = Window.partitionBy(*keys).orderBy(DATE).rowsBetween(Window.unboundedPreceding, 0)
+    path = returns.join(twice, DATE).withColumn("nav", F.product(1 + F.col("net")).over(w)).withColumn("down", F.col("nav") / F.greatest(F.lit(1.0), F.max("nav").over(w)) - 1)
+    ratio = lambda c: F.when(F.stddev_samp(c) > FLAT, F.avg(c) / F.stddev_samp(c))
+    of = path.groupBy(*keys).agg((F.avg("net") * per_year).alias("annual"), (ratio("net") * F.sqrt(F.lit(float(per_year)))).alias("ir"), F.min("down").alias("drawdown"))
+    signal = ics.where("ic IS NOT NULL").join(twice, DATE).groupBy(*keys).agg(F.avg("ic").alias("rank_ic"), ratio("ic").alias("rank_ir"))
+    return of.join(signal, keys, "left")
