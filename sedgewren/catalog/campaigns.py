@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import backtest, gates, graph, validation
+from ..operators import backtest, boosting, gates, graph, validation
 from .gates import clip
 from .panels import query, rounded
 from .validation import BACKTEST, HEAD, LEAST, TRAIN, YEAR, backtested, both, sql_correlations, sql_drawn, sql_uniform
@@ -80,3 +80,15 @@ def g_forward_label(spark, sf):
     f = folds(spark, sf).where("fold = 0")
     side = lambda seed, p: f.where(F.col("seed") == seed).select("k", *[F.col(c).alias(f"{p}_{c}") for c in ("annual", "ir", "drawdown")])
     return gates.forward_label(side(42, "e").join(side(17, "r"), "k", "left")).select("k", "forward")
+
+
+@query()
+def x_boosted(spark, sf):
+    """Splits of a model that is trained on the weeks before the test window, with their gains; tested against a plain loop."""
+    v, lab = both(spark, sf)
+    names = ("f1", "f2", "f3", "f4", "f5")
+    wide = v.where(F.col("factor").isin(*names)).groupBy("code", "trade_date").agg(*[F.max(F.when(F.col("factor") == n, F.col("value"))).alias(n) for n in names])
+    rows = wide.join(lab, ["code", "trade_date"]).where(F.col("trade_date") < F.lit(TRAIN).cast("date"))
+    model = boosting.train(rows, list(names), "label", trees=4, depth=3, bins=16)
+    made = [(s.tree, s.node, names[s.feature], s.bin, round(s.gain, 4)) for s in model.splits]
+    return spark.createDataFrame(made, "tree int, node int, feature string, bin int, gain double")

@@ -158,3 +158,50 @@ def k_factor_tail(spark, sf):
         values, state = tail.extend(graph.shared_checkpoint(state), fresh, texts)
         out = out.unionByName(values)
     return out.select("code", "trade_date", *[F.round(F.col(n).cast("double"), d).alias(n) for n, d in TAILED.items()])
+
+
+@query(f"""WITH {PANEL}, {', '.join(f"{k} AS (SELECT o_custkey % 100 AS code, CAST(o_orderdate AS DATE) AS d, max(o_totalprice) AS v FROM orders WHERE o_orderpriority IN ({', '.join(map(repr, KINDS[k]))}) GROUP BY 1, 2)" for k in ('equity', 'shares'))}
+SELECT p.code, p.trade_date, round(equity.v / shares.v, 6) AS book_per_share, round(close / (equity.v / shares.v), 4) AS price_to_book FROM panel p ASOF LEFT JOIN equity ON p.code = equity.code AND p.trade_date >= equity.d ASOF LEFT JOIN shares ON p.code = shares.code AND p.trade_date >= shares.d""")
+def p_per_share(spark, sf):
+    """Book value per share and price to book, of figures as known on each day."""
+    out = bars(spark, sf).select("code", "trade_date", "close")
+    for kind in ("equity", "shares"):
+        out = panel.asof_join(out, announced(spark, sf, kind), "code", "trade_date", f"{kind}_date", [kind])
+    return rounded(rounded(panel.per_share(out, "equity", "shares", "close"), 6, "book_per_share"), 4, "price_to_book").select("code", "trade_date", "book_per_share", "price_to_book")
+
+
+COVERED = f"c AS (SELECT code, trade_date, CASE WHEN volume > 2 THEN close END AS close, {lag('close', 1)} AS pre_close, CASE WHEN volume % 7 > 0 THEN discount END AS discount, row_number() OVER (PARTITION BY code ORDER BY trade_date) = 1 AS first FROM panel)"
+
+
+@query(f"""WITH {PANEL}, {COVERED}, u AS (SELECT 'close' AS field, trade_date, true AS wanted, close IS NOT NULL AS there FROM c UNION ALL SELECT 'pre_close', trade_date, NOT first, pre_close IS NOT NULL FROM c UNION ALL SELECT 'discount', trade_date, true, discount IS NOT NULL FROM c),
+g AS (SELECT field, trade_date, count(*) FILTER (wanted) AS expected, count(*) FILTER (wanted AND there) AS there FROM u GROUP BY 1, 2) SELECT field, trade_date, expected, round(there / nullif(expected, 0), 6) AS ratio, there / nullif(expected, 0) = 0 AS zero, there / nullif(expected, 0) < 0.98 AS low FROM g""")
+def a_field_coverage(spark, sf):
+    """Coverage of each field by date; a code's first day need not have a previous close."""
+    p = bars(spark, sf)
+    before = F.lag("close").over(Window.partitionBy("code").orderBy("trade_date"))
+    c = p.select("code", "trade_date", before.alias("pre_close"), F.when(F.col("volume") > 2, F.col("close")).alias("close"), F.when(F.col("volume") % 7 > 0, F.col("discount")).alias("discount"))
+    return rounded(evaluate.field_coverage(c, ["close", "pre_close", "discount"], ["pre_close"]), 6, "ratio")
+
+
+@query(f"""WITH {PANEL}, s AS (SELECT code, trade_date, CASE WHEN volume % 5 > 0 THEN discount END AS s FROM panel), b AS (SELECT *, lag(s) OVER (PARTITION BY code ORDER BY trade_date) AS before FROM s)
+SELECT trade_date, count(*) AS expected, round(1 - count(s) / count(*), 6) AS missing, round(count(*) FILTER (s = before) / nullif(count(s), 0), 6) AS identical FROM b GROUP BY 1""")
+def a_replay_quality(spark, sf):
+    """Share of codes without a prediction on each date, and of predictions that are the day before's."""
+    p = bars(spark, sf)
+    return rounded(evaluate.replay_quality(p.select("code", "trade_date"), p.where("volume % 5 > 0"), "discount"), 6, "missing", "identical")
+
+
+@query("""WITH y AS (SELECT DISTINCT CAST(year(o_orderdate) AS INTEGER) AS y FROM orders UNION SELECT DISTINCT CAST(year(ts) AS INTEGER) FROM events), k AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS d FROM lineitem), b AS (SELECT y FROM y WHERE y NOT IN (SELECT year(d) FROM k))
+SELECT d AS trade_date, true AS known FROM k WHERE year(d) IN (SELECT y FROM y) UNION ALL SELECT CAST(d AS DATE), false FROM (SELECT unnest(generate_series(make_date(y, 1, 1)::TIMESTAMP, make_date(y, 12, 31)::TIMESTAMP, INTERVAL 1 DAY)) AS d FROM b) WHERE isodow(d) < 6""")
+def s_calendar_fallback(spark, sf):
+    """Trading dates of each year that orders or events name; business days where the calendar has none."""
+    years = table(spark, sf, "orders").select(F.year("o_orderdate").alias("year")).union(table(spark, sf, "events").select(F.year("ts").alias("year")))
+    return panel.calendar_or_business_days(table(spark, sf, "lineitem").select(F.to_date("l_shipdate").alias("trade_date")), years)
+
+
+@query(f"""WITH {PANEL}, i AS (SELECT 'index' || code % 3 AS code, trade_date, avg(close) FILTER (volume > 10) AS close FROM panel GROUP BY 1, 2), r AS (SELECT * FROM i WHERE close IS NOT NULL)
+SELECT code, trade_date, round(close, 5) AS close, round(lag(close) OVER (PARTITION BY code ORDER BY trade_date), 5) AS pre_close, min(trade_date) OVER (PARTITION BY code) AS list_date FROM r""")
+def w_index_frame(spark, sf):
+    """Three averages of the panel as securities of their own, listed on their first date."""
+    means = bars(spark, sf).groupBy(F.concat(F.lit("index"), (F.col("code") % 3).cast("string")).alias("name"), "trade_date").agg(F.avg(F.when(F.col("volume") > 10, F.col("close"))).alias("value"))
+    return rounded(panel.index_frame(means, "name", "value"), 5, "close", "pre_close")

@@ -69,9 +69,10 @@ def s_json_props(spark, sf):
     return table(spark, sf, "events").select("event_id", k.alias("k")).where("k > 50")
 
 
-@query("""SELECT CAST(d AS DATE) AS trade_date FROM generate_series(TIMESTAMP '1995-01-02', TIMESTAMP '1996-12-31', INTERVAL 1 DAY) t(d) WHERE isodow(d) < 6""")
+@query("""SELECT CAST(d AS DATE) AS trade_date FROM (SELECT unnest(generate_series(min(date_trunc('day', o_orderdate))::TIMESTAMP, max(date_trunc('day', o_orderdate))::TIMESTAMP, INTERVAL 1 DAY)) AS d FROM orders) WHERE isodow(d) < 6""")
 def s_business_days(spark, sf):
-    days = spark.range(1).select(F.explode(F.sequence(F.lit("1995-01-02").cast("date"), F.lit("1996-12-31").cast("date"))).alias("trade_date"))
+    ends = table(spark, sf, "orders").agg(F.to_date(F.min("o_orderdate")).alias("a"), F.to_date(F.max("o_orderdate")).alias("b"))
+    days = ends.select(F.explode(F.sequence("a", "b")).alias("trade_date"))
     return days.where(F.weekday("trade_date") < 5)
 
 

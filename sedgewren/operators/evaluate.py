@@ -168,3 +168,24 @@ def evenly_spaced(df: DataFrame, n: int, *order: str) -> DataFrame:
     out = df.withColumn("r", F.row_number().over(w) - 1).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
     step = F.when(F.col("m") > n, (F.col("m") - 1) / F.lit(n - 1.0)).otherwise(F.lit(1.0))
     return out.withColumn("k", F.round(F.col("r") / step)).where(F.floor(F.col("k") * step + 0.5) == F.col("r")).drop("r", "m", "k")
+
+
+def field_coverage(df: DataFrame, fields: list[str], after_first: list[str], low: float = 0.98) -> DataFrame:
+    """field, trade_date, expected, ratio, zero, low: the share of a date's rows that have the field. For fields of `after_first` (they need an
+    earlier row, like a previous close) a code's first row is not expected to; a date on which nothing is expected has no ratio."""
+    first = F.row_number().over(Window.partitionBy(CODE).orderBy(DATE)) == 1
+    stacked = df.withColumn("first", first).select(DATE, "first", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lit(f in after_first).alias("exempt"), F.col(f).isNotNull().alias("there")) for f in fields])).alias("x"))
+    expected = ~(F.col("first") & F.col("x.exempt"))
+    of = stacked.groupBy("x.field", DATE).agg(F.count_if(expected).alias("expected"), F.count_if(expected & F.col("x.there")).alias("there"))
+    ratio = F.try_divide("there", "expected")
+    return of.select("field", DATE, "expected", ratio.alias("ratio"), (ratio == 0).alias("zero"), (ratio < low).alias("low"))
+
+
+def replay_quality(expected: DataFrame, scores: DataFrame, score: str) -> DataFrame:
+    """trade_date, expected, missing, identical: of each date's expected codes the share without a score, and of those with one the share
+    that has the score of the code's previous expected date (a stale prediction). expected: code, trade_date."""
+    both = expected.join(scores.select(CODE, DATE, F.col(score).alias("s")), [CODE, DATE], "left")
+    before = F.lag("s").over(Window.partitionBy(CODE).orderBy(DATE))
+    same = F.coalesce(F.col("s") == F.col("before"), F.lit(False))
+    of = both.withColumn("before", before).groupBy(DATE).agg(F.count(F.lit(1)).alias("expected"), F.count("s").alias("n"), F.count_if(same).alias("same"))
+    return of.select(DATE, "expected", (1 - F.col("n") / F.col("expected")).alias("missing"), F.try_divide("same", "n").alias("identical"))

@@ -13,7 +13,6 @@ DEEP_WEIGHTS = {"quick": 0.55, "overfit": 0.15, "rolling": 0.20, "adversarial":
 ANTI_OVERFIT_WEIGHTS = {"stability": 0.30, "stress": 0.25, "placebo": 0.25, "half_life": 0.20}
 LOSS_CAP = 59.9
 ADMISSION = {"deep": 80.0, "retention": 79.5, "quick": 70.0, "ic": 0.02, "ir": 0.30}
-HARD_EXIT = {"deep": 70.0, "quick": 55.0, "ic": 0.01, "ir": 0.15}
 NOVELTY = {"pearson": 0.75, "rank": 0.80, "p90_pearson": 0.70, "p90_rank": 0.75}
 #: Start and end of each linear component of model scores.
 RETURN, IR, DRAWDOWN, RANK_IC, RANK_IR = (0.10, 0.60), (0.50, 1.50), (0.30, 0.10), (0.02, 0.05), (0.20, 0.50)
@@ -70,22 +69,27 @@ def official(deep: float) -> Column:
     return (F.col("quick") >= ADMISSION["quick"]) & (F.col("deep") >= deep) & (F.abs("ic") >= ADMISSION["ic"]) & (F.abs("ir") >= ADMISSION["ir"])
 
 
+# Advice and next steps with what they need, the first that holds counts.
+LIFECYCLE = (
+    ("exit_candidate", "NOT succeeded AND active"), ("keep_retired", "NOT succeeded"), ("direction_review", "direction_review AND quick >= 70"), ("keep_active", "active AND good AND deep >= 79.5"),
+    ("exit_candidate", "active AND (deep < 70 OR quick < 55 OR abs(ic) < 0.01 OR abs(ir) < 0.15)"), ("active_review", "active"), ("policy_review", "good AND deep >= 80 AND policy_reason"), ("restore_candidate", "good AND deep >= 80"),
+)
+STRATEGY = (
+    ("simplify", "nesting > 8"), ("recombine", "declines >= 2 AND n >= 3"), ("explore", "score < 30 AND n <= 3"), ("recombine", "best - score > 20 AND n >= 2"),
+    ("exploit", "score >= 60 AND diversity < 0.3"), ("explore", "diversity > 0.6 AND convergence < 0.4"),
+)
+
+
+def first_rule(rules: tuple[tuple[str, str], ...], other: str) -> Column:
+    """The name of the first rule whose condition holds (null does not), else `other`."""
+    return F.coalesce(*[F.when(F.expr(condition), F.lit(name)) for name, condition in rules], F.lit(other))
+
+
 def lifecycle(df: DataFrame) -> DataFrame:
     """advice for a recomputed factor: status (active or retired), succeeded, direction_review, policy_reason, quick, deep, ic, ir."""
-    active = F.col("status") == "active"
-    weak = (F.col("deep") < HARD_EXIT["deep"]) | (F.col("quick") < HARD_EXIT["quick"]) | (F.abs("ic") < HARD_EXIT["ic"]) | (F.abs("ir") < HARD_EXIT["ir"])
-    passes = official(ADMISSION["deep"])
-    advice = (
-        F.when(~F.col("succeeded"), F.when(active, "exit_candidate").otherwise("keep_retired"))
-        .when(F.col("direction_review") & (F.col("quick") >= ADMISSION["quick"]), "direction_review")
-        .when(active & official(ADMISSION["retention"]), "keep_active")
-        .when(active & weak, "exit_candidate")
-        .when(active, "active_review")
-        .when(passes & F.col("policy_reason"), "policy_review")
-        .when(passes, "restore_candidate")
-        .otherwise("keep_retired")
-    )
-    return df.withColumn("advice", advice)
+    good = (F.col("quick") >= ADMISSION["quick"]) & (F.abs("ic") >= ADMISSION["ic"]) & (F.abs("ir") >= ADMISSION["ir"])
+    told = df.withColumns({"active": F.col("status") == "active", "good": good})
+    return told.withColumn("advice", first_rule(LIFECYCLE, "keep_retired")).drop("active", "good")
 
 
 def duplicate_advice(df: DataFrame, factor: str, expression: str) -> DataFrame:
@@ -112,18 +116,8 @@ def severity(df: DataFrame) -> DataFrame:
 
 
 def strategy(df: DataFrame) -> DataFrame:
-    """The next research step by the first rule that holds: nesting, n, declines, score, best, diversity, convergence, stability."""
-    c = {x: F.col(x) for x in ("nesting", "n", "declines", "score", "best", "diversity", "convergence", "stability")}
-    said = (
-        F.when(c["nesting"] > 8, "simplify")
-        .when((c["declines"] >= 2) & (c["n"] >= 3), "recombine")
-        .when((c["score"] < 30) & (c["n"] <= 3), "explore")
-        .when((c["best"] - c["score"] > 20) & (c["n"] >= 2), "recombine")
-        .when((c["score"] >= 60) & (c["diversity"] < 0.3), "exploit")
-        .when((c["diversity"] > 0.6) & (c["convergence"] < 0.4), "explore")
-        .otherwise("exploit")
-    )
-    return df.withColumn("strategy", said)
+    """The next research step: nesting, n, declines, score, best, diversity, convergence."""
+    return df.withColumn("strategy", first_rule(STRATEGY, "exploit"))
 
 
 def trajectory(df: DataFrame, key: str, order: list[str], score: str) -> DataFrame:

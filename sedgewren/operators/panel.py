@@ -227,3 +227,25 @@ def kind_by_tokens(text: Column, kinds: dict[str, list[str]], other: str, short:
             hit = hit | (F.rlike(text, F.lit(f"(^|[^a-z0-9]){t}([^a-z0-9]|$)")) if len(t) <= short else F.contains(text, F.lit(t)))
         out = F.when(hit, kind).otherwise(out)
     return out
+
+
+def per_share(df: DataFrame, equity: str, shares: str, price: str) -> DataFrame:
+    """book_per_share (null without a positive number of shares) and price_to_book."""
+    df = df.withColumn("book_per_share", F.when(F.col(shares) > 0, F.col(equity) / F.col(shares)))
+    return df.withColumn("price_to_book", F.try_divide(price, "book_per_share"))
+
+
+def calendar_or_business_days(dates: DataFrame, years: DataFrame) -> DataFrame:
+    """trade_date, known: the dates of each year that has any, and Monday to Friday of years that have none. dates: trade_date; years: year."""
+    known = dates.select(DATE).where(F.col(DATE).isNotNull()).distinct().withColumn("known", F.lit(True))
+    bare = years.select("year").distinct().join(known.select(F.year(DATE).alias("year")).distinct(), "year", "left_anti")
+    day = F.explode(F.sequence(F.make_date("year", F.lit(1), F.lit(1)), F.make_date("year", F.lit(12), F.lit(31))))
+    made = bare.select(day.alias(DATE)).where(F.weekday(DATE) < 5).withColumn("known", F.lit(False))
+    return known.join(years.select(F.col("year").alias("y")).distinct(), F.year(DATE) == F.col("y"), "left_semi").unionByName(made)
+
+
+def index_frame(df: DataFrame, name: str, value: str) -> DataFrame:
+    """Series as securities: code, trade_date, close, pre_close (null on the first date), list_date (the first date). Rows without a value go."""
+    rows = df.where(F.col(value).isNotNull()).select(F.col(name).alias(CODE), DATE, F.col(value).alias("close"))
+    w = Window.partitionBy(CODE).orderBy(DATE)
+    return rows.select(CODE, DATE, "close", F.lag("close").over(w).alias("pre_close"), F.min(DATE).over(Window.partitionBy(CODE)).alias("list_date"))
