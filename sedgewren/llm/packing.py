@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import WRITTEN, remove, slices, written
 
 WINDOW, SHARD = 2048, 1 << 19
+#: Shards of a task, about.
+TASK_SHARDS = 8
 #: The usual constants of BM25.
 K1, B = 1.2, 0.75
 #: Words whose ids a worker keeps, their greatest length, and characters of a text that are split at a time.
@@ -369,7 +371,7 @@ def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text
     about = statistics(ids)
     placed = ids.mapInArrow(placer(about), "doc_id long, ids binary, top int, next int")
     order = ["top", "next", "doc_id"]
-    dealt = placed.repartitionByRange(1 + about.tokens // shard, *order).sortWithinPartitions(*order, F.crc32("ids"))
+    dealt = placed.repartitionByRange(1 + about.tokens // (shard * TASK_SHARDS), *order).sortWithinPartitions(*order, F.crc32("ids"))
     out = written(dealt.select("doc_id", "ids").mapInArrow(packer(about, window, shard), PIECES))
     remove(df.sparkSession, [table])
     return out
