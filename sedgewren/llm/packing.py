@@ -11,6 +11,7 @@ becomes sequences of powers of two, so nothing is padded.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -29,7 +30,7 @@ TASK_SHARDS = 8
 #: The usual constants of BM25.
 K1, B = 1.2, 0.75
 #: Words whose ids a worker keeps, their greatest length, and characters of a text that are split at a time.
-KNOWN, WORD, PIECE = 1 << 20, 64, 1 << 24
+KNOWN, WORD, PIECE = 1 << 20, 64, 1 << 23
 #: Ids that are counted at a time.
 PARTS = 1 << 22
 
@@ -40,6 +41,9 @@ NAMES = [x.split()[0] for x in PIECES.split(", ")]
 #: An ASCII letter and a mark behind it, which never share a token (an apostrophe may).
 MARKED = r"([a-z])([!-&(-/:-@\[-`{-~])"
 
+#: Words that are one run of letters whatever the tokenizer does to them: plain Latin lower case.
+LATIN = re.compile("[a-zß-öø-ÿ]+")
+
 
 class Words:
     """Ids of words as bytes. The tokenizer drops white space and nothing in it reaches over a blank, so a text's ids are its words' ids;
@@ -56,6 +60,9 @@ class Words:
         self.known: dict[str, bytes] = {"": b""}
         special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)}
         self.apart, self.apart_id = min(special.items(), default=(None, None))
+        # Where words end with a token of their own kind, plain words need nothing but blanks between them.
+        self.last = np.zeros(1 << 16, bool)
+        self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.openings = {t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()}
 
     def plain(self, word: str) -> bool:
@@ -66,13 +73,20 @@ class Words:
         return True
 
     def encoded(self, words: list[str]) -> dict[str, bytes]:
-        joined = [w for w in words if self.apart is not None and self.plain(w)]
         out = {}
+        plain = [w for w in words if LATIN.fullmatch(w)]
+        if plain:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, np.int64)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(plain):
+                data = ids.astype("<u2").tobytes()
+                out = {w: data[2 * i : 2 * j] for w, i, j in zip(plain, [0, *ends[:-1].tolist()], ends.tolist(), strict=True)}
+        joined = [w for w in words if w not in out and self.apart is not None and self.plain(w)]
         if joined:
             ids = np.array(self.tokenizer.encode_batch_fast([self.apart.join(joined)], add_special_tokens=False)[0].ids, np.int64)
             ends = np.flatnonzero(ids == self.apart_id)
             data = ids.astype("<u2").tobytes()
-            out = {w: data[2 * i : 2 * j] for w, i, j in zip(joined, [0, *(ends + 1).tolist()], [*ends.tolist(), len(ids)], strict=True)}
+            out |= {w: data[2 * i : 2 * j] for w, i, j in zip(joined, [0, *(ends + 1).tolist()], [*ends.tolist(), len(ids)], strict=True)}
         for w in words:
             if w not in out:
                 out[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u2").tobytes()
