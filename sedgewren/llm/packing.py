@@ -164,10 +164,13 @@ def flat_ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def counted_terms(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, id and occurrences of every different id of a row, rows and ids ascending."""
-    keys = np.repeat(np.arange(len(lengths), dtype=np.int64), lengths) << 16 | ids
+    kind = np.uint32 if len(lengths) <= 1 << 16 else np.int64  # half the width sorts in half the time
+    keys = np.repeat(np.arange(len(lengths), dtype=kind) << kind(16), lengths) | ids
     keys.sort()
-    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
-    found = keys[starts]
+    first = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=first[1:])
+    starts = np.flatnonzero(first)
+    found = keys[starts].astype(np.int64)
     return found >> 16, found & 0xFFFF, np.diff(np.r_[starts, len(keys)])
 
 
