@@ -12,7 +12,7 @@ def forward_label(df: DataFrame, price: str, horizon: int, shift: int = 1) -> Da
     """price at calendar position T+shift+horizon over that at T+shift, less 1; null where the code did not trade on either day.
 
     Ranges of one calendar position find both prices within one sort by code, instead of joins of the panel with itself or a dense grid."""
-    at = df.join(calendar(df), DATE)
+    at = df.join(F.broadcast(calendar(df)), DATE)  # a row a day
     then = lambda days: F.max(price).over(Window.partitionBy(CODE).orderBy("cal_idx").rangeBetween(days, days))
     return at.select(CODE, DATE, (F.try_divide(then(shift + horizon), then(shift)) - 1).alias("label"))
 
