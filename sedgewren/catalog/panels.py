@@ -217,8 +217,8 @@ def five_factors(spark, sf):
     return factor_columns(bars(spark, sf))
 
 
-def factor_columns(p: DataFrame) -> DataFrame:
-    return p.select("code", "trade_date", F.col("close").alias("f1"), F.col("volume").alias("f2"), (F.col("high") - F.col("low")).alias("f3"), (F.col("close") * F.col("volume")).alias("f4"), factor.ts_shift(F.col("close"), 1).alias("f5"))
+def factor_columns(p: DataFrame, *more: str) -> DataFrame:
+    return p.select("code", "trade_date", *more, F.col("close").alias("f1"), F.col("volume").alias("f2"), (F.col("high") - F.col("low")).alias("f3"), (F.col("close") * F.col("volume")).alias("f4"), factor.ts_shift(F.col("close"), 1).alias("f5"))
 
 
 def sql_corr(x: str, y: str) -> str:
