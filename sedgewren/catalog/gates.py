@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import evaluate, gates, graph, scoring
+from ..operators import evaluate, gates, graph, scoring, sections
 from .panels import FACTORS, five_factors, query, rounded
 from .views import PANEL, rank, table
 from .views import panel as bars
@@ -104,10 +104,7 @@ PAIRS5 = [(i, j) for i in range(1, 6) for j in range(i + 1, 6)]
 u AS (SELECT * FROM d UNPIVOT INCLUDE NULLS (c FOR p IN ({', '.join(f'c{i}{j}' for i, j in PAIRS5)}))) SELECT 'r' || p[2] AS a, 'r' || p[3] AS b, round(abs(avg(c)), 6) AS size FROM u GROUP BY p HAVING abs(avg(c)) >= 0.5""")
 def g_redundant(spark, sf):
     """Pairs of factors whose daily rank correlation is large on average."""
-    from ..functions import factor
-
-    fx = five_factors(spark, sf)
-    ranks = fx.select("trade_date", *[factor.rank(F.col(f"f{i}")).alias(f"r{i}") for i in range(1, 6)])
+    ranks = sections.percentiles(five_factors(spark, sf).drop("code"), {f"r{i}": f"f{i}" for i in range(1, 6)})
     return evaluate.pairwise(ranks, [f"r{i}" for i in range(1, 6)]).select("a", "b", F.round(F.abs("mean"), 6).alias("size")).where("size >= 0.5")
 
 

@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.factor import rank
 from .panel import CODE, DATE
+from .sections import percentiles
 
 FLAT = 1e-10
 
@@ -21,8 +21,9 @@ def correlation(x: Column, y: Column) -> Column:
 def daily_correlation(df: DataFrame, x: str, y: str, least: int = 10, ranked: bool = False) -> DataFrame:
     """Cross-sectional Pearson (or rank) correlation per date; null with fewer pairs than `least` or a constant side."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    a, b = (rank(F.col(x)), rank(F.col(y))) if ranked else (F.col(x), F.col(y))
-    both = both.select(DATE, a.alias("a"), b.alias("b"))
+    both = both.select(DATE, F.col(x).alias("a"), F.col(y).alias("b"))
+    if ranked:
+        both = percentiles(both, {"rank_a": "a", "rank_b": "b"}).select(DATE, F.col("rank_a").alias("a"), F.col("rank_b").alias("b"))
     varied = (F.stddev_pop("a") > FLAT) & (F.stddev_pop("b") > FLAT) & (F.count(F.lit(1)) >= least)
     return both.groupBy(DATE).agg(F.when(varied, correlation(F.col("a"), F.col("b"))).alias("corr"), F.count(F.lit(1)).alias("n"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .panel import CODE, DATE
+from .sections import percentiles
 
 
 def with_facts(base: DataFrame, facts: dict[str, DataFrame]) -> DataFrame:
@@ -81,9 +82,7 @@ def focus_weights(grade: Column) -> Column:
 def style_flags(df: DataFrame) -> DataFrame:
     """Cross-sectional styles of total_mv, float_mv, roe, eps_growth, profit_growth: small cap (lowest fifth by either size), high growth
     (best fifth by the greatest of three ranks), blue chip (highest fifth by size and 0.6 by return on equity)."""
-    from ..functions.factor import rank
-
-    df = df.withColumns({f"{c}_pct": rank(F.col(c)) for c in ("total_mv", "float_mv", "roe", "eps_growth", "profit_growth")})
+    df = percentiles(df, {f"{c}_pct": c for c in ("total_mv", "float_mv", "roe", "eps_growth", "profit_growth")})
     yes = lambda c: F.coalesce(c, F.lit(False))
     small = yes(F.col("total_mv_pct") <= 0.2) | yes(F.col("float_mv_pct") <= 0.2)
     growth = F.greatest("eps_growth_pct", "profit_growth_pct", "roe_pct")

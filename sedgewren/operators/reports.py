@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.factor import rank
 from .evaluate import correlation
 from .panel import CODE, DATE
+from .sections import percentiles
 
 
 def seed_agreement(scores: DataFrame, least: int = 10) -> DataFrame:
@@ -24,9 +25,11 @@ def seed_agreement(scores: DataFrame, least: int = 10) -> DataFrame:
 
 def rank_baseline(df: DataFrame, features: list[str]) -> DataFrame:
     """Equal-weight mean of a row's cross-sectional percentile ranks; missing ones are left out."""
-    ranks = [rank(F.col(c)) for c in features]
+    names = [f"rank_{c}" for c in features]
+    ranks, kept = [F.col(n) for n in names], df.columns
     known = sum((r.isNotNull().cast("int") for r in ranks[1:]), ranks[0].isNotNull().cast("int"))
-    return df.withColumn("baseline", F.try_divide(sum((F.coalesce(r, F.lit(0.0)) for r in ranks[1:]), F.coalesce(ranks[0], F.lit(0.0))), known))
+    mean = F.try_divide(sum((F.coalesce(r, F.lit(0.0)) for r in ranks[1:]), F.coalesce(ranks[0], F.lit(0.0))), known)
+    return percentiles(df, dict(zip(names, features))).select(*kept, mean.alias("baseline"))
 
 
 def dispersion(df: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -71,3 +71,21 @@ def variant_correlations(values: DataFrame, said: DataFrame, least: int) -> Data
         return pa.table({"factor": pa.array(f, left.schema.field("factor").type), "variant": pa.array(v, right.schema.field("variant").type), DATE: pa.array(day, pa.date32()), "ic": pa.array(ic, pa.float64())})
 
     return of_date(values, said).applyInArrow(daily, f"factor string, variant {kind}, {DATE} date, ic double")
+
+
+def percentiles(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """df with the percentile in (0, 1] of each of `columns` (new name: column) within its date, average ties, nulls left out; all of them in
+    one pass, where a window function each would sort the rows again."""
+    extra = "".join(f", `{n}` double" for n in columns)
+
+    def ranked(rows: pa.Table) -> pa.Table:
+        for n, c in columns.items():
+            known = ~rows.column(c).is_null().to_numpy()
+            x = rows.column(c).cast(pa.float64()).to_numpy()
+            of = np.zeros(len(x))
+            of[known] = places(x[known]) / max(known.sum(), 1)
+            rows = rows.append_column(n, pa.array(of, pa.float64(), mask=~known))
+        return rows
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return df.groupBy(DATE).applyInArrow(ranked, schema + extra)
