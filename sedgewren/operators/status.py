@@ -46,9 +46,7 @@ def with_status(days: DataFrame, book: DataFrame, special: DataFrame, names: Dat
     name, reason; the latest of overlapping ones names the day, and any that tells of special treatment or delisting counts."""
     hit = names.withColumn("st", special_name(F.col("name")) | F.coalesce(F.contains(F.upper("reason"), F.lit("ST")), F.lit(False)))
     hit = hit.withColumn("out", delist_name(F.col("name")) | F.coalesce(F.contains("reason", F.lit(DELIST_REASON)), F.lit(False)))
-    found = interval_lookup(days.select(CODE, DATE).distinct(), hit.withColumn("new_name", F.col("name")), CODE, DATE, "start", "end", ["new_name"])
-    for flag in ("st", "out"):
-        found = interval_lookup(found, hit.where(flag).withColumn(f"by_{flag}", F.lit(True)), CODE, DATE, "start", "end", [f"by_{flag}"])
+    found = interval_lookup(days.select(CODE, DATE).distinct(), hit.withColumnsRenamed({"name": "new_name", "st": "by_st", "out": "by_out"}), CODE, DATE, "start", "end", ["new_name"], ["by_st", "by_out"])
     found = found.join(special.select(CODE, DATE).distinct().withColumn("listed_st", F.lit(True)), [CODE, DATE], "left")
     df = days.join(found, [CODE, DATE], "left").join(book.select(CODE, "name", "list_status", "delist_date"), CODE, "left")
     over = F.coalesce(F.col(DATE) > F.col("delist_date"), F.lit(False))
