@@ -7,7 +7,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import shared_checkpoint
 from .panel import CODE, DATE
+from .ranking import running
 from .sections import percentiles
 
 FLAT = 1e-10
@@ -129,10 +131,23 @@ def exposure(df: DataFrame, score: str, flag: Column, k: int) -> DataFrame:
     return out.withColumn("blocked", (F.col("mean") >= 0.05) | (F.col("p95") >= 0.15))
 
 
+def middle(counts: DataFrame, value: str, name: str) -> DataFrame:
+    """name: the median of `value`, each of which counts n times. One row, null without values. counts: value, n."""
+    upto = running(counts.select(F.col(value).alias("value"), "n", F.col("n").alias("upto")), [], [F.col("value")], {"upto": F.col("n")})
+    total = counts.agg(F.sum("n").alias("total"))  # one row
+    holds = lambda at: (F.col("upto") - F.col("n") < at) & (F.col("upto") >= at)
+    low, high = F.expr("(total + 1) div 2"), F.expr("total div 2 + 1")
+    return upto.join(F.broadcast(total)).agg(((F.max(F.when(holds(low), F.col("value"))) + F.max(F.when(holds(high), F.col("value")))) / 2).alias(name))
+
+
 def robust_scale(df: DataFrame, value: str, fit: Column) -> DataFrame:
-    """Median and scaled median deviation of the fit rows, applied to all, clipped at 3, nulls filled with the date's mean."""
-    centre = df.where(fit).agg(F.median(value).alias("med"))
-    spread = df.where(fit).join(F.broadcast(centre)).agg((F.median(F.abs(F.col(value) - F.col("med"))) * 1.4826).alias("mad"))
+    """Median and scaled median deviation of the fit rows, applied to all, clipped at 3, nulls filled with the date's mean.
+
+    Equal values are counted once for both; the medians are found by ranges of values, so that no task holds all of them."""
+    counts = shared_checkpoint(df.where(fit & F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n")))
+    centre = shared_checkpoint(middle(counts, "value", "med"))  # one row
+    apart = counts.join(F.broadcast(centre)).select(F.abs(F.col("value") - F.col("med")).alias("value"), "n")
+    spread = shared_checkpoint(middle(apart, "value", "mad").select((F.col("mad") * 1.4826).alias("mad")))  # one row
     z = F.try_divide(F.col(value) - F.col("med"), "mad")
     out = df.join(F.broadcast(centre)).join(F.broadcast(spread)).withColumn("z", F.when(z.isNotNull(), F.least(F.greatest(z, F.lit(-3.0)), F.lit(3.0))))
     return out.withColumn("z", F.coalesce("z", F.avg("z").over(Window.partitionBy(DATE)))).drop("med", "mad")
