@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from .graph import shared_checkpoint
 
 
+#: Trees whose steps are computed again from the bins before the rest is kept.
+KEPT = 8
+
+
 @dataclass(frozen=True)
 class Split:
     """A node's rule: rows whose bin of the feature is at most `bin` go left (node 2n), others and those without a value right (2n + 1)."""
@@ -69,12 +73,15 @@ def _moved(node: Column, splits: list[Split], column) -> Column:
 
 
 def train(df: DataFrame, features: list[str], label: str, trees: int = 10, depth: int = 3, rate: float = 0.1, bins: int = 32, least: int = 20, smoothing: float = 1.0) -> Model:
-    """A model of squared error. Rows without a label are left out; no row is sampled, so the same rows give the same model."""
+    """A model of squared error. Rows without a label are left out; no row is sampled, so the same rows give the same model.
+
+    Labels and bins are kept once; what is left to a tree follows from them and the trees before it, and is kept again after KEPT trees."""
     edges = quantile_edges(df.where(F.col(label).isNotNull()), features, bins)
     column = lambda i: F.col(f"b{i}")
     rows = df.where(F.col(label).isNotNull()).select(F.col(label).cast("double").alias("y"), *[binned(F.col(f).cast("double"), e).cast("int").alias(f"b{i}") for i, (f, e) in enumerate(zip(features, edges, strict=True))])
+    rows = shared_checkpoint(rows)
     base = rows.agg(F.avg("y")).first()[0] or 0.0
-    work = shared_checkpoint(rows.withColumn("r", F.col("y") - base).drop("y"))
+    work = rows.withColumn("r", F.col("y") - base).drop("y")
     all_splits, leaves = [], {}
     for t in range(trees):
         at = work.withColumn("node", F.lit(1))
@@ -94,7 +101,9 @@ def train(df: DataFrame, features: list[str], label: str, trees: int = 10, depth
         step = F.lit(0.0)
         for node, v in values.items():
             step = F.when(F.col("node") == node, v).otherwise(step)
-        work = shared_checkpoint(at.withColumn("r", F.col("r") - step).drop("node"))
+        work = at.withColumn("r", F.col("r") - step).drop("node")
+        if t % KEPT == KEPT - 1 and t + 1 < trees:
+            work = shared_checkpoint(work)
     return Model(tuple(features), edges, base, tuple(all_splits), leaves)
 
 
