@@ -1,8 +1,9 @@
 """Dependency of all pairs of a library's factors, from the long store, in blocks.
 
 values: code, trade_date, factor, value. Factors are dealt to blocks of BLOCK; a task takes one date and one pair of blocks, two matrices of
-codes by at most BLOCK factors, and finds all their correlations by products of matrices. A row is sent once for each block that its own
-meets, so the shuffle grows with the number of blocks, not of factors, and a task's memory with a date's codes.
+codes by at most BLOCK factors, and finds all their correlations by products of matrices. A date's values of a block are packed to one row first,
+which is sent once for each block that its own meets, so the shuffle grows with the number of blocks, not of factors, and a task's memory with a
+date's codes.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from . import graph
 from .gates import NOVELTY
 from .panel import CODE, DATE
 from .ranking import dense_names
-from .validation import mean_rank
+from .sections import places
 
 FLAT = 1e-10
 BLOCK = 32
@@ -41,29 +42,43 @@ def correlations(x: np.ndarray, y: np.ndarray, least: int) -> tuple[np.ndarray,
 def pair_days(values: DataFrame, least: int = 10, block: int = BLOCK) -> DataFrame:
     """a, b, trade_date, common, pearson, rank of every pair of factors (a before b) and date with at least `least` common codes. Ranks are
     within each factor's own codes of the date, equal values at their mean place."""
-    known = values.where(F.col("value").isNotNull() & ~F.isnan("value")).select(CODE, DATE, "factor", F.col("value").cast("double").alias("v"))
+    known = values.where(F.col("value").isNotNull() & ~F.isnan("value") & F.col(CODE).isNotNull()).select(CODE, DATE, "factor", F.col("value").cast("double").alias("v"))
     names = graph.shared_checkpoint(dense_names(known.select("factor").distinct(), 0))  # a row a factor
     n_blocks = max(1, -(-names.count() // block))
-    ranked = known.select("*", mean_rank("v", "factor", DATE).alias("r")).join(names, "factor").withColumn("own", F.expr(f"name div {block}"))
-    # A block's rows go to every pair of blocks that it is in.
+    owned = known.join(names, "factor").select(DATE, CODE, "factor", "v", F.expr(f"name div {block}").alias("own"))
+    kind = values.schema[CODE].dataType.simpleString()
+
+    def packed(keys: tuple, rows: pa.Table) -> pa.Table:
+        codes = rows.column(CODE).combine_chunks().dictionary_encode()
+        factors = rows.column("factor").combine_chunks().dictionary_encode()
+        m = np.full((len(factors.dictionary), len(codes.dictionary)), np.nan)
+        m[factors.indices.to_numpy(zero_copy_only=False), codes.indices.to_numpy(zero_copy_only=False)] = rows.column("v").to_numpy()
+        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+        return pa.table({DATE: pa.array([keys[0].as_py()], pa.date32()), "own": pa.array([keys[1].as_py()], pa.int64()), "codes": one(codes.dictionary), "factors": one(factors.dictionary), "cells": one(pa.array(m.ravel()))})
+
+    # A row a date and block: its codes, its factors and the values of both. It goes to every pair of blocks that its own is in.
+    blocks = owned.groupBy(DATE, "own").applyInArrow(packed, f"{DATE} date, own long, codes array<{kind}>, factors array<string>, cells array<double>")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long")))
-    dealt = ranked.select("*", other.alias("other")).select(DATE, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", CODE, "factor", "v", "r")
+    dealt = blocks.select("*", other.alias("other")).select(DATE, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "codes", "factors", "cells")
     schema = "a string, b string, trade_date date, common long, pearson double, rank double"
 
     def daily(keys: tuple, rows: pa.Table) -> pa.Table:
         day, i, j = (k.as_py() for k in keys)
-        codes, at = np.unique(rows.column(CODE).to_numpy(zero_copy_only=False), return_inverse=True)
-        own, factor = rows.column("own").to_numpy(), rows.column("factor").to_numpy(zero_copy_only=False).astype(str)
+        row = {o: n for n, o in enumerate(rows.column("own").to_pylist())}
+        part = lambda b, c: rows.column(c).slice(row[b], 1).combine_chunks().flatten()
+        found = {b: part(b, "codes") for b in {i, j} & set(row)}
+        of = pa.chunked_array(list(found.values())).combine_chunks().dictionary_encode()
+        at = dict(zip(found, np.split(of.indices.to_numpy(zero_copy_only=False), np.cumsum([len(c) for c in found.values()])[:-1])))
 
         def matrices(b: int):
-            inside = own == b
-            found, column = np.unique(factor[inside], return_inverse=True)
-            both = []
-            for c in ("v", "r"):
-                m = np.full((len(codes), len(found)), np.nan)
-                m[at[inside], column] = rows.column(c).to_numpy()[inside]
-                both.append(m)
-            return found, both
+            if b not in row:
+                return np.array([], str), [np.zeros((len(of.dictionary), 0))] * 2
+            factors, n = np.array(part(b, "factors").to_pylist(), str), len(found[b])
+            of_block, both = part(b, "cells").to_numpy().reshape(len(factors), n), [np.full((len(of.dictionary), len(factors)), np.nan) for _ in range(2)]
+            for k, x in enumerate(of_block):
+                there = ~np.isnan(x)
+                both[0][at[b][there], k], both[1][at[b][there], k] = x[there], places(x[there])
+            return factors, both
 
         (left, x), (right, y) = matrices(i), matrices(j)
         pearson, n = correlations(x[0], y[0], least)
