@@ -19,7 +19,7 @@ DAY, WEEK = 86_400_000_000, 7 * 86_400_000_000  # microseconds, in which times a
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 GROWTH = "user_id long, last long, counter long, day_delta long, week_delta long, hot boolean, idle boolean"
 STATE = "base_at long, base long"
-SAMPLE_KEY, SAMPLE = "at long", "counter long"
+SAMPLES = "at array<long>, counter array<long>"
 
 
 def growth(samples: list[tuple[int, int]], base: tuple[int, int] | None, enter: int, leave: int) -> tuple:
@@ -46,7 +46,9 @@ def growth(samples: list[tuple[int, int]], base: tuple[int, int] | None, enter:
 
 
 class CounterGrowth(StatefulProcessor):
-    """A row for a key whenever its samples change, and one when a silent week ends them. Of samples at one time the greatest counts."""
+    """A row for a key whenever its samples change, and one when a silent week ends them. Of samples at one time the greatest counts.
+
+    A key's samples are one value: a batch reads and writes them once, not one by one."""
 
     def __init__(self, enter: int = 2, leave: int = 3) -> None:
         self.enter, self.leave = enter, leave
@@ -54,19 +56,23 @@ class CounterGrowth(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.base = handle.getValueState("base", STATE)
-        self.samples = handle.getMapState("samples", SAMPLE_KEY, SAMPLE)
+        self.samples = handle.getValueState("samples", SAMPLES)
 
     def _base(self) -> tuple[int, int] | None:
         found = self.base.get()
         return None if found is None else (found[0], found[1])
 
+    def _samples(self) -> list[tuple[int, int]]:
+        found = self.samples.get()
+        return [] if found is None else sorted(zip(found[0], found[1], strict=True))
+
     def _row(self, user, samples: list, base, idle: bool) -> pd.DataFrame:
         last, counter, day, week, hot = growth(samples, base, self.enter, self.leave)
         values = (user, last, counter, 0 if idle else day, 0 if idle else week, hot and not idle, idle)
         return pd.DataFrame([values], columns=[f.split()[0] for f in GROWTH.split(", ")])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        held = {k[0]: v[0] for k, v in self.samples.iterator()}
+        held = dict(self._samples())
         base = self._base()
         for batch in rows:
             for at, counter in zip(batch["at"].tolist(), batch["counter"].tolist(), strict=True):
@@ -84,11 +90,7 @@ class CounterGrowth(StatefulProcessor):
         old = [(t, c) for t, c in held.items() if t <= last - WEEK]
         base = max([*old, *([base] if base else [])], default=None)
         kept = sorted((t, c) for t, c in held.items() if t > last - WEEK)
-        for t, _ in old:
-            if self.samples.containsKey((t,)):
-                self.samples.removeKey((t,))
-        for t, c in kept:
-            self.samples.updateValue((t,), (c,))
+        self.samples.update(([t for t, _ in kept], [c for _, c in kept]))
         if base is not None:
             self.base.update(base)
         for at in list(self.handle.listTimers()):
@@ -97,7 +99,7 @@ class CounterGrowth(StatefulProcessor):
         yield self._row(key[0], kept, base, False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        samples = sorted((k[0], v[0]) for k, v in self.samples.iterator())
+        samples = self._samples()
         if not samples:
             return
         row = self._row(key[0], samples, self._base(), True)
