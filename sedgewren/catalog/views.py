@@ -7,18 +7,34 @@ from pyspark.sql import functions as F
 
 
 FEE = 1.0037
+#: Lines of a task's part of the panel, about: what its sorts and windows hold does not grow with the table.
+ROWS = 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, lines: int, *keys: str) -> DataFrame:
+    """df in as many parts by the keys as its lines need; as it is if one is enough. Adaptive execution leaves that number alone."""
+    parts = -(-lines // ROWS)
+    return df.repartition(max(parts, df.sparkSession.sparkContext.defaultParallelism), *keys) if parts > 1 else df
+
+
+def line_count(spark: SparkSession, sf_dir: str) -> int:
+    """Lines of the panel, from the footers of its files."""
+    return table(spark, sf_dir, "lineitem").count()
+
+
 def panel(spark: SparkSession, sf_dir: str, day: Column | None = None) -> DataFrame:
     """Daily panel: a supplier is a security, its lines of one day are a bar. Prices are net of FEE, which also keeps them off the
-    short decimals whose rounding engines disagree about."""
-    lines = table(spark, sf_dir, "lineitem")
+    short decimals whose rounding engines disagree about.
+
+    Lines go to their supplier's part once; bars and all windows along a code are found there."""
+    day = (F.to_date("l_shipdate") if day is None else day).alias("trade_date")
+    lines = spread(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("code"), day, "l_extendedprice", "l_quantity", "l_discount"), line_count(spark, sf_dir), "code")
     unit = F.col("l_extendedprice") / (F.col("l_quantity") * FEE)
-    bars = lines.groupBy(F.col("l_suppkey").alias("code"), (F.to_date("l_shipdate") if day is None else day).alias("trade_date")).agg(
+    bars = lines.groupBy("code", "trade_date").agg(
         F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("amount"),
         F.sum("l_quantity").alias("volume"),
         F.max(unit).alias("high"),

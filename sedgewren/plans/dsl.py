@@ -28,7 +28,7 @@ FIELD_ALIASES = {"cap": "total_mv", "market_cap": "total_mv", "margin_balance":
 @dataclass(frozen=True)
 class Function:
     """build gets columns, and plain numbers where `numbers` says so. window: the argument that is a number of rows. staged: build also
-    gets a function that makes intermediate columns."""
+    gets a function that makes intermediate columns. across: its windows are dates, not codes."""
 
     build: Callable[..., Column]
     arity: tuple[int, ...]
@@ -37,6 +37,7 @@ class Function:
     windowed: bool = True
     extra_rows: int = 0
     staged: bool = False
+    across: bool = False
 
 
 def _ts(build, columns: int = 1, **kw) -> Function:
@@ -48,12 +49,12 @@ def _plain(build, arity: int, numbers: tuple[int, ...] = ()) -> Function:
 
 
 FUNCTIONS: dict[str, Function] = {
-    "rank": Function(f.rank, (1,)),
-    "zscore": Function(f.zscore, (1,)),
-    "group_rank": Function(f.rank, (2,)),
-    "group_zscore": Function(f.zscore, (2,)),
-    "scale": Function(f.scale, (1,)),
-    "indneutralize": Function(f.indneutralize, (2,)),
+    "rank": Function(f.rank, (1,), across=True),
+    "zscore": Function(f.zscore, (1,), across=True),
+    "group_rank": Function(f.rank, (2,), across=True),
+    "group_zscore": Function(f.zscore, (2,), across=True),
+    "scale": Function(f.scale, (1,), across=True),
+    "indneutralize": Function(f.indneutralize, (2,), across=True),
     "sign": _plain(F.signum, 1),
     "sign_power": _plain(f.sign_power, 2, (1,)),
     "tanh": _plain(F.tanh, 1),
@@ -279,10 +280,13 @@ def smoothness(text: Column) -> dict[str, Column]:
 
 #: Columns of a tail: whether a row is an earlier one, and whether it is its code's last of those; what earlier rows' columns are kept as.
 OLD, LAST, KEPT = "__old", "__last", "__kept"
+#: Levels of one partitioning: columns along codes have even multiples of it and what follows, columns across dates odd ones.
+PHASE = 1000
 
 
 class Plan:
-    """Columns for expressions; windowed sub-expressions are named by level.
+    """Columns for expressions; windowed sub-expressions are named by level. Whatever can be computed by code comes before what is computed
+    by date, and so on in turn, so that rows change their partitioning as seldom as they can.
 
     With the plan of the whole as `base`, columns are those of a tail: its rows lie behind each code's last earlier ones, for which every
     shared column has the value that was kept."""
@@ -292,20 +296,41 @@ class Plan:
         self.levels: dict[int, list[tuple[str, Column]]] = {}
         self.kept: list[str] = []
         self.base = base
+        self.inside = 0
 
-    def share(self, key: str, column: Column, level: int, inner: bool = False) -> tuple[Column, int]:
+    def share(self, key: str, column: Column, level: int, inner: bool = False, across: bool = False) -> tuple[Column, int]:
         """inner: a step of the next shared column, which earlier rows need not have."""
         if key not in self.named:
+            if level // PHASE % 2 != across:
+                level = (level // PHASE + 1) * PHASE
             self.named[key] = (f"__{len(self.named)}", level)
             name = self.named[key][0]
-            if not inner:
-                self.kept.append(name)
-                if self.base:
-                    column = F.when(F.col(OLD), F.col(KEPT + name)).otherwise(column)
+            if self.base and not inner and name in self.base.kept:
+                column = F.when(F.col(OLD), F.col(KEPT + name)).otherwise(column)
             self.levels.setdefault(level, []).append((name, column))
         name, level = self.named[key]
+        if self.inside and not inner:
+            self.keep(name)
         return F.col(name), level + 1
 
+    def keep(self, name: str) -> None:
+        """A tail's windows read earlier values of this column."""
+        if name not in self.kept:
+            self.kept.append(name)
+
+    def argument(self, node: ast.expr, windowed: bool) -> tuple[Column, int]:
+        self.inside += windowed
+        try:
+            return self.column(node)
+        finally:
+            self.inside -= windowed
+
+    def running(self, key: str, column: Column, level: int) -> tuple[Column, int]:
+        """A shared column that goes on from its own last value."""
+        out = self.share(key, column, level)
+        self.keep(self.named[key][0])
+        return out
+
     def resumed(self, key: str, column: Column) -> Column:
         """What a running function reads: in a tail, its own last value stands for all earlier rows."""
         if not self.base:
@@ -351,11 +376,12 @@ class Plan:
                         n = number(a)
                         values.append(int(n) if i == fn.window else n)
                     else:
-                        c, level = self.column(a)
+                        c, level = self.argument(a, fn.windowed)
                         values.append(c)
                         at = max(at, level)
+                running = name in ("obv", "ema")
                 if name == "obv" and self.base:
-                    return self.share(key, F.sum(self.resumed(key, f.obv_step(*values))).over(f.along()), at)
+                    return self.running(key, F.sum(self.resumed(key, f.obv_step(*values))).over(f.along()), at)
                 if fn.staged:
                     values[0] = self.resumed(key, values[0])
 
@@ -366,7 +392,9 @@ class Plan:
 
                     values.append(staged)
                 made = fn.build(*values)
-                return self.share(key, made, at) if fn.windowed else (made, at)
+                if running:
+                    return self.running(key, made, at)
+                return self.share(key, made, at, across=fn.across) if fn.windowed else (made, at)
         raise ExpressionError(f"not in the language: {ast.unparse(node)}")
 
 
