@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import evaluate, gates, graph, scoring, sections
+from ..operators import evaluate, gates, graph, scoring
 from .panels import FACTORS, five_factors, query, rounded
-from .views import PANEL, rank, table
+from .views import PANEL, line_count, rank, spread, table
 from .views import panel as bars
 
 #: Metric: whole number of the part's key, and what it is divided by. Quotients of whole numbers round alike everywhere.
@@ -104,8 +104,8 @@ PAIRS5 = [(i, j) for i in range(1, 6) for j in range(i + 1, 6)]
 u AS (SELECT * FROM d UNPIVOT INCLUDE NULLS (c FOR p IN ({', '.join(f'c{i}{j}' for i, j in PAIRS5)}))) SELECT 'r' || p[2] AS a, 'r' || p[3] AS b, round(abs(avg(c)), 6) AS size FROM u GROUP BY p HAVING abs(avg(c)) >= 0.5""")
 def g_redundant(spark, sf):
     """Pairs of factors whose daily rank correlation is large on average."""
-    ranks = sections.percentiles(five_factors(spark, sf).drop("code"), {f"r{i}": f"f{i}" for i in range(1, 6)})
-    return evaluate.pairwise(ranks, [f"r{i}" for i in range(1, 6)]).select("a", "b", F.round(F.abs("mean"), 6).alias("size")).where("size >= 0.5")
+    fx = five_factors(spark, sf).drop("code").withColumnsRenamed({f"f{i}": f"r{i}" for i in range(1, 6)})
+    return evaluate.pairwise(spread(fx, line_count(spark, sf), "trade_date"), [f"r{i}" for i in range(1, 6)], ranked=True).select("a", "b", F.round(F.abs("mean"), 6).alias("size")).where("size >= 0.5")
 
 
 CONFLICTS = "x AS (SELECT DISTINCT least(a.l_partkey, b.l_partkey) AS a, greatest(a.l_partkey, b.l_partkey) AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey % 16 = b.l_suppkey % 16 AND a.l_partkey < b.l_partkey)"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .graph import shared_checkpoint
 from .panel import CODE, DATE
 from .ranking import running
-from .sections import percentiles
+from .sections import percentiles, places
 
 FLAT = 1e-10
 
@@ -41,8 +41,8 @@ def information(daily: DataFrame) -> DataFrame:
     return daily.agg(F.avg("corr").alias("ic"), F.when(sd > FLAT, F.avg("corr") / sd).alias("ir"), F.count("corr").alias("days"))
 
 
-def pairwise(df: DataFrame, factors: list[str], least: int = 10) -> DataFrame:
-    """Mean, 90th percentile and maximum of the absolute daily correlation of each pair of factors.
+def pairwise(df: DataFrame, factors: list[str], least: int = 10, ranked: bool = False) -> DataFrame:
+    """Mean, 90th percentile and maximum of the absolute daily correlation of each pair of factors, or of their percentiles within the date.
 
     A task takes a date's cross-section at a time, codes by factors, and finds all its correlations by four products of matrices, so
     hundreds of factors are no more columns of a plan than five. Rows where one of a pair is missing are left out of that pair."""
@@ -52,6 +52,10 @@ def pairwise(df: DataFrame, factors: list[str], least: int = 10) -> DataFrame:
     def daily(rows: pa.Table) -> pa.Table:
         x = np.column_stack([rows.column(c).to_numpy().astype(float) for c in factors])
         known = ~np.isnan(x)
+        if ranked:
+            known = ~np.column_stack([rows.column(c).is_null().to_numpy() for c in factors])  # NaN is the largest value
+            for i in range(len(names)):
+                x[known[:, i], i] = places(x[known[:, i], i]) / max(known[:, i].sum(), 1)
         m = known.astype(float)
         x = np.where(known, x - np.nan_to_num(np.nanmean(np.where(known.any(axis=0), x, 0.0), axis=0)), 0.0)
         n = np.maximum(m.T @ m, 1)
