@@ -9,7 +9,7 @@ from ..functions import factor
 from ..operators import evaluate, graph, labels, panel, scoring
 from ..sources import tables
 from ..streaming import events as streams
-from .views import FEE, PANEL, cs, lag, rank, ts
+from .views import FEE, PANEL, cs, lag, line_count, rank, spread, ts
 from .views import panel as bars
 from .views import table
 
@@ -542,7 +542,8 @@ PAIRS = "w AS (SELECT l_suppkey AS a, -1 - l_partkey AS b, count(*) AS w FROM li
 
 def pair_edges(spark, sf):
     """Suppliers and parts (as negative nodes) by the number of lines that have both."""
-    return table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("a"), (-1 - F.col("l_partkey")).alias("b")).agg(F.count(F.lit(1)).alias("w"))
+    ends = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("a"), (-1 - F.col("l_partkey")).alias("b"))
+    return spread(ends, line_count(spark, sf), "a").groupBy("a", "b").agg(F.count(F.lit(1)).alias("w"))
 
 
 @query(f"""WITH {PAIRS}, u AS (SELECT * FROM w UNION ALL SELECT b, a, w FROM w)
