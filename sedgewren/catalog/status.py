@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import labels, matrix, panel, scoring, status
 from .panels import DAYS, FACTORS, LABEL, LIMITS, five_factors, query, rounded
-from .views import PANEL, lag, rank, table, ts
+from .views import PANEL, lag, line_count, rank, spread, table, ts
 from .views import panel as bars
 
 # Stand-ins: a supplier's listing, its names over time, and the days of special treatment.
@@ -161,7 +161,7 @@ LONG = f"{FACTORS}, long AS (SELECT * FROM (SELECT code, trade_date, unnest(['f1
 @query(f"""WITH {PANEL}, {LONG}, {LABEL}, w AS (SELECT code, trade_date, max(value) FILTER (factor = 'f1') AS f1, max(value) FILTER (factor = 'f3') AS f3, max(value) FILTER (factor = 'f5') AS f5 FROM long WHERE factor IN ('f1', 'f3', 'f5') GROUP BY 1, 2)
 SELECT code, trade_date, round(f1, 4) AS f1, round(f3, 4) AS f3, round(f5, 4) AS f5, round(label, 6) + 0.0 AS label FROM w LEFT JOIN lab USING (code, trade_date)""")
 def x_feature_matrix(spark, sf):
-    lab = labels.forward_label(bars(spark, sf), "close", 5, 1)
+    lab = spread(labels.forward_label(bars(spark, sf), "close", 5, 1), line_count(spark, sf), "code", "trade_date")  # the join takes its parts
     out = rounded(matrix.feature_matrix(long_values(spark, sf), ["f1", "f3", "f5"], lab), 4, "f1", "f3", "f5")
     return rounded(out, 6, "label")
 
@@ -214,7 +214,7 @@ sf AS (SELECT code, trade_date, coalesce(total_mv_pct <= 0.2, false) OR coalesce
 
 def styles(spark, sf):
     p = bars(spark, sf).select("code", "trade_date", F.col("amount").alias("total_mv"), F.when(F.col("code") % 5 > 0, F.col("amount") * F.col("discount")).alias("float_mv"), F.col("discount").alias("roe"), F.when(F.col("volume") > 9, F.col("high") - F.col("low")).alias("eps_growth"), F.col("close").alias("profit_growth"))
-    return matrix.style_flags(p)
+    return matrix.style_flags(spread(p, line_count(spark, sf), "trade_date"))
 
 
 @query(f"""WITH {PANEL}, {STYLES} SELECT code, trade_date, small_cap, high_growth, blue_chip FROM sf""")
@@ -227,7 +227,8 @@ SELECT trade_date, count(*) AS picks, count(code) AS known, {', '.join(f'round(a
 def a_style_exposure(spark, sf):
     picks = scoring.top_k(bars(spark, sf).select("code", "trade_date", "volume"), "volume", 10).select("code", "trade_date")
     flags = ["small_cap", "high_growth", "blue_chip"]
-    return rounded(matrix.style_exposure(picks, styles(spark, sf).where("code % 6 > 0"), flags), 6, *flags)
+    picked = styles(spark, sf).where("code % 6 > 0").join(F.broadcast(picks), ["code", "trade_date"], "left_semi")  # ten a day
+    return rounded(matrix.style_exposure(picks, picked, flags), 6, *flags)
 
 
 LIMITED = f"""{LIMITS.replace('b AS', 'b0 AS')}, lim AS (SELECT code, trade_date, pre_close * (1 + rate) AS up_limit FROM b0)"""
