@@ -17,8 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def spread(df: DataFrame, lines: int, *keys: str) -> DataFrame:
     """df in as many parts by the keys as its lines need; as it is if one is enough. Adaptive execution leaves that number alone."""
-    parts = -(-lines // ROWS)
-    return df.repartition(max(parts, df.sparkSession.sparkContext.defaultParallelism), *keys) if parts > 1 else df
+    return df.repartition(part_count(df.sparkSession, lines), *keys) if lines > ROWS else df
+
+
+def part_count(spark: SparkSession, lines: int) -> int:
+    return max(-(-lines // ROWS), spark.sparkContext.defaultParallelism)
 
 
 def line_count(spark: SparkSession, sf_dir: str) -> int:
@@ -44,9 +47,13 @@ def panel(spark: SparkSession, sf_dir: str, day: Column | None = None) -> DataFr
     return bars.withColumn("close", F.col("amount") / (F.col("volume") * FEE))
 
 
+def week() -> Column:
+    return F.to_date(F.date_trunc("week", "l_shipdate"))
+
+
 def weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The panel with a bar a week: most securities have one, so that labels and cross-sections are dense."""
-    return panel(spark, sf_dir, F.to_date(F.date_trunc("week", "l_shipdate")))
+    return panel(spark, sf_dir, week())
 
 
 def groups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .panel import CODE, DATE, calendar
 
 
-def forward_label(df: DataFrame, price: str, horizon: int, shift: int = 1) -> DataFrame:
-    """price at calendar position T+shift+horizon over that at T+shift, less 1; null where the code did not trade on either day.
+def forward_label(df: DataFrame, price: str, horizon: int, shift: int = 1, days: DataFrame | None = None, keep: Sequence[str] = (), single: bool = False) -> DataFrame:
+    """price at calendar position T+shift+horizon over that at T+shift, less 1; null where the code did not trade on either day. days: the calendar
+    (cal_idx, trade_date), if it is known; keep: more columns of df, or cal_idx; single: df has no two rows of a code and day.
 
     Ranges of one calendar position find both prices within one sort by code, instead of joins of the panel with itself or a dense grid."""
-    at = df.join(F.broadcast(calendar(df)), DATE)  # a row a day
+    at = df.join(F.broadcast(calendar(df) if days is None else days), DATE)  # a row a day
+    if single:  # the row of a position n later is one of the next n rows, in the order that other windows along codes have too
+        w = Window.partitionBy(CODE).orderBy(DATE)
+        later = lambda n: F.coalesce(*[F.when(F.lead("cal_idx", k).over(w) == F.col("cal_idx") + n, F.lead(price, k).over(w)) for k in range(1, n + 1)])
+        return at.select(CODE, DATE, *keep, (F.try_divide(later(shift + horizon), later(shift)) - 1).alias("label"))
     then = lambda days: F.max(price).over(Window.partitionBy(CODE).orderBy("cal_idx").rangeBetween(days, days))
-    return at.select(CODE, DATE, (F.try_divide(then(shift + horizon), then(shift)) - 1).alias("label"))
+    return at.select(CODE, DATE, *keep, (F.try_divide(then(shift + horizon), then(shift)) - 1).alias("label"))
 
 
 def executable(label: Column, entry: Column, up_limit: Column) -> Column:
