@@ -40,6 +40,6 @@ def st_joined_once(spark, sf):
     read = lambda name: streams.read_stream(spark, f"{folder}/{name}", files=1_000_000)
     for run in range(2):
         pairs = keyed.joined_within(read("orders"), read("lineitem"), ("o_orderkey", "l_orderkey"), ("o_orderdate", "l_shipdate"), "400 DAYS")
-        keyed.run_available(pairs, keyed.batches(f"{folder}/out"), f"{folder}/state{run}", "append")
+        keyed.run_available(pairs, keyed.batches(f"{folder}/out"), f"{folder}/state{run}", "append", keyed.PLAIN)
     out = spark.read.parquet(f"{folder}/out")
     return out.select("o_orderkey", "l_linenumber", F.to_date("o_orderdate").alias("ordered"), F.to_date("l_shipdate").alias("shipped"))

@@ -7,7 +7,7 @@ has been silent for a week.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +17,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 DAY, WEEK = 86_400_000_000, 7 * 86_400_000_000  # microseconds, in which times are kept
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: For a join that only matches: no batch of its own to forget rows (the next one with data does), and no read before each write to count keys.
+PLAIN = {"spark.sql.streaming.noDataMicroBatches.enabled": "false", "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false"}
 GROWTH = "user_id long, last long, counter long, day_delta long, week_delta long, hot boolean, idle boolean"
 STATE = "base_at long, base long"
 SAMPLES = "at array<long>, counter array<long>"
@@ -144,12 +146,14 @@ def latest(spark: SparkSession, path: str, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*columns), "batch").alias("v")).select(key, "v.*")
 
 
-def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str) -> None:
-    """Reads all that is there, in batches, and ends; goes on from the checkpoint if there is one."""
-    spark, name = stream.sparkSession, "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name)
-    spark.conf.set(name, PROVIDER)
+def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str, settings: Mapping[str, str] | None = None) -> None:
+    """Reads all that is there, in batches, and ends; goes on from the checkpoint if there is one. settings: more of the session's while it runs."""
+    spark, settings = stream.sparkSession, {"spark.sql.streaming.stateStore.providerClass": PROVIDER, **(settings or {})}
+    before = {name: spark.conf.get(name, None) for name in settings}
     try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
         stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
