@@ -3,11 +3,13 @@
 values: code, trade_date, factor, value. Factors are dealt to blocks of BLOCK; a task takes one date and one pair of blocks, two matrices of
 codes by at most BLOCK factors, and finds all their correlations by products of matrices. A date's values of a block are packed to one row first,
 which is sent once for each block that its own meets, so the shuffle grows with the number of blocks, not of factors, and a task's memory with a
-date's codes.
+date's codes. A wide panel's factors (`passes.packed`) are columns already: a task takes a date with all of them, and pairs of blocks in turn.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 from . import graph
 from .gates import NOVELTY
 from .panel import CODE, DATE
+from .passes import Section
 from .ranking import dense_names
 from .sections import places
 
@@ -94,11 +97,47 @@ def pair_days(values: DataFrame, least: int = 10, block: int = BLOCK) -> DataFra
     return dealt.groupBy(DATE, "i", "j").applyInArrow(daily, schema)
 
 
+def section_days(parts: DataFrame, factors: Sequence[str], least: int = 10, block: int = BLOCK, label: str | None = None, labelled: Sequence[str] = ()) -> DataFrame:
+    """`pair_days` of columns that `passes.packed` made. With a label also rows without b for the factors `labelled`: rank is the rank correlation
+    with it."""
+    blocks = [list(factors[i : i + block]) for i in range(0, len(factors), block)]
+
+    def daily(rows: pa.Table) -> pa.Table:
+        s, day, out = Section(rows), rows.column(DATE)[0].as_py(), []
+
+        def matrices(names: list) -> list[np.ndarray]:
+            both = [np.full((len(s.codes), len(names)), np.nan) for _ in range(2)]
+            for k, f in enumerate(names):
+                c = s.column(f)
+                there = c.known & ~np.isnan(c.x)
+                both[0][there, k], both[1][there, k] = c.x[there], c.places(there)
+            return both
+
+        for i, left in enumerate(blocks):
+            x = matrices(left)
+            for right in blocks[i:]:
+                y = x if right is left else matrices(right)
+                (pearson, n), (rank, _) = correlations(x[0], y[0], least), correlations(x[1], y[1], least)
+                for p, q in zip(*np.nonzero(n >= least)):
+                    if right is not left or p < q:
+                        out.append((min(left[p], right[q]), max(left[p], right[q]), int(n[p, q]), *(None if np.isnan(z[p, q]) else float(z[p, q]) for z in (pearson, rank))))
+        out += [(f, None, None, None, ic) for f in labelled if label for ic in s.ic(s.column(f), s.column(label), least)]
+        a, b, common, pearson, rank = zip(*out) if out else ((),) * 5
+        return pa.table({"a": pa.array(a, pa.string()), "b": pa.array(b, pa.string()), "trade_date": pa.array([day] * len(a), pa.date32()), "common": pa.array(common, pa.int64()), "pearson": pa.array(pearson, pa.float64()), "rank": pa.array(rank, pa.float64())})
+
+    return parts.groupBy("cal_idx").applyInArrow(daily, "a string, b string, trade_date date, common long, pearson double, rank double")
+
+
 def pairs(values: DataFrame, least: int = 10, rows: int = 300, block: int = BLOCK) -> DataFrame:
     """a, b, mean, 90th percentile and maximum of both absolute daily correlations, days, common (mean codes) and dependency, for pairs with at
     least `rows` common rows in all."""
+    return pair_statistics(pair_days(values, least, block), rows)
+
+
+def pair_statistics(days: DataFrame, rows: int) -> DataFrame:
+    """`pairs` of the rows of `pair_days`."""
     p, r = F.abs("pearson"), F.abs("rank")
-    of = pair_days(values, least, block).groupBy("a", "b").agg(
+    of = days.groupBy("a", "b").agg(
         F.avg(p).alias("mean_pearson"), F.percentile(p, F.lit(0.9)).alias("p90_pearson"), F.max(p).alias("max_pearson"),
         F.avg(r).alias("mean_rank"), F.percentile(r, F.lit(0.9)).alias("p90_rank"), F.max(r).alias("max_rank"),
         F.greatest(F.count("pearson"), F.count("rank")).alias("days"), F.avg("common").alias("common"), F.sum("common").alias("rows"),
@@ -119,7 +158,12 @@ def accepted(values: DataFrame, scores: DataFrame, least: int = 10, rows: int =
     """node: candidates that are novel when taken best first, against all other factors and the candidates accepted before them.
 
     scores: factor, score of the candidates; factors that have values but no score are the library, which nothing may depend on."""
-    of = graph.shared_checkpoint(conflicting(pairs(values, least, rows, block)))
+    return accepted_of(pairs(values, least, rows, block), scores)
+
+
+def accepted_of(pairs: DataFrame, scores: DataFrame) -> DataFrame:
+    """`accepted` of the statistics of pairs."""
+    of = graph.shared_checkpoint(conflicting(pairs))
     both = of.unionByName(of.select(F.col("b").alias("a"), F.col("a").alias("b")))
     names = scores.select(F.col("factor").alias("b"))
     taken = both.join(names, "b", "left_anti").select(F.col("a").alias("factor")).distinct()
